@@ -5,13 +5,69 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, ext_hash, pfair
+from . import byte_bpe, chat_format, ext_hash, pfair, topk_impact, warc
+from .common import shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes every text, decodes the ids, and digests both."""
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
+    return byte_bpe.decode(ids, ranks).select(
+        "doc_id", byte_bpe.token_count().cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best partners of every 50th vector."""
+    items = topk_impact.quantise(_table(spark, sf_dir, "embeddings"))
+    return topk_impact.top_k(items, items.filter("id % 50 = 0"), k=5)
+
+
+OP3_SQL = """
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), items AS (
+  SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS d, len(v) AS width FROM good
+), scored AS (
+  SELECT q.vec_id AS query_id, i.vec_id, sum(q.x * i.x)::BIGINT AS score
+  FROM items q JOIN items i ON q.d = i.d AND q.width = i.width AND q.vec_id <> i.vec_id
+  WHERE q.vec_id % 50 = 0 GROUP BY ALL
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives every page, indexes the archives, and reads all records back by URL."""
+    folder = shared_path(spark, "warc")
+    pages = _table(spark, sf_dir, "pages")
+    captures = warc.write_archives(pages, folder)
+    directory = warc.write_index(captures, folder)
+    keys = pages.select(warc.url_key(F.col("url")).alias("urlkey")).distinct()
+    return warc.read_records(warc.lookup(directory, folder, keys), folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(octet_length(encode(html)), 0) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats all conversations and one more, then reads turns and loss text back."""
     said = "\\### Assistant: </turn> ok"
@@ -79,12 +135,17 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_topk_search": op3_topk_search,
+    "op4_warc": op4_warc,
     "op6_chat_format": op6_chat_format,
     "op9_ext_hash_shards": op9_ext_hash_shards,
     "op10_pfair_mix": op10_pfair_mix,
 }
 
 ORACLE_SQL = {
+    "op3_topk_search": OP3_SQL,
+    "op4_warc": OP4_SQL,
     "op6_chat_format": OP6_SQL,
     "op9_ext_hash_shards": OP9_SQL,
 }
