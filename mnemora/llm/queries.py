@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, ext_hash, ngram_join, pfair, topk_impact, warc
+from . import byte_bpe, chat_format, ext_hash, lcp, ngram_join, pfair, topk_impact, warc
 from .common import shared_path
 
 
@@ -130,6 +130,11 @@ FROM escaped GROUP BY conv_id
 """
 
 
+def op7_lcp_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, with their likeness."""
+    return lcp.compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 def op9_ext_hash_shards(spark: SparkSession, sf_dir: str, limit_bytes: int = 64 << 20) -> DataFrame:
     """The shard of every document, shards of at most 64 MiB of text."""
     return ext_hash.extendible_shards(_table(spark, sf_dir, "documents"), limit_bytes=limit_bytes)
@@ -164,6 +169,7 @@ QUERIES = {
     "op3_topk_search": op3_topk_search,
     "op4_warc": op4_warc,
     "op6_chat_format": op6_chat_format,
+    "op7_lcp_fingerprints": op7_lcp_fingerprints,
     "op9_ext_hash_shards": op9_ext_hash_shards,
     "op10_pfair_mix": op10_pfair_mix,
 }
