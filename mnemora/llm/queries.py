@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, ext_hash, lcp, ngram_join, pfair, topk_impact, warc
+from . import byte_bpe, chat_format, ext_hash, html_mss, lcp, ngram_join, pfair, topk_impact, warc
 from .common import shared_path
 
 
@@ -135,6 +135,13 @@ def op7_lcp_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lcp.compare_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op8_html_mss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, with weights learned from labelled pages."""
+    pages = _table(spark, sf_dir, "pages")
+    found = html_mss.extract_text(pages, html_mss.learn(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_ext_hash_shards(spark: SparkSession, sf_dir: str, limit_bytes: int = 64 << 20) -> DataFrame:
     """The shard of every document, shards of at most 64 MiB of text."""
     return ext_hash.extendible_shards(_table(spark, sf_dir, "documents"), limit_bytes=limit_bytes)
@@ -170,6 +177,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op6_chat_format": op6_chat_format,
     "op7_lcp_fingerprints": op7_lcp_fingerprints,
+    "op8_html_mss": op8_html_mss,
     "op9_ext_hash_shards": op9_ext_hash_shards,
     "op10_pfair_mix": op10_pfair_mix,
 }
