@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, ext_hash, html_mss, lcp, ngram_join, pfair, topk_impact, warc
+from . import byte_bpe, chat_format, ext_hash, html_mss, langid_crf, lcp, ngram_join, pfair, topk_impact, warc
 from .common import shared_path
 
 
@@ -92,6 +92,15 @@ FROM f
 """
 
 
+def op5_langid_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from documents outside the held-out quarter."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid_crf.train(docs.filter(~held_out))
+    found = langid_crf.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", F.col("lang_found.lang").alias("lang_pred"), F.col("lang_found.score").alias("score"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats all conversations and one more, then reads turns and loss text back."""
     said = "\\### Assistant: </turn> ok"
@@ -175,6 +184,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_topk_search": op3_topk_search,
     "op4_warc": op4_warc,
+    "op5_langid_crf": op5_langid_crf,
     "op6_chat_format": op6_chat_format,
     "op7_lcp_fingerprints": op7_lcp_fingerprints,
     "op8_html_mss": op8_html_mss,
