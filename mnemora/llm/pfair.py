@@ -96,8 +96,9 @@ def pfair_mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", w
     weights: target weight by source; None: rows of the source to the power ``power``. A null
     source is a source like the others. Inside a source, rows come in an order drawn from their
     ids (rows that repeat an id keep together in the order of their hashes); null ids are ids.
-    Other columns pass through. Every row comes out once. An empty table gives no rows.
+    Other columns pass through; columns of the added names are replaced. Every row comes out once. An empty table gives no rows.
     """
+    docs = docs.drop("mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position")
     hashed = docs.withColumn("_h", F.xxhash64(F.lit("mix"), F.col(id_col))).withColumn(
         "_lane", F.floor(F.pmod(F.col("_h"), F.lit(_HASH_SPAN)) * F.lit(lanes) / F.lit(_HASH_SPAN)).cast("int")
     )
