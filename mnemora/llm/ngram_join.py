@@ -27,9 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import bounded_batches, stash
 from .graph import components
 
 #: Counters of the sketch (a fixed 2^22) and the parts it is summed in.
@@ -38,10 +39,8 @@ SKETCH_BITS, SKETCH_PARTS = 22, 64
 #: keeps out less, and changes no result).
 BITMAP_BITS = 24
 FRAGMENTS = 8
-#: Rounds in which members are compared with leaders only.
-LEADER_ROUNDS = 2
 #: Words whose hashes a task remembers.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -177,20 +176,13 @@ def _in_bitmap(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
     return met.filter(F.expr("(shiftright(bits, _bit) & 1) = 1")).select(*df.columns)
 
 
-def _may_link(a: str, b: str, num: int, den: int, positions: bool = True) -> Column:
-    """Whether sizes (and the positions of the shared n-gram) allow Jaccard num / den."""
-    need = lambda o: F.expr(f"{o} * {num + den} >= {num} * ({a}.n + {b}.n)")
-    most = f"(1 + least({a}.n - {a}.pos - 1, {b}.n - {b}.pos - 1))" if positions else f"least({a}.n, {b}.n)"
-    # n-grams before the shared one may overlap too, as far as the earlier position allows
-    return need(f"({most} + least({a}.pos, {b}.pos))" if positions else most)
-
-
 class Join:
     """A join over one table; see ``jaccard_classes``."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, q: int, num: int, den: int) -> None:
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         self.q, self.num, self.den = q, num, den
+        bounded_batches(docs.sparkSession)
         sc = docs.sparkSession.sparkContext
         levels = frequency_levels(self.docs, "text", q)
         self.levels, self.starts = sc.broadcast(levels), sc.broadcast(fragment_starts(levels))
@@ -202,13 +194,17 @@ class Join:
         self.members = self._members(full)
 
     def _members(self, full: DataFrame) -> DataFrame:
-        """``key, rep, n, pos``: postings under n-grams that two or more documents have."""
+        """``key, rep, n, cap``: postings under n-grams that two or more documents have. cap is the
+        largest set that can be linked, if nothing before this n-gram is common: the overlap is
+        then at most what is left of the set. A linked pair x, y meets its first common n-gram
+        with ``y.n <= x.cap`` and ``x.n <= y.cap``."""
         keys = full.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
         shared = stash(_bitmap(keys, "key"), "shared")
         posts = full.select("doc_id", "fp", F.posexplode("prefix").alias("pos", "key"))
         kept = _in_bitmap(posts, "key", shared)
         v = self.vertices.select(F.col("rep"), F.col("fp").alias("_fp"), "n")
-        return stash(kept.join(v, (kept["doc_id"] == v["rep"]) & (kept["fp"] == v["_fp"])).select("key", "rep", F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos")).distinct(), "members")
+        cap = F.expr(f"((n - pos) * {self.num + self.den}) div {self.num} - n")
+        return stash(kept.join(v, (kept["doc_id"] == v["rep"]) & (kept["fp"] == v["_fp"])).select("key", "rep", F.col("n").cast("int").alias("n"), cap.cast("int").alias("cap")).distinct(), "members")
 
     def segments(self, ids: DataFrame) -> DataFrame:
         """``rep, frag, tokens`` of the documents whose id is in ``ids`` (column id), and of few
@@ -255,9 +251,11 @@ class Join:
         spark = self.docs.sparkSession
         comps = spark.createDataFrame([], "rep long, comp long")
         tried = spark.createDataFrame([], "a long, b long")
-        for leaders_only in [True] * LEADER_ROUNDS + [False]:
+        central = F.max(F.struct("cap", F.negate("rep").alias("first"), "rep", "n", "comp"))
+        first = F.min(F.struct("rep", "n", "cap", "comp"))
+        for leader in (central, first, None):
             m = self.members.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-            pairs = self._leader_pairs(m) if leaders_only else self._all_pairs(m)
+            pairs = self._all_pairs(m) if leader is None else self._leader_pairs(m, leader)
             pairs = stash(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
             if pairs.limit(1).count() == 0:
                 continue
@@ -266,27 +264,37 @@ class Join:
             comps = components(links.unionByName(comps.select(F.col("rep").alias("a"), F.col("comp").alias("b")))).select(F.col("node").alias("rep"), "comp")
         return comps
 
-    def _leader_pairs(self, m: DataFrame) -> DataFrame:
-        """For each member the leader with which it shares most n-grams; a leader is the first
-        member of a key's first class."""
-        lead = m.groupBy("key").agg(F.min(F.struct("comp", "rep", "n", "pos")).alias("l"), F.max("comp").alias("hi")).filter("l.comp < hi")
-        met = m.alias("m").join(lead, "key").filter("m.comp <> l.comp").filter(_may_link("m", "l", self.num, self.den))
-        votes = met.groupBy("m.rep", F.col("l.rep").alias("lead"), F.col("m.n").alias("n"), F.col("l.n").alias("ln")).agg(F.count(F.lit(1)).alias("votes"))
+    def _leader_pairs(self, m: DataFrame, leader: Column) -> DataFrame:
+        """For each member the leader with which it shares most n-grams, among the leaders of its
+        keys that are of another class and that it may be linked with."""
+        lead = m.groupBy("key").agg(leader.alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+        met = m.join(lead.select("key", "l"), "key").filter("comp <> l.comp and n <= l.cap and l.n <= cap")
+        votes = met.groupBy("rep", F.col("l.rep").alias("lead"), "n", F.col("l.n").alias("ln")).agg(F.count(F.lit(1)).alias("votes"))
         best = votes.groupBy("rep").agg(F.max(F.struct("votes", F.negate("lead").alias("first"), "lead", "n", "ln")).alias("v"))
         small = F.least("rep", "v.lead")
-        first = F.col("rep") == small
-        return best.select(small.alias("a"), F.greatest("rep", "v.lead").alias("b"), F.when(first, F.col("v.n")).otherwise(F.col("v.ln")).alias("na"), F.when(first, F.col("v.ln")).otherwise(F.col("v.n")).alias("nb")).distinct()
+        own = F.col("rep") == small
+        return best.select(small.alias("a"), F.greatest("rep", "v.lead").alias("b"), F.when(own, F.col("v.n")).otherwise(F.col("v.ln")).alias("na"), F.when(own, F.col("v.ln")).otherwise(F.col("v.n")).alias("nb")).distinct()
 
     def _all_pairs(self, m: DataFrame) -> DataFrame:
-        """All pairs of members of different classes under a common n-gram. Classes meet first,
-        so that a large class is expanded only against members of others."""
-        mixed = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        m = stash(m.join(mixed, "key"), "mixed")
-        kc = m.select("key", "comp").distinct()
-        meet = kc.alias("x").join(kc.alias("y"), "key").filter("x.comp < y.comp").select("key", F.col("x.comp").alias("cx"), F.col("y.comp").alias("cy"))
-        x = m.select("key", F.col("comp").alias("cx"), F.struct("rep", "n", "pos").alias("x"))
-        y = m.select("key", F.col("comp").alias("cy"), F.struct("rep", "n", "pos").alias("y"))
-        met = meet.join(x, ["key", "cx"]).join(y, ["key", "cy"]).filter(_may_link("x", "y", self.num, self.den))
+        """All pairs of members of different classes that may be linked under a common n-gram.
+
+        Members go first that no other class of their key can be linked with, judged by the
+        smallest size and largest cap among the other classes. Then classes meet, and only
+        classes that may be linked are expanded, each against the other.
+        """
+        kc = m.groupBy("key", "comp").agg(F.min("n").alias("mn"), F.max("cap").alias("mc"))
+        by_n = F.row_number().over(W.partitionBy("key").orderBy("mn", "comp"))
+        by_cap = F.row_number().over(W.partitionBy("key").orderBy(F.col("mc").desc(), "comp"))
+        at = lambda r, i, c: F.max(F.when(F.col(r) == i, F.col(c)))
+        ranked = kc.withColumn("rn", by_n).withColumn("rc", by_cap).filter("rn <= 2 or rc <= 2")
+        heads = ranked.groupBy("key").agg(at("rn", 1, "comp").alias("c1"), at("rn", 1, "mn").alias("n1"), at("rn", 2, "mn").alias("n2"), at("rc", 1, "comp").alias("d1"), at("rc", 1, "mc").alias("m1"), at("rc", 2, "mc").alias("m2")).filter("n2 is not null")
+        live = m.join(heads, "key").filter("cap >= if(comp = c1, n2, n1) and n <= if(comp = d1, m2, m1)")
+        live = stash(live.select("key", "rep", "n", "cap", "comp"), "live")
+        lc = live.groupBy("key", "comp").agg(F.min("n").alias("mn"), F.max("cap").alias("mc"))
+        meet = lc.alias("x").join(lc.alias("y"), "key").filter("x.comp < y.comp and x.mn <= y.mc and y.mn <= x.mc").select("key", F.col("x.comp").alias("cx"), F.col("y.comp").alias("cy"), F.col("y.mn").alias("mn"), F.col("y.mc").alias("mc"))
+        x = live.select("key", F.col("comp").alias("cx"), F.struct("rep", "n", "cap").alias("x"))
+        y = live.select("key", F.col("comp").alias("cy"), F.struct("rep", "n", "cap").alias("y"))
+        met = meet.join(x, ["key", "cx"]).filter("x.n <= mc and mn <= x.cap").join(y, ["key", "cy"]).filter("x.n <= y.cap and y.n <= x.cap")
         flip = F.expr("x.rep > y.rep")
         pick = lambda f: (F.when(flip, F.col(f"y.{f}")).otherwise(F.col(f"x.{f}")), F.when(flip, F.col(f"x.{f}")).otherwise(F.col(f"y.{f}")))
         (a, b), (na, nb) = pick("rep"), pick("n")
