@@ -15,10 +15,12 @@ fingerprint of a text depends on that text alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+
+from .common import bounded_batches
 
 #: Level whose names are kept (phrases of some 30 code points), names kept, coin-tossing rounds.
 LEVEL, KEEP, TOSSES = 4, 64, 3
@@ -165,6 +167,7 @@ def fingerprint(docs, text_col: str = "text", out_col: str = "fingerprint"):
     from pyspark.sql import types as T
 
     docs = docs.drop(out_col)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -200,15 +203,22 @@ def compare_with_next(docs, id_col: str = "doc_id", text_col: str = "text", part
     from pyspark.sql import functions as F
 
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     cuts = ids.agg(F.percentile_approx("doc_id", [i / (4 * parts) for i in range(1, 4 * parts)], 20_000)).first()[0]
     cuts = np.unique(np.array(cuts or [], dtype=np.int64))
 
-    @F.pandas_udf("int")
-    def range_of(s: pd.Series) -> pd.Series:
-        place = np.searchsorted(cuts, s.fillna(0).to_numpy(np.int64), side="left") + 1
-        return pd.Series(np.where(s.isna(), 0, place).astype(np.int32))
+    def range_of(c: str):
+        """How many cuts lie below an id, plus 1 (null: 0): first among every g-th cut, then among
+        the g behind it."""
+        if not len(cuts):
+            return F.when(F.col(c).isNull(), 0).otherwise(1)
+        g = math.isqrt(len(cuts)) + 1
+        array = lambda xs: "array(" + ", ".join(f"{int(x)}L" for x in xs) + ")"
+        coarse = f"size(filter({array(cuts[g - 1 :: g])}, x -> x < {c}))" if len(cuts) >= g else "0"
+        fine = f"size(filter(slice({array(cuts)}, {coarse} * {g} + 1, {g}), x -> x < {c}))"
+        return F.expr(f"if({c} is null, 0, {coarse} * {g} + {fine} + 1)")
 
     ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("part", range_of("doc_id"))
     # one row a range: the id that begins it, and the range before it, which needs a copy
