@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import filters as P
+from ..operators.lifecycle import retention_delete
 from ..sources import ingest as S
+from ..sources.paths import shared_path
 from .registry import query
 from .views import ASOF, ASOF_MSG, EPOCH
 
@@ -335,3 +337,19 @@ def _(v):
 @query("fn_sanitize_name", r"""SELECT url, substr(trim(regexp_replace(url, '[\\/:*?"<>|\n\r\t]', '_', 'g')), 1, 60) AS name FROM pages""")
 def _(v):
     return v.pages.select("url", T.sanitize_name(F.col("url")).alias("name"))
+
+
+@query("bulk_append", "SELECT id, type FROM v_memories WHERE length(content) > 0")
+def _(v):
+    path = shared_path(v.spark, "bulk")
+    S.bulk_append(v.v_memories.select("id", "content", "type"), path)
+    return v.spark.read.parquet(path).select("id", "type")
+
+
+@query("append_audit_log", f"""SELECT count(*) FILTER (k) AS kept, count(*) FILTER (NOT k) AS deleted FROM (SELECT source IN ('src0', 'src1') OR type = 'decision' OR (tier IN ('hot', 'warm') AND coalesce(content, '') <> '')
+    OR CASE WHEN coalesce(last_mentioned, 0) > 0 THEN last_mentioned > {ASOF - 30 * 86400} ELSE created_at > {ASOF - 7 * 86400} END AS k FROM v_memories) m""")
+def _(v):
+    path = shared_path(v.spark, "audit")
+    audit = retention_delete(v.v_memories, P.retention_decisions(v.v_memories, ASOF, sources=("src0", "src1")))[1]
+    S.append_audit_log(audit.select("deleted", "kept", F.lit(float(ASOF)).alias("at")), path)
+    return v.spark.read.schema("deleted long, kept long").json(path).select("deleted", "kept")

@@ -398,12 +398,9 @@ def _(v):
     c AS (SELECT DISTINCT doc_id, regexp_replace(name, '[^A-Za-z0-9]+$', '') AS name FROM n)
     SELECT name, count(DISTINCT doc_id) AS n_docs FROM c WHERE length(name) >= 3 AND lower(name) NOT IN ('the', 'and') AND NOT regexp_matches(name, '^[A-Z][a-z]{1,3}$') AND NOT regexp_matches(name, '^[A-Z]{2,6}$') AND name NOT IN (SELECT n_name FROM nation) GROUP BY name HAVING count(DISTINCT doc_id) >= 2""")
 def _(v):
-    ascii_only = v.documents.select("doc_id", "text")
-    out = G.learn_entities(ascii_only, v.nation.select(F.col("n_name").alias("name")), ["the", "and"], [])
     # names that end in a mark count without it, as in SQL, which has no look-ahead
-    trimmed = G.learn_entities(ascii_only.withColumn("text", F.regexp_replace("text", r"[_.\-]+(?![A-Za-z0-9_.\-])", " ")), v.nation.select(F.col("n_name").alias("name")), ["the", "and"], [])
-    del out
-    return trimmed
+    docs = v.documents.select("doc_id", F.regexp_replace("text", r"[_.\-]+(?![A-Za-z0-9_.\-])", " ").alias("text"))
+    return G.learn_entities(docs, v.nation.select(F.col("n_name").alias("name")), ["the", "and"], [])
 
 
 @query("rule_entities", r"""WITH r AS (SELECT doc_id, 0 AS k, d.n AS name, d.t AS type FROM documents, (VALUES ('ing the', 'tool'), ('ungkeit', 'framework')) d(n, t) WHERE contains(lower(coalesce(text, '')), d.n)
