@@ -8,9 +8,10 @@ for the pair, so no row ever holds more than a fragment of a document.
 * **Order.** Frequencies come from a count sketch over all documents, of a fixed size whatever
   the table. It only has to be the same for all: an n-gram that it overestimates comes later in
   the order, and results don't change.
-* **Candidates.** Two sets of Jaccard at least t share an n-gram among the first
-  ``n - ceil(t n) + 1`` of each. Documents are posted under these, where frequent passages
-  hardly ever occur, and compared only if sizes and positions allow enough overlap.
+* **Candidates.** Two sets of Jaccard at least t share ``w`` n-grams among the first
+  ``n - ceil(t n) + w`` of each. Documents are posted under these, where frequent passages
+  hardly ever occur, and compared only if they share w of them and sizes and positions allow
+  enough overlap; w goes from 1 to 8 with the size (``witnesses``).
 * **Copies.** Documents of equal sets are one vertex. Under each n-gram, members are first
   compared with one leader, and only members of different classes need any further comparison,
   so a group of near copies costs about its size and not its square. After the leader rounds
@@ -44,6 +45,12 @@ MEMO_WORDS = 500_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
+def witnesses(n: str) -> str:
+    """SQL: how many n-grams of their prefixes a pair must share, for a set of n. For a pair it is
+    that of the smaller set."""
+    return f"(1 + least(7, {n} div 40))"
+
+
 class _Memo(dict):
     """Hashes of words."""
 
@@ -153,7 +160,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, q: int, num: int, de
                 n = len(s)
                 sizes.append(n)
                 fps.append(xxhash.xxh3_128_digest(s.tobytes()))
-                take = n - -(-num * n // den) + 1 if n else 0
+                take = min(n, n - -(-num * n // den) + 1 + min(7, n // 40)) if n else 0
                 rank = (level[(s >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                 firsts.append(s[np.argsort(rank, kind="stable")[:take]].view(np.int64))
             offsets = np.cumsum([0, *map(len, firsts)])
@@ -195,15 +202,15 @@ class Join:
 
     def _members(self, full: DataFrame) -> DataFrame:
         """``key, rep, n, cap``: postings under n-grams that two or more documents have. cap is the
-        largest set that can be linked, if nothing before this n-gram is common: the overlap is
-        then at most what is left of the set. A linked pair x, y meets its first common n-gram
-        with ``y.n <= x.cap`` and ``x.n <= y.cap``."""
+        largest set that can be linked, if less than w n-grams before this one are common: the
+        overlap is then at most w - 1 and what is left of the set. A linked pair x, y meets its
+        first w common n-grams with ``y.n <= x.cap`` and ``x.n <= y.cap``."""
         keys = full.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
         shared = stash(_bitmap(keys, "key"), "shared")
         posts = full.select("doc_id", "fp", F.posexplode("prefix").alias("pos", "key"))
         kept = _in_bitmap(posts, "key", shared)
         v = self.vertices.select(F.col("rep"), F.col("fp").alias("_fp"), "n")
-        cap = F.expr(f"((n - pos) * {self.num + self.den}) div {self.num} - n")
+        cap = F.expr(f"((n - pos + {witnesses('n')} - 1) * {self.num + self.den}) div {self.num} - n")
         return stash(kept.join(v, (kept["doc_id"] == v["rep"]) & (kept["fp"] == v["_fp"])).select("key", "rep", F.col("n").cast("int").alias("n"), cap.cast("int").alias("cap")).distinct(), "members")
 
     def segments(self, ids: DataFrame) -> DataFrame:
@@ -269,7 +276,7 @@ class Join:
         keys that are of another class and that it may be linked with."""
         lead = m.groupBy("key").agg(leader.alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
         met = m.join(lead.select("key", "l"), "key").filter("comp <> l.comp and n <= l.cap and l.n <= cap")
-        votes = met.groupBy("rep", F.col("l.rep").alias("lead"), "n", F.col("l.n").alias("ln")).agg(F.count(F.lit(1)).alias("votes"))
+        votes = met.groupBy("rep", F.col("l.rep").alias("lead"), "n", F.col("l.n").alias("ln")).agg(F.count(F.lit(1)).alias("votes")).filter(f"votes >= {witnesses('least(n, ln)')}")
         best = votes.groupBy("rep").agg(F.max(F.struct("votes", F.negate("lead").alias("first"), "lead", "n", "ln")).alias("v"))
         small = F.least("rep", "v.lead")
         own = F.col("rep") == small
@@ -298,7 +305,8 @@ class Join:
         flip = F.expr("x.rep > y.rep")
         pick = lambda f: (F.when(flip, F.col(f"y.{f}")).otherwise(F.col(f"x.{f}")), F.when(flip, F.col(f"x.{f}")).otherwise(F.col(f"y.{f}")))
         (a, b), (na, nb) = pick("rep"), pick("n")
-        return met.select(a.alias("a"), b.alias("b"), na.alias("na"), nb.alias("nb")).distinct()
+        shared = met.select(a.alias("a"), b.alias("b"), na.alias("na"), nb.alias("nb")).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("w"))
+        return shared.filter(f"w >= {witnesses('least(na, nb)')}").drop("w")
 
 
 def jaccard_classes(docs: DataFrame, q: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
