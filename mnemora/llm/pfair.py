@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 #: Parts of a hash that make a fraction.
 _HASH_SPAN = 1 << 30
+#: Rows up to which the tables of lanes and blocks are broadcast (some 20 MB); with more sources
+#: than fit, they are joined by a shuffle.
+BROADCAST_ROWS = 1 << 18
 
 
 def source_stats(docs: DataFrame, source: str, weights: dict[str, float] | None, power: float) -> DataFrame:
@@ -109,15 +112,17 @@ def pfair_mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", w
     offsets = lane_sizes.select("_source", "_at", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
     plan = pfair_schedule(docs, source, weights, power, total_blocks).select(*[F.col(c).alias(f"_p_{c}") for c in ("source", "block", "slot", "release", "deadline", "block_rows", "start")])
 
-    # the plan and the offsets are joined first: both are small, and the rows meet them once
+    # rows are shuffled once, for their ranks; lanes and blocks come to them where that is small
+    n_sources = docs.select(source).distinct().count()
+    near = F.broadcast if n_sources * (lanes + 1) + total_blocks <= BROADCAST_ROWS else (lambda df: df)
     spans = offsets.join(plan.select("_p_source", "_p_block_rows").distinct(), F.col("_source").eqNullSafe(F.col("_p_source"))).drop("_p_source")
     placed = (
-        ranked.join(spans, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_lane") == F.col("_at")))
+        ranked.join(near(spans), F.col(source).eqNullSafe(F.col("_source")) & (F.col("_lane") == F.col("_at")))
         .withColumn("_rank", F.col("_rank") + F.col("_before") - 1)
         .withColumn("_block", (F.expr("_rank div _p_block_rows") + 1).cast("int"))
         .drop("_p_block_rows")
     )
-    out = placed.join(plan, F.col(source).eqNullSafe(F.col("_p_source")) & (F.col("_block") == F.col("_p_block")))
+    out = placed.join(near(plan), F.col(source).eqNullSafe(F.col("_p_source")) & (F.col("_block") == F.col("_p_block")))
     position: Column = F.col("_p_start") + F.col("_rank") % F.col("_p_block_rows")
     return out.select(
         *[F.col(c) for c in docs.columns],
