@@ -232,10 +232,10 @@ def placeholder_records(mem: DataFrame) -> DataFrame:
     return mem.filter((F.size("extra") <= 2) & (F.try_element_at("extra", F.lit("note")) == "repair") & (F.length("content") > 5)).select("id", "content")
 
 
-def clean_metadata(mem: DataFrame) -> DataFrame:
-    """``id, extra, type``: the map without values that are numbers, empty or internal; where
+def clean_metadata(mem: DataFrame, internal: str = "_") -> DataFrame:
+    """``id, extra, type``: the map without values that are numbers or empty, and without keys that begin with ``internal``; where
     nothing is left, a type is inferred from the content."""
-    kept = F.map_filter("extra", lambda k, v: v.isNotNull() & (v != "") & v.try_cast("double").isNull() & ~k.startswith("chroma:"))
+    kept = F.map_filter("extra", lambda k, v: v.isNotNull() & (v != "") & v.try_cast("double").isNull() & ~k.startswith(internal))
     doc = F.coalesce("content", F.lit(""))
     guess = F.when(doc.startswith("topic:"), "topic").when(doc.contains("->"), "conversation").when(doc != "", "text").otherwise("unknown")
     repaired = F.create_map(F.lit("type"), guess, F.lit("note"), F.lit("repair"))

@@ -210,7 +210,7 @@ def _(v):
 @query("clean_metadata", """SELECT id, CASE WHEN id % 2 = 0 THEN type WHEN coalesce(content, '') LIKE 'topic:%' THEN 'topic' WHEN contains(coalesce(content, ''), '->') THEN 'conversation' WHEN coalesce(content, '') <> '' THEN 'text' ELSE 'unknown' END AS type,
     CASE WHEN id % 2 = 0 THEN 1 ELSE 2 END::BIGINT AS n_keys FROM v_memories""")
 def _(v):
-    extra = F.create_map(F.lit("type"), F.when(F.col("id") % 2 == 0, F.col("type")), F.lit("heat"), F.col("heat").cast("string"), F.lit("chroma:document"), F.lit("x"))
+    extra = F.create_map(F.lit("type"), F.when(F.col("id") % 2 == 0, F.col("type")), F.lit("heat"), F.col("heat").cast("string"), F.lit("_document"), F.lit("x"))
     out = P.clean_metadata(v.v_memories.withColumn("extra", extra))
     return out.select("id", "type", F.size("extra").cast("long").alias("n_keys"))
 
