@@ -11,7 +11,7 @@ for the pair, so no row ever holds more than a fragment of a document.
 * **Candidates.** Two sets of Jaccard at least t share ``w`` n-grams among the first
   ``n - ceil(t n) + w`` of each. Documents are posted under these, where frequent passages
   hardly ever occur, and compared only if they share w of them and sizes and positions allow
-  enough overlap; w goes from 1 to 8 with the size (``witnesses``).
+  enough overlap; w goes from 1 to 3 with the size (``witnesses``).
 * **Copies.** Documents of equal sets are one vertex. Under each n-gram, members are first
   compared with one leader, and only members of different classes need any further comparison,
   so a group of near copies costs about its size and not its square. After the leader rounds
@@ -48,7 +48,7 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x2
 def witnesses(n: str) -> str:
     """SQL: how many n-grams of their prefixes a pair must share, for a set of n. For a pair it is
     that of the smaller set."""
-    return f"(1 + least(7, {n} div 40))"
+    return f"(1 + least(2, {n} div 60))"
 
 
 class _Memo(dict):
@@ -160,7 +160,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, q: int, num: int, de
                 n = len(s)
                 sizes.append(n)
                 fps.append(xxhash.xxh3_128_digest(s.tobytes()))
-                take = min(n, n - -(-num * n // den) + 1 + min(7, n // 40)) if n else 0
+                take = min(n, n - -(-num * n // den) + 1 + min(2, n // 60)) if n else 0
                 rank = (level[(s >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                 firsts.append(s[np.argsort(rank, kind="stable")[:take]].view(np.int64))
             offsets = np.cumsum([0, *map(len, firsts)])
@@ -286,8 +286,9 @@ class Join:
         """All pairs of members of different classes that may be linked under a common n-gram.
 
         Members go first that no other class of their key can be linked with, judged by the
-        smallest size and largest cap among the other classes. Then classes meet, and only
-        classes that may be linked are expanded, each against the other.
+        smallest size and largest cap among the other classes. Then the sizes of classes meet,
+        and only those that hold a pair that may be linked, under as many n-grams as it must
+        share, are expanded, against each other.
         """
         kc = m.groupBy("key", "comp").agg(F.min("n").alias("mn"), F.max("cap").alias("mc"))
         by_n = F.row_number().over(W.partitionBy("key").orderBy("mn", "comp"))
@@ -297,11 +298,14 @@ class Join:
         heads = ranked.groupBy("key").agg(at("rn", 1, "comp").alias("c1"), at("rn", 1, "mn").alias("n1"), at("rn", 2, "mn").alias("n2"), at("rc", 1, "comp").alias("d1"), at("rc", 1, "mc").alias("m1"), at("rc", 2, "mc").alias("m2")).filter("n2 is not null")
         live = m.join(heads, "key").filter("cap >= if(comp = c1, n2, n1) and n <= if(comp = d1, m2, m1)")
         live = stash(live.select("key", "rep", "n", "cap", "comp"), "live")
-        lc = live.groupBy("key", "comp").agg(F.min("n").alias("mn"), F.max("cap").alias("mc"))
-        meet = lc.alias("x").join(lc.alias("y"), "key").filter("x.comp < y.comp and x.mn <= y.mc and y.mn <= x.mc").select("key", F.col("x.comp").alias("cx"), F.col("y.comp").alias("cy"), F.col("y.mn").alias("mn"), F.col("y.mc").alias("mc"))
-        x = live.select("key", F.col("comp").alias("cx"), F.struct("rep", "n", "cap").alias("x"))
-        y = live.select("key", F.col("comp").alias("cy"), F.struct("rep", "n", "cap").alias("y"))
-        met = meet.join(x, ["key", "cx"]).filter("x.n <= mc and mn <= x.cap").join(y, ["key", "cy"]).filter("x.n <= y.cap and y.n <= x.cap")
+        lc = live.groupBy("key", "comp", "n").agg(F.max("cap").alias("mc"))
+        meet = lc.alias("x").join(lc.alias("y"), "key").filter("x.comp < y.comp and x.n <= y.mc and y.n <= x.mc").select("key", F.col("x.comp").alias("cx"), F.col("x.n").alias("nx"), F.col("y.comp").alias("cy"), F.col("y.n").alias("ny"))
+        groups = ["cx", "nx", "cy", "ny"]
+        often = meet.groupBy(*groups).agg(F.count(F.lit(1)).alias("w")).filter(f"w >= {witnesses('least(nx, ny)')}")
+        meet = meet.join(often.select(*groups), groups, "left_semi")
+        x = live.select("key", F.col("comp").alias("cx"), F.col("n").alias("nx"), F.struct("rep", "n", "cap").alias("x"))
+        y = live.select("key", F.col("comp").alias("cy"), F.col("n").alias("ny"), F.struct("rep", "n", "cap").alias("y"))
+        met = meet.join(x, ["key", "cx", "nx"]).filter("ny <= x.cap").join(y, ["key", "cy", "ny"]).filter("nx <= y.cap")
         flip = F.expr("x.rep > y.rep")
         pick = lambda f: (F.when(flip, F.col(f"y.{f}")).otherwise(F.col(f"x.{f}")), F.when(flip, F.col(f"x.{f}")).otherwise(F.col(f"y.{f}")))
         (a, b), (na, nb) = pick("rep"), pick("n")
