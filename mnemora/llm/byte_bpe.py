@@ -22,88 +22,80 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_batches
+
 #: Entries of the word cache of a task; it is emptied when full. Longer pre-tokens than
 #: ``CACHE_BYTES`` aren't kept.
-CACHE_WORDS, CACHE_BYTES = 300_000, 64
-#: Bits of a word of the lower bitmap.
+CACHE_WORDS, CACHE_BYTES = 800_000, 64
+#: Ranks in a word of the lower bitmap.
 WORD = 256
 
 
-class RankQueue:
-    """Positions by rank: buckets, and a bitmap of two levels over those that aren't empty."""
-
-    def __init__(self, n_ranks: int) -> None:
-        self.low = [0] * (n_ranks // WORD + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [at]
-            word, bit = divmod(rank, WORD)
-            self.low[word] |= 1 << bit
-            self.top |= 1 << word
-        else:
-            heapq.heappush(bucket, at)
-
-    def pop(self) -> tuple[int, int]:
-        """The leftmost position of the lowest rank."""
-        word = (self.top & -self.top).bit_length() - 1
-        bits = self.low[word]
-        rank = word * WORD + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] = bits = bits & (bits - 1)
-            if not bits:
-                self.top &= self.top - 1
-        return rank, at
-
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one pre-token.
 
-def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
-    """The ids of one pre-token. The queue is empty before and after."""
-    whole = ranks.get(piece)
+    ``buckets`` holds the waiting positions by rank, ``low`` a bitmap of the ranks of each word
+    of ``WORD`` ranks, ``top`` a bitmap of the words: the queue of two levels. It is written
+    out here, since calls would cost more than the work for short pre-tokens.
+    """
+    get = ranks.get
+    whole = get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
-    if n < 2:
-        raise ValueError(f"byte {piece!r} has no rank")
+    want: list[int | None] = [get(piece[i : i + 2]) for i in range(n - 1)]  # the rank with which the part that starts here merges with the next
+    want.append(None)
     end = list(range(1, n + 1))  # where the part that starts here ends; the next one starts there
     before = list(range(-1, n - 1))
-    want = [-1] * n  # the rank with which the part merges with the next; -1: none, or no part
-    get = ranks.get
-    for i in range(n - 1):
-        r = get(piece[i : i + 2])
+    top, low, buckets = 0, {}, {}
+    for i, r in enumerate(want):
         if r is not None:
-            want[i] = r
-            queue.push(r, i)
-    while queue.top:
-        rank, i = queue.pop()
+            if r in buckets:
+                buckets[r].append(i)  # ascending, so a heap
+            else:
+                buckets[r] = [i]
+                word = r // WORD
+                low[word] = low.get(word, 0) | 1 << r % WORD
+                top |= 1 << word
+    while top:
+        word = (top & -top).bit_length() - 1
+        bits = low[word]
+        rank = word * WORD + (bits & -bits).bit_length() - 1
+        bucket = buckets[rank]
+        i = heapq.heappop(bucket)
+        if not bucket:
+            del buckets[rank]
+            bits &= bits - 1
+            low[word] = bits
+            if not bits:
+                top &= top - 1
         if want[i] != rank:
-            continue
+            continue  # stale
         j = end[i]
-        stop = end[j]
-        end[i], want[j] = stop, -1
+        stop = end[i] = end[j]
+        want[j] = None
+        h = before[i]
+        fresh = []
         if stop < n:
             before[stop] = i
-            r = get(piece[i : end[stop]])
-            if r is None:
-                want[i] = -1
-            else:
-                want[i] = r
-                queue.push(r, i)
+            want[i] = r = get(piece[i : end[stop]])
+            if r is not None:
+                fresh.append((r, i))
         else:
-            want[i] = -1
-        h = before[i]
+            want[i] = None
         if h >= 0:
             r = get(piece[h:stop])
-            if r is None:
-                want[h] = -1
-            elif r != want[h]:
-                want[h] = r
-                queue.push(r, h)
+            if r is not None and r != want[h]:
+                fresh.append((r, h))
+            want[h] = r
+        for r, at in fresh:
+            if r in buckets:
+                heapq.heappush(buckets[r], at)
+            else:
+                buckets[r] = [at]
+                word = r // WORD
+                low[word] = low.get(word, 0) | 1 << r % WORD
+                top |= 1 << word
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : end[i]]])
@@ -122,7 +114,6 @@ class Encoder:
 
         self.ranks = parse_ranks(raw_ranks)
         self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(max(self.ranks.values()) + 1)
         self.cache: dict[str, bytes] = {}
 
     def packed(self, text: str) -> bytes:
@@ -132,7 +123,7 @@ class Encoder:
             ids = cache.get(word)
             if ids is None:
                 raw = word.encode()
-                ids = np.array(merge(raw, self.ranks, self.queue), dtype="<u4").tobytes()
+                ids = np.array(merge(raw, self.ranks), dtype="<u4").tobytes()
                 if len(raw) <= CACHE_BYTES:
                     if len(cache) >= CACHE_WORDS:
                         cache.clear()
@@ -156,6 +147,7 @@ def encode(docs: DataFrame, ranks, pattern: str, text_col: str = "text", ids_col
     text has none (an empty binary). Other columns pass through; a column of that name is
     replaced. Texts that look like special tokens are ordinary text."""
     docs = docs.drop(ids_col)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(ranks.value, pattern)
