@@ -25,11 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Bound of the training sample: documents, and words of each.
 TRAIN_DOCS, TRAIN_WORDS = 4000, 40
 #: Steps and rate of training, and its pull towards 0.
 EPOCHS, RATE, DECAY = 40, 0.15, 1e-6
 HASH_BITS, LEXICON = 16, 20_000
+#: Hash lanes in which the sample is drawn.
+LANES = 64
 CHAIN = 128
 #: Words whose emissions a task remembers.
 MEMO_WORDS = 400_000
@@ -184,11 +188,13 @@ def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS) -> Model | No
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = TRAIN_DOCS) -> Model | None:
     """Train on a bounded sample of rows that have id, text and language."""
     good = labelled.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    keys = good.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    order = [F.xxhash64("_id"), F.col("_id")]
-    first = keys.withColumn("_r", F.row_number().over(W.partitionBy("_lang").orderBy(*order))).filter(F.col("_r") <= sample)
+    h = F.xxhash64(F.col(id_col))
+    keys = good.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), h.alias("_h"), F.pmod(h, F.lit(LANES)).alias("_lane"))
+    # a few of each language and lane, so that no language has to meet in one task
+    r = F.row_number().over(W.partitionBy("_lang", "_lane").orderBy("_h", "_id"))
+    first = keys.withColumn("_r", r).filter(F.col("_r") <= -(-sample // LANES))
     # ranks go round the languages, so each gets its share of the bound
-    picked = first.orderBy("_r", "_lang").limit(sample).select("_id", "_r").distinct()
+    picked = first.orderBy("_r", "_lane", "_lang").limit(sample).select("_id", "_r").distinct()
     rows = good.join(F.broadcast(picked), good[id_col] == picked["_id"]).select(F.col("_r"), F.xxhash64(id_col).alias("h"), F.substring(text_col, 1, 20_000).alias("t"), F.col(lang_col).alias("l")).collect()
     rows = sorted(rows, key=lambda r: (r["h"], r["l"], r["t"]))[: 2 * sample]
     return fit([r["t"] for r in rows], [r["l"] for r in rows])
@@ -249,6 +255,7 @@ def _tagged(docs: DataFrame, model: Model | None, text_col: str, name: str, kind
 
     held = docs.sparkSession.sparkContext.broadcast(model)  # HASH_BITS and LEXICON bound its size
     docs = docs.drop(name)
+    bounded_batches(docs.sparkSession)
     added = T._parse_datatype_string(f"{name} {kind}")
     schema = T.StructType([*docs.schema.fields, *added.fields])
 
