@@ -4,7 +4,7 @@ A directory is indexed by the first bits of a row's hash. A bucket that holds mo
 the limit is split on its next bit, and only that bucket, until each fits. Here the splits are
 found from a histogram: bytes are summed by the first ``step`` bits, rolled up to every shorter
 prefix, and a bucket is the shortest prefix that fits while its parent does not. Only bins that
-are too large at ``step`` bits are counted again with more bits. Rows are dealt by hash, so no
+are too large at ``step`` bits are counted again with ``next_step`` more bits. Rows are dealt by hash, so no
 key is hot; the text itself is never shuffled.
 """
 
@@ -26,17 +26,23 @@ def _prefix(h: str, bits: int, name: str):
 
 def buckets(sizes: DataFrame, low: int, high: int, limit_bytes: int) -> DataFrame:
     """``bin, depth``: for every bin of ``high`` bits, the depth (over ``low``, or from 0 if low
-    is 0) of the shortest prefix that fits the limit; null if even the bin itself doesn't."""
+    is 0) of the shortest prefix that fits the limit; null if even the bin itself doesn't.
+
+    Sums are made per task before they meet. Buckets are found among prefixes, by whether their
+    parent fits too, and then opened to their bins, so no prefix is a hot key.
+    """
     bins = sizes.groupBy(_prefix("_h", high, "bin")).agg(F.sum("_bytes").alias("bytes"))
     depths = F.explode(F.sequence(F.lit(low + 1 if low else 0), F.lit(high))).alias("depth")
     nodes = bins.select("bin", "bytes", depths).withColumn("node", F.expr(f"shiftright(bin, {high} - depth)"))
-    fits = nodes.groupBy("depth", "node").agg(F.sum("bytes").alias("b")).filter(F.col("b") <= limit_bytes)
-    at = bins.select("bin", depths).withColumn("node", F.expr(f"shiftright(bin, {high} - depth)"))
-    found = at.join(fits, ["depth", "node"]).groupBy("bin").agg(F.min("depth").alias("depth"))
-    return bins.select("bin").join(found, "bin", "left")
+    fits = nodes.groupBy("depth", "node").agg(F.sum("bytes").alias("b")).filter(F.col("b") <= limit_bytes).select("depth", "node")
+    below = fits.select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("node") * 2, F.col("node") * 2 + 1)).alias("node"))
+    found = fits.join(below, ["depth", "node"], "left_anti")
+    first = F.expr(f"shiftleft(node, {high} - depth)")
+    opened = found.select("depth", F.explode(F.sequence(first, first + F.expr(f"shiftleft(1L, {high} - depth) - 1"))).alias("bin"))
+    return bins.select("bin").join(opened, "bin", "left")
 
 
-def extendible_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit_bytes: int = 64 << 20, step: int = 20) -> DataFrame:
+def extendible_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit_bytes: int = 64 << 20, step: int = 20, next_step: int = 8) -> DataFrame:
     """``<id_col>, shard, depth, bytes, shard_bytes, shard_docs, overflow`` for every row.
 
     A row's bytes are those of its text in UTF-8 (null: 0); its hash is made from its id as text
@@ -50,7 +56,7 @@ def extendible_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = stash(docs.select(F.col(id_col).alias("_id"), h.alias("_h"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("_bytes")), "hashes")
     parts, left, low = [], rows, 0
     while True:
-        high = min(BITS, low + step)
+        high = min(BITS, low + (next_step if low else step))
         at = buckets(left, low, high, limit_bytes)
         placed = left.withColumn("bin", F.shiftright("_h", BITS - high)).join(at, "bin")
         fit = placed.filter(F.col("depth").isNotNull()).select("_id", "_h", "_bytes", "depth", F.lit(0).cast("long").alias("page"))
