@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Labelled pages of which the weights are learned, and kinds of tokens that are kept.
 SAMPLE_PAGES, MAX_KINDS = 2000, 5000
 #: Weights of kinds that the labelled pages don't show: words, words in furniture, tags.
@@ -225,4 +227,5 @@ def extract_text(pages: DataFrame, weights: dict[str, float], id_col: str = "pag
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], [id_col, url_col, "text"])
 
     own = pages.select(id_col, url_col, html_col)
+    bounded_batches(pages.sparkSession)
     return own.mapInArrow(run, f"{id_col} {own.schema[0].dataType.simpleString()}, {url_col} string, text string")
