@@ -7,13 +7,16 @@ merge costs the same however long the pre-token is. Entries whose pair has chang
 stale and skipped. Within a bucket the leftmost position goes first.
 
 Rows are encoded where they are read: no shuffle. Memory in a task is one Arrow batch plus a
-word cache of at most ``CACHE_WORDS`` entries.
+word cache, per Python worker, of at most ``CACHE_WORDS`` entries.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches
 
-#: Entries of the word cache of a task; it is emptied when full. Longer pre-tokens than
+#: Entries of the word cache of a Python worker; it is emptied when full. Longer pre-tokens than
 #: ``CACHE_BYTES`` aren't kept.
 CACHE_WORDS, CACHE_BYTES = 800_000, 64
 #: Ranks in a word of the lower bitmap.
@@ -114,7 +117,9 @@ class Encoder:
 
         self.ranks = parse_ranks(raw_ranks)
         self.split = regex.compile(pattern).findall
-        self.cache: dict[str, bytes] = {}
+        # words outlast a task: a Python worker that serves several tasks keeps one cache for a vocabulary
+        kept = sys.modules.setdefault("_mnemora_words", types.ModuleType("_mnemora_words")).__dict__
+        self.cache: dict[str, bytes] = kept.setdefault(hashlib.sha256(raw_ranks + pattern.encode()).hexdigest(), {})
 
     def packed(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
