@@ -1,21 +1,29 @@
 """Recall: vector, keyword, full-text and graph search, and their fusion.
 
 Queries are tables, so one job serves many: ``query_id`` with ``qv`` (a vector) or ``q`` (text).
-Results have ``query_id, rank, id, content, score, source``. Query tables are stated lists and
-travel to the data; per query only k rows leave a task before the last shuffle (the rank filter
-is pushed below it).
+Results have ``query_id, rank, id, content, score, source``. Query vectors may be as many as the
+data: blocks of them meet blocks of the data. Other query tables are stated lists and travel to the
+data. Per query only k rows leave a task before the last shuffle (in vector search, k each time
+``MAX_HELD`` rows are held).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine_distance, tokenize
+from ..functions.text import tokenize
 from .filters import latest_only, where_column
 from .windows import best_score_per_content, keep_first
 
+#: Vectors of a block, and rows that a task holds before it hands on the best of each query.
+BLOCK, MAX_HELD = 1024, 2_000_000
+
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:
     """The k best of each query, ties to the smaller id."""
@@ -27,11 +35,88 @@ def vector_search(mem: DataFrame, vec: DataFrame, queries: DataFrame, k: int = 5
     """Nearest memories by cosine; filters go before distances. score: 1 - distance, 4 digits."""
     own = mem if all_versions else latest_only(mem)
     own = own.filter(where_column(where)) if where else own
-    met = own.select("id", "content").join(vec.select("id", "v"), "id").crossJoin(F.broadcast(queries.select("query_id", "qv")))
-    d = met.select("query_id", "id", "content", cosine_distance(F.col("v"), F.col("qv")).alias("d"))
-    d = d.filter(F.col("d") <= max_dist) if max_dist is not None else d
-    scored = d.select("query_id", "id", "content", F.round(1 - F.col("d"), 4).alias("score"), F.lit("vector").alias("source"))
-    return ranked(scored, min(k, cap))
+    rows = own.select("id").join(vec.select("id", "v"), "id")
+    hits = nearest(rows, queries.select(F.col("query_id").alias("id"), F.col("qv").alias("v")), min(k, cap), max_dist)
+    top = ranked(hits, min(k, cap)).withColumn("source", F.lit("vector"))
+    return top.join(own.select("id", "content"), "id").select("query_id", "id", "content", "score", "source", "rank")
+
+
+def blocks(vec: DataFrame, prefix: str) -> DataFrame:
+    """Vectors (id, v) as rows of up to ``BLOCK``: ``<prefix>_ids`` and ``<prefix>_m``, the unit
+    vectors as float64. A null vector, or one with a null, has no length."""
+    kind = vec.schema["id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, held = [], []
+
+        def block() -> pa.RecordBatch:
+            width = max((len(v) for v in held if v is not None), default=0)
+            m = np.array([v if v is not None and None not in v else [0.0] * width for v in held], dtype=np.float64)
+            norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            unit = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(id_type)), pa.array([unit.tobytes()], pa.binary())], [f"{prefix}_ids", f"{prefix}_m"])
+
+        for b in batches:
+            id_type = b.column(0).type
+            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                held.append(v)
+                if len(ids) == BLOCK:
+                    yield block()
+                    ids, held = [], []
+        if ids:
+            yield block()
+
+    return vec.select("id", "v").mapInArrow(pack, f"{prefix}_ids array<{kind}>, {prefix}_m binary")
+
+
+def nearest(vec: DataFrame, queries: DataFrame, k: int, max_dist: float | None = None) -> DataFrame:
+    """``query_id, id, score``: of each query (id, v), at least the k best rows (id, v) that a task
+    has seen, ties to the smaller id. Vectors have one length. Blocks of queries meet blocks of rows."""
+    q_kind, kind = queries.schema["id"].dataType.simpleString(), vec.schema["id"].dataType.simpleString()
+
+    def best(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, i, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        begin = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.array([], dtype=int)
+        place = np.arange(len(q)) - np.repeat(begin, np.diff(np.r_[begin, len(q)]))
+        return q[place < k], i[place < k], s[place < k]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def hand_on() -> pa.RecordBatch:
+            q, i, s = held[0]
+            return pa.RecordBatch.from_arrays([pa.array(q, types[0]), pa.array(i, types[1]), pa.array(s, pa.float64())], ["query_id", "id", "score"])
+
+        for b in batches:
+            types = [b.column(c).type.value_type for c in (0, 2)]
+            for r in range(b.num_rows):
+                q, qm, i, m = (b.column(c)[r] for c in range(4))
+                q, i = (x.values.to_numpy(zero_copy_only=False) for x in (q, i))
+                qm, m = (np.frombuffer(x.as_buffer(), dtype=np.float64).reshape(len(y), -1) for x, y in ((qm, q), (m, i)))
+                cos = qm @ m.T if qm.shape[1] and m.shape[1] else np.zeros((len(q), len(i)))
+                score = np.floor(cos * 1e4 + 0.5) / 1e4
+                if max_dist is not None:
+                    score[1 - cos > max_dist] = -np.inf
+                # whatever equals the k-th score stays until ids decide
+                least = np.partition(score, len(i) - k, axis=1)[:, len(i) - k, None] if len(i) > k else -np.inf
+                x, y = np.nonzero((score >= least) & (score > -np.inf))
+                held.append(best([(q[x], i[y], score[x, y])]))
+                n += len(held[-1][0])
+                if n > MAX_HELD:
+                    held = [best(held)]
+                    n = len(held[0][0])
+                    if 2 * n > MAX_HELD:
+                        yield hand_on()
+                        held, n = [], 0
+        if held:
+            held = [best(held)]
+            yield hand_on()
+
+    pairs = blocks(queries, "q").crossJoin(blocks(vec, "d"))
+    return pairs.mapInArrow(meet, f"query_id {q_kind}, id {kind}, score double")
 
 
 def keyword_search(mem: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
