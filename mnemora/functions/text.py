@@ -33,8 +33,9 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def heat_decay(heat: Column, since: Column, asof, half_life_h: float = 12.0) -> Column:
-    """Heat after halving every ``half_life_h`` hours from ``since`` to ``asof`` (epoch seconds)."""
-    return heat * F.pow(F.lit(0.5), (F.lit(asof) - since) / F.lit(3600.0 * half_life_h))
+    """Heat after halving every ``half_life_h`` hours from ``since`` to ``asof`` (epoch seconds);
+    unchanged if ``since`` is later."""
+    return F.when(since >= asof, heat).otherwise(heat * F.pow(F.lit(0.5), (F.lit(asof) - since) / F.lit(3600.0 * half_life_h)))
 
 
 def content_key(text: Column, length: int = 50) -> Column:

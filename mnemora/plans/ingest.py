@@ -320,8 +320,7 @@ def _(v):
 
 @query("fn_heat_decay", f"SELECT id, round(heat * pow(0.5, ({ASOF} - created_at) / 43200.0), 6) AS heat FROM v_memories WHERE created_at > {ASOF - 864000} AND created_at <= {ASOF}")
 def _(v):
-    near = v.v_memories.filter(f"created_at > {ASOF - 864000} and created_at <= {ASOF}")
-    return near.select("id", F.round(T.heat_decay(F.col("heat"), F.col("created_at"), ASOF), 6).alias("heat"))
+    return v.v_memories.select("id", F.round(T.heat_decay(F.col("heat"), F.col("created_at"), ASOF), 6).alias("heat"))
 
 
 @query("fn_content_key", "SELECT id, substr(coalesce(content, ''), 1, 50) AS k FROM v_memories")

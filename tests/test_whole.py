@@ -43,3 +43,16 @@ def test_blocks_of_queries_meet_blocks_of_rows(spark, monkeypatch):
     for q in unit:
         want = sorted((-round(sum(a * b for a, b in zip(unit[q], unit[i], strict=True)), 4), i) for i in unit)[:4]
         assert [(r["score"], r["id"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [(-s, i) for s, i in want]
+
+
+def test_heat_decays_for_all_memories(spark):
+    from mnemora.plans.views import ASOF
+
+    small = "/root/testdata/sf0.1"
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    got = catalog.QUERIES["fn_heat_decay"](spark, small).toPandas()
+    sql = whole(catalog.ORACLE_SQL["fn_heat_decay"], (f"WHERE created_at > {ASOF - 864000} AND created_at <= {ASOF}", ""), (f"({ASOF} - created_at)", f"greatest(0, {ASOF} - created_at)"))
+    assert len(got) == c.execute("SELECT count(*) FROM documents").fetchone()[0] and (got["heat"] > 0).any()
+    assert rows(got) == rows(c.execute(sql).fetchdf())
