@@ -407,7 +407,7 @@ def _(v):
       UNION ALL SELECT DISTINCT doc_id, 1, unnest(regexp_extract_all(coalesce(text, ''), '\b[A-Z][A-Z0-9_\-]+\b')), 'project' FROM documents WHERE lang = 'en')
     SELECT doc_id, name, type FROM r WHERE NOT (k = 1 AND lower(name) IN ('http', 'https', 'www', 'api', 'ing the', 'ungkeit')) AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k, name) <= 10""")
 def _(v):
-    return G.rule_entities(v.documents.filter("lang = 'en'"), {"ing the": ("tool", ""), "ungkeit": ("framework", "")})
+    return G.rule_entities(v.documents, {"ing the": ("tool", ""), "ungkeit": ("framework", "")})
 
 
 LINK_SQL = f"""WITH t AS (SELECT DISTINCT term FROM ({TERMS_SQL}) x WHERE length(term) >= 9), d AS (SELECT doc_id, term FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) y JOIN t USING (term)),
@@ -417,7 +417,7 @@ LINK_SQL = f"""WITH t AS (SELECT DISTINCT term FROM ({TERMS_SQL}) x WHERE length
 
 @query("auto_link", LINK_SQL)
 def _(v):
-    return G.auto_link(v.documents, _terms(v).filter("length(term) >= 9"), [("derives", ["license"]), ("updates", ["reserved"])], v.v_edges)
+    return G.auto_link(v.documents, _terms(v), [("derives", ["license"]), ("updates", ["reserved"])], v.v_edges)
 
 
 @query("alias_merge", """WITH n AS (SELECT p_name AS name, count(*) AS c FROM part GROUP BY p_name UNION ALL SELECT w, count(*) FROM (SELECT split_part(p_name, ' ', 1) AS w FROM part) x WHERE w NOT IN (SELECT p_name FROM part) GROUP BY w),

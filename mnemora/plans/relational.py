@@ -124,7 +124,7 @@ def _(v):
 @query("cooccurrence_pairs", f"""WITH t AS (SELECT DISTINCT term FROM ({TERMS_SQL}) x WHERE length(term) >= 5), d AS (SELECT doc_id, term FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) y WHERE doc_id % 10 = 0 AND term IN (SELECT term FROM t))
     SELECT x.doc_id, x.term AS a, y.term AS b FROM d x JOIN d y ON x.doc_id = y.doc_id AND x.term < y.term WHERE length(x.term) >= 9 AND length(y.term) >= 9""".replace("doc_id % 10 = 0 AND ", ""))
 def _(v):
-    return J.cooccurrence_pairs(J.dictionary_match(v.documents, _terms(v).filter("length(term) >= 9")))
+    return J.cooccurrence_pairs(J.dictionary_match(v.documents, _terms(v)))
 
 
 # ---- aggregations
@@ -229,7 +229,7 @@ VALUABLE_SQL = """SELECT s.session_id, s.title, g.user_text, g.assistant_text, g
 
 
 def _valuable(v):
-    return A.valuable_sessions(v.v_sessions, v.v_messages.filter("session_id % 10 <> 0"))
+    return A.valuable_sessions(v.v_sessions, v.v_messages)
 
 
 @query("valuable_sessions", VALUABLE_SQL)

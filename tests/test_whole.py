@@ -1,6 +1,8 @@
 """Queries that do the whole job, where their registered SQL still holds a cut: the SQL here is
 the registered one without it."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -11,7 +13,7 @@ from tests.test_oracle import rows
 
 
 def whole(sql, *cuts):
-    """The SQL with each cut replaced; a cut that is no longer there is no error."""
+    """The SQL with each cut replaced."""
     for old, new in cuts:
         sql = sql.replace(old, new)
     return sql
@@ -56,3 +58,40 @@ def test_heat_decays_for_all_memories(spark):
     sql = whole(catalog.ORACLE_SQL["fn_heat_decay"], (f"WHERE created_at > {ASOF - 864000} AND created_at <= {ASOF}", ""), (f"({ASOF} - created_at)", f"greatest(0, {ASOF} - created_at)"))
     assert len(got) == c.execute("SELECT count(*) FROM documents").fetchone()[0] and (got["heat"] > 0).any()
     assert rows(got) == rows(c.execute(sql).fetchdf())
+
+
+NINE = " AND ".join(f"length({t}.term) >= 9" for t in "xy")
+
+
+@pytest.mark.parametrize(
+    "key, cuts",
+    [
+        ("cooccurrence_pairs", [(f" WHERE {NINE}", "")]),
+        ("auto_link", [("length(term) >= 9", "length(term) >= 5")]),
+        *((k, [("WHERE session_id % 10 <> 0", "")]) for k in ("valuable_sessions", "skip_reason_counts", "restore_preview", "restore_sessions")),
+    ],
+)
+def test_no_rows_or_terms_are_left_out(spark, duck, sf_dir, key, cuts):
+    assert all(old in catalog.ORACLE_SQL[key] for old, _ in cuts)
+    got = catalog.QUERIES[key](spark, sf_dir).toPandas()
+    assert rows(got) == rows(duck.execute(whole(catalog.ORACLE_SQL[key], *cuts)).fetchdf())
+
+
+def test_sessions_without_messages_are_empty(spark):
+    from mnemora.operators import aggregates as A
+
+    ses = spark.createDataFrame([(1, "a", "web"), (2, "b", "web")], "session_id long, title string, source string")
+    msg = spark.createDataFrame([(1, 1, 1, "user", "a question of some length"), (2, 1, 2, "assistant", "an answer of some length")], "id long, session_id long, pos long, role string, content string")
+    got = {r["session_id"]: r["skip_reason"] for r in A.valuable_sessions(ses, msg).collect()}
+    assert got == {1: None, 2: "empty"}
+
+
+def test_rule_entities_reads_documents_of_every_language(spark, duck, sf_dir):
+    """Against Python's re: DuckDB sees a word end before a letter that isn't ASCII."""
+    want = []
+    for doc_id, text in duck.execute("SELECT doc_id, coalesce(text, '') FROM documents").fetchall():
+        terms = [(t, k) for t, k in (("ing the", "tool"), ("ungkeit", "framework")) if t in text.lower()]
+        names = {n for n in re.findall(r"\b[A-Z][A-Z0-9_\-]+\b", text) if n.lower() not in ("http", "https", "www", "api", "ing the", "ungkeit")}
+        want += [(doc_id, *e) for e in (terms + [(n, "project") for n in sorted(names)])[:10]]
+    got = catalog.QUERIES["rule_entities"](spark, sf_dir).collect()
+    assert sorted((r["doc_id"], r["name"], r["type"]) for r in got) == sorted(want)
