@@ -1,8 +1,8 @@
 """Main text of web pages as a maximum-scoring subsequence.
 
 A page is a sequence of tags and runs of text. A run scores its words times the weight of the
-element it stands in; a tag scores its own weight. One linear scan finds the contiguous stretch
-with the greatest sum, and the text of that stretch, without what is marked as furniture inside
+element it stands in; a tag scores its own weight; furniture inside the content scores 0. One
+linear scan finds the contiguous stretch with the greatest sum, and the text of that stretch, without what is marked as furniture inside
 it, is the main text.
 
 Weights are log-odds learned from labelled pages: pages whose markup names the content (exactly
@@ -39,10 +39,14 @@ BLOCK = set("address article aside blockquote body caption center dd details dia
 ENDS_P = BLOCK - {"body", "caption", "head", "html", "legend", "option", "summary", "tbody", "td", "tfoot", "th", "thead", "tr"}
 #: Elements that close an open element of the same group.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 FURNITURE_TAGS = {"nav", "aside", "footer", "form", "button", "select", "menu", "dialog", "head"}
 FURNITURE_ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alert", "alertdialog", "menu", "form"}
 FURNITURE_WORDS = set("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments cookie cookies consent disclaimer disqus footer footnav gdpr header login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promoted promotion related recommended recommendations reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar widget".split())
 
+#: What class names of furniture hold besides such words: "related-posts", "ad-slot".
+FURNITURE_PARTS = set("area article articles bar block body box btn button buttons container content form group icon icons inline inner item items label link links list module outer panel post posts section slot text title unit wrap wrapper".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*+(?:>|\Z)|<\?[^>]*+(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -55,35 +59,41 @@ _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class _Open:
-    """An open element: its tag, kind and whether it is furniture."""
+    """An open element: its tag, kind and whether it is furniture (0: no, 1: yes, 2: yes, and inside
+    article or main)."""
 
     __slots__ = ("tag", "kind", "out", "content")
 
-    def __init__(self, tag: str, kind: str, out: bool, content: bool) -> None:
+    def __init__(self, tag: str, kind: str, out: int, content: bool) -> None:
         self.tag, self.kind, self.out, self.content = tag, kind, out, content
 
 
 def _opened(tag: str, attrs: str, parent: _Open) -> _Open:
-    names, role = [], ""
+    names, ids, role = [], [], ""
     for m in _ATTR.finditer(attrs) if "=" in attrs else ():
         value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "role":
             role = value.lower()
         else:
             names += value.split()
-    words = {w for n in names for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", n).lower())}
+            ids += [m[1].lower() == "id"] * len(value.split())
+    words = [{w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", n).lower()) if w} for n in names]
     content = parent.content or tag in ("article", "main")
     out = parent.out or tag in FURNITURE_TAGS or tag == "header" and not content or role in FURNITURE_ROLES
-    if not out and words & FURNITURE_WORDS and tag not in ("html", "body", "article", "main", "h1"):
-        out = True
+    if not out and tag not in ("html", "body", "article", "main", "h1"):
+        if parent.content:  # an id, or a word of a longer name, may be what the text is about
+            out = tag not in HEADINGS and any(w & FURNITURE_WORDS and w <= FURNITURE_WORDS | FURNITURE_PARTS for w, by_id in zip(words, ids, strict=True) if not by_id)
+        else:
+            out = any(w & FURNITURE_WORDS for w in words)
     kind = tag + ("." + names[0].lower() if names else "")
-    return _Open(tag, kind + "!" if out else kind, out, content)
+    place = parent.out or (2 if parent.content else 1) if out else 0
+    return _Open(tag, kind + "!" if out else kind, place, content)
 
 
-def tokens(page: str) -> Iterator[tuple[str, str | None, bool, bool]]:
+def tokens(page: str) -> Iterator[tuple[str, str | None, int, bool]]:
     """``kind, text, furniture, block``: for a tag, its kind with text None; for a run of text,
-    the kind of the element it is in. block: a tag that ends a block of text."""
-    stack = [_Open("", "", False, False)]
+    the kind of the element it is in. furniture: as in ``_Open``. block: a tag that ends a block of text."""
+    stack = [_Open("", "", 0, False)]
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
@@ -190,6 +200,20 @@ def best_stretch(scores: list[float]) -> tuple[int, int]:
     return begin, end
 
 
+def passed_over(got: list[tuple[str, str | None, int, bool]]) -> list[bool]:
+    """Whether a token is furniture inside the content, which costs a stretch nothing: it is inside
+    article or main, or between two runs of text in elements of the same kind."""
+    over, start, last = [out == 2 for _, _, out, _ in got], None, ""
+    for i, (kind, text, out, _) in enumerate(got):
+        if out:
+            start = i if start is None else start
+        elif text is not None and text.strip() and kind.startswith("w@"):
+            if start is not None and kind == last:
+                over[start:i] = [got[j][2] > 0 for j in range(start, i)]
+            start, last = None, kind
+    return over
+
+
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """The main text of a page: character references decoded, white space inside a block turned
     into one space, blocks joined by one space. Null or empty page, or one without words: ''."""
@@ -197,8 +221,10 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
         return ""
     got = list(tokens(page))
     scores = []
-    for kind, text, out, _ in got:
-        if text is None:
+    for (kind, text, out, _), over in zip(got, passed_over(got), strict=True):
+        if over:
+            scores.append(0.0)
+        elif text is None:
             scores.append(weights.get(kind, TAG))
         elif kind.startswith("w@"):
             scores.append(len(text.split()) * min(FURNITURE, weights.get(kind, FURNITURE)) if out else len(text.split()) * weights.get(kind, WORD))
