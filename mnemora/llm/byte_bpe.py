@@ -7,16 +7,17 @@ merge costs the same however long the pre-token is. Entries whose pair has chang
 stale and skipped. Within a bucket the leftmost position goes first.
 
 Rows are encoded where they are read: no shuffle. Memory in a task is one Arrow batch plus a
-word cache, per Python worker, of at most ``CACHE_WORDS`` entries.
+word cache of at most ``CACHE_WORDS`` short words, which ends with the task.
+
+Null texts and null ids are as empty ones; an empty table gives an empty table; repeated rows
+give equal rows; texts of any length are encoded whole; other columns pass through, and a column
+of an added name is replaced.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
-import sys
-import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,9 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches
 
-#: Entries of the word cache of a Python worker; it is emptied when full. Longer pre-tokens than
-#: ``CACHE_BYTES`` aren't kept.
-CACHE_WORDS, CACHE_BYTES = 800_000, 64
+#: Entries of a task's word cache; it is emptied when full. Longer pre-tokens than ``CACHE_BYTES``
+#: aren't kept.
+CACHE_WORDS, CACHE_BYTES = 400_000, 64
 #: Ranks in a word of the lower bitmap.
 WORD = 256
 
@@ -117,9 +118,7 @@ class Encoder:
 
         self.ranks = parse_ranks(raw_ranks)
         self.split = regex.compile(pattern).findall
-        # words outlast a task: a Python worker that serves several tasks keeps one cache for a vocabulary
-        kept = sys.modules.setdefault("_mnemora_words", types.ModuleType("_mnemora_words")).__dict__
-        self.cache: dict[str, bytes] = kept.setdefault(hashlib.sha256(raw_ranks + pattern.encode()).hexdigest(), {})
+        self.cache: dict[str, bytes] = {}
 
     def packed(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -143,44 +142,77 @@ def read_ranks(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _with(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField(name, kind)])
+class Decoder:
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.tokens = {r: t for t, r in ranks.items()}
 
+    def unpacked(self, packed: bytes) -> bytes | None:
+        """The bytes that ids stand for; None if one of them isn't in the vocabulary."""
+        try:
+            return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        except KeyError:
+            return None
 
-def encode(docs: DataFrame, ranks, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """Add ``ids_col``, the ids as packed little-endian unsigned 32-bit integers; null or empty
-    text has none (an empty binary). Other columns pass through; a column of that name is
-    replaced. Texts that look like special tokens are ordinary text."""
-    docs = docs.drop(ids_col)
-    bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(ranks.value, pattern)
+def _added(df: DataFrame, names: list[str], run, without: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with binary columns ``names``, which ``run`` makes of slices of its batches; the
+    columns ``without`` end here."""
+    rest = df.drop(*names)
+    kept = [c for c in rest.columns if c not in without]
+    bounded_batches(df.sparkSession)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = run()
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                texts = part.column(part.schema.get_field_index(text_col))
-                ids = pa.array([enc.packed(x.as_py() or "") for x in texts], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, ids_col])
+                made = [pa.array(x, pa.binary()) for x in work(part)]
+                yield pa.RecordBatch.from_arrays([*(_values(part, c) for c in kept), *made], [*kept, *names])
+
+    return rest.mapInArrow(each, T.StructType([*(rest.schema[c] for c in kept), *(T.StructField(n, T.BinaryType()) for n in names)]))
+
+
+def _values(part: pa.RecordBatch, name: str) -> pa.Array:
+    return part.column(part.schema.get_field_index(name))
+
+
+def encode(docs: DataFrame, ranks, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """Add ``ids_col``, the ids as packed little-endian unsigned 32-bit integers; null or empty
+    text has none (an empty binary). Texts that look like special tokens are ordinary text."""
 
-    return docs.mapInArrow(run, _with(docs.schema, ids_col, T.BinaryType()))
+    def run():
+        packed = Encoder(ranks.value, pattern).packed
+        return lambda part: [[packed(x.as_py() or "") for x in _values(part, text_col)]]
+
+    return _added(docs, [ids_col], run)
 
 
 def decode(tokens: DataFrame, ranks, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Add ``out_col``, the bytes that the packed ids of ``ids_col`` stand for (null: none)."""
-    tokens = tokens.drop(out_col)
+    """Add ``out_col``, the bytes that the packed ids of ``ids_col`` stand for (null: none). Ids of
+    which one isn't in the vocabulary can't be decoded: null."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_rank = {r: t for t, r in parse_ranks(ranks.value).items()}
-        piece = by_rank.__getitem__
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                packed = part.column(part.schema.get_field_index(ids_col))
-                got = pa.array([b"".join(map(piece, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in packed], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, got], [*part.schema.names, out_col])
+    def run():
+        unpacked = Decoder(parse_ranks(ranks.value)).unpacked
+        return lambda part: [[unpacked(x.as_py() or b"") for x in _values(part, ids_col)]]
+
+    return _added(tokens, [out_col], run)
+
+
+def round_trip(docs: DataFrame, ranks, pattern: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` of what it gave, in one pass of one Python worker a task. The text
+    isn't passed on."""
+
+    def run():
+        encoder = Encoder(ranks.value, pattern)
+        unpacked = Decoder(encoder.ranks).unpacked
+
+        def work(part: pa.RecordBatch) -> list[list[bytes | None]]:
+            ids = [encoder.packed(x.as_py() or "") for x in _values(part, text_col)]
+            return [ids, [unpacked(x) for x in ids]]
+
+        return work
 
-    return tokens.mapInArrow(run, _with(tokens.schema, out_col, T.BinaryType()))
+    return _added(docs, [ids_col, out_col], run, without=(text_col,))
 
 
 def ids_array(packed: np.ndarray | bytes) -> list[int]:

@@ -9,25 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is
-    unset (tests on one machine), a new temporary folder, remembered in the session."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset
+    and all runs on one machine (tests), a new temporary folder, remembered in the session; on a
+    cluster an error, since rows that executors write to their own disks would be lost."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-#: Rows of an Arrow batch, where the session has Spark's own default: texts may be long.
-BATCH_ROWS = 1000
+#: Bytes of an Arrow batch, where the session has Spark's own default of 64 MB: a Python worker
+#: holds little text at once, however long the texts are.
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Make Arrow batches of few rows, so that tasks hold little text at once. A session that has
-    set its own number keeps it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the bytes of Arrow batches in this session. No result depends on it; a session that
+    has set its own bound keeps it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -35,9 +40,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back. This cuts the lineage, and a lost
-    executor costs no rerun of what came before."""
+    executor costs no rerun of what came before. ``paths`` gets the path, for ``discard``."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing will read again."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    paths.clear()

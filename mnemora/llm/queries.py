@@ -43,8 +43,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = byte_bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return byte_bpe.decode(ids, ranks).select(
+    return byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN).select(
         "doc_id", byte_bpe.token_count().cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
