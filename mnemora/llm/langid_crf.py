@@ -6,10 +6,11 @@ transitions tie neighbours, and forward-backward gives each word a distribution
 so text that switches between languages is labelled word by word. A document's language is the
 one with the greatest mean probability over its words, and its score is that mean.
 
-Training takes a bounded sample (``TRAIN_DOCS`` documents, as many of each language as there
-are, chosen by the hashes of their ids, ``TRAIN_WORDS`` consecutive words of each). Windows of
-two documents are spliced into one sequence, so that switches are seen. Every document is
-labelled whole, where it is read: no shuffle. Long texts are labelled in chains of ``CHAIN``
+Training takes a bounded sample: ``TRAIN_DOCS`` labelled rows, as many of each language as there
+are, chosen by hashes, and of each a window of ``TRAIN_WORDS`` consecutive words (of at most
+``TRAIN_CHARS`` code points), cut before it reaches the driver. This bounds the lexicon too.
+Windows of two documents are spliced into one sequence, so that switches are seen. Every document
+is labelled whole, where it is read: no shuffle. Long texts are labelled in chains of ``CHAIN``
 words.
 """
 
@@ -27,16 +28,19 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-#: Bound of the training sample: documents, and words of each.
-TRAIN_DOCS, TRAIN_WORDS = 4000, 40
+#: Bound of the training sample: documents, and words and code points of each.
+TRAIN_DOCS, TRAIN_WORDS, TRAIN_CHARS = 4000, 40, 4000
 #: Steps and rate of training, and its pull towards 0.
 EPOCHS, RATE, DECAY = 40, 0.15, 1e-6
-HASH_BITS, LEXICON = 16, 20_000
+HASH_BITS = 16
+#: Uses in the sample that make a word an entry of the lexicon.
+LEXICON_USES = 3
 #: Hash lanes in which the sample is drawn.
 LANES = 64
 CHAIN = 128
-#: Words whose emissions a task remembers.
-MEMO_WORDS = 400_000
+#: Words whose emissions a task remembers; longer ones than ``MEMO_CHARS`` aren't kept from one
+#: slice of rows to the next.
+MEMO_WORDS, MEMO_CHARS = 200_000, 64
 UND = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _P = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
@@ -130,13 +134,12 @@ def forward_backward(scores: np.ndarray, mask: np.ndarray, trans: np.ndarray, st
 
 
 def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS) -> Model | None:
-    """Train on texts with labels; None without any."""
+    """Train on windows of text (``TRAIN_WORDS`` words count of each) with labels; None without any."""
     windows = []
-    for i, (text, lang) in enumerate(zip(texts, labels, strict=True)):
-        words = [w for w in map(letters, (text or "").split()) if w]
-        at = (i * 7919) % max(1, len(words) - TRAIN_WORDS + 1)
+    for text, lang in zip(texts, labels, strict=True):
+        words = [w for w in map(letters, (text or "").split()) if w][:TRAIN_WORDS]
         if words:
-            windows.append((words[at : at + TRAIN_WORDS], lang))
+            windows.append((words, lang))
     if not windows:
         return None
     langs = sorted({lang for _, lang in windows})
@@ -155,8 +158,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS) -> Model | No
     gram, starts, whole = _features(list(vocab))
     owner = np.repeat(np.arange(len(vocab)), np.diff(starts, append=len(gram)))
     uses = np.bincount(ids[mask], minlength=len(vocab))
-    kept = np.sort(np.argsort(-uses, kind="stable")[:LEXICON])
-    kept = kept[uses[kept] >= 3]
+    kept = np.flatnonzero(uses >= LEXICON_USES)
     lexicon, first = np.unique(whole[kept], return_index=True)
     entry = np.full(len(vocab), -1)
     entry[kept[first]] = np.arange(len(lexicon))
@@ -185,44 +187,70 @@ def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS) -> Model | No
     return Model(langs, theta["grams"].astype(np.float32), lexicon, theta["lexical"].astype(np.float32), theta["trans"], theta["start"])
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = TRAIN_DOCS) -> Model | None:
-    """Train on a bounded sample of rows that have id, text and language."""
+def draw(labelled: DataFrame, sample: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """``h, text, lang``: at most ``sample`` rows that have id, text and language, as many of each
+    language as there are. Rows that agree in all three count once.
+
+    Only hashes are ranked, in lanes, so that no language has to meet in one task; then the few
+    that are chosen pick their rows."""
     good = labelled.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    h = F.xxhash64(F.col(id_col))
-    keys = good.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), h.alias("_h"), F.pmod(h, F.lit(LANES)).alias("_lane"))
-    # a few of each language and lane, so that no language has to meet in one task
-    r = F.row_number().over(W.partitionBy("_lang", "_lane").orderBy("_h", "_id"))
-    first = keys.withColumn("_r", r).filter(F.col("_r") <= -(-sample // LANES))
+    good = good.select(F.xxhash64(id_col, text_col, lang_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    keys = good.select("h", "lang", F.pmod("h", F.lit(LANES)).alias("lane"))
+    r = F.dense_rank().over(W.partitionBy("lang", "lane").orderBy("h"))
+    first = keys.withColumn("r", r).filter(F.col("r") <= -(-sample // LANES)).distinct()
     # ranks go round the languages, so each gets its share of the bound
-    picked = first.orderBy("_r", "_lane", "_lang").limit(sample).select("_id", "_r").distinct()
-    rows = good.join(F.broadcast(picked), good[id_col] == picked["_id"]).select(F.col("_r"), F.xxhash64(id_col).alias("h"), F.substring(text_col, 1, 20_000).alias("t"), F.col(lang_col).alias("l")).collect()
-    rows = sorted(rows, key=lambda r: (r["h"], r["l"], r["t"]))[: 2 * sample]
-    return fit([r["t"] for r in rows], [r["l"] for r in rows])
+    picked = first.orderBy("r", "lane", "lang").limit(sample).select(F.col("h").alias("_h"))
+    return good.join(F.broadcast(picked), F.col("h") == F.col("_h"), "left_semi").dropDuplicates(["h"])
+
+
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = TRAIN_DOCS) -> Model | None:
+    """Train on a bounded sample of rows that have id, text and language (see ``draw``); None where
+    there are none. Repeated rows count once; of a table in another order the model is the same."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    at = F.pmod("h", F.greatest(F.size("w") - TRAIN_WORDS + 1, F.lit(1)).cast("long")).cast("int") + 1
+    window = F.substring(F.array_join(F.slice("w", at, TRAIN_WORDS), " "), 1, TRAIN_CHARS)
+    drawn = draw(labelled, sample, id_col, text_col, lang_col).withColumn("w", words).filter(F.size("w") > 0)
+    rows = sorted(tuple(r) for r in drawn.select("h", "lang", window.alias("t")).collect())
+    return fit([t for _, _, t in rows], [lang for _, lang, _ in rows])
+
+
+def least_certain(labelled: DataFrame, model: Model, sample: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float | None:
+    """The smallest score of a labelled text that the model labels rightly, among at most
+    ``sample`` whole texts (``draw``); None if there is none."""
+    found = predict(draw(labelled, sample, id_col, text_col, lang_col), model)
+    return found.filter(F.col("lang_found.lang") == F.col("lang")).agg(F.min("lang_found.score")).first()[0]
 
 
 class Tagger:
     """Labels words of texts with a model."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.memo = model, {}
+        self.model, self.memo, self.used = model, {}, 0
         self.table = np.zeros((1024, len(model.langs)), np.float32)
 
     def _ids(self, words: list[str]) -> np.ndarray:
         memo = self.memo
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        new = list(set(words).difference(memo))
+            self.used = 0
+        distinct = set(words)
+        new = list(distinct.difference(memo))
         if new:
             forms = [letters(w) for w in new]
             real = [(w, f) for w, f in zip(new, forms, strict=True) if f]
             memo.update((w, 0) for w, f in zip(new, forms, strict=True) if not f)  # 0: no letters
-            at = len(memo) + 1
-            while len(self.table) <= at + len(real):
+            at = self.used + 1
+            self.used += len(real)
+            while len(self.table) <= self.used:
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             if real:
                 self.table[at : at + len(real)] = self.model.emissions([f for _, f in real])
                 memo.update((w, at + i) for i, (w, _) in enumerate(real))
-        return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+        ids = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+        for w in distinct:
+            if len(w) > MEMO_CHARS:
+                del memo[w]
+        return ids
 
     def tag(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text, which of its words (as split at white space) have letters, and the
@@ -253,7 +281,7 @@ class Tagger:
 def _tagged(docs: DataFrame, model: Model | None, text_col: str, name: str, kind: str, make, rows: int = 200) -> DataFrame:
     from pyspark.sql import types as T
 
-    held = docs.sparkSession.sparkContext.broadcast(model)  # HASH_BITS and LEXICON bound its size
+    held = docs.sparkSession.sparkContext.broadcast(model)  # HASH_BITS and the training sample bound its size
     docs = docs.drop(name)
     bounded_batches(docs.sparkSession)
     added = T._parse_datatype_string(f"{name} {kind}")
@@ -274,8 +302,9 @@ def _tagged(docs: DataFrame, model: Model | None, text_col: str, name: str, kind
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """Add ``lang_found``, struct of ``lang`` and ``score``. Null texts and texts without a letter
-    are ``und`` with score 0, as is everything without a model. Other columns pass through and
-    take no part in the prediction."""
+    are ``und`` with score 0, as is everything without a model; of languages that tie, the first by
+    name is taken. Repeated rows get equal results, an empty table gives none. Other columns pass
+    through and take no part in the prediction; a column of the added name is replaced."""
 
     def make(model, text, got):
         if got is None:
@@ -291,7 +320,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
 
 
 def label_words(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """Add ``words``: each word that has letters, with its language and the probability of it."""
+    """Add ``words``: each word that has letters, with its language and the probability of it. Null
+    and empty texts have no words; else as in ``predict``."""
 
     def make(model, text, got):
         if got is None:
