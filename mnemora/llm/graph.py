@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from .common import stash
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node, comp``: every node that occurs in ``links`` (a, b), and the smallest node that
-    links reach from it.
+def components(links: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """``node, comp``: every node that occurs in ``links`` (a, b: of any type that has an order), and
+    the smallest node that links reach from it. Null ends are left out; repeated links count once;
+    no links give no rows. ``paths`` gets the folders of what is written.
 
     Each round hangs the greater neighbours of a node on its smallest one (large star), then the
     smaller ones (small star); the number of rounds grows with the logarithm of the size. A node
@@ -18,7 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     occur. A round's edges are written to the shared folder.
     """
     start = links.select("a", "b").filter("a is not null and b is not null")
-    edges = stash(start.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = stash(start.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", paths)
     nodes = edges
     before = None
     while True:
@@ -28,7 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(down, "u")
         small = hung.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        edges = stash(small, "edges")
+        edges = stash(small, "edges", paths)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before is not None and tuple(now) == tuple(before):
             break

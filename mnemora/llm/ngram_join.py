@@ -12,13 +12,14 @@ for the pair, so no row ever holds more than a fragment of a document.
   ``n - ceil(t n) + w`` of each. Documents are posted under these, where frequent passages
   hardly ever occur, and compared only if they share w of them and sizes and positions allow
   enough overlap; w goes from 1 to 3 with the size (``witnesses``).
-* **Copies.** Documents of equal sets are one vertex. Under each n-gram, members are first
+* **Copies.** Documents of equal sets are one vertex, named by a 128-bit digest of the set. Under each n-gram, members are first
   compared with one leader, and only members of different classes need any further comparison,
   so a group of near copies costs about its size and not its square. After the leader rounds
   every remaining pair of members of different classes is compared. Hence no link that would
   join two classes is missed, and the classes are exact.
 
-Sets are held as 64-bit hashes of n-grams.
+Sets are held as 64-bit hashes of n-grams. What is written on the way is deleted at the end; what
+is returned is a written table of a few columns.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, stash
+from .common import bounded_batches, discard, stash
 from .graph import components
 
 #: Counters of the sketch (a fixed 2^22) and the parts it is summed in.
@@ -145,9 +146,10 @@ def fragment_starts(levels: np.ndarray) -> np.ndarray:
     return np.stack([np.cumsum(share) - share, share])
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, q: int, num: int, den: int, levels) -> DataFrame:
-    """``doc_id, n, fp, prefix``: the size of the set, a 128-bit digest of it, and the n-grams
-    that begin it in the global order."""
+def signatures(docs: DataFrame, text_col: str, q: int, num: int, den: int, levels) -> DataFrame:
+    """The other columns of ``docs`` and ``n, fp, prefix``: the size of the set, a 128-bit digest of
+    it, and the n-grams that begin it in the global order."""
+    own = [f for f in docs.schema.fields if f.name != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -165,9 +167,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, q: int, num: int, de
                 firsts.append(s[np.argsort(rank, kind="stable")[:take]].view(np.int64))
             offsets = np.cumsum([0, *map(len, firsts)])
             prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(firsts)))
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(id_col)), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), prefix], ["doc_id", "n", "fp", "prefix"])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in own), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), prefix], [*(f.name for f in own), "n", "fp", "prefix"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n long, fp binary, prefix array<long>")
+    added = T._parse_datatype_string("n long, fp binary, prefix array<long>")
+    return docs.mapInArrow(run, T.StructType([*own, *added.fields]))
 
 
 def _bitmap(df: DataFrame, key: str) -> DataFrame:
@@ -183,39 +186,60 @@ def _in_bitmap(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
     return met.filter(F.expr("(shiftright(bits, _bit) & 1) = 1")).select(*df.columns)
 
 
+def split_by_keys(df: DataFrame, key: str, keys: DataFrame, paths: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Two parts of ``df``: rows whose ``key`` is surely not among ``keys`` (column of that name),
+    and the rest, which has all rows whose key is and some others. Neither is shuffled."""
+    bitmap = stash(_bitmap(keys, key), "keys", paths)
+    h = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << BITMAP_BITS))
+    at = df.withColumn("_word", F.shiftright(h, 6).cast("int")).withColumn("_bit", (h % 64).cast("int"))
+    met = at.join(F.broadcast(bitmap.select(F.col("word").alias("_word"), "bits")), "_word", "left")
+    hit = F.expr("coalesce(shiftright(bits, _bit) & 1, 0) = 1")
+    return met.filter(~hit).select(*df.columns), met.filter(hit).select(*df.columns)
+
+
 class Join:
-    """A join over one table; see ``jaccard_classes``."""
+    """A join over one table; see ``jaccard_classes``. ``k``, a hash of id and text, names a row when
+    its text is to be read again; rows that share it by chance are read in vain."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, q: int, num: int, den: int) -> None:
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, q: int, num: int, den: int, carry: list[str]) -> None:
+        kept = [F.col(c).alias(f"c_{c}") for c in carry]
+        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), *kept, F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("k"))
         self.q, self.num, self.den = q, num, den
+        self.paths: list[str] = []
         bounded_batches(docs.sparkSession)
         sc = docs.sparkSession.sparkContext
         levels = frequency_levels(self.docs, "text", q)
         self.levels, self.starts = sc.broadcast(levels), sc.broadcast(fragment_starts(levels))
-        self.sigs = stash(signatures(self.docs, "doc_id", "text", q, num, den, self.levels), "signatures")
+        self.sigs = self.stash(signatures(self.docs, "text", q, num, den, self.levels), "signatures")
         full = self.sigs.filter("n > 0")
-        self.classes = full.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"))
-        # an id that stands over different texts (repeated ids) is the vertex of one of them
-        self.vertices = self.classes.filter("rep is not null").groupBy("rep").agg(F.min(F.struct("fp", "n")).alias("v")).select("rep", "v.fp", "v.n")
+        self.classes = self.stash(full.groupBy("fp").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.min("k").alias("k")), "classes")
         self.members = self._members(full)
 
+    def stash(self, df: DataFrame, name: str) -> DataFrame:
+        return stash(df, name, self.paths)
+
+    def close(self) -> None:
+        discard(self.docs.sparkSession, self.paths)
+        self.levels.unpersist()
+        self.starts.unpersist()
+
     def _members(self, full: DataFrame) -> DataFrame:
-        """``key, rep, n, cap``: postings under n-grams that two or more documents have. cap is the
+        """``key, fp, n, cap``: postings under n-grams that two or more documents have. cap is the
         largest set that can be linked, if less than w n-grams before this one are common: the
         overlap is then at most w - 1 and what is left of the set. A linked pair x, y meets its
         first w common n-grams with ``y.n <= x.cap`` and ``x.n <= y.cap``."""
         keys = full.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-        shared = stash(_bitmap(keys, "key"), "shared")
-        posts = full.select("doc_id", "fp", F.posexplode("prefix").alias("pos", "key"))
+        shared = self.stash(_bitmap(keys, "key"), "shared")
+        posts = full.select("fp", "k", "n", F.posexplode("prefix").alias("pos", "key"))
         kept = _in_bitmap(posts, "key", shared)
-        v = self.vertices.select(F.col("rep"), F.col("fp").alias("_fp"), "n")
+        # one row stands for a class
+        v = self.classes.select(F.col("fp").alias("_fp"), F.col("k").alias("_k"))
         cap = F.expr(f"((n - pos + {witnesses('n')} - 1) * {self.num + self.den}) div {self.num} - n")
-        return stash(kept.join(v, (kept["doc_id"] == v["rep"]) & (kept["fp"] == v["_fp"])).select("key", "rep", F.col("n").cast("int").alias("n"), cap.cast("int").alias("cap")).distinct(), "members")
+        return self.stash(kept.join(v, (kept["fp"] == v["_fp"]) & (kept["k"] == v["_k"]), "left_semi").select("key", "fp", F.col("n").cast("int").alias("n"), cap.cast("int").alias("cap")).distinct(), "members")
 
-    def segments(self, ids: DataFrame) -> DataFrame:
-        """``rep, frag, tokens`` of the documents whose id is in ``ids`` (column id), and of few
-        others."""
+    def segments(self, fps: DataFrame) -> DataFrame:
+        """``fp, frag, tokens`` of the sets in ``fps`` (column fp), and of few others. One text of
+        each is read again."""
         q, levels, starts, frags = self.q, self.levels, self.starts, FRAGMENTS
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,51 +248,51 @@ class Join:
             memo, level, (before, share) = _Memo(), levels.value, starts.value
             shift = np.uint64(64 - SKETCH_BITS)
             for b in _slices(batches):
-                reps, fps, which, tokens = [], [], [], []
-                for doc, s in zip(_column(b, "doc_id"), shingle_sets(_column(b, "text"), q, memo), strict=True):
+                fps, which, tokens = [], [], []
+                for s in shingle_sets(_column(b, "text"), q, memo):
                     lv = level[(s >> shift).astype(np.int64)]
                     place = before[lv] + share[lv] * (s.astype(np.float64) / 2.0**64)
                     frag = np.minimum(frags - 1, (place * frags).astype(np.int64))
                     fp = xxhash.xxh3_128_digest(s.tobytes())
                     for f in np.unique(frag).tolist():
-                        reps.append(doc)
                         fps.append(fp)
                         which.append(f)
                         tokens.append(s[frag == f].view(np.int64))
                 offsets = np.cumsum([0, *map(len, tokens)])
                 flat = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(fps, pa.binary()), pa.array(which, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["rep", "fp", "frag", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(which, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["fp", "frag", "tokens"])
 
-        wanted = _in_bitmap(self.docs.filter("doc_id is not null"), "doc_id", stash(_bitmap(ids, "id"), "wanted"))
-        cut = wanted.mapInArrow(run, "rep long, fp binary, frag int, tokens array<long>")
-        return cut.groupBy("rep", "frag").agg(F.min(F.struct("fp", "tokens")).alias("t")).select("rep", "frag", F.col("t.tokens").alias("tokens"))
+        rows = self.classes.join(fps.distinct(), "fp", "left_semi")
+        wanted = _in_bitmap(self.docs.select("text", "k"), "k", self.stash(_bitmap(rows, "k"), "wanted"))
+        cut = wanted.select("text").mapInArrow(run, "fp binary, frag int, tokens array<long>")
+        return cut.groupBy("fp", "frag").agg(F.first("tokens").alias("tokens"))  # equal sets have equal tokens
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``a, b, na, nb`` whose overlap, summed over fragments, makes them linked."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-        segs = stash(self.segments(ids), "segments")
-        left = pairs.join(segs.select(F.col("rep").alias("a"), "frag", F.col("tokens").alias("ta")), "a")
-        both = left.join(segs.select(F.col("rep").alias("b"), "frag", F.col("tokens").alias("tb")), ["b", "frag"])
+        fps = pairs.select(F.explode(F.array("a", "b")).alias("fp"))
+        segs = self.stash(self.segments(fps), "segments")
+        left = pairs.join(segs.select(F.col("fp").alias("a"), "frag", F.col("tokens").alias("ta")), "a")
+        both = left.join(segs.select(F.col("fp").alias("b"), "frag", F.col("tokens").alias("tb")), ["b", "frag"])
         partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("o"))
         summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
         return summed.filter(F.expr(f"o * {self.num + self.den} >= {self.num} * (na + nb)")).select("a", "b")
 
     def classes_of(self) -> DataFrame:
-        """``rep, comp`` of the vertices that have links."""
+        """``fp, comp`` of the sets that have links; comp is the least digest of the class."""
         spark = self.docs.sparkSession
-        comps = spark.createDataFrame([], "rep long, comp long")
-        tried = spark.createDataFrame([], "a long, b long")
-        central = F.max(F.struct("cap", F.negate("rep").alias("first"), "rep", "n", "comp"))
-        first = F.min(F.struct("rep", "n", "cap", "comp"))
+        comps = spark.createDataFrame([], "fp binary, comp binary")
+        tried = spark.createDataFrame([], "a binary, b binary")
+        central = F.max(F.struct("cap", "fp", "n", "comp"))
+        first = F.min(F.struct("fp", "n", "cap", "comp"))
         for leader in (central, first, None):
-            m = self.members.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+            m = self.members.join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
             pairs = self._all_pairs(m) if leader is None else self._leader_pairs(m, leader)
-            pairs = stash(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+            pairs = self.stash(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
             if pairs.limit(1).count() == 0:
                 continue
             links = self.verify(pairs)
             tried = tried.unionByName(pairs.select("a", "b"))
-            comps = components(links.unionByName(comps.select(F.col("rep").alias("a"), F.col("comp").alias("b")))).select(F.col("node").alias("rep"), "comp")
+            comps = components(links.unionByName(comps.select(F.col("fp").alias("a"), F.col("comp").alias("b"))), self.paths).select(F.col("node").alias("fp"), "comp")
         return comps
 
     def _leader_pairs(self, m: DataFrame, leader: Column) -> DataFrame:
@@ -276,11 +300,11 @@ class Join:
         keys that are of another class and that it may be linked with."""
         lead = m.groupBy("key").agg(leader.alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
         met = m.join(lead.select("key", "l"), "key").filter("comp <> l.comp and n <= l.cap and l.n <= cap")
-        votes = met.groupBy("rep", F.col("l.rep").alias("lead"), "n", F.col("l.n").alias("ln")).agg(F.count(F.lit(1)).alias("votes")).filter(f"votes >= {witnesses('least(n, ln)')}")
-        best = votes.groupBy("rep").agg(F.max(F.struct("votes", F.negate("lead").alias("first"), "lead", "n", "ln")).alias("v"))
-        small = F.least("rep", "v.lead")
-        own = F.col("rep") == small
-        return best.select(small.alias("a"), F.greatest("rep", "v.lead").alias("b"), F.when(own, F.col("v.n")).otherwise(F.col("v.ln")).alias("na"), F.when(own, F.col("v.ln")).otherwise(F.col("v.n")).alias("nb")).distinct()
+        votes = met.groupBy("fp", F.col("l.fp").alias("lead"), "n", F.col("l.n").alias("ln")).agg(F.count(F.lit(1)).alias("votes")).filter(f"votes >= {witnesses('least(n, ln)')}")
+        best = votes.groupBy("fp").agg(F.max(F.struct("votes", "lead", "n", "ln")).alias("v"))
+        small = F.least("fp", "v.lead")
+        own = F.col("fp") == small
+        return best.select(small.alias("a"), F.greatest("fp", "v.lead").alias("b"), F.when(own, F.col("v.n")).otherwise(F.col("v.ln")).alias("na"), F.when(own, F.col("v.ln")).otherwise(F.col("v.n")).alias("nb")).distinct()
 
     def _all_pairs(self, m: DataFrame) -> DataFrame:
         """All pairs of members of different classes that may be linked under a common n-gram.
@@ -288,43 +312,49 @@ class Join:
         Members go first that no other class of their key can be linked with, judged by the
         smallest size and largest cap among the other classes. Then the sizes of classes meet,
         and only those that hold a pair that may be linked, under as many n-grams as it must
-        share, are expanded, against each other.
+        share, are expanded, against each other. Of a key only sums meet in one task.
         """
         kc = m.groupBy("key", "comp").agg(F.min("n").alias("mn"), F.max("cap").alias("mc"))
-        by_n = F.row_number().over(W.partitionBy("key").orderBy("mn", "comp"))
-        by_cap = F.row_number().over(W.partitionBy("key").orderBy(F.col("mc").desc(), "comp"))
-        at = lambda r, i, c: F.max(F.when(F.col(r) == i, F.col(c)))
-        ranked = kc.withColumn("rn", by_n).withColumn("rc", by_cap).filter("rn <= 2 or rc <= 2")
-        heads = ranked.groupBy("key").agg(at("rn", 1, "comp").alias("c1"), at("rn", 1, "mn").alias("n1"), at("rn", 2, "mn").alias("n2"), at("rc", 1, "comp").alias("d1"), at("rc", 1, "mc").alias("m1"), at("rc", 2, "mc").alias("m2")).filter("n2 is not null")
-        live = m.join(heads, "key").filter("cap >= if(comp = c1, n2, n1) and n <= if(comp = d1, m2, m1)")
-        live = stash(live.select("key", "rep", "n", "cap", "comp"), "live")
+        heads = kc.groupBy("key").agg(F.min(F.struct("mn", "comp")).alias("s"), F.max(F.struct("mc", "comp")).alias("g"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+        heads = heads.select("key", F.col("s.mn").alias("n1"), F.col("s.comp").alias("c1"), F.col("g.mc").alias("m1"), F.col("g.comp").alias("d1"))
+        # the smallest and the largest among classes other than those of the heads
+        seconds = kc.join(heads, "key").groupBy("key").agg(F.min(F.expr("if(comp = c1, null, mn)")).alias("n2"), F.max(F.expr("if(comp = d1, null, mc)")).alias("m2"))
+        live = m.join(heads.join(seconds, "key"), "key").filter("cap >= if(comp = c1, n2, n1) and n <= if(comp = d1, m2, m1)")
+        live = self.stash(live.select("key", "fp", "n", "cap", "comp"), "live")
         lc = live.groupBy("key", "comp", "n").agg(F.max("cap").alias("mc"))
         meet = lc.alias("x").join(lc.alias("y"), "key").filter("x.comp < y.comp and x.n <= y.mc and y.n <= x.mc").select("key", F.col("x.comp").alias("cx"), F.col("x.n").alias("nx"), F.col("y.comp").alias("cy"), F.col("y.n").alias("ny"))
         groups = ["cx", "nx", "cy", "ny"]
         often = meet.groupBy(*groups).agg(F.count(F.lit(1)).alias("w")).filter(f"w >= {witnesses('least(nx, ny)')}")
         meet = meet.join(often.select(*groups), groups, "left_semi")
-        x = live.select("key", F.col("comp").alias("cx"), F.col("n").alias("nx"), F.struct("rep", "n", "cap").alias("x"))
-        y = live.select("key", F.col("comp").alias("cy"), F.col("n").alias("ny"), F.struct("rep", "n", "cap").alias("y"))
+        x = live.select("key", F.col("comp").alias("cx"), F.col("n").alias("nx"), F.struct("fp", "n", "cap").alias("x"))
+        y = live.select("key", F.col("comp").alias("cy"), F.col("n").alias("ny"), F.struct("fp", "n", "cap").alias("y"))
         met = meet.join(x, ["key", "cx", "nx"]).filter("ny <= x.cap").join(y, ["key", "cy", "ny"]).filter("nx <= y.cap")
-        flip = F.expr("x.rep > y.rep")
+        flip = F.expr("x.fp > y.fp")
         pick = lambda f: (F.when(flip, F.col(f"y.{f}")).otherwise(F.col(f"x.{f}")), F.when(flip, F.col(f"x.{f}")).otherwise(F.col(f"y.{f}")))
-        (a, b), (na, nb) = pick("rep"), pick("n")
+        (a, b), (na, nb) = pick("fp"), pick("n")
         shared = met.select(a.alias("a"), b.alias("b"), na.alias("na"), nb.alias("nb")).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("w"))
         return shared.filter(f"w >= {witnesses('least(na, nb)')}").drop("w")
 
 
-def jaccard_classes(docs: DataFrame, q: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row: the size of its n-gram set and the
+def jaccard_classes(docs: DataFrame, q: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``doc_id, n_shingles, component_id, class`` for every row: the size of its n-gram set, the
     smallest id that links reach from it, where sets with ``den * |x & y| >= num * |x | y|`` are
-    linked.
-
-    Null, empty and wordless texts have no n-grams and are linked with nothing. Rows without id
-    take the class of an equal text that has one, else null. Rows that repeat an id with an
-    equal text give equal rows; where they repeat it with different texts, the id's links are
-    those of one of them. An empty table gives no rows. Extra columns are left out.
+    linked, and the name of its class (a digest; null for an empty set). ``carry``: columns of
+    ``docs`` that come along under their own names.
+
+    A row stands for its own text: rows that repeat an id with different texts may be in different
+    classes, and no link of either is lost; rows that repeat a row give equal rows. Null, empty and
+    wordless texts have no n-grams and are linked with nothing. Rows without id take part like
+    others; a class of such rows only has a null component_id. An empty table gives no rows. Extra
+    columns are left out.
     """
-    join = Join(docs, id_col, text_col, q, num, den)
+    carry = carry or []
+    join = Join(docs, id_col, text_col, q, num, den, carry)
     comps = join.classes_of()
-    named = join.classes.join(comps, "rep", "left").select("fp", F.coalesce("comp", "rep").alias("component_id"))
-    out = join.sigs.select("doc_id", "n", "fp").join(named, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = join.classes.join(comps, "fp", "left").select("fp", "rep", F.coalesce("comp", "fp").alias("class"))
+    ids = named.groupBy("class").agg(F.min("rep").alias("component_id"))
+    out = join.sigs.drop("prefix", "k").join(named.join(ids, "class").select("fp", "component_id", "class"), "fp", "left")
+    some = F.col("n") > 0
+    done = stash(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.lower(F.hex("class"))).alias("class"), *[F.col(f"c_{c}").alias(c) for c in carry]), "ngram-classes")
+    join.close()
+    return done
