@@ -10,7 +10,9 @@ fluid mix shares its rate among the others by their weights, and so do the windo
 Rows never meet in one task: a row's block follows from its rank inside its source, taken in
 ``lanes`` hash lanes with offsets, so a source with a third of all rows is ranked by many
 tasks. Only the schedule is made in one place, and its size is fixed: ``total_blocks`` (the
-block size grows with the table) plus one short block for each source.
+block size grows with the table) plus one short block for each source. Its windows come from one
+sort; the fold over its slots looks at each source once a slot, so it suits up to some thousands
+of sources. More of them (hosts, say) should be mixed as groups.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ from pyspark.sql import functions as F
 
 #: Parts of a hash that make a fraction.
 _HASH_SPAN = 1 << 30
-#: Rows up to which the tables of lanes and blocks are broadcast (some 20 MB); with more sources
-#: than fit, they are joined by a shuffle.
-BROADCAST_ROWS = 1 << 18
+#: Rows up to which the tables of lanes and blocks are broadcast (some 5 MB); with more sources
+#: than fit, they are joined by a shuffle, to the same result.
+BROADCAST_ROWS = 1 << 16
 
 
 def source_stats(docs: DataFrame, source: str, weights: dict[str, float] | None, power: float) -> DataFrame:
@@ -41,24 +43,24 @@ def source_stats(docs: DataFrame, source: str, weights: dict[str, float] | None,
 
 def block_windows(stats: DataFrame, total_blocks: int) -> DataFrame:
     """``source, k, block, block_rows, n, release, deadline`` for each block; k: the source's
-    place in the list of sources."""
-    listed = (
-        stats.agg(F.array_sort(F.collect_list(F.struct("source", "n", "weight"))).alias("all"), F.sum("n").alias("rows"))
-        .withColumn("block_rows", F.greatest(F.lit(1), F.ceil(F.col("rows") / F.lit(total_blocks))).cast("long"))
-        .withColumn("all", F.expr("transform(all, s -> named_struct('source', s.source, 'n', s.n, 'w', s.weight / aggregate(all, 0D, (a, x) -> a + x.weight), 'b', cast(ceil(s.n / block_rows) as int)))"))
-    )
-    each = listed.select("all", "block_rows", F.posexplode("all").alias("k", "s"))
-    blocks = each.select("all", "block_rows", "k", "s", F.explode(F.expr("sequence(1, s.b)")).alias("block"))
-    # the slot that the fluid mix has reached when a source has done x of its blocks
-    fluid = "aggregate(all, 0D, (a, x) -> a + least(x.w * ({x}) / s.w, cast(x.b as double)))"
-    return blocks.select(
-        "k",
-        F.col("s.source").alias("source"),
-        F.col("s.n").alias("n"),
-        "block",
-        "block_rows",
-        F.floor(F.expr(fluid.format(x="block - 1")) + 1e-7).cast("int").alias("release"),
-        F.ceil(F.expr(fluid.format(x="block")) - 1e-7).cast("int").alias("deadline"),
+    place in the list of sources.
+
+    A source of weight w (of 1) has done x of its b blocks at virtual time x / w, and the fluid mix
+    has then reached slot F(t) = sum of min(w t, b) over all sources: the blocks of those that have
+    run out, and t times the weight of the others. Both are running sums over all block ends in
+    order of t."""
+    whole = W.partitionBy()
+    sized = stats.select("source", "n", (F.col("weight") / F.sum("weight").over(whole)).alias("w"), F.greatest(F.lit(1), F.ceil(F.sum("n").over(whole) / F.lit(total_blocks))).cast("long").alias("block_rows"))
+    sized = sized.withColumn("b", F.ceil(F.col("n") / F.col("block_rows")).cast("int")).withColumn("k", F.row_number().over(whole.orderBy("source")) - 1)
+    ends = sized.withColumn("block", F.explode(F.expr("sequence(0, b)"))).withColumn("t", F.col("block") / F.col("w"))
+    upto = whole.orderBy("t")  # up to t, all that ties with it
+    out_of_rows = F.col("block") == F.col("b")
+    done = F.sum(F.when(out_of_rows, F.col("b")).otherwise(0)).over(upto)
+    rate = F.greatest(1 - F.sum(F.when(out_of_rows, F.col("w")).otherwise(0.0)).over(upto), F.lit(0.0))
+    fluid = ends.withColumn("slot", done + F.col("t") * rate)
+    from_ = F.lag("slot").over(W.partitionBy("k").orderBy("block"))
+    return fluid.withColumn("from", from_).filter("block > 0").select(
+        "k", "source", "n", "block", "block_rows", F.floor(F.col("from") + 1e-7).cast("int").alias("release"), F.ceil(F.col("slot") - 1e-7).cast("int").alias("deadline")
     )
 
 
