@@ -12,7 +12,8 @@ for the pair, so no row ever holds more than a fragment of a document.
   ``n - ceil(t n) + w`` of each. Documents are posted under these, where frequent passages
   hardly ever occur, and compared only if they share w of them and sizes and positions allow
   enough overlap; w goes from 1 to 3 with the size (``witnesses``).
-* **Copies.** Documents of equal sets are one vertex, named by a 128-bit digest of the set. Under each n-gram, members are first
+* **Copies.** Documents of equal sets are one vertex, named by half of a 128-bit digest of the set,
+  or by the other half where sets that differ agree in the first. Under each n-gram, members are first
   compared with one leader, and only members of different classes need any further comparison,
   so a group of near copies costs about its size and not its square. After the leader rounds
   every remaining pair of members of different classes is compared. Hence no link that would
@@ -146,9 +147,14 @@ def fragment_starts(levels: np.ndarray) -> np.ndarray:
     return np.stack([np.cumsum(share) - share, share])
 
 
+def _halves(digests: list[bytes]) -> np.ndarray:
+    """The halves of 128-bit digests, as two rows of integers."""
+    return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T.copy()
+
+
 def signatures(docs: DataFrame, text_col: str, q: int, num: int, den: int, levels) -> DataFrame:
-    """The other columns of ``docs`` and ``n, fp, prefix``: the size of the set, a 128-bit digest of
-    it, and the n-grams that begin it in the global order."""
+    """The other columns of ``docs`` and ``n, v, w, prefix``: the size of the set, the halves of a
+    128-bit digest of it, and the n-grams that begin it in the global order."""
     own = [f for f in docs.schema.fields if f.name != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,19 +163,19 @@ def signatures(docs: DataFrame, text_col: str, q: int, num: int, den: int, level
         memo, level = _Memo(), levels.value
         shift = np.uint64(64 - SKETCH_BITS)
         for b in _slices(batches):
-            sizes, fps, firsts = [], [], []
+            sizes, digests, firsts = [], [], []
             for s in shingle_sets(_column(b, text_col), q, memo):
                 n = len(s)
                 sizes.append(n)
-                fps.append(xxhash.xxh3_128_digest(s.tobytes()))
+                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 take = min(n, n - -(-num * n // den) + 1 + min(2, n // 60)) if n else 0
                 rank = (level[(s >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                 firsts.append(s[np.argsort(rank, kind="stable")[:take]].view(np.int64))
             offsets = np.cumsum([0, *map(len, firsts)])
             prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(firsts)))
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in own), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), prefix], [*(f.name for f in own), "n", "fp", "prefix"])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in own), pa.array(sizes, pa.int64()), *(pa.array(x) for x in _halves(digests)), prefix], [*(f.name for f in own), "n", "v", "w", "prefix"])
 
-    added = T._parse_datatype_string("n long, fp binary, prefix array<long>")
+    added = T._parse_datatype_string("n long, v long, w long, prefix array<long>")
     return docs.mapInArrow(run, T.StructType([*own, *added.fields]))
 
 
@@ -210,37 +216,58 @@ class Join:
         sc = docs.sparkSession.sparkContext
         levels = frequency_levels(self.docs, "text", q)
         self.levels, self.starts = sc.broadcast(levels), sc.broadcast(fragment_starts(levels))
-        self.sigs = self.stash(signatures(self.docs, "text", q, num, den, self.levels), "signatures")
-        full = self.sigs.filter("n > 0")
-        self.classes = self.stash(full.groupBy("fp").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.min("k").alias("k")), "classes")
-        self.members = self._members(full)
+        raw = self.stash(signatures(self.docs, "text", q, num, den, self.levels), "signatures")
+        self.twins = frozenset()
+        self.classes = self._classes(raw)
+        # of n sets some n^2 / 2^65 pairs agree in the first half: none, or very few
+        twins = [r["v"] for r in self.classes.filter("lo <> hi").select("v").collect()]
+        if twins:
+            self.twins = frozenset(twins)
+            raw = raw.withColumn("v", F.when(F.col("v").isin(twins), F.col("w")).otherwise(F.col("v")))
+            self.classes = self._classes(raw)
+        self.rows = self.stash(raw.drop("prefix", "k", "w"), "rows")
+        self.drop("signatures")
+        self.members = self._members()
+
+    def _classes(self, sigs: DataFrame) -> DataFrame:
+        """One row a set, with the least id and one row that has it. Copies meet before the shuffle."""
+        own = [F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.min("k").alias("k"), F.min("w").alias("lo"), F.max("w").alias("hi"), F.first("prefix").alias("prefix")]
+        return self.stash(sigs.filter("n > 0").groupBy("v").agg(*own), "classes")
 
     def stash(self, df: DataFrame, name: str) -> DataFrame:
         return stash(df, name, self.paths)
 
+    def drop(self, *names: str) -> None:
+        """Delete what was written under these names."""
+        gone = [p for p in self.paths if p.rsplit("/", 1)[1].rsplit("-", 1)[0] in names]
+        self.paths = [p for p in self.paths if p not in gone]
+        discard(self.docs.sparkSession, gone)
+
     def close(self) -> None:
         discard(self.docs.sparkSession, self.paths)
         self.levels.unpersist()
         self.starts.unpersist()
 
-    def _members(self, full: DataFrame) -> DataFrame:
-        """``key, fp, n, cap``: postings under n-grams that two or more documents have. cap is the
+    def _members(self) -> DataFrame:
+        """``key, v, n, cap``: postings under n-grams that two or more sets have. cap is the
         largest set that can be linked, if less than w n-grams before this one are common: the
         overlap is then at most w - 1 and what is left of the set. A linked pair x, y meets its
-        first w common n-grams with ``y.n <= x.cap`` and ``x.n <= y.cap``."""
-        keys = full.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+        first w common n-grams with ``y.n <= x.cap`` and ``x.n <= y.cap``. Postings stay out that
+        no other of their key can meet so: exactly where a key has two, else by the least n and
+        the greatest cap of the key."""
+        keys = self.classes.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
         shared = self.stash(_bitmap(keys, "key"), "shared")
-        posts = full.select("fp", "k", "n", F.posexplode("prefix").alias("pos", "key"))
-        kept = _in_bitmap(posts, "key", shared)
-        # one row stands for a class
-        v = self.classes.select(F.col("fp").alias("_fp"), F.col("k").alias("_k"))
-        cap = F.expr(f"((n - pos + {witnesses('n')} - 1) * {self.num + self.den}) div {self.num} - n")
-        return self.stash(kept.join(v, (kept["fp"] == v["_fp"]) & (kept["k"] == v["_k"]), "left_semi").select("key", "fp", F.col("n").cast("int").alias("n"), cap.cast("int").alias("cap")).distinct(), "members")
-
-    def segments(self, fps: DataFrame) -> DataFrame:
-        """``fp, frag, tokens`` of the sets in ``fps`` (column fp), and of few others. One text of
+        cap = F.expr(f"((n - pos + {witnesses('n')} - 1) * {self.num + self.den}) div {self.num} - n").cast("int").alias("cap")
+        posts = self.classes.select("v", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "key"))
+        kept = _in_bitmap(posts, "key", shared).select("key", "v", "n", cap)
+        sums = kept.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n1"), F.max("cap").alias("m1"), F.sum("n").alias("sn"), F.sum("cap").alias("sc")).filter("c > 1")
+        met = kept.join(sums, "key").filter("if(c = 2, cap >= sn - n and n <= sc - cap, cap >= n1 and n <= m1)")
+        return self.stash(met.select("key", "v", "n", "cap"), "members")
+
+    def segments(self, wanted: DataFrame) -> DataFrame:
+        """``v, frag, tokens`` of the sets in ``wanted`` (column v), and of few others. One text of
         each is read again."""
-        q, levels, starts, frags = self.q, self.levels, self.starts, FRAGMENTS
+        q, levels, starts, frags, twins = self.q, self.levels, self.starts, FRAGMENTS, self.twins
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import xxhash
@@ -248,51 +275,55 @@ class Join:
             memo, level, (before, share) = _Memo(), levels.value, starts.value
             shift = np.uint64(64 - SKETCH_BITS)
             for b in _slices(batches):
-                fps, which, tokens = [], [], []
+                digests, count, which, tokens = [], [], [], []
                 for s in shingle_sets(_column(b, "text"), q, memo):
                     lv = level[(s >> shift).astype(np.int64)]
                     place = before[lv] + share[lv] * (s.astype(np.float64) / 2.0**64)
                     frag = np.minimum(frags - 1, (place * frags).astype(np.int64))
-                    fp = xxhash.xxh3_128_digest(s.tobytes())
-                    for f in np.unique(frag).tolist():
-                        fps.append(fp)
-                        which.append(f)
-                        tokens.append(s[frag == f].view(np.int64))
+                    own = np.unique(frag).tolist()
+                    digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    count.append(len(own))
+                    which += own
+                    tokens += [s[frag == f].view(np.int64) for f in own]
+                v, w = _halves(digests)
+                if twins:
+                    v = np.where(np.isin(v, list(twins)), w, v)
                 offsets = np.cumsum([0, *map(len, tokens)])
                 flat = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(which, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["fp", "frag", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(v, count)), pa.array(which, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["v", "frag", "tokens"])
 
-        rows = self.classes.join(fps.distinct(), "fp", "left_semi")
-        wanted = _in_bitmap(self.docs.select("text", "k"), "k", self.stash(_bitmap(rows, "k"), "wanted"))
-        cut = wanted.select("text").mapInArrow(run, "fp binary, frag int, tokens array<long>")
-        return cut.groupBy("fp", "frag").agg(F.first("tokens").alias("tokens"))  # equal sets have equal tokens
+        rows = self.classes.join(wanted.distinct(), "v", "left_semi")
+        texts = _in_bitmap(self.docs.select("text", "k"), "k", self.stash(_bitmap(rows, "k"), "wanted"))
+        cut = texts.select("text").mapInArrow(run, "v long, frag int, tokens array<long>")
+        return cut.groupBy("v", "frag").agg(F.first("tokens").alias("tokens"))  # equal sets have equal tokens
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``a, b, na, nb`` whose overlap, summed over fragments, makes them linked."""
-        fps = pairs.select(F.explode(F.array("a", "b")).alias("fp"))
-        segs = self.stash(self.segments(fps), "segments")
-        left = pairs.join(segs.select(F.col("fp").alias("a"), "frag", F.col("tokens").alias("ta")), "a")
-        both = left.join(segs.select(F.col("fp").alias("b"), "frag", F.col("tokens").alias("tb")), ["b", "frag"])
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("v"))
+        segs = self.stash(self.segments(ends), "segments")
+        left = pairs.join(segs.select(F.col("v").alias("a"), "frag", F.col("tokens").alias("ta")), "a")
+        both = left.join(segs.select(F.col("v").alias("b"), "frag", F.col("tokens").alias("tb")), ["b", "frag"])
         partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("o"))
         summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
         return summed.filter(F.expr(f"o * {self.num + self.den} >= {self.num} * (na + nb)")).select("a", "b")
 
     def classes_of(self) -> DataFrame:
-        """``fp, comp`` of the sets that have links; comp is the least digest of the class."""
+        """``v, comp`` of the sets that have links; comp is the least of the class."""
         spark = self.docs.sparkSession
-        comps = spark.createDataFrame([], "fp binary, comp binary")
-        tried = spark.createDataFrame([], "a binary, b binary")
-        central = F.max(F.struct("cap", "fp", "n", "comp"))
-        first = F.min(F.struct("fp", "n", "cap", "comp"))
+        comps = spark.createDataFrame([], "v long, comp long")
+        tried = spark.createDataFrame([], "a long, b long")
+        central = F.max(F.struct("cap", "v", "n", "comp"))
+        first = F.min(F.struct("v", "n", "cap", "comp"))
         for leader in (central, first, None):
-            m = self.members.join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+            m = self.members.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
             pairs = self._all_pairs(m) if leader is None else self._leader_pairs(m, leader)
             pairs = self.stash(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
             if pairs.limit(1).count() == 0:
                 continue
-            links = self.verify(pairs)
+            links = self.stash(self.verify(pairs), "links")
+            self.drop("segments", "wanted", "live")
             tried = tried.unionByName(pairs.select("a", "b"))
-            comps = components(links.unionByName(comps.select(F.col("fp").alias("a"), F.col("comp").alias("b"))), self.paths).select(F.col("node").alias("fp"), "comp")
+            comps = components(links.unionByName(comps.select(F.col("v").alias("a"), F.col("comp").alias("b"))), self.paths).select(F.col("node").alias("v"), "comp")
         return comps
 
     def _leader_pairs(self, m: DataFrame, leader: Column) -> DataFrame:
@@ -300,11 +331,11 @@ class Join:
         keys that are of another class and that it may be linked with."""
         lead = m.groupBy("key").agg(leader.alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
         met = m.join(lead.select("key", "l"), "key").filter("comp <> l.comp and n <= l.cap and l.n <= cap")
-        votes = met.groupBy("fp", F.col("l.fp").alias("lead"), "n", F.col("l.n").alias("ln")).agg(F.count(F.lit(1)).alias("votes")).filter(f"votes >= {witnesses('least(n, ln)')}")
-        best = votes.groupBy("fp").agg(F.max(F.struct("votes", "lead", "n", "ln")).alias("v"))
-        small = F.least("fp", "v.lead")
-        own = F.col("fp") == small
-        return best.select(small.alias("a"), F.greatest("fp", "v.lead").alias("b"), F.when(own, F.col("v.n")).otherwise(F.col("v.ln")).alias("na"), F.when(own, F.col("v.ln")).otherwise(F.col("v.n")).alias("nb")).distinct()
+        votes = met.groupBy("v", F.col("l.v").alias("lead"), "n", F.col("l.n").alias("ln")).agg(F.count(F.lit(1)).alias("votes")).filter(f"votes >= {witnesses('least(n, ln)')}")
+        best = votes.groupBy("v").agg(F.max(F.struct("votes", "lead", "n", "ln")).alias("l"))
+        small = F.least("v", "l.lead")
+        own = F.col("v") == small
+        return best.select(small.alias("a"), F.greatest("v", "l.lead").alias("b"), F.when(own, F.col("l.n")).otherwise(F.col("l.ln")).alias("na"), F.when(own, F.col("l.ln")).otherwise(F.col("l.n")).alias("nb")).distinct()
 
     def _all_pairs(self, m: DataFrame) -> DataFrame:
         """All pairs of members of different classes that may be linked under a common n-gram.
@@ -320,18 +351,18 @@ class Join:
         # the smallest and the largest among classes other than those of the heads
         seconds = kc.join(heads, "key").groupBy("key").agg(F.min(F.expr("if(comp = c1, null, mn)")).alias("n2"), F.max(F.expr("if(comp = d1, null, mc)")).alias("m2"))
         live = m.join(heads.join(seconds, "key"), "key").filter("cap >= if(comp = c1, n2, n1) and n <= if(comp = d1, m2, m1)")
-        live = self.stash(live.select("key", "fp", "n", "cap", "comp"), "live")
+        live = self.stash(live.select("key", "v", "n", "cap", "comp"), "live")
         lc = live.groupBy("key", "comp", "n").agg(F.max("cap").alias("mc"))
         meet = lc.alias("x").join(lc.alias("y"), "key").filter("x.comp < y.comp and x.n <= y.mc and y.n <= x.mc").select("key", F.col("x.comp").alias("cx"), F.col("x.n").alias("nx"), F.col("y.comp").alias("cy"), F.col("y.n").alias("ny"))
         groups = ["cx", "nx", "cy", "ny"]
         often = meet.groupBy(*groups).agg(F.count(F.lit(1)).alias("w")).filter(f"w >= {witnesses('least(nx, ny)')}")
         meet = meet.join(often.select(*groups), groups, "left_semi")
-        x = live.select("key", F.col("comp").alias("cx"), F.col("n").alias("nx"), F.struct("fp", "n", "cap").alias("x"))
-        y = live.select("key", F.col("comp").alias("cy"), F.col("n").alias("ny"), F.struct("fp", "n", "cap").alias("y"))
+        x = live.select("key", F.col("comp").alias("cx"), F.col("n").alias("nx"), F.struct("v", "n", "cap").alias("x"))
+        y = live.select("key", F.col("comp").alias("cy"), F.col("n").alias("ny"), F.struct("v", "n", "cap").alias("y"))
         met = meet.join(x, ["key", "cx", "nx"]).filter("ny <= x.cap").join(y, ["key", "cy", "ny"]).filter("nx <= y.cap")
-        flip = F.expr("x.fp > y.fp")
+        flip = F.expr("x.v > y.v")
         pick = lambda f: (F.when(flip, F.col(f"y.{f}")).otherwise(F.col(f"x.{f}")), F.when(flip, F.col(f"x.{f}")).otherwise(F.col(f"y.{f}")))
-        (a, b), (na, nb) = pick("fp"), pick("n")
+        (a, b), (na, nb) = pick("v"), pick("n")
         shared = met.select(a.alias("a"), b.alias("b"), na.alias("na"), nb.alias("nb")).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("w"))
         return shared.filter(f"w >= {witnesses('least(na, nb)')}").drop("w")
 
@@ -339,7 +370,7 @@ class Join:
 def jaccard_classes(docs: DataFrame, q: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id, class`` for every row: the size of its n-gram set, the
     smallest id that links reach from it, where sets with ``den * |x & y| >= num * |x | y|`` are
-    linked, and the name of its class (a digest; null for an empty set). ``carry``: columns of
+    linked, and a number that names its class (null for an empty set). ``carry``: columns of
     ``docs`` that come along under their own names.
 
     A row stands for its own text: rows that repeat an id with different texts may be in different
@@ -351,10 +382,10 @@ def jaccard_classes(docs: DataFrame, q: int = 5, num: int = 80, den: int = 100,
     carry = carry or []
     join = Join(docs, id_col, text_col, q, num, den, carry)
     comps = join.classes_of()
-    named = join.classes.join(comps, "fp", "left").select("fp", "rep", F.coalesce("comp", "fp").alias("class"))
+    named = join.classes.join(comps, "v", "left").select("v", "rep", F.coalesce("comp", "v").alias("class"))
     ids = named.groupBy("class").agg(F.min("rep").alias("component_id"))
-    out = join.sigs.drop("prefix", "k").join(named.join(ids, "class").select("fp", "component_id", "class"), "fp", "left")
+    out = join.rows.join(named.join(ids, "class").select("v", "component_id", "class"), "v", "left")
     some = F.col("n") > 0
-    done = stash(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.lower(F.hex("class"))).alias("class"), *[F.col(f"c_{c}").alias(c) for c in carry]), "ngram-classes")
+    done = stash(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("class")).alias("class"), *[F.col(f"c_{c}").alias(c) for c in carry]), "ngram-classes")
     join.close()
     return done
