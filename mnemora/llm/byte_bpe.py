@@ -30,7 +30,7 @@ from .common import bounded_batches
 
 #: Entries of a task's word cache; it is emptied when full. Longer pre-tokens than ``CACHE_BYTES``
 #: aren't kept.
-CACHE_WORDS, CACHE_BYTES = 400_000, 64
+CACHE_WORDS, CACHE_BYTES = 250_000, 64
 #: Ranks in a word of the lower bitmap.
 WORD = 256
 

@@ -40,7 +40,7 @@ LANES = 64
 CHAIN = 128
 #: Words whose emissions a task remembers; longer ones than ``MEMO_CHARS`` aren't kept from one
 #: slice of rows to the next.
-MEMO_WORDS, MEMO_CHARS = 200_000, 64
+MEMO_WORDS, MEMO_CHARS = 100_000, 64
 UND = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _P = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)

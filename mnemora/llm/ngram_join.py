@@ -43,7 +43,7 @@ SKETCH_BITS, SKETCH_PARTS = 22, 64
 BITMAP_BITS = 24
 FRAGMENTS = 8
 #: Words whose hashes a task remembers.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
