@@ -9,8 +9,10 @@ A row that has met ``c`` of the ``d`` dimensions has the score it has gathered,
 all but a few rows are out; those that may be in are scored again from their full vectors, so
 the result is exact. Without such a proof the walk goes through to the end.
 
-Queries travel in blocks of about ``block_rows``; each block meets each shard once, and only k
-rows for each query and shard come out. No task holds more than one shard and one block.
+A shard's index is built once, in one task, and blocks of about ``block_rows`` queries stream past
+it; only k rows for each query and shard come out. A first pass lets each query meet one shard;
+the k-th score that it finds there is a floor that the query takes along to all shards, so that
+most of a shard is out early. No task holds more than one shard and one block.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 #: Impact levels of a dimension in a shard.
 LEVELS = 32
 #: Thresholds of the walk, as parts of the largest product; behind the last comes everything.
-STEPS = (0.4, 0.25, 0.16, 0.1, 0.06, 0.035, 0.02)
+STEPS = (0.5, 0.4, 0.32, 0.25, 0.2, 0.16, 0.13, 0.1, 0.08, 0.06, 0.045, 0.035, 0.025, 0.02)
+#: A score below all.
+LOWEST = -(1 << 62)
 
 
 class Shard:
@@ -35,6 +39,8 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         self.ids, self.vectors = ids, vectors
+        self.first = np.zeros(len(ids), bool)  # the first row of each id
+        self.first[np.unique(ids, return_index=True)[1]] = True
         size = np.abs(vectors)
         self.order = np.argsort(-size, axis=0, kind="stable").T.copy()  # d x n
         self.values = np.take_along_axis(vectors.T, self.order, 1)
@@ -47,16 +53,16 @@ class Shard:
         starts = np.concatenate([np.zeros((len(impact), 1), int), self.ends[:, :-1]], axis=1)
         self.peaks = np.take_along_axis(padded, starts, 1)  # the largest impact of a segment, or of what follows
 
-    def search(self, query_id: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (id, score), best first, ties to smaller ids; rows of the query's own id
-        take no part."""
+    def search(self, query_id: int, q: np.ndarray, k: int, floor: int = LOWEST) -> list[tuple[int, int]]:
+        """The k best (id, score) of those with at least the score ``floor``, best first, ties to
+        smaller ids; rows of the query's own id take no part, and an id that has several rows has
+        its best score."""
         n, d = self.vectors.shape
-        other = self.ids != query_id
         acc, met = np.zeros(n, np.int64), np.zeros(n, np.int64)
         weight = np.abs(q)
         bound = weight[:, None] * self.peaks  # d x levels, descending in a row
         done = np.zeros(d, int)
-        alive = np.nonzero(other)[0]
+        alive = np.nonzero(self.ids != query_id)[0]
         if len(alive) > k and d:
             largest = int(bound[:, 0].max())
             for step in STEPS:
@@ -71,14 +77,19 @@ class Shard:
                         done[i] = stop
                 rest = np.where(upto < LEVELS, bound[np.arange(d), np.minimum(upto, LEVELS - 1)], 0).max()
                 slack = (d - met[alive]) * rest
-                low = acc[alive] - slack
-                kth = np.partition(low, len(low) - k)[len(low) - k]
-                alive = alive[acc[alive] + slack >= kth]  # a row that is out stays out
+                low = (acc[alive] - slack)[self.first[alive]]
+                if len(low) >= k:  # so many different ids reach this score
+                    floor = max(floor, int(np.partition(low, len(low) - k)[len(low) - k]))
+                alive = alive[acc[alive] + slack >= floor]  # a row that is out stays out
                 if len(alive) <= max(8 * k, n // 64):
                     break
         scores = self.vectors[alive] @ q
-        best = np.lexsort((self.ids[alive], -scores))[:k]
-        return [(int(self.ids[alive[i]]), int(scores[i])) for i in best]
+        best: dict[int, int] = {}
+        for i in np.lexsort((self.ids[alive], -scores)).tolist():
+            if len(best) == k or scores[i] < floor:
+                break
+            best.setdefault(int(self.ids[alive[i]]), int(scores[i]))
+        return list(best.items())
 
 
 def _vectors(flat: bytes, n: int) -> np.ndarray:
@@ -94,42 +105,57 @@ def quantise(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
 
 
 def top_k(items: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 8192, block_rows: int = 512) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k best rows of ``items`` (id, v) for each row of
+    """``query_id, rank, vec_id, score``: the k best ids of ``items`` (id, v) for each id of
     ``queries`` (id, v), by integer inner product; ties go to the smaller id.
 
     An item of the query's own id is no candidate. Only vectors of the same length are compared.
-    Repeated rows are candidates of their own. Components must stay below 2^28 in size, so that
-    scores fit 64 bits. Empty inputs give no rows.
+    The score of two ids is the greatest that rows of them have, so repeated rows change nothing.
+    Components must stay below 2^28 in size, so that scores fit 64 bits; larger ones are an error.
+    Empty inputs give no rows; extra columns are left out.
     """
+    items, queries = (x.select("id", F.expr(f"if(forall(v, c -> abs(c) < {1 << 28}), v, raise_error('a component is too large'))").alias("v")).dropDuplicates(["id", "v"]) for x in (items, queries))
     n_items, n_queries = (x.count() for x in (items, queries))
     n_shards, n_blocks = max(1, -(-n_items // shard_rows)), max(1, -(-n_queries // block_rows))
+    dealt = lambda n: F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(n)).cast("int")
 
-    def dealt(df: DataFrame, n: int, name: str) -> DataFrame:
-        """One row a part and vector length: ids and vectors as bytes."""
-        width = F.size("v").alias("width")
+    def packed(df: DataFrame, keys: list[str]) -> DataFrame:
+        """One row for each of ``keys`` and vector length: ids, floors and vectors as bytes."""
+        names = [*keys, "width"]
 
         def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             flat = np.concatenate([np.asarray(x, "<i8") for x in pdf["v"]])
-            return pd.DataFrame({name: [key[0]], "width": [key[1]], f"{name}_n": [len(pdf)], f"{name}_ids": [pdf["id"].to_numpy("<i8").tobytes()], f"{name}_flat": [flat.tobytes()]})
+            return pd.DataFrame({**{c: [x] for c, x in zip(names, key, strict=True)}, "ids": [pdf["id"].to_numpy("<i8").tobytes()], "floors": [pdf["floor"].to_numpy("<i8").tobytes()], "flat": [flat.tobytes()]})
 
-        part = F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(n)).cast("int").alias(name)
-        return df.select("id", "v", part, width).groupBy(name, "width").applyInPandas(pack, f"{name} int, width int, {name}_n int, {name}_ids binary, {name}_flat binary")
+        return df.select("id", "v", "floor", *keys, F.size("v").alias("width")).groupBy(*names).applyInPandas(pack, ", ".join(f"{c} int" for c in names) + ", ids binary, floors binary, flat binary")
 
-    shards = dealt(items, n_shards, "shard")
-    blocks = dealt(queries, n_blocks, "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
-    # one row for each block and shard, dealt evenly over the tasks
-    meetings = shards.join(blocks, ["shard", "width"]).repartition(max(1, n_shards * n_blocks), "shard", "block")
+    shards = packed(items.select("id", "v", F.lit(0).cast("long").alias("floor"), dealt(n_shards).alias("shard")), ["shard"]).withColumn("block", F.lit(-1))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, shard = None, None
         for b in batches:
             for r in range(b.num_rows):
                 row = {c: b.column(i)[r].as_py() for i, c in enumerate(b.schema.names)}
-                shard = Shard(np.frombuffer(row["shard_ids"], "<i8"), _vectors(row["shard_flat"], row["shard_n"]))
-                out: list[tuple[int, int, int]] = []
-                for query_id, q in zip(np.frombuffer(row["block_ids"], "<i8").tolist(), _vectors(row["block_flat"], row["block_n"]), strict=True):
-                    out += [(query_id, i, s) for i, s in shard.search(query_id, q, k)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
-
-    found = meetings.mapInArrow(search, "query_id long, vec_id long, score long")
+                ids = np.frombuffer(row["ids"], "<i8")
+                vectors = _vectors(row["flat"], len(ids))
+                if row["block"] < 0:
+                    held, shard = (row["shard"], row["width"]), Shard(ids, vectors)
+                elif held == (row["shard"], row["width"]):
+                    floors = np.frombuffer(row["floors"], "<i8").tolist()
+                    out = [(i, *x) for i, q, floor in zip(ids.tolist(), vectors, floors, strict=True) for x in shard.search(i, q, k, floor)]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
+
+    def meet(blocks: DataFrame) -> DataFrame:
+        """Each shard in one task, before its blocks: built once, then they stream past."""
+        both = shards.unionByName(blocks).repartition(n_shards, "shard").sortWithinPartitions("shard", "width", "block")
+        return both.mapInArrow(search, "query_id long, vec_id long, score long")
+
+    start = queries.withColumn("floor", F.lit(LOWEST).cast("long"))
+    own = packed(start.select("id", "v", "floor", F.pmod(F.xxhash64(F.lit("own"), "id"), F.lit(n_shards)).cast("int").alias("shard"), dealt(n_blocks).alias("block")), ["shard", "block"])
+    floors = meet(own).groupBy("query_id").agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("floor")).filter(F.col("c") == k).select(F.col("query_id").alias("id"), "floor")
+    # an id that has several query vectors has no floor of its own in one of them: it goes without
+    single = queries.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("id")
+    floored = queries.join(floors.join(single, "id"), "id", "left").withColumn("floor", F.coalesce("floor", F.lit(LOWEST)))
+    blocks = packed(floored.withColumn("block", dealt(n_blocks)), ["block"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
+    found = meet(blocks).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
