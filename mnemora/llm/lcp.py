@@ -7,10 +7,12 @@ phrases, and a phrase's name is a hash of its symbols, the string of the next le
 symbol become one symbol first. A cut depends only on a few symbols around it, so equal
 substrings are parsed alike but near their ends, wherever they stand.
 
-The fingerprint holds the ``KEEP`` smallest names of the ``LEVEL``-th level (texts that are too
-short for it: of the last level that has some), as hex, with the level in front. The likeness
-of two fingerprints estimates the share of the phrases of both that are common (Jaccard). A
-fingerprint of a text depends on that text alone.
+The fingerprint holds the ``KEEP`` smallest names of the highest level up to ``LEVEL`` at which the
+text has ``ENOUGH`` phrases (a short text: of the first level), and half as many of the level below,
+as hex, with the levels in front. So texts of unlike length have a level in common unless one is
+many times as long. The likeness of two fingerprints estimates the share of the phrases of both
+that are common (Jaccard), at the highest level that both have. A fingerprint of a text depends on
+that text alone.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ import numpy as np
 
 from .common import bounded_batches
 
-#: Level whose names are kept (phrases of some 30 code points), names kept, coin-tossing rounds.
-LEVEL, KEEP, TOSSES = 4, 64, 3
+#: Highest level whose names are kept (phrases of some 30 code points), phrases that a text must have
+#: there, names kept, coin-tossing rounds.
+LEVEL, ENOUGH, KEEP, TOSSES = 4, 8, 64, 3
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 #: Factors by place in a phrase (a longer phrase goes round).
 _PLACES = 256
@@ -98,7 +101,7 @@ def next_level(symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.n
     step -= np.repeat(starts.astype(np.int32), np.diff(starts, append=n))
     if n and int(step.max()) >= _PLACES:
         step %= _PLACES
-    return _mix(np.add.reduceat(_FACTOR[step] * (symbols + _C), starts)), owner[starts]
+    return _mix(np.add.reduceat(_FACTOR[step] * (symbols + _C), starts, dtype=np.uint32)), owner[starts]
 
 
 def _fingerprints(texts: list[str]) -> list[str]:
@@ -106,24 +109,32 @@ def _fingerprints(texts: list[str]) -> list[str]:
     symbols = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     best: list[str] = [""] * len(texts)
+    last: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []  # level, hashed names, ends and counts by text, of two levels
+
+    def kept(i: int) -> str:
+        out = []
+        for (level, hashed, ends, counts), keep in zip(reversed(last), (KEEP, KEEP // 2)):
+            names = np.unique(hashed[ends[i] - counts[i] : ends[i]])[:keep]
+            out.append(f"{level:x}:" + names.astype(">u4").tobytes().hex())
+        return "|".join(out)
+
     level = 0
     while len(symbols):
+        symbols, owner = next_level(symbols, owner)
+        level += 1
         counts = np.bincount(owner, minlength=len(texts))
-        final = level == LEVEL
-        # a text that has come down to one phrase before is named on that level
-        wanted = np.flatnonzero(counts if final else counts == 1)
-        if len(wanted):
-            hashed, ends = _mix(symbols + _B), np.cumsum(counts)
-            for i in wanted.tolist():
-                names = np.unique(hashed[ends[i] - counts[i] : ends[i]])[:KEEP]
-                best[i] = f"{level:x}:" + names.astype(">u4").tobytes().hex()
-            if final:
-                break
-            keep = ~np.isin(owner, wanted)
+        if level > 1:  # what has too few phrases here is named by the levels before
+            short = np.flatnonzero((counts > 0) & (counts < ENOUGH))
+            for i in short.tolist():
+                best[i] = kept(i)
+            keep = ~np.isin(owner, short)
             symbols, owner = symbols[keep], owner[keep]
-        if len(symbols):
-            symbols, owner = next_level(symbols, owner)
-        level += 1
+            counts[short] = 0
+        last = [*last[-1:], (level, _mix(symbols + _B), np.cumsum(counts), counts)]
+        if level == LEVEL:
+            for i in np.flatnonzero(counts).tolist():
+                best[i] = kept(i)
+            break
     return best
 
 
@@ -142,27 +153,35 @@ def fingerprints(texts: list[str], chunk: int = 1 << 18) -> Iterator[str]:
         yield from _fingerprints(part)
 
 
-def names_of(fingerprint: str) -> tuple[str, frozenset[str]]:
-    level, _, raw = fingerprint.partition(":")
-    return level, frozenset(raw[i : i + 8] for i in range(0, len(raw), 8))
+def names_of(fingerprint: str) -> dict[str, list[str]]:
+    """Names by level, in ascending order."""
+    out = {}
+    for part in fingerprint.split("|") if fingerprint else ():
+        level, _, raw = part.partition(":")
+        out[level] = [raw[i : i + 8] for i in range(0, len(raw), 8)]
+    return out
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1. Both empty: 1; fingerprints of different levels share nothing. The estimate is
-    taken over the KEEP smallest names of both."""
+    """0 to 1. Both empty: 1; fingerprints without a common level share nothing. The estimate is
+    taken over the smallest names of both, as many as both keep."""
     if a == b:
         return 1.0
-    (la, x), (lb, y) = names_of(a), names_of(b)
-    if la != lb or not x or not y:
+    x, y = names_of(a), names_of(b)
+    both = x.keys() & y.keys()
+    if not both:
         return 0.0
-    both = sorted(x | y)[:KEEP]
-    common = x & y
-    return sum(v in common for v in both) / len(both)
+    level = max(both)
+    keep = min(KEEP if level == max(n) else KEEP // 2 for n in (x, y))
+    p, q = set(x[level][:keep]), set(y[level][:keep])
+    smallest = sorted(p | q)[:keep]
+    return sum(v in p and v in q for v in smallest) / len(smallest)
 
 
 def fingerprint(docs, text_col: str = "text", out_col: str = "fingerprint"):
-    """Add the fingerprint of every whole text (null: as empty). Rows are handled where they are
-    read; other columns pass through, and a column named ``out_col`` is replaced."""
+    """Add the fingerprint of every whole text (null: as empty, ``''``). Rows are handled where they
+    are read, repeated rows alike; an empty table stays empty; other columns pass through, and a
+    column named ``out_col`` is replaced."""
     import pyarrow as pa
     from pyspark.sql import types as T
 
@@ -191,10 +210,12 @@ def compare_with_next(docs, id_col: str = "doc_id", text_col: str = "text", part
     """For every row, its fingerprint, that of its edited text (``edited`` with the next row's
     text, in descending order of ids, the first after the last), and the likeness to both.
 
-    Ids are cut into ranges by quantiles, about four for each of ``parts`` tasks. The rows of a
-    range meet in order in one task, with a copy of the row that follows the range; so the text
-    is shuffled once, and no task sees more than its ranges. Rows that repeat an id follow each
-    other by the hash of their texts; rows without id come last. A single row follows itself.
+    Ids are cut into ranges by quantiles, about four for each of ``parts`` tasks; an id that repeats
+    so often that it spans quantiles, and the rows without id, are cut again by hashes of their
+    texts. The rows of a range meet in order in one task, with a copy of the row that follows the
+    range; so the text is shuffled once, and no task sees more than its ranges. Rows that repeat an
+    id follow each other by the hash of their texts; rows without id come last, in the same order.
+    A single row follows itself. Extra columns are left out; an empty table gives no rows.
     """
     import hashlib
 
@@ -207,7 +228,8 @@ def compare_with_next(docs, id_col: str = "doc_id", text_col: str = "text", part
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     cuts = ids.agg(F.percentile_approx("doc_id", [i / (4 * parts) for i in range(1, 4 * parts)], 20_000)).first()[0]
-    cuts = np.unique(np.array(cuts or [], dtype=np.int64))
+    cuts, uses = np.unique(np.array(cuts or [], dtype=np.int64), return_counts=True)
+    hot = cuts[uses > 1]  # at most half of the quantiles
 
     def range_of(c: str):
         """How many cuts lie below an id, plus 1 (null: 0): first among every g-th cut, then among
@@ -220,18 +242,25 @@ def compare_with_next(docs, id_col: str = "doc_id", text_col: str = "text", part
         fine = f"size(filter(slice({array(cuts)}, {coarse} * {g} + 1, {g}), x -> x < {c}))"
         return F.expr(f"if({c} is null, 0, {coarse} * {g} + {fine} + 1)")
 
-    ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("part", range_of("doc_id"))
-    # one row a range: the id that begins it, and the range before it, which needs a copy
-    heads = ids.withColumn("part", range_of("doc_id")).groupBy("part").agg(F.max("doc_id").alias("head"))
+    # within a range of one hot id, or of none, parts go by the hash, from the greatest down as parts go up
+    again = F.col("doc_id").isNull()
+    if len(hot):
+        again = again | F.col("doc_id").isin([int(x) for x in hot])
+    sub = F.when(again, F.lit(4 * parts - 1) - F.floor((F.shiftright("order", 1) / F.lit(float(1 << 63)) + 0.5) * (4 * parts))).otherwise(0)
+    part = (range_of("doc_id").cast("long") * F.lit(1 << 20) + F.least(F.greatest(sub, F.lit(0)), F.lit((1 << 20) - 1))).cast("long")
+    ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    ranged = ranged.withColumn("order", F.xxhash64("text")).withColumn("part", part)
+    # one row a range: the row that begins it, and the range before it, which needs a copy
+    heads = ranged.groupBy("part").agg(F.max("doc_id").alias("head"), F.min(F.when(again, F.col("order"))).alias("low"))
     order = W.partitionBy(F.lit(0)).orderBy("part")
     heads = heads.withColumn("for", F.coalesce(F.lead("part").over(order), F.min("part").over(W.partitionBy(F.lit(0)))))
-    heads = heads.select(F.col("part").alias("_part"), F.col("head").alias("_head"), F.col("for").alias("_for"))
-    met = ranged.join(F.broadcast(heads), (ranged["part"] == heads["_part"]) & ranged["doc_id"].eqNullSafe(heads["_head"]), "left")
+    heads = heads.select(F.col("part").alias("_part"), F.col("head").alias("_head"), F.col("low").alias("_low"), F.col("for").alias("_for"))
+    met = ranged.join(F.broadcast(heads), (ranged["part"] == heads["_part"]) & ranged["doc_id"].eqNullSafe(heads["_head"]) & (~again | (ranged["order"] == heads["_low"])), "left")
     to = F.when(F.col("_part").isNull(), F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("copy")))).otherwise(
         F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("copy")), F.struct(F.col("_for").alias("part"), F.lit(1).alias("copy")))
     )
-    sent = met.select("doc_id", "text", F.explode(to).alias("to")).select("to.part", "to.copy", "doc_id", "text")
-    ordered = sent.repartition(parts, "part").sortWithinPartitions("part", "copy", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    sent = met.select("doc_id", "order", "text", F.explode(to).alias("to")).select("to.part", "to.copy", "doc_id", "text", "order")
+    ordered = sent.repartition(parts, "part").sortWithinPartitions("part", "copy", F.col("doc_id").desc_nulls_last(), "order").drop("order")
 
     def run(batches):
         held = None  # the row that still lacks its next one: part, id, text, fingerprint
