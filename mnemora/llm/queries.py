@@ -59,11 +59,13 @@ WITH good AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), items AS (
-  SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS d, len(v) AS width FROM good
-), scored AS (
+  SELECT r, vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS d, len(v) AS width FROM (SELECT *, row_number() OVER () AS r FROM good)
+), pairs AS (
   SELECT q.vec_id AS query_id, i.vec_id, sum(q.x * i.x)::BIGINT AS score
   FROM items q JOIN items i ON q.d = i.d AND q.width = i.width AND q.vec_id <> i.vec_id
-  WHERE q.vec_id % 50 = 0 GROUP BY ALL
+  WHERE q.vec_id % 50 = 0 GROUP BY q.r, i.r, q.vec_id, i.vec_id
+), scored AS (
+  SELECT query_id, vec_id, max(score) AS score FROM pairs GROUP BY ALL
 )
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
 FROM scored QUALIFY rank <= 5
@@ -150,18 +152,18 @@ def op8_html_mss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-def op9_ext_hash_shards(spark: SparkSession, sf_dir: str, limit_bytes: int = 64 << 20) -> DataFrame:
-    """The shard of every document, shards of at most 64 MiB of text."""
+def op9_ext_hash_shards(spark: SparkSession, sf_dir: str, limit_bytes: int = 1 << 20) -> DataFrame:
+    """The shard of every document, shards of at most 1 MiB of text (so that small tables split too)."""
     return ext_hash.extendible_shards(_table(spark, sf_dir, "documents"), limit_bytes=limit_bytes)
 
 
 OP9_SQL = """
 WITH h AS (
   SELECT doc_id, coalesce(octet_length(encode(text)), 0) AS bytes,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 15))::BIGINT AS h FROM documents
 ), nodes AS (
   SELECT d AS depth, h >> (60 - d) AS node, sum(bytes) AS shard_bytes, count(*) AS shard_docs
-  FROM h, range(0, 25) t(d) GROUP BY ALL HAVING sum(bytes) <= 67108864
+  FROM h, range(0, 25) t(d) GROUP BY ALL HAVING sum(bytes) <= 1048576
 ), placed AS (
   SELECT h.doc_id, h.bytes, min(n.depth) AS depth, any_value(h.h) AS h
   FROM h JOIN nodes n ON h.h >> (60 - n.depth) = n.node GROUP BY h.doc_id, h.bytes
