@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, with the scheme of the
+    file system that Spark finds it in. Where that is unset
     and all runs on one machine (tests), a new temporary folder, remembered in the session; on a
     cluster an error, since rows that executors write to their own disks would be lost."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -19,7 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return (whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole).rstrip("/")
 
 
 #: Bytes of an Arrow batch, where the session has Spark's own default of 64 MB: a Python worker
