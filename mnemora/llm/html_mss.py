@@ -2,16 +2,17 @@
 
 A page is a sequence of tags and runs of text. A run scores its words times the weight of the
 element it stands in; a tag scores its own weight; furniture inside the content scores 0. One
-linear scan finds the contiguous stretch with the greatest sum, and the text of that stretch, without what is marked as furniture inside
-it, is the main text.
+linear scan finds the contiguous stretch with the greatest sum, and the text of that stretch, without
+what is marked as furniture inside it, is the main text.
 
 Weights are log-odds learned from labelled pages: pages whose markup names the content (exactly
 one ``article``, or else one ``main``). Words are positive and tags negative as a rule; a kind of
 word or tag that labelled pages have only outside their content is negative, and tags that they
-have only inside may be positive. Kinds that the sample doesn't hold take the defaults. The
-sample is ``SAMPLE_PAGES`` pages, those with the smallest hashes of their ids.
+have only inside may be positive. Kinds that fewer than ``KIND_PAGES`` pages of the sample hold take
+the defaults. The sample is ``SAMPLE_PAGES`` pages, those with the smallest hashes of their ids.
 
-Extraction is per row, where the row is read: no shuffle. A page of any length is scanned whole.
+Extraction is per row, where the row is read: pages are not shuffled, but for those of the sample.
+A page of any length is scanned whole.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-#: Labelled pages of which the weights are learned, and kinds of tokens that are kept.
-SAMPLE_PAGES, MAX_KINDS = 2000, 5000
+#: Pages of which the weights are learned, and how many of them must hold a kind of token.
+SAMPLE_PAGES, KIND_PAGES = 2000, 2
 #: Weights of kinds that the labelled pages don't show: words, words in furniture, tags.
 WORD, FURNITURE, TAG = 0.5, -2.0, -0.4
 
@@ -157,19 +158,29 @@ def label(page: str) -> list[tuple[str, int, bool]] | None:
 
 
 def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> dict[str, float]:
-    """Weights by kind, from the labelled pages of the sample."""
+    """Weights by kind, from the labelled pages of the sample. Ids are chosen first, by hashes (null
+    is an id; ties go to the smaller id), so only the sample's pages move; of pages that repeat an
+    id one counts, that with the least hash of its text. Null and empty pages have no kinds; an empty table gives
+    no weights. The result is bounded by the sample."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, bool], int] = {}
+        sums: dict[tuple[str, bool], list[int]] = {}
         for b in batches:
             for page in b.column(0).to_pylist():
+                seen = set()
                 for kind, n, inside in label(page or "") or ():
-                    sums[kind, inside] = sums.get((kind, inside), 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sums], pa.string()), pa.array([i for _, i in sums], pa.bool_()), pa.array(list(sums.values()), pa.int64())], ["kind", "inside", "n"])
-
-    picked = pages.select(html_col, F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i")).orderBy("h", "i").limit(sample).select(html_col)
-    counts = picked.repartition(8).mapInArrow(count, "kind string, inside boolean, n long").groupBy("kind").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("o"))
-    rows = counts.orderBy((F.col("i") + F.col("o")).desc(), "kind").limit(MAX_KINDS).collect()
+                    x = sums.setdefault((kind, inside), [0, 0])
+                    x[0] += n
+                    x[1] += kind not in seen
+                    seen.add(kind)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sums], pa.string()), pa.array([i for _, i in sums], pa.bool_()), *(pa.array([x[j] for x in sums.values()], pa.int64()) for j in (0, 1))], ["kind", "inside", "n", "pages"])
+
+    ids = pages.select(F.xxhash64(F.col(id_col)).alias("_h"), F.col(id_col).alias("_i")).distinct().orderBy("_h", "_i").limit(sample)
+    own = pages.select(F.col(id_col).alias("i"), F.col(html_col).alias("page"))
+    picked = own.join(F.broadcast(ids), F.col("i").eqNullSafe(F.col("_i")), "left_semi")
+    one = picked.groupBy("i").agg(F.min_by("page", F.xxhash64("page")).alias("page")).select("page")
+    counts = one.mapInArrow(count, "kind string, inside boolean, n long, pages long").groupBy("kind").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("o"), F.sum("pages").alias("pages"))
+    rows = counts.filter(F.col("pages") >= KIND_PAGES).orderBy("kind").collect()
     weights: dict[str, float] = {}
     for words in (True, False):
         own = [r for r in rows if r["kind"].startswith("w@") == words]
@@ -243,8 +254,10 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
 
 def extract_text(pages: DataFrame, weights: dict[str, float], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``<id_col>, <url_col>, text`` for every row; extra columns are left out."""
-    w = pages.sparkSession.sparkContext.broadcast(weights)  # at most MAX_KINDS entries
+    """``<id_col>, <url_col>, text`` for every row, repeated rows alike. Null and empty pages have the
+    text ''; of stretches that tie, the first is taken; an empty table gives none; extra columns are
+    left out."""
+    w = pages.sparkSession.sparkContext.broadcast(weights)  # of the sample's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
