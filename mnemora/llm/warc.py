@@ -38,10 +38,13 @@ RECORD = "page_id long, url string, record_type string, refers_to long, payload_
 CRLF = b"\r\n"
 
 
-def url_key(url: Column) -> Column:
+def url_key(url: Column, page: Column | None = None) -> Column:
     """``com,example,www)/path?query``: the host reversed, in lower case, before the rest. A URL
-    without scheme and host, or null, is its own key behind ``)``."""
+    without scheme and host is its own key behind ``)``. A null or empty one has the key of its
+    ``page``, if that is given, ``)page:<id>``, so that such rows share no key."""
     u = F.coalesce(url, F.lit(""))
+    if page is not None:
+        u = F.when(u == "", F.concat(F.lit("page:"), F.coalesce(page.cast("string"), F.lit("")))).otherwise(u)
     host = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     rest = F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
     return F.translate(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest), "\n\t\r", "   ")
@@ -96,14 +99,18 @@ def parse_record(raw: bytes) -> dict:
 def _open(folder: str):
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+    if "://" not in folder and not folder.startswith("file:"):
+        raise ValueError("name the folder with its scheme, so that all executors mean the same one")
+    system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
     return system, path
 
 
 def mark_revisits(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int) -> DataFrame:
-    """Add ``_digest`` and ``_first``, the smallest id with the same payload (null: none smaller).
-    Only payloads that occur twice or more are joined; counts are made before the shuffle."""
+    """Add ``_digest`` and ``_first``, the smallest id with the same payload (null where only one
+    row has it, or none with an id). Only digests of payloads that occur twice or more meet the
+    rows, and counts are made before the shuffle; the rows move once, by digest, with their payload,
+    unless those digests are few enough for Spark to bring them to the rows."""
     body = pages.withColumn(payload_col, F.coalesce(F.col(payload_col), F.lit(""))).withColumn("_digest", F.sha2(F.col(payload_col), 256))
     long_ones = body.filter(F.octet_length(payload_col) >= min_bytes)
     firsts = long_ones.groupBy("_digest").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("_digest").alias("_d"), "_first")
@@ -118,7 +125,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     Extra columns aren't archived.
     """
     rows = mark_revisits(pages.select(id_col, url_col, payload_col), id_col, payload_col, min_bytes)
-    rows = rows.select(url_key(F.col(url_col)).alias("urlkey"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"), F.col("_digest").alias("digest"), F.col("_first").alias("first"))
+    rows = rows.select(url_key(F.col(url_col), F.col(id_col)).alias("urlkey"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"), F.col("_digest").alias("digest"), F.col("_first").alias("first"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = _open(folder)
@@ -147,7 +154,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 
 def write_index(captures: DataFrame, folder: str, parts: int | None = None) -> DataFrame:
-    """Write the index files and return the directory: ``first, file, at, length``, a row a block."""
+    """Write the index files and return the directory: ``first, file, at, length``, a row a block.
+    Captures that tie are all written; without captures there is no block."""
     n = parts or int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = captures.repartitionByRange(n, "urlkey", "page_id", "file", "at").sortWithinPartitions("urlkey", "page_id", "file", "at")
 
@@ -181,10 +189,15 @@ def write_index(captures: DataFrame, folder: str, parts: int | None = None) -> D
 
 
 def lookup(directory: DataFrame, folder: str, keys: DataFrame) -> DataFrame:
-    """The captures of every key in ``keys`` (column urlkey; distinct), by way of the two levels."""
+    """The captures of every key in ``keys`` (column urlkey), by way of the two levels. Repeated and
+    null keys count once and not at all; keys that no capture has give no rows.
+
+    First a binary search in the directory tells for every key its blocks. Then the blocks are read,
+    each by one range read with all keys that need it; so a key that has very many captures is
+    spread over as many blocks, and no list of them is ever held."""
     spark = keys.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keys.select("urlkey").repartitionByRange(n, "urlkey").sortWithinPartitions("urlkey")
+    wanted = keys.select("urlkey").filter("urlkey is not null").distinct()
     order = ["first", "file", "at"]
     found, after = None, None
     while True:
@@ -195,23 +208,9 @@ def lookup(directory: DataFrame, folder: str, keys: DataFrame) -> DataFrame:
         last = len(rows) <= DIRECTORY_SLICE
         held = spark.sparkContext.broadcast((rows[:DIRECTORY_SLICE], None if last else rows[DIRECTORY_SLICE][0], after is None))
 
-        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def blocks_of(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             blocks, upper, lowest = held.value
             firsts = [x[0] for x in blocks]
-            system, path = _open(folder)
-            kept: dict[int, tuple[list[str], list[list[str]]]] = {}
-
-            def block(i: int) -> tuple[list[str], list[list[str]]]:
-                if i not in kept:
-                    if len(kept) > 3:
-                        kept.clear()
-                    _, name, at, length = blocks[i]
-                    with system.open_input_file(f"{path}/{name}") as f:
-                        raw = zlib.decompress(f.read_at(length, at))
-                    got = [x.split("\t") for x in raw.decode().split("\n")]
-                    kept[i] = ([x[0] for x in got], got)
-                return kept[i]
-
             for b in batches:
                 out = []
                 for key in b.column(0).to_pylist():
@@ -219,28 +218,60 @@ def lookup(directory: DataFrame, folder: str, keys: DataFrame) -> DataFrame:
                         continue
                     i = max(0, bisect.bisect_left(firsts, key) - 1)
                     while i < len(blocks) and firsts[i] <= key:
-                        names, got = block(i)
-                        at = bisect.bisect_left(names, key)
-                        while at < len(names) and names[at] == key:
-                            out.append(got[at])
-                            at += 1
+                        out.append((key, *blocks[i][1:]))
                         i += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in out], pa.string()), pa.array([int(x[1]) if x[1] else None for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string()), *(pa.array([int(x[j]) for x in out], pa.int64()) for j in (3, 4))],
-                    ["urlkey", "page_id", "file", "at", "length"],
-                )
+                        if len(out) >= 10_000:
+                            yield pa.RecordBatch.from_pylist([dict(zip(NEEDED.names, x, strict=True)) for x in out], NEEDED)
+                            out = []
+                yield pa.RecordBatch.from_pylist([dict(zip(NEEDED.names, x, strict=True)) for x in out], NEEDED)
 
-        part = ordered.mapInArrow(search, CAPTURE)
+        part = wanted.mapInArrow(blocks_of, "urlkey string, file string, at long, length long")
         found = part if found is None else found.unionByName(part)
         if last:
             break
         after = rows[DIRECTORY_SLICE][:3]
-    return found if found is not None else spark.createDataFrame([], CAPTURE)
+    if found is None:
+        return spark.createDataFrame([], CAPTURE)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = _open(folder)
+        here, names, got = None, [], []
+        for b in batches:
+            out = []
+            for key, file, at, length in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if here != (file, at):
+                    here = (file, at)
+                    with system.open_input_file(f"{path}/{file}") as f:
+                        got = [x.split("\t") for x in zlib.decompress(f.read_at(length, at)).decode().split("\n")]
+                    names = [x[0] for x in got]
+                i = bisect.bisect_left(names, key)
+                while i < len(names) and names[i] == key:
+                    out.append(got[i])
+                    i += 1
+                if len(out) >= 10_000:
+                    yield _captures(out)
+                    out = []
+            yield _captures(out)
+
+    near = found.repartition(n, "file", "at").sortWithinPartitions("file", "at", "urlkey")
+    return near.mapInArrow(read, CAPTURE)
+
+
+NEEDED = pa.schema([("urlkey", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("length", pa.int64())])
+
+
+def _captures(lines: list[list[str]]) -> pa.RecordBatch:
+    """Lines of the index as a batch."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x[0] for x in lines], pa.string()), pa.array([int(x[1]) if x[1] else None for x in lines], pa.int64()), pa.array([x[2] for x in lines], pa.string()), *(pa.array([int(x[j]) for x in lines], pa.int64()) for j in (3, 4))],
+        ["urlkey", "page_id", "file", "at", "length"],
+    )
 
 
 def read_records(captures: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """Read the records of captures (``RECORD``), each by a range read; records that lie near each
-    other are read by the same task, in file order."""
+    other are read by the same task, in file order. Repeated captures are read as often; no captures
+    give no records."""
     near = captures.repartition("file", F.expr("at div 16777216")).sortWithinPartitions("file", "at")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
