@@ -78,7 +78,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     captures = warc.write_archives(pages, folder)
     directory = warc.write_index(captures, folder)
-    keys = pages.select(warc.url_key(F.col("url")).alias("urlkey")).distinct()
+    keys = pages.select(warc.url_key(F.col("url"), F.col("page_id")).alias("urlkey"))
     return warc.read_records(warc.lookup(directory, folder, keys), folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -136,7 +136,7 @@ SELECT conv_id, count(*) AS n_turns,
        sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(length('<turn>### ' || er || ': ' || e || '</turn>' || chr(10)))::BIGINT AS formatted_chars
-FROM escaped GROUP BY conv_id
+FROM escaped GROUP BY conv_id, CASE WHEN conv_id IS NULL THEN md5(concat(coalesce(turn::VARCHAR, '-'), '|', role, '|', text)) END
 """
 
 

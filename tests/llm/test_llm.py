@@ -224,13 +224,18 @@ def test_chat_round_trip(spark):
         assert [(t["role"], t["text"]) for t in got[c]["turns"]] == own
         assert got[c]["loss_text"] == "".join(t for r, t in own if r == "assistant")
     assert chat_format.format_conversations(conv.limit(0)).count() == 0
+    log = chat_format.conversation_events(conv)
+    kinds = {r["kind"]: r["n"] for r in log.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert kinds["edit"] and kinds["regenerate"] == 12 and log.count() > log.dropDuplicates(["conv_id", "seq"]).count()
+    lone = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "b"), (None, 1, "assistant", None), (None, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    assert sorted(len(r["turns"]) for r in chat_format.parse(chat_format.format_conversations(lone)).collect()) == [1, 1, 2]
 
 
 def test_events_are_folded(spark):
     ev = [
         (1, 1, "open", 0, "user", "hi"), (1, 2, "open", 1, "assistant", ""), (1, 3, "delta", 1, None, "bad "), (1, 4, "delta", 1, None, "answer"),
         (1, 5, "open", 2, "user", "hm"), (1, 6, "regenerate", 1, None, None), (1, 7, "delta", 1, None, "good "), (1, 8, "delta", 1, None, "answer"),
-        (1, 9, "edit", 0, None, "hello"), (1, 10, "delta", 0, None, "!"), (1, 11, "open", 3, "user", "thanks"),
+        (1, 9, "edit", 0, None, "hello"), (1, 10, "delta", 0, None, "!"), (1, 10, "delta", 0, None, "!"), (1, 8, "delta", 1, None, "answer"), (1, 11, "open", 3, "user", "thanks"),
     ]
     df = spark.createDataFrame(ev, "conv_id long, seq long, kind string, pos long, role string, text string")
     got = [(r["pos"], r["role"], r["text"]) for r in chat_format.fold_events(df).orderBy("pos").collect()]
