@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose sets of 3-word n-grams have a Jaccard of 0.9 or more are linked."""
-    return ngram_join.jaccard_classes(_table(spark, sf_dir, "documents"), q=3, num=90, den=100)
+    return ngram_join.jaccard_classes(_table(spark, sf_dir, "documents"), q=3, num=90, den=100).drop("class")
 
 
 OP1_SQL = r"""
