@@ -11,8 +11,8 @@ the result is exact. Without such a proof the walk goes through to the end.
 
 A shard's index is built once, in one task, and blocks of about ``block_rows`` queries stream past
 it; only k rows for each query and shard come out. A first pass lets each query meet one shard;
-the k-th score that it finds there is a floor that the query takes along to all shards, so that
-most of a shard is out early. No task holds more than one shard and one block.
+the k-th score that it finds there is a floor that the query takes along to the other shards, so
+that more of a shard is out early. No task holds more than one shard and one block.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import stash
+
 #: Impact levels of a dimension in a shard.
 LEVELS = 32
 #: Thresholds of the walk, as parts of the largest product; behind the last comes everything.
-STEPS = (0.5, 0.4, 0.32, 0.25, 0.2, 0.16, 0.13, 0.1, 0.08, 0.06, 0.045, 0.035, 0.025, 0.02)
+STEPS = (0.4, 0.25, 0.16, 0.1, 0.06, 0.035, 0.02)
 #: A score below all.
 LOWEST = -(1 << 62)
 
@@ -149,13 +151,15 @@ def top_k(items: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 81
         both = shards.unionByName(blocks).repartition(n_shards, "shard").sortWithinPartitions("shard", "width", "block")
         return both.mapInArrow(search, "query_id long, vec_id long, score long")
 
+    home = F.pmod(F.xxhash64(F.lit("own"), "id"), F.lit(n_shards)).cast("int")
     start = queries.withColumn("floor", F.lit(LOWEST).cast("long"))
-    own = packed(start.select("id", "v", "floor", F.pmod(F.xxhash64(F.lit("own"), "id"), F.lit(n_shards)).cast("int").alias("shard"), dealt(n_blocks).alias("block")), ["shard", "block"])
-    floors = meet(own).groupBy("query_id").agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("floor")).filter(F.col("c") == k).select(F.col("query_id").alias("id"), "floor")
+    near = stash(meet(packed(start.withColumn("shard", home).withColumn("block", dealt(n_blocks)), ["shard", "block"])), "near")
+    floors = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("floor")).filter(F.col("c") == k).select(F.col("query_id").alias("id"), "floor")
     # an id that has several query vectors has no floor of its own in one of them: it goes without
     single = queries.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("id")
     floored = queries.join(floors.join(single, "id"), "id", "left").withColumn("floor", F.coalesce("floor", F.lit(LOWEST)))
-    blocks = packed(floored.withColumn("block", dealt(n_blocks)), ["block"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
-    found = meet(blocks).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    away = packed(floored.withColumn("home", home).withColumn("block", dealt(n_blocks)), ["home", "block"])
+    away = away.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).filter("shard <> home").drop("home")
+    found = near.unionByName(meet(away)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
