@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,23 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+@contextmanager
+def fleeting_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Have Spark remove the shuffle files of what runs inside as soon as each execution ends, not
+    when the driver's memory is next cleaned: for results that are written or collected at once.
+    While an execution runs, its shuffles are kept as always. The session's setting comes back."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -45,9 +64,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def stash(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back. This cuts the lineage, and a lost
-    executor costs no rerun of what came before. ``paths`` gets the path, for ``discard``."""
+    executor costs no rerun of what came before. Shuffles on the way go when it is written.
+    ``paths`` gets the path, for ``discard``."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with fleeting_shuffles(df.sparkSession):
+        df.write.parquet(path)
     if paths is not None:
         paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, discard, stash
+from .common import bounded_batches, discard, fleeting_shuffles, stash
 from .graph import components
 
 #: Counters of the sketch (a fixed 2^22) and the parts it is summed in.
@@ -134,7 +134,9 @@ def frequency_levels(docs: DataFrame, text_col: str, q: int) -> np.ndarray:
 
     counted = docs.select(text_col).mapInArrow(count, "part int, counts binary").repartition(SKETCH_PARTS // 4, "part")
     out = np.zeros((SKETCH_PARTS, size // SKETCH_PARTS), np.uint8)
-    for row in counted.mapInArrow(add, "part int, levels binary").collect():
+    with fleeting_shuffles(docs.sparkSession):
+        summed = counted.mapInArrow(add, "part int, levels binary").collect()
+    for row in summed:
         out[row["part"]] = np.frombuffer(row["levels"], np.uint8)
     return out.reshape(-1)
 
