@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import stash
+
 #: Parts of a hash that make a fraction.
 _HASH_SPAN = 1 << 30
 #: Rows up to which the tables of lanes and blocks are broadcast (some 5 MB); with more sources
@@ -28,6 +30,20 @@ _HASH_SPAN = 1 << 30
 BROADCAST_ROWS = 1 << 16
 
 
+def _keyed(docs: DataFrame, id_col: str, lanes: int) -> DataFrame:
+    """Adds ``_lane`` and ``_key``: the order of rows inside a source is that of the key, and lanes
+    are ranges of it. Rows that repeat share a key."""
+    h = F.xxhash64(F.lit("mix"), F.col(id_col))
+    place = F.pmod(h, F.lit(_HASH_SPAN))
+    key = F.struct(place.alias("place"), h.alias("h"), F.xxhash64(*[F.col(c) for c in docs.columns]).alias("row"))
+    return docs.withColumn("_lane", F.floor(place * F.lit(lanes) / F.lit(_HASH_SPAN)).cast("int")).withColumn("_key", key)
+
+
+def _near(n_sources: int, lanes: int, total_blocks: int):
+    """The hint for tables of lanes and blocks: broadcast, up to a checked number of rows."""
+    return F.broadcast if n_sources * (lanes + 1) + total_blocks <= BROADCAST_ROWS else (lambda df: df)
+
+
 def source_stats(docs: DataFrame, source: str, weights: dict[str, float] | None, power: float) -> DataFrame:
     """One row a source: ``source, n, weight``. A source without a positive target weight gets
     its share of the rows as its weight."""
@@ -115,8 +131,7 @@ def pfair_mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", w
     plan = pfair_schedule(docs, source, weights, power, total_blocks).select(*[F.col(c).alias(f"_p_{c}") for c in ("source", "block", "slot", "release", "deadline", "block_rows", "start")])
 
     # rows are shuffled once, for their ranks; lanes and blocks come to them where that is small
-    n_sources = docs.select(source).distinct().count()
-    near = F.broadcast if n_sources * (lanes + 1) + total_blocks <= BROADCAST_ROWS else (lambda df: df)
+    near = _near(docs.select(source).distinct().count(), lanes, total_blocks)
     spans = offsets.join(plan.select("_p_source", "_p_block_rows").distinct(), F.col("_source").eqNullSafe(F.col("_p_source"))).drop("_p_source")
     placed = (
         ranked.join(near(spans), F.col(source).eqNullSafe(F.col("_source")) & (F.col("_lane") == F.col("_at")))
@@ -134,3 +149,57 @@ def pfair_mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", w
         F.col("_p_deadline").alias("mix_deadline"),
         position.cast("long").alias("mix_position"),
     )
+
+
+def pfair_sorted(docs: DataFrame, files: int, id_col: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, power: float = 0.5, total_blocks: int = 4096, lanes: int = 1024) -> DataFrame:
+    """The rows of ``docs`` in the order of the mix, as ``files`` partitions of about equally many
+    blocks; no columns are added. The schedule is that of ``pfair_mix``, and inside a block rows
+    come in the order of a hash of their id.
+
+    Whole rows are shuffled once, straight to their file. The keys at which blocks begin are found
+    first, on keys and counts alone; a row then finds its block among the few that begin in its lane.
+    Rows that repeat more often than a block has rows are counted and dealt out to its blocks by
+    their numbers. Null sources are a source, null ids are ids, an empty table gives no rows. The
+    columns must be of types that can be grouped.
+    """
+    columns = docs.columns
+    keyed = _keyed(docs, id_col, lanes)
+    plan = pfair_schedule(docs, source, weights, power, total_blocks)
+    total = F.max("slot").over(W.partitionBy()) + 1  # bounded by total_blocks
+    plan = plan.select(F.col("source").alias("_s"), "block", "slot", "block_rows", total.alias("slots")).withColumn("file", F.expr(f"cast(slot * {files}L div slots as int)"))
+
+    counts = keyed.groupBy(F.col(source).alias("_source"), "_lane", "_key").agg(F.count(F.lit(1)).alias("m"))
+    lane = W.partitionBy("_source", "_lane")
+    inside = counts.withColumn("_at", F.sum("m").over(lane.orderBy("_key").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("m"))
+    sizes = counts.groupBy("_source", "_lane").agg(F.sum("m").alias("n"))
+    upto = W.partitionBy("_source").orderBy("_lane").rowsBetween(W.unboundedPreceding, -1)  # lanes of a source
+    offsets = sizes.select(F.col("_source").alias("_o"), F.col("_lane").alias("_l"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_before"))
+    rows_of = plan.select("_s", "block_rows").distinct()
+    near = _near(docs.select(source).distinct().count(), lanes, total_blocks)
+    spans = offsets.join(rows_of, F.col("_o").eqNullSafe(F.col("_s"))).drop("_s")
+    ranked = inside.join(near(spans), F.col("_source").eqNullSafe(F.col("_o")) & (F.col("_lane") == F.col("_l"))).withColumn("_rank", F.col("_at") + F.col("_before"))
+    # the blocks that begin at one of the copies of a key; copy: at which
+    first = F.expr("(_rank + block_rows - 1) div block_rows")
+    last = F.expr("(_rank + m - 1) div block_rows")
+    begin = ranked.withColumn("b", F.explode(F.when(first <= last, F.sequence(first, last)))).select("_source", "_lane", F.struct(F.col("_key").alias("key"), F.expr("b * block_rows - _rank").alias("copy")).alias("at"), (F.col("m") > 1).alias("tied"), (F.col("b") + 1).alias("_b"))
+    # the block in which a lane begins
+    least = F.struct(F.struct(F.lit(-1).cast("long").alias("place"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("row")).alias("key"), F.lit(0).cast("long").alias("copy"))
+    head = spans.select(F.col("_o").alias("_source"), F.col("_l").alias("_lane"), least.alias("at"), F.lit(False).alias("tied"), (F.expr("_before div block_rows") + 1).alias("_b"))
+    marks = head.unionByName(begin).join(near(plan), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("block")))
+    cuts = stash(marks.groupBy("_source", "_lane").agg(F.sort_array(F.collect_list(F.struct("at", "tied", "slot", "file"))).alias("_cuts")).withColumnRenamed("_lane", "_l"), "mix-cuts")
+
+    def with_cuts(df: DataFrame) -> DataFrame:
+        return df.join(near(cuts), F.col(source).eqNullSafe(F.col("_source")) & (F.col("_lane") == F.col("_l"))).drop("_source", "_l")
+
+    def at(copy: str) -> Column:
+        return F.expr(f"element_at(filter(_cuts, c -> c.at.key < _key or (c.at.key = _key and c.at.copy <= {copy})), -1)")
+
+    met, out = with_cuts(keyed), [*columns, "_key", "_mark"]
+    if cuts.filter("exists(_cuts, c -> c.tied)").limit(1).count() == 0:
+        placed = met.withColumn("_mark", at("0L")).select(*out)
+    else:
+        tied = F.expr("exists(_cuts, c -> c.tied and c.at.key = _key)")
+        some = met.filter(tied).groupBy(*columns, "_lane", "_key").agg(F.count(F.lit(1)).alias("_m"))
+        copies = with_cuts(some.withColumn("_copy", F.explode(F.expr("sequence(0L, _m - 1)"))))
+        placed = met.filter(~tied).withColumn("_mark", at("0L")).select(*out).unionByName(copies.withColumn("_mark", at("_copy")).select(*out))
+    return placed.repartitionById(files, F.col("_mark.file")).sortWithinPartitions("_mark.slot", "_key").select(*columns)

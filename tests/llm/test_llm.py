@@ -375,3 +375,30 @@ def test_mix_of_odd_tables(spark):
     got = pfair.pfair_mix(docs.drop("mix_slot"), total_blocks=3)
     assert sorted(r["mix_position"] for r in got.collect()) == list(range(7))
     assert pfair.pfair_mix(empty_docs(spark).drop("mix_slot")).count() == 0
+
+
+@pytest.mark.parametrize("total_blocks", [7, 100])
+def test_sorted_mix_has_the_order_of_the_blocks(spark, total_blocks):
+    n = {"a": 300, "b": 200, "c": 37, None: 11}
+    rows = [(i * 10 + k, "t", "en", s, 1) for k, (s, m) in enumerate(n.items()) for i in range(m)]
+    docs = table(spark, rows)
+    want = [r["doc_id"] for r in pfair.pfair_mix(docs, total_blocks=total_blocks).orderBy("mix_position").collect()]
+    got = pfair.pfair_sorted(docs, 5, total_blocks=total_blocks)
+    assert [r["doc_id"] for r in got.collect()] == want and got.columns == docs.columns
+    assert got.rdd.getNumPartitions() == 5
+
+
+def test_sorted_mix_deals_repeated_rows_to_their_blocks(spark):
+    rows = [(1, "same", "en", "a", 4)] * 150 + [(None, None, "en", "a", None)] * 60 + [(2 + i, "t", "en", "b", 1) for i in range(150)]
+    docs = table(spark, rows)
+    want = [r["source"] for r in pfair.pfair_mix(docs, total_blocks=36).orderBy("mix_position").collect()]
+    got = pfair.pfair_sorted(docs, 4, total_blocks=36).collect()
+    assert [r["source"] for r in got] == want
+    assert sorted(map(str, got)) == sorted(map(str, docs.collect()))
+
+
+def test_sorted_mix_of_odd_tables(spark):
+    docs = odd_docs(spark)
+    cut = docs.drop("mix_slot")
+    assert sorted(map(str, pfair.pfair_sorted(cut, 3, total_blocks=3).collect())) == sorted(map(str, cut.collect()))
+    assert pfair.pfair_sorted(empty_docs(spark).drop("mix_slot"), 3).count() == 0
