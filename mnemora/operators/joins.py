@@ -26,12 +26,16 @@ def grams(df: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
 
 def fulltext_join(msg: DataFrame, queries: DataFrame, n: int = 3) -> DataFrame:
     """``query_id, id``: messages that contain a query (query_id, q), whatever the case. A query
-    meets a message on one of its n-grams, and the text is checked. Queries shorter than n are
-    not found."""
-    probe = queries.select("query_id", "q", F.lower(F.substring("q", 1, n)).alias("gram")).filter(F.length("gram") == n)
+    meets a message on one of its n-grams, and the text is checked; a query shorter than n meets it
+    on the n-gram of its own length, which it is. Empty and null queries are not found."""
+    low = F.lower("q")
+    probe = queries.select("query_id", "q", F.substring(low, 1, n).alias("gram"))
     posted = grams(msg, "id", "content", n)
-    met = posted.join(probe, "gram").join(msg.select("id", "content"), "id")
-    return met.filter(F.lower("content").contains(F.lower("q"))).select("query_id", "id")
+    met = posted.join(probe.filter(F.length("gram") == n), "gram").join(msg.select("id", "content"), "id")
+    out = met.filter(F.lower("content").contains(low)).select("query_id", "id")
+    for k in range(1, n):
+        out = out.unionByName(grams(msg, "id", "content", k).join(probe.filter(F.length("gram") == k), "gram").select("query_id", "id"))
+    return out
 
 
 def orphan_metadata(meta: DataFrame, emb: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def _(v):
 
 @query("stream_high_water", "SELECT channel, ts, min(id) AS id FROM v_channel_log GROUP BY channel, ts")
 def _(v):
-    return S.drain(S.stream_high_water(_messages(v).select("channel", "id", "ts"), "channel", "channel string, id long, ts double"), "highwater")
+    return S.high_water_rows(_messages(v).select("channel", "id", "ts"), "channel")
 
 
 @query("stream_content_dedupe", "SELECT DISTINCT md5(coalesce(content, '')) AS hash FROM v_messages")
@@ -55,8 +55,7 @@ def _(v):
 def _(v):
     t = S.stream_table(v.spark, f"{v.sf_dir}/events.parquet")
     m = t.select(F.concat("event_type", F.lit("-"), (F.col("user_id") % 20).cast("string")).alias("topic"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("ts"))
-    out = S.drain(S.stream_topic_heat(m), "heat", "update").groupBy("topic").agg(F.max_by(F.struct("n", "last", "heat"), "batch").alias("x")).select("topic", "x.*")
-    return out.withColumn("last", F.round("last", 3)).withColumn("heat", F.round("heat", 4))
+    return S.topic_heat_table(m).withColumn("last", F.round("last", 3)).withColumn("heat", F.round("heat", 4))
 
 
 @query("stream_capture", "SELECT id, session_id, role, substr(content, 1, 500) AS content, 'capture' AS type FROM v_messages WHERE role IN ('user', 'assistant') AND NOT (length(trim(coalesce(content, ''))) <= 3 OR lower(trim(coalesce(content, ''))) LIKE 'the%')")

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -79,7 +80,8 @@ def stream_incremental_sync(src: DataFrame, target: DataFrame, last_id: int = 0)
 
 def stream_high_water(src: DataFrame, key: str, fields: str) -> DataFrame:
     """Rows (key, id, ts) that are newer than all that their key has sent, in the order of time; late
-    rows and ties are dropped. State: one number a key."""
+    rows and ties are dropped. State: one number a key. A key's rows of a batch meet in one task: for
+    few keys with many rows take ``high_water_rows``."""
 
     def newer(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         mark = state.get[0] if state.exists else float("-inf")
@@ -92,6 +94,31 @@ def stream_high_water(src: DataFrame, key: str, fields: str) -> DataFrame:
     return src.groupBy(key).applyInPandasWithState(newer, fields, "mark double", "append", GroupStateTimeout.NoTimeout)
 
 
+def _held(spark: SparkSession, path: str, i: int, schema: str) -> DataFrame:
+    """The state that batch ``i`` begins with: what the batch before it wrote."""
+    return spark.read.schema(schema).parquet(f"{path}/batch={i - 1}") if i else spark.createDataFrame([], schema)
+
+
+def high_water_rows(src: DataFrame, key: str) -> DataFrame:
+    """Rows (key, id, ts) that are newer than all that their key has sent in earlier batches: late rows
+    are dropped, and of rows that tie in time that with the smallest id is sent. State: one number a
+    key, in a written table; a batch that is run again reads the same marks and replaces its own rows.
+    Returns the rows sent. Rows without key share a mark; rows without time are dropped."""
+    spark, path, marks = src.sparkSession, shared_path(src.sparkSession, "high-water"), shared_path(src.sparkSession, "high-water-marks")
+    state = f"k {src.schema[key].dataType.simpleString()}, mark double"
+
+    def each(df: DataFrame, i: int) -> None:
+        held = _held(spark, marks, i, state)
+        rows = df.filter("ts is not null").groupBy(key, "ts").agg(F.min("id").alias("id"))
+        newer = rows.join(held, F.col(key).eqNullSafe(F.col("k")), "left").filter("mark is null or ts > mark").select(key, "id", "ts")
+        newer.write.mode("overwrite").parquet(f"{path}/batch={i}")
+        sent = spark.read.schema(newer.schema).parquet(f"{path}/batch={i}").select(F.col(key).alias("k"), F.col("ts").alias("mark"))
+        held.unionByName(sent).groupBy("k").agg(F.max("mark").alias("mark")).write.mode("overwrite").parquet(f"{marks}/batch={i}")
+
+    run_batches(src, "high-water", each)
+    return spark.read.parquet(path).drop("batch")
+
+
 def stream_content_dedupe(src: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Rows whose content hasn't been seen within the watermark; at is a timestamp column."""
     return src.withColumn("hash", F.md5(F.coalesce("content", F.lit("")))).withWatermark("at", watermark).dropDuplicatesWithinWatermark(["hash"])
@@ -119,7 +146,8 @@ def stream_cross_channel(src: DataFrame) -> DataFrame:
 
 def stream_topic_heat(src: DataFrame, half_life_h: float = 12, boost: float = 20, keep: int = 20) -> DataFrame:
     """``topic, n, last, heat``: each mention adds ``boost`` to what has halved since the one before.
-    State: three numbers a topic."""
+    State: three numbers a topic. A topic's mentions of a batch meet in one
+    task: for hot topics take ``topic_heat_table``."""
 
     def heat(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, last, h = state.get if state.exists else (0, 0.0, 0.0)
@@ -132,6 +160,36 @@ def stream_topic_heat(src: DataFrame, half_life_h: float = 12, boost: float = 20
     return src.groupBy("topic").applyInPandasWithState(heat, "topic string, n long, last double, heat double", "n long, last double, heat double", "update", GroupStateTimeout.NoTimeout)
 
 
+def topic_heat_table(src: DataFrame, half_life_h: float = 12, boost: float = 20) -> DataFrame:
+    """``topic, n, last, heat``: each mention adds ``boost`` to what has halved since the one before; a
+    mention older than what its topic had before the batch adds ``boost`` as it is. State: three
+    numbers a topic, in a written table. Returns the state after the last batch.
+
+    The heat at the last mention is the sum of what each mention has left by then. Mentions are
+    summed by half-life first, in Spark's partial aggregates, then the sums of a topic: no topic's
+    mentions meet in one task. Mentions without time are dropped."""
+    spark, path, life = src.sparkSession, shared_path(src.sparkSession, "topic-heat"), 3600.0 * half_life_h
+    state, last_batch = "topic string, n long, last double, heat double", [-1]
+
+    def each(df: DataFrame, i: int) -> None:
+        held = _held(spark, path, i, state)
+        old = held.select(F.col("topic").alias("t"), F.col("last").alias("held"))
+        at = df.filter("ts is not null").join(old, F.col("topic").eqNullSafe(F.col("t")), "left").select("topic", F.greatest("ts", "held").cast("double").alias("at"))
+        span = F.floor(F.col("at") / F.lit(life))
+        left = F.lit(float(boost)) * F.pow(F.lit(2.0), F.col("at") / F.lit(life) - F.col("span") - 1)
+        sums = at.withColumn("span", span).groupBy("topic", "span").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last"), F.sum(left).alias("heat"))
+        # what each sum is worth at its own last mention, so that all rows of the union mean the same
+        new = sums.select("topic", "n", "last", (F.col("heat") * F.pow(F.lit(2.0), F.col("span") + 1 - F.col("last") / F.lit(life))).alias("heat"))
+        parts = held.unionByName(new)
+        ends = parts.withColumn("end", F.max("last").over(W.partitionBy("topic")))  # one row a topic and half-life
+        worth = F.col("heat") * F.pow(F.lit(2.0), (F.col("last") - F.col("end")) / F.lit(life))
+        ends.groupBy("topic").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.sum(worth).alias("heat")).write.mode("overwrite").parquet(f"{path}/batch={i}")
+        last_batch[0] = i
+
+    run_batches(src, "topic-heat", each)
+    return _held(spark, path, last_batch[0] + 1, state)
+
+
 def stream_capture(src: DataFrame, phrases: list[str], max_chars: int = 500) -> DataFrame:
     """Turns that say something, cut and tagged; nothing is kept between rows."""
     said = src.filter(F.col("role").isin("user", "assistant") & ~is_trivial(F.col("content"), phrases))
