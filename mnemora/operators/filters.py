@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Defaults: sources and types that retention keeps.
+# Sources and types that retention keeps, and columns that only records of the graph fill.
+GRAPH_COLUMNS = ("rel_type", "entity_a", "entity_b")
 PROTECTED_SOURCES = ("conclusion", "explicit", "manual_index", "project_archive")
 PROTECTED_TYPES = ("decision", "preference", "project_log", "work_log", "resource_locator", "doc_index", "profile_static", "profile_dynamic", "arch_doc")
 # Openings of messages that say nothing.
@@ -113,11 +114,17 @@ def has_substance(content: Column, role: Column, phrases: list[str], important:
 
 def retention_decisions(mem: DataFrame, asof: float, max_days: int = 30, max_days_no_ts: int = 7, sources=PROTECTED_SOURCES, types=PROTECTED_TYPES) -> DataFrame:
     """``id, decision, reason`` by the first rule that holds: protected source, protected type,
-    hot or warm with content, last mention, creation, else forget."""
+    record of the graph (any of ``GRAPH_COLUMNS`` filled, of those that mem has), hot or warm with
+    content, last mention, creation, else forget."""
     mention, created = F.coalesce("last_mentioned", F.lit(0.0)), F.coalesce("created_at", F.lit(0.0))
+    graph = F.lit(False)
+    for c in GRAPH_COLUMNS:
+        if c in mem.columns:
+            graph = graph | (F.coalesce(F.col(c).cast("string"), F.lit("")) != "")
     rules = [
         (F.col("source").isin(list(sources)), "keep", "protected source"),
         (F.col("type").isin(list(types)), "keep", "protected type"),
+        (graph, "keep", "graph record"),
         (F.col("tier").isin("hot", "warm") & (F.coalesce("content", F.lit("")) != ""), "keep", "tier"),
         ((mention > 0) & (mention > asof - max_days * 86400), "keep", "recent mention"),
         (mention > 0, "forget", "old mention"),

@@ -42,9 +42,10 @@ def update_chain_mark(rel: DataFrame) -> DataFrame:
     return rel.filter("type = 'updates'").select("src", "dst", "created_at", newest.alias("active"))
 
 
-def version_chain(versions: DataFrame, max_depth: int = 20) -> DataFrame:
-    """``start_id, depth, id``: for every version (id, parent_id) its ancestors up to max_depth steps, by
-    pointer doubling: each round joins all known stretches with each other."""
+def version_chain(versions: DataFrame, max_depth: int = 20, direction: str = "ancestors") -> DataFrame:
+    """``start_id, depth, id``: for every version (id, parent_id) itself and its ancestors up to max_depth
+    steps, its descendants, or both, descendants then with a depth below 0. By pointer doubling:
+    each round joins all known stretches with each other. A chain that leads back to itself ends there."""
     known = written(versions.filter("parent_id is not null").select(F.col("id").alias("s"), F.col("parent_id").alias("e"), F.lit(1).alias("d")), "chain")
     reach = 1
     jump = known
@@ -54,7 +55,13 @@ def version_chain(versions: DataFrame, max_depth: int = 20) -> DataFrame:
         reach *= 2
         jump = known.filter(F.col("d") == reach)
     own = versions.select(F.col("id").alias("start_id"), F.lit(0).alias("depth"), F.col("id"))
-    return own.unionByName(known.select(F.col("s").alias("start_id"), F.col("d").alias("depth"), F.col("e").alias("id")))
+    known = known.filter("s <> e")
+    up = known.select(F.col("s").alias("start_id"), F.col("d").alias("depth"), F.col("e").alias("id"))
+    down = known.select(F.col("e").alias("start_id"), (F.negate("d") if direction == "both" else F.col("d")).alias("depth"), F.col("s").alias("id"))
+    for name, part in (("descendants", down), ("ancestors", up)):
+        if direction in (name, "both"):
+            own = own.unionByName(part)
+    return own
 
 
 def bfs_subgraph(edges: DataFrame, seeds: DataFrame, max_depth: int = 2) -> DataFrame:

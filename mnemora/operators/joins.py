@@ -10,32 +10,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import dot, tokenize
+from ..functions.text import LATIN_WORD, dot, tokenize
+
+#: Characters of the blocks on which probes meet texts, the longest first, and of a piece of a text.
+BLOCKS, PIECE = (12, 4, 1), 512
 
 
 def message_session_join(msg: DataFrame, ses: DataFrame) -> DataFrame:
     return msg.join(ses.select("session_id", "title", "source"), "session_id")
 
 
-def grams(df: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
-    """``key, gram``: the distinct character n-grams of a text, in lower case."""
-    t = F.lower(F.coalesce(F.col(text), F.lit("")))
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - n + 1))
-    return df.select(F.col(key), F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(t, i, F.lit(n))))).alias("gram")).filter(F.length("gram") == n)
+def containments(texts: DataFrame, probes: DataFrame) -> DataFrame:
+    """``id, probe``: each text (id, text) with every probe that it contains, case as given, once.
+
+    A probe stands under the hash of its first characters, the longest of ``BLOCKS`` that fits it;
+    texts are posted under the hashes of all their places, piece by piece. Ids and hashes are
+    shuffled; texts follow for pairs that met. Empty and null probes are in no text; null texts
+    hold none; rows without id give nothing.
+    """
+    p = probes.filter(F.length("probe") > 0).select("probe").distinct()
+    size = F.lit(BLOCKS[-1])
+    for k in reversed(BLOCKS):
+        size = F.when(F.length("probe") >= k, k).otherwise(size)
+    keyed = p.withColumn("size", size).select("probe", F.xxhash64(F.substring(F.col("probe"), F.lit(1), F.col("size")), "size").alias("block"))
+    starts = F.sequence(F.lit(1), F.length("text"), F.lit(PIECE))
+    pieces = texts.filter(F.length("text") > 0).select("id", F.explode(F.transform(starts, lambda s: F.substring(F.col("text"), s, F.lit(PIECE + max(BLOCKS) - 1)))).alias("piece"))
+
+    def hashes(k: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("piece") - k + 1))
+        return F.transform(places, lambda i: F.xxhash64(F.substring(F.col("piece"), i, F.lit(k)), F.lit(k)))
+
+    posted = pieces.select("id", F.explode(F.array_distinct(F.concat(*[hashes(k) for k in BLOCKS]))).alias("block"))
+    met = posted.join(keyed, "block").select("id", "probe").distinct()
+    held = texts.select(F.col("id").alias("text_id"), "text")
+    return met.join(held, (F.col("id") == F.col("text_id")) & F.col("text").contains(F.col("probe")), "left_semi")
 
 
-def fulltext_join(msg: DataFrame, queries: DataFrame, n: int = 3) -> DataFrame:
-    """``query_id, id``: messages that contain a query (query_id, q), whatever the case. A query
-    meets a message on one of its n-grams, and the text is checked; a query shorter than n meets it
-    on the n-gram of its own length, which it is. Empty and null queries are not found."""
-    low = F.lower("q")
-    probe = queries.select("query_id", "q", F.substring(low, 1, n).alias("gram"))
-    posted = grams(msg, "id", "content", n)
-    met = posted.join(probe.filter(F.length("gram") == n), "gram").join(msg.select("id", "content"), "id")
-    out = met.filter(F.lower("content").contains(low)).select("query_id", "id")
-    for k in range(1, n):
-        out = out.unionByName(grams(msg, "id", "content", k).join(probe.filter(F.length("gram") == k), "gram").select("query_id", "id"))
-    return out
+def fulltext_join(msg: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, id``: messages that contain a query (query_id, q), whatever the case. Empty and
+    null queries are not found."""
+    q = queries.select("query_id", F.lower("q").alias("probe"))
+    return containments(msg.select("id", F.lower("content").alias("text")), q).join(q, "probe").select("query_id", "id")
 
 
 def orphan_metadata(meta: DataFrame, emb: DataFrame) -> DataFrame:
@@ -52,14 +67,14 @@ def content_by_rowid(eav: DataFrame, content: DataFrame) -> DataFrame:
     return eav.select("id", "key", value.alias("value")).join(content.select("id", "content"), "id", "left").withColumn("content", F.coalesce("content", F.lit("")))
 
 
-def repair_by_lookup(mem: DataFrame, msg: DataFrame, ses: DataFrame, probe: int = 40, block: int = 12) -> DataFrame:
+def repair_by_lookup(mem: DataFrame, msg: DataFrame, ses: DataFrame, probe: int = 40) -> DataFrame:
     """``id, session_id, source, type``: for each record the first message that contains its first
-    ``probe`` characters, and that session's source (unknown without one). Records meet messages
-    on the first ``block`` characters of the probe, at every place where a word begins."""
-    p = mem.select("id", F.substring("content", 1, probe).alias("probe")).filter(F.length("probe") >= block).withColumn("b", F.substring("probe", 1, block))
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("content") - block + 1)), lambda i: (i == 1) | F.substring(F.col("content"), i - 1, F.lit(1)).rlike(r"\s"))
-    m = msg.select(F.col("id").alias("mid"), "session_id", "content", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("content"), i, F.lit(block))))).alias("b"))
-    hit = p.join(m, "b").filter(F.col("content").contains(F.col("probe"))).groupBy("id").agg(F.min_by("session_id", "mid").alias("session_id"))
+    ``probe`` characters at any place, and that session's source (unknown without one). Records
+    that begin alike are looked up once."""
+    p = mem.select("id", F.substring("content", 1, probe).alias("probe"))
+    found = containments(msg.select("id", F.col("content").alias("text")), p).groupBy("probe").agg(F.min("id").alias("mid"))
+    first = found.join(msg.select(F.col("id").alias("mid"), "session_id"), "mid").groupBy("probe").agg(F.min("session_id").alias("session_id"))
+    hit = p.join(first, "probe").select("id", "session_id")
     s = ses.select("session_id", F.coalesce("source", F.lit("cli")).alias("source"))
     out = mem.select("id").join(hit, "id", "left").join(s, "session_id", "left")
     return out.select("id", "session_id", F.coalesce("source", F.lit("unknown")).alias("source"), F.when(F.col("session_id").isNotNull(), "conversation").otherwise("text").alias("type"))
@@ -136,18 +151,29 @@ def conflict_pairs(vec: DataFrame, threshold: float = 0.15, k: int | None = None
     return p.limit(k) if k else p
 
 
-def dictionary_match(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, term``: documents whose tokens hold a term of the dictionary (column term, lower
-    case, one token each). An equi join on tokens: the dictionary may be of any size."""
+def term_hits(docs: DataFrame, terms: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``doc_id`` with the rows of terms (term in lower case, and more columns) that occur in it. A
+    term that is one latin word must be a token of the document; any other (several words, CJK) may
+    stand anywhere in the text. The dictionary is asked first whether it has terms of the second
+    kind: texts are posted only then. It may be of any size."""
     t = docs.select(F.col(id_col).alias("doc_id"), F.explode(tokenize(F.col(text))).alias("term"))
-    return t.join(terms.select("term").distinct(), "term").select("doc_id", "term")
+    word = F.col("term").rlike(f"^{LATIN_WORD}$")
+    own, phrases = t.join(terms.filter(word), "term"), terms.filter(~word & (F.col("term") != ""))
+    if phrases.isEmpty():
+        return own
+    found = containments(docs.select(F.col(id_col).alias("id"), F.lower(text).alias("text")), phrases.select(F.col("term").alias("probe")))
+    return own.unionByName(found.select(F.col("id").alias("doc_id"), F.col("probe").alias("term")).join(phrases, "term"))
+
+
+def dictionary_match(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, term``: documents that hold a term of the dictionary (column term, lower case)."""
+    return term_hits(docs, terms.select("term").distinct(), id_col, text).select("doc_id", "term")
 
 
 def topic_detect(docs: DataFrame, topics: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, topic``: topics (topic, terms array: name and tags) of which a token occurs."""
+    """``doc_id, topic``: topics (topic, terms array: name and tags) of which a term occurs."""
     terms = topics.select("topic", F.explode("terms").alias("term")).withColumn("term", F.lower("term"))
-    t = docs.select(F.col(id_col).alias("doc_id"), F.explode(tokenize(F.col(text))).alias("term"))
-    return t.join(terms, "term").select("doc_id", "topic").distinct()
+    return term_hits(docs, terms, id_col, text).select("doc_id", "topic").distinct()
 
 
 def similar_topic(docs: DataFrame, topics: DataFrame, top: int = 5, id_col: str = "id", text: str = "content") -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TRANSCRIPT = "type string, time string, data struct<content: array<struct<type: string, text: string>>, message: struct<content: array<struct<type: string, text: string>>>>"
 # Containers in which a page's body is looked for, in order.
-BODY_PATTERNS = (r"(?is)<article[^>]*>(.*?)</article>", r"(?is)<main[^>]*>(.*?)</main>", r'(?is)<div[^>]*class="[^"]*content[^"]*"[^>]*>(.*?)</div>', r"(?is)<body[^>]*>(.*?)</body>")
+BODY_PATTERNS = (
+    r'(?s)<div[^>]*class="[^"]*article-content[^"]*"[^>]*>(.*?)</div>',
+    r"(?s)<article[^>]*>(.*?)</article>",
+    r'(?s)<div[^>]*class="[^"]*content[^"]*"[^>]*>(.*?)</div>',
+    r'(?s)data-layout="text"[^>]*>(.*?)</div>',
+)
 
 
 def scan_memories(spark: SparkSession, path: str) -> DataFrame:
@@ -124,16 +129,19 @@ def reflection_history(refl: DataFrame, asof_day: str, days: int = 3) -> DataFra
 
 
 def page_body_extract(pages: DataFrame, patterns=BODY_PATTERNS, min_chars: int = 100) -> DataFrame:
-    """``page_id, title, body, n_chars``: the first container that matches, without tags, spaces
-    collapsed; bodies of up to min_chars are dropped."""
-    body = F.lit("")
-    for p in reversed(patterns):
-        hit = F.regexp_extract("html", p, 1)
-        body = F.when(hit != "", hit).otherwise(body)
-    plain = F.regexp_replace(F.regexp_replace(body, r"(?is)<(script|style)[^>]*>.*?</\1>", ""), r"<[^>]+>", " ")
-    plain = F.trim(F.regexp_replace(F.regexp_replace(plain, "&nbsp;", " "), r"\s+", " "))
+    """``page_id, title, body, n_chars``: of the containers, in the order of their patterns, the first
+    with more than min_chars characters without tags, scripts and styles, spaces collapsed. Pages
+    without such a container are dropped."""
+
+    def long_enough(pattern: str) -> Column:
+        inner = F.regexp_replace(F.regexp_extract("html", pattern, 1), r"(?is)<(script|style)[^>]*>.*?</\1>", "")
+        plain = F.regexp_replace(F.regexp_replace(inner, r"<[^>]+>", " "), "&nbsp;", " ")
+        # one element, so that the text is made once for its test and its value
+        return F.try_element_at(F.filter(F.array(F.trim(F.regexp_replace(plain, r"\s+", " "))), lambda t: F.length(t) > min_chars), F.lit(1))
+
+    body = F.coalesce(*[long_enough(p) for p in patterns])
     title = F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
-    return pages.select("page_id", title.alias("title"), plain.alias("body")).withColumn("n_chars", F.length("body").cast("long")).filter(F.col("n_chars") > min_chars)
+    return pages.select("page_id", title.alias("title"), body.alias("body")).filter(F.col("body").isNotNull()).withColumn("n_chars", F.length("body").cast("long"))
 
 
 def page_markdown(bodies: DataFrame) -> DataFrame:
