@@ -1,11 +1,11 @@
-"""The ten queries and their SQL, where SQL can express them."""
+"""The queries of the operators and their SQL, where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, ext_hash, html_mss, langid_crf, lcp, ngram_join, pfair, topk_impact, warc
+from . import byte_bpe, chat_format, ext_hash, fim, html_mss, langid_crf, lcp, line_dedup, ngram_join, periodic, pfair, topk_impact, warc
 from .common import shared_path
 
 
@@ -180,6 +180,78 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair.pfair_mix(docs)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of words of every text, a period planted in each tenth, and the texts without them."""
+    docs = _table(spark, sf_dir, "documents")
+    planted = docs.select("doc_id", periodic.plant_period(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic.periodic_runs(planted).select("doc_id", "runs", "collapsed", periodic.longest_run(F.col("runs")).alias("best"))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rearranges every text, then restores it from the output."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = fim.restored(fim.fill_in_middle(docs).drop("text"))
+    return back.select(
+        "doc_id",
+        F.col("n_tokens").alias("n"),
+        F.col("fim_form").alias("form"),
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("fim_text", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), d AS (
+  SELECT *, len(w) AS n, ('0x' || h[1:8])::BIGINT % (len(w) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(w) + 1) AS y,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t
+), p AS (
+  SELECT doc_id, text, n, form, array_to_string(w[1:least(x, y)], '') AS pre, array_to_string(w[least(x, y) + 1:greatest(x, y)], '') AS mid, array_to_string(w[greatest(x, y) + 1:n], '') AS suf FROM d
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drops lines of 40 code points or more that five documents share, but in the last of them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_shared_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, CASE WHEN doc_id IS NULL THEN md5(coalesce(text, '')) END AS anon, string_split(coalesce(text, ''), chr(10)) AS w FROM documents
+), lines AS (
+  SELECT r, doc_id, anon, unnest(w) AS line, generate_subscripts(w, 1) AS pos FROM docs
+), keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), shared AS (
+  SELECT key, max(doc_id) AS keeper, max(anon) AS anon_keeper FROM (SELECT DISTINCT key, doc_id, anon FROM keyed WHERE length(key) >= 40) GROUP BY key HAVING count(*) >= 5
+), marked AS (
+  SELECT k.*, s.key IS NOT NULL AND CASE WHEN s.keeper IS NULL THEN k.anon <> s.anon_keeper ELSE k.doc_id IS DISTINCT FROM s.keeper END AS gone FROM keyed k LEFT JOIN shared s ON k.key = s.key
+)
+SELECT doc_id, count(*) AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r, doc_id
+"""
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_byte_bpe": op2_byte_bpe,
@@ -191,6 +263,9 @@ QUERIES = {
     "op8_html_mss": op8_html_mss,
     "op9_ext_hash_shards": op9_ext_hash_shards,
     "op10_pfair_mix": op10_pfair_mix,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLE_SQL = {
@@ -199,4 +274,6 @@ ORACLE_SQL = {
     "op4_warc": OP4_SQL,
     "op6_chat_format": OP6_SQL,
     "op9_ext_hash_shards": OP9_SQL,
+    "op12_fill_in_middle": OP12_SQL,
+    "op13_line_dedup": OP13_SQL,
 }

@@ -26,7 +26,7 @@ def test_query_matches_sql(spark, sf_dir, key):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op")} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if k.startswith("op")} and "pipeline" in names
 
 
 def test_pipeline(spark, sf_dir):
