@@ -318,7 +318,7 @@ def _(v):
     return t.join(b, "doc_id").select("doc_id", F.round(T.jaccard(F.col("t"), F.col("u")), 6).alias("jaccard"))
 
 
-@query("fn_heat_decay", f"SELECT id, round(heat * pow(0.5, ({ASOF} - created_at) / 43200.0), 6) AS heat FROM v_memories WHERE created_at > {ASOF - 864000} AND created_at <= {ASOF}")
+@query("fn_heat_decay", f"SELECT id, round(heat * pow(0.5, greatest(0, {ASOF} - created_at) / 43200.0), 6) AS heat FROM v_memories")
 def _(v):
     return v.v_memories.select("id", F.round(T.heat_decay(F.col("heat"), F.col("created_at"), ASOF), 6).alias("heat"))
 

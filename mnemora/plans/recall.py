@@ -14,9 +14,9 @@ from .relational import TERMS_SQL, TOKENS, VALUABLE_SQL, _terms, _valuable
 from .views import ASOF, ASOF_EVT, ASOF_MSG
 
 COS = "list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
-VECTOR_SQL = f"""SELECT q.vec_id AS query_id, m.id, m.content, round(1 - (1 - {COS}), 4) AS score FROM v_memories m JOIN embeddings v ON v.vec_id = m.id JOIN embeddings q ON q.vec_id < 5"""
+VECTOR_SQL = f"""SELECT q.vec_id AS query_id, m.id, m.content, round(1 - (1 - {COS}), 4) AS score FROM v_memories m JOIN embeddings v ON v.vec_id = m.id JOIN embeddings q ON q.vec_id % 20 = 0"""
 RANKED = "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {}"
-KEYWORD_SQL = f"""WITH q AS (SELECT item_id AS query_id, {TOKENS.format('text')} AS t FROM benchmark WHERE item_id < 5), d AS (SELECT id, {TOKENS.format('content')} AS t FROM v_memories),
+KEYWORD_SQL = f"""WITH q AS (SELECT item_id AS query_id, {TOKENS.format('text')} AS t FROM benchmark WHERE item_id % 20 = 0), d AS (SELECT id, {TOKENS.format('content')} AS t FROM v_memories),
     p AS (SELECT id, len(t) AS n, unnest(t) AS w FROM d), qq AS (SELECT query_id, len(t) AS n, unnest(t) AS w FROM q)
     SELECT query_id, id, round(count(*) / (p.n + qq.n - count(*)), 4) AS score FROM p JOIN qq ON p.w = qq.w GROUP BY query_id, id, p.n, qq.n"""
 
@@ -404,13 +404,13 @@ def _(v):
 
 
 @query("rule_entities", r"""WITH r AS (SELECT doc_id, 0 AS k, d.n AS name, d.t AS type FROM documents, (VALUES ('ing the', 'tool'), ('ungkeit', 'framework')) d(n, t) WHERE contains(lower(coalesce(text, '')), d.n)
-      UNION ALL SELECT DISTINCT doc_id, 1, unnest(regexp_extract_all(coalesce(text, ''), '\b[A-Z][A-Z0-9_\-]+\b')), 'project' FROM documents WHERE lang = 'en')
-    SELECT doc_id, name, type FROM r WHERE NOT (k = 1 AND lower(name) IN ('http', 'https', 'www', 'api', 'ing the', 'ungkeit')) AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k, name) <= 10""")
+      UNION ALL SELECT DISTINCT doc_id, 1, unnest(regexp_extract_all(regexp_replace(coalesce(text, ''), '[^\P{L}\x00-\x7F]|[^\P{N}\x00-\x7F]', 'x', 'g'), '\b[A-Z][A-Z0-9_\-]+\b')), 'project' FROM documents)
+    SELECT doc_id, name, type FROM r WHERE NOT (k = 1 AND lower(name) IN ('http', 'https', 'www', 'api', 'ing the', 'ungkeit')) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k, name) <= 10""")
 def _(v):
     return G.rule_entities(v.documents, {"ing the": ("tool", ""), "ungkeit": ("framework", "")})
 
 
-LINK_SQL = f"""WITH t AS (SELECT DISTINCT term FROM ({TERMS_SQL}) x WHERE length(term) >= 9), d AS (SELECT doc_id, term FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) y JOIN t USING (term)),
+LINK_SQL = f"""WITH t AS (SELECT DISTINCT term FROM ({TERMS_SQL}) x WHERE length(term) >= 5), d AS (SELECT doc_id, term FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) y JOIN t USING (term)),
     p AS (SELECT x.doc_id, x.term AS a, y.term AS b FROM d x JOIN d y ON x.doc_id = y.doc_id AND x.term < y.term)
     SELECT a AS from_id, b AS to_id, CASE WHEN contains(lower(text), 'license') THEN 'derives' WHEN contains(lower(text), 'reserved') THEN 'updates' ELSE 'related' END AS rel_type, count(*) AS n FROM p JOIN documents USING (doc_id) GROUP BY ALL"""
 

@@ -121,8 +121,8 @@ def _(v):
     return J.edge_exists(v.v_edges.unionByName(v.v_edges), v.v_edges.filter("length(to_id) % 2 = 1"))
 
 
-@query("cooccurrence_pairs", f"""WITH t AS (SELECT DISTINCT term FROM ({TERMS_SQL}) x WHERE length(term) >= 5), d AS (SELECT doc_id, term FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) y WHERE doc_id % 10 = 0 AND term IN (SELECT term FROM t))
-    SELECT x.doc_id, x.term AS a, y.term AS b FROM d x JOIN d y ON x.doc_id = y.doc_id AND x.term < y.term WHERE length(x.term) >= 9 AND length(y.term) >= 9""".replace("doc_id % 10 = 0 AND ", ""))
+@query("cooccurrence_pairs", f"""WITH t AS (SELECT DISTINCT term FROM ({TERMS_SQL}) x WHERE length(term) >= 5), d AS (SELECT doc_id, term FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) y WHERE term IN (SELECT term FROM t))
+    SELECT x.doc_id, x.term AS a, y.term AS b FROM d x JOIN d y ON x.doc_id = y.doc_id AND x.term < y.term""")
 def _(v):
     return J.cooccurrence_pairs(J.dictionary_match(v.documents, _terms(v)))
 
@@ -225,7 +225,7 @@ VALUABLE_SQL = """SELECT s.session_id, s.title, g.user_text, g.assistant_text, g
       substr(coalesce(string_agg(substr(content, 1, 300), chr(10) ORDER BY pos) FILTER (role = 'user' AND length(trim(content)) > 3), ''), 1, 2000) AS user_text,
       substr(coalesce(string_agg(substr(content, 1, 500), chr(10) ORDER BY pos) FILTER (role = 'assistant' AND length(trim(content)) >= 15), ''), 1, 2000) AS assistant_text,
       count(*) FILTER (role = 'user' AND length(trim(content)) > 3) AS user_count, count(*) FILTER (role = 'assistant' AND length(trim(content)) >= 15) AS assistant_count
-      FROM v_messages WHERE session_id % 10 <> 0 GROUP BY session_id) g ON s.session_id = g.session_id"""
+      FROM v_messages GROUP BY session_id) g ON s.session_id = g.session_id"""
 
 
 def _valuable(v):
