@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, give_back
 
 #: Entries of a task's word cache; it is emptied when full. Longer pre-tokens than ``CACHE_BYTES``
 #: aren't kept.
@@ -168,6 +168,8 @@ def _added(df: DataFrame, names: list[str], run, without: tuple[str, ...] = ())
                 part = b.slice(at, 500)
                 made = [pa.array(x, pa.binary()) for x in work(part)]
                 yield pa.RecordBatch.from_arrays([*(_values(part, c) for c in kept), *made], [*kept, *names])
+        del work
+        give_back()
 
     return rest.mapInArrow(each, T.StructType([*(rest.schema[c] for c in kept), *(T.StructField(n, T.BinaryType()) for n in names)]))
 

@@ -57,6 +57,19 @@ def fleeting_shuffles(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+def give_back() -> None:
+    """Return to the system what a task's end has freed in its Python worker, which Spark keeps for
+    further tasks: Arrow's pool, and the allocator's free pages where it has a call for it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

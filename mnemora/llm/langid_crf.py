@@ -16,7 +16,7 @@ words.
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, give_back
 
 #: Bound of the training sample: documents, and words and code points of each.
 TRAIN_DOCS, TRAIN_WORDS, TRAIN_CHARS = 4000, 40, 4000
@@ -37,12 +37,14 @@ HASH_BITS = 16
 LEXICON_USES = 3
 #: Hash lanes in which the sample is drawn.
 LANES = 64
+#: Words that are labelled in one block; messages are carried from block to block of a text.
 CHAIN = 128
+#: Code points of new words whose features are made at once.
+FEATURE_CHARS = 1 << 16
 #: Words whose emissions a task remembers; longer ones than ``MEMO_CHARS`` aren't kept from one
 #: slice of rows to the next.
 MEMO_WORDS, MEMO_CHARS = 100_000, 64
 UND = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
 _P = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
 
 
@@ -98,19 +100,27 @@ class Model:
 
 
 def letters(word: str) -> str:
-    """The letters of a word, in lower case."""
-    return word.lower() if word.isalpha() else _NOT_LETTERS.sub("", word.lower())
-
-
-def forward_backward(scores: np.ndarray, mask: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """The letters of a word, in lower case, with their marks; nothing where it has no letter
+    (numerals such as ½ aren't letters)."""
+    if word.isalpha():
+        return word.lower()
+    if not any(map(str.isalpha, word)):
+        return ""
+    return "".join(c for c in word.lower() if c.isalpha() or unicodedata.category(c)[0] == "M")
+
+
+def forward_backward(
+    scores: np.ndarray, mask: np.ndarray, trans: np.ndarray, start: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, float]:
     """Marginals (n x T x L), expected transitions (L x L) and log likelihood's normaliser of
-    chains given as scores (n x T x L); mask tells the words from the padding behind them."""
+    chains given as scores (n x T x L); mask tells the words from the padding behind them. Chains that
+    are blocks of longer ones have the message to their first word (n x L) and to their last one."""
     n, size, k = scores.shape
     peak = scores.max(2, keepdims=True)
     e = np.exp(scores - peak)
     t = np.exp(trans)
     alpha, norm = np.empty_like(e), np.ones((n, size), e.dtype)
-    a = np.exp(start) * e[:, 0]
+    a = (np.exp(start) if first is None else first) * e[:, 0]
     for i in range(size):
         if i:
             a = (alpha[:, i - 1] @ t) * e[:, i]
@@ -121,18 +131,52 @@ def forward_backward(scores: np.ndarray, mask: np.ndarray, trans: np.ndarray, st
             off = ~mask[:, i]
             if off.any():
                 alpha[off, i] = alpha[off, i - 1]
-    beta = np.ones_like(e)
+    end = np.ones_like(e[:, 0]) if last is None else last
+    beta = np.repeat(end[:, None], size, 1)
     pairs = np.zeros((k, k))
     for i in range(size - 2, -1, -1):
         nxt = e[:, i + 1] * beta[:, i + 1] / norm[:, i + 1, None]
         on = mask[:, i + 1]
-        beta[:, i] = np.where(on[:, None], nxt @ t.T, 1.0)
+        beta[:, i] = np.where(on[:, None], nxt @ t.T, end)
         pairs += np.einsum("ni,nj->ij", alpha[:, i] * on[:, None], nxt) * t
     total = float(((np.log(norm) + peak[:, :, 0]) * mask).sum())
     marginals = alpha * beta
     return marginals / np.maximum(marginals.sum(2, keepdims=True), 1e-30), pairs, total
 
 
+def block_products(scores: np.ndarray, mask: np.ndarray, trans: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """What a message becomes on its way through each block, as matrices (n x L x L, scaled): from the
+    last word before the block to its last word; in blocks that open a text, from its first word."""
+    e, t = np.exp(scores - scores.max(2, keepdims=True)), np.exp(trans)
+    through = np.repeat(np.eye(len(t))[None], len(e), 0)
+    for i in range(e.shape[1]):
+        moved = through @ t
+        if i == 0:
+            moved[opens] = through[opens]
+        step = moved * e[:, None, i]
+        step /= step.sum((1, 2), keepdims=True)
+        through = np.where(mask[:, i, None, None], step, through)
+    return through
+
+
+def carry(through: np.ndarray, opens: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The messages to the first and to the last word of each block (n x L each); blocks stand in the
+    order of their texts."""
+    n, k = through.shape[:2]
+    t, first, last = np.exp(trans), np.ones((n, k)), np.ones((n, k))
+    a = first[0]
+    for i in range(n):
+        first[i] = np.exp(start) if opens[i] else a @ t
+        first[i] /= first[i].sum()
+        a = (first[i] if opens[i] else a) @ through[i]
+        a = a / a.sum()
+    for i in range(n - 2, -1, -1):
+        if not opens[i + 1]:
+            last[i] = through[i + 1] @ last[i + 1]
+            last[i] /= last[i].sum()
+    return first, last
+
+
 def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS) -> Model | None:
     """Train on windows of text (``TRAIN_WORDS`` words count of each) with labels; None without any."""
     windows = []
@@ -243,9 +287,13 @@ class Tagger:
             self.used += len(real)
             while len(self.table) <= self.used:
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            if real:
-                self.table[at : at + len(real)] = self.model.emissions([f for _, f in real])
-                memo.update((w, at + i) for i, (w, _) in enumerate(real))
+            begin = chars = 0
+            for i, (_, f) in enumerate(real):
+                chars += len(f)
+                if chars > FEATURE_CHARS or i == len(real) - 1:
+                    self.table[at + begin : at + i + 1] = self.model.emissions([f for _, f in real[begin : i + 1]])
+                    begin, chars = i + 1, 0
+            memo.update((w, at + i) for i, (w, _) in enumerate(real))
         ids = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
         for w in distinct:
             if len(w) > MEMO_CHARS:
@@ -264,15 +312,31 @@ class Tagger:
             chains += [(i, j, min(j + CHAIN, len(at))) for j in range(0, len(at), CHAIN)]
         out = [np.zeros((len(at), len(self.model.langs))) for at in kept]
         begins = ends - [len(ws) for ws in split]
-        chains.sort(key=lambda c: c[2] - c[1])
-        for k in range(0, len(chains), 256):
-            part = chains[k : k + 256]
-            size = part[-1][2] - part[-1][1]
+        trans, start = self.model.trans, self.model.start
+
+        def scores(part: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+            size = max(b - a for _, a, b in part)
             rows, mask = np.zeros((len(part), size), np.int64), np.zeros((len(part), size), bool)
             for r, (i, a, b) in enumerate(part):
                 rows[r, : b - a] = ids[begins[i] + kept[i][a:b]]
                 mask[r, : b - a] = True
-            p, _, _ = forward_backward(self.table[rows].astype(np.float64), mask, self.model.trans, self.model.start)
+            return self.table[rows].astype(np.float64), mask
+
+        messages = {}  # of blocks of texts that have several
+        longer = [c for c in chains if len(kept[c[0]]) > CHAIN]
+        if longer:
+            opens = np.array([a == 0 for _, a, _ in longer])
+            slabs = [block_products(*scores(longer[k : k + 256]), trans, opens[k : k + 256]) for k in range(0, len(longer), 256)]
+            messages = dict(zip(longer, zip(*carry(np.concatenate(slabs), opens, trans, start), strict=True), strict=True))
+        chains.sort(key=lambda c: c[2] - c[1])
+        for k in range(0, len(chains), 256):
+            part = chains[k : k + 256]
+            e, mask = scores(part)
+            first, last = np.tile(np.exp(start), (len(part), 1)), np.ones((len(part), len(start)))
+            for r, c in enumerate(part):
+                if c in messages:
+                    first[r], last[r] = messages[c]
+            p, _, _ = forward_backward(e, mask, trans, start, first, last)
             for r, (i, a, b) in enumerate(part):
                 out[i][a:b] = p[r, : b - a]
         return list(zip(kept, out, strict=True))
@@ -296,6 +360,8 @@ def _tagged(docs: DataFrame, model: Model | None, text_col: str, name: str, kind
                 got = tagger.tag(texts) if tagger else [(np.zeros(0, int), np.zeros((0, 0)))] * len(texts)
                 made = [make(held.value, t, g) for t, g in zip(texts, got, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, arrow)], [*part.schema.names, name])
+        del tagger
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

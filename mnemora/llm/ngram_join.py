@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, discard, fleeting_shuffles, stash
+from .common import bounded_batches, discard, fleeting_shuffles, give_back, stash
 from .graph import components
 
 #: Counters of the sketch (a fixed 2^22) and the parts it is summed in.
@@ -176,6 +176,8 @@ def signatures(docs: DataFrame, text_col: str, q: int, num: int, den: int, level
             offsets = np.cumsum([0, *map(len, firsts)])
             prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(firsts)))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in own), pa.array(sizes, pa.int64()), *(pa.array(x) for x in _halves(digests)), prefix], [*(f.name for f in own), "n", "v", "w", "prefix"])
+        memo.clear()
+        give_back()
 
     added = T._parse_datatype_string("n long, v long, w long, prefix array<long>")
     return docs.mapInArrow(run, T.StructType([*own, *added.fields]))
@@ -293,6 +295,8 @@ class Join:
                 offsets = np.cumsum([0, *map(len, tokens)])
                 flat = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(v, count)), pa.array(which, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["v", "frag", "tokens"])
+            memo.clear()
+            give_back()
 
         rows = self.classes.join(wanted.distinct(), "v", "left_semi")
         texts = _in_bitmap(self.docs.select("text", "k"), "k", self.stash(_bitmap(rows, "k"), "wanted"))

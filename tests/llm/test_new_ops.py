@@ -233,3 +233,36 @@ def test_line_dedup_is_linear_in_long_texts(spark):
 def test_line_dedup_uses_no_python_worker(spark, sf_dir):
     plan = queries.op13_line_dedup(spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas|ExternalRDD", plan)
+
+
+# ---- language ID: letters, and messages over blocks
+
+
+def test_letters_by_category():
+    from mnemora.llm.langid_crf import letters
+
+    assert [letters(w) for w in ("Ab1c", "½", "²", "①", "Ⅷ", "_", "क्", "é", "éx", "́", "12", "don't")] == ["abc", "", "", "", "", "", "क्", "é", "éx", "", "", "dont"]
+
+
+def test_texts_without_letters_are_und(spark):
+    from mnemora.llm import langid_crf
+
+    model = langid_crf.train(table(spark, [(i, ["the cat is here", "die katze ist hier"][i % 2], ["en", "de"][i % 2], "s", 1) for i in range(40)]))
+    got = langid_crf.predict(table(spark, [(1, "½ ² ①", None, None, 0), (2, "½ cat", None, None, 0), (3, "́ _", None, None, 0)]), model).collect()
+    assert {r["doc_id"]: r["lang_found"]["lang"] for r in got} == {1: "und", 2: "en", 3: "und"}
+
+
+def test_blocks_of_a_long_text_see_each_other(monkeypatch):
+    import numpy as np
+
+    from mnemora.llm import langid_crf
+
+    rng = random.Random(8)
+    vocab = {"en": ["the", "cat", "is", "here", "now"], "de": ["die", "katze", "ist", "hier", "jetzt"]}
+    model = langid_crf.fit([" ".join(rng.choices(vocab[k], k=12)) for k in ("en", "de") * 60], ["en", "de"] * 60)
+    texts = [" ".join(rng.choices(vocab["en"] + ["x"], k=n) + rng.choices(vocab["de"], k=n)) for n in (1, 4, 9, 30, 64, 65, 333)]
+    whole, parts = [], []
+    for chain, out in ((10**6, whole), (7, parts)):
+        monkeypatch.setattr(langid_crf, "CHAIN", chain)
+        out += [p for _, p in langid_crf.Tagger(model).tag(texts)]
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(whole, parts, strict=True))
