@@ -1,7 +1,11 @@
 """The registered queries: their SQL twins, and the pipeline against plain Python."""
 
+import hashlib
+
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -33,7 +37,7 @@ def test_pipeline(spark, sf_dir):
     import public_tokenizers
     import tiktoken
 
-    from mnemora.llm import byte_bpe
+    from mnemora.llm import byte_bpe, pfair
 
     from .test_llm import brute_classes
 
@@ -41,5 +45,48 @@ def test_pipeline(spark, sf_dir):
     kept = {i for i, (_, c) in brute_classes(docs, 5, 80, 100).items() if i == c and any(ch.isalpha() for ch in docs[i])}
     raw = open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read()
     tk = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.parse_ranks(raw), special_tokens={})
-    got = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, sf_dir).collect()}
-    assert got == {i: len(tk.encode_ordinary(docs[i])) for i in kept}
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {i: len(tk.encode_ordinary(docs[i])) for i in kept}
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    for r in rows:
+        ids = tk.encode_ordinary(docs[r["doc_id"]])
+        assert r["ids_sha256"] == digest(np.array(ids, "<u4").tobytes()) and r["text_sha256"] == digest(docs[r["doc_id"]].encode())
+    # the rows keep the order of the mix of what the stages before left
+    left = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.col("doc_id").isin(list(kept))).select(*corpus_pipeline.COLUMNS)
+    slot = {r["doc_id"]: r["mix_slot"] for r in pfair.pfair_mix(left).collect()}
+    assert sorted(r["mix_position"] for r in rows) == list(range(len(rows)))
+    order = [slot[r["doc_id"]] for r in sorted(rows, key=lambda r: r["mix_position"])]
+    assert order == sorted(order) and len(set(order)) > 5
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null ids, repeated rows, junk and columns that clash with those that stages add."""
+    words = "the cat is here and it was not seen by any of them until now".split()
+    texts = [(i, " ".join(words[i % 5 :] + words[: i % 7] + [chr(97 + k) * (1 + i % 4) for k in range(i % 11)]), "en") for i in range(30)]
+    junk = [(100, "½ ² ① 123 !!", "en"), (101, None, "en"), (102, "", None), (None, "  \n", None)]
+    rows = [(i, t, lang, "s" if i % 3 else None, 1, 7, "x", "y") for i, t, lang in texts] + [(i, t, lang, "s", None, None, None, None) for i, t, lang in junk]
+    rows += rows[:3] + [(None, "a text of its own without an id, so it stays", None, "s", 1, 1, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, mix_position int, ids string, class string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = [r["doc_id"] for r in got]
+    assert not {100, 101, 102} & set(ids) and None in ids and len(ids) == len(set(ids)) and sorted(r["mix_position"] for r in got) == list(range(len(got)))
+    spark.createDataFrame([], docs.schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_op2_matches_the_library(spark, sf_dir):
+    import public_tokenizers
+    import tiktoken
+
+    from mnemora.llm import byte_bpe
+
+    raw = open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read()
+    tk = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.parse_ranks(raw), special_tokens={})
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.op2_byte_bpe(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = tk.encode_ordinary(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
