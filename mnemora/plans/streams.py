@@ -39,9 +39,12 @@ def _(v):
     return S.drain(S.stream_content_dedupe(_messages(v).select("content", "at")).select("hash"), "dedupe")
 
 
-@query("stream_live_turns", "SELECT session_id, string_agg(role || ':' || pos, ',' ORDER BY ts, pos) AS turns FROM (SELECT * FROM v_messages QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, pos DESC) <= 3) x GROUP BY session_id")
+@query("stream_live_turns", """SELECT session_id, string_agg(role || ':' || pos, ',' ORDER BY ts, pos) AS turns, max(ts) + 1800 > (SELECT max(ts) FROM v_messages) AS live
+    FROM (SELECT * FROM v_messages QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, pos DESC) <= 10) x GROUP BY session_id""")
 def _(v):
-    return S.drain(S.stream_live_turns(_messages(v).select("session_id", "pos", "role", "ts"), 3), "turns", "update").groupBy("session_id").agg(F.max_by("turns", "batch").alias("turns"))
+    out = S.drain(S.stream_live_turns(_messages(v).select("session_id", "pos", "role", "ts")), "turns", "update")
+    last = F.max_by(F.struct("turns", "live"), F.struct("batch", ~F.col("live"))).alias("x")
+    return out.groupBy("session_id").agg(last).select("session_id", "x.turns", "x.live")
 
 
 @query("stream_cross_channel", "SELECT session_id, arg_max(channel, ts) AS channel, max(ts) AS last_ts, substr(arg_max(content, ts), 1, 100) AS content FROM (SELECT m.*, s.source AS channel FROM v_messages m JOIN v_sessions s USING (session_id)) x GROUP BY session_id ORDER BY last_ts DESC, session_id LIMIT 3")
@@ -51,11 +54,14 @@ def _(v):
     return out.join(F.broadcast(last), "batch").drop("batch").orderBy(F.col("last_ts").desc(), "session_id").limit(3)
 
 
-@query("stream_topic_heat", "SELECT topic, n, round(last, 3) AS last, round((SELECT sum(20 * pow(0.5, (g.last - m.ts) / 43200.0)) FROM v_mentions m WHERE m.topic = g.topic), 4) AS heat FROM (SELECT topic, count(*) AS n, max(ts) AS last FROM v_mentions GROUP BY topic) g")
+@query("stream_topic_heat", """WITH s AS (SELECT topic, session_id, max(ts) AS last FROM v_mentions GROUP BY topic, session_id QUALIFY row_number() OVER (PARTITION BY topic ORDER BY max(ts) DESC, session_id DESC) <= 20)
+    SELECT topic, n, round(last, 3) AS last, round((SELECT sum(20 * pow(0.5, (g.last - m.ts) / 43200.0)) FROM v_mentions m WHERE m.topic = g.topic), 4) AS heat,
+    (SELECT string_agg(CAST(session_id AS STRING), ',' ORDER BY s.last, session_id) FROM s WHERE s.topic = g.topic) AS session_ids FROM (SELECT topic, count(*) AS n, max(ts) AS last FROM v_mentions GROUP BY topic) g""")
 def _(v):
     t = S.stream_table(v.spark, f"{v.sf_dir}/events.parquet")
-    m = t.select(F.concat("event_type", F.lit("-"), (F.col("user_id") % 20).cast("string")).alias("topic"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("ts"))
-    return S.topic_heat_table(m).withColumn("last", F.round("last", 3)).withColumn("heat", F.round("heat", 4))
+    m = t.select(F.concat("event_type", F.lit("-"), (F.col("user_id") % 20).cast("string")).alias("topic"), F.col("user_id").alias("session_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("ts"))
+    out = S.drain(S.stream_topic_heat(m), "heat", "update").groupBy("topic").agg(F.max_by(F.struct("n", "last", "heat", "session_ids"), "batch").alias("x"))
+    return out.select("topic", "x.n", F.round("x.last", 3).alias("last"), F.round("x.heat", 4).alias("heat"), F.array_join(F.col("x.session_ids").cast("array<string>"), ",").alias("session_ids"))
 
 
 @query("stream_capture", "SELECT id, session_id, role, substr(content, 1, 500) AS content, 'capture' AS type FROM v_messages WHERE role IN ('user', 'assistant') AND NOT (length(trim(coalesce(content, ''))) <= 3 OR lower(trim(coalesce(content, ''))) LIKE 'the%')")

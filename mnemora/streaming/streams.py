@@ -3,39 +3,62 @@
 Operators take a streaming DataFrame and return one, or a function for ``foreachBatch`` where
 there are several sinks. State is per key and expires by watermark or by a bound. ``drain`` runs
 a stream over what is there and returns the result as a table.
+
+Live turns, topic heat and high-water marks are keyed processors (``keyed``) with their state in
+RocksDB. What a key gets of a batch is cut down where it is read (the last turns of a session, sums
+of a topic), so a key with a third of all rows sends a few rows for each Arrow batch to its task. A
+stream that is started again on its checkpoint goes on with its state.
 """
 
 from __future__ import annotations
 
-import json
+import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.filters import is_trivial
 from ..sources.paths import shared_path
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB; the session's setting comes back."""
+    key, before = "spark.sql.streaming.stateStore.providerClass", None
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def drain(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Run a stream over all data that is there (``availableNow``) and read what it wrote. Results of
-    update and complete mode are written per batch; a batch that is run again replaces its own."""
+    update and complete mode are written per batch; a batch that is run again replaces its own.
+    ``folder`` holds results and checkpoint (none: a new one); a stream that is drained again on its
+    folder takes what is new and goes on with its state."""
     spark = stream.sparkSession
-    out, check = shared_path(spark, name), shared_path(spark, f"{name}-checkpoint")
+    folder = folder or shared_path(spark, name)
+    out, check = f"{folder}/out", f"{folder}/checkpoint"
     w = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", check).outputMode(mode)
     if mode == "append":
         w = w.format("parquet").option("path", out)
     else:
         w = w.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"))
-    w.start().awaitTermination()
+    with rocksdb_state(spark):
+        w.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out) if mode == "append" else spark.read.parquet(out)
 
 
-def run_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None]) -> None:
-    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", shared_path(stream.sparkSession, f"{name}-checkpoint")).foreachBatch(each).start().awaitTermination()
+def run_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None], folder: str | None = None) -> None:
+    check = f"{folder}/checkpoint" if folder else shared_path(stream.sparkSession, f"{name}-checkpoint")
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", check).foreachBatch(each).start().awaitTermination()
 
 
 def route(log: DataFrame, sinks: dict[str, str], default: str) -> Callable[[DataFrame, int], None]:
@@ -78,20 +101,60 @@ def stream_incremental_sync(src: DataFrame, target: DataFrame, last_id: int = 0)
     return spark.read.parquet(path).drop("batch")
 
 
-def stream_high_water(src: DataFrame, key: str, fields: str) -> DataFrame:
-    """Rows (key, id, ts) that are newer than all that their key has sent, in the order of time; late
-    rows and ties are dropped. State: one number a key. A key's rows of a batch meet in one task: for
-    few keys with many rows take ``high_water_rows``."""
+def _each(schema: str, cut: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """What each Arrow batch of a stream is cut down to, before it is shuffled."""
+    return lambda df: df.mapInPandas(lambda pdfs: (cut(p) for p in pdfs if len(p)), schema)
+
+
+def _millis(text: str) -> int:
+    n, unit = text.split()
+    return int(float(n) * {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")])
+
+
+class HighWater(StatefulProcessor):
+    """The mark of a key, until the watermark has reached it."""
 
-    def newer(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mark = state.get[0] if state.exists else float("-inf")
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "id"]).drop_duplicates("ts")
-        rows = rows[rows["ts"] > mark]
-        if len(rows):
-            state.update((float(rows["ts"].max()),))
-        yield rows
+    def __init__(self, key: str, kind: str) -> None:
+        self.key, self.kind = key, kind
 
-    return src.groupBy(key).applyInPandasWithState(newer, fields, "mark double", "append", GroupStateTimeout.NoTimeout)
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.mark = handle.getValueState("mark", "ts double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.mark.get()[0] if self.mark.exists() else -math.inf
+        new: dict[float, int] = {}
+        for part in rows:
+            for ts, i in zip(part["ts"].tolist(), part["id"].tolist(), strict=True):
+                if ts > held and i < new.get(ts, math.inf):
+                    new[ts] = i
+        order = sorted(new)
+        if new:
+            if held > -math.inf:
+                self.handle.deleteTimer(math.ceil(held * 1000))
+            self.mark.update((order[-1],))
+            self.handle.registerTimer(math.ceil(order[-1] * 1000))
+        yield pd.DataFrame({self.key: pd.Series([key[0]] * len(order), dtype=self.kind), "id": pd.Series([new[t] for t in order], dtype="int64"), "ts": order})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.mark.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_high_water(src: DataFrame, key: str, ttl: str = "7 days") -> DataFrame:
+    """Rows (key, id, ts) that are newer than all that their key has sent; late rows are dropped, and of
+    ties the smallest id is sent. State: one number a key, which goes when it lies ``ttl`` behind the
+    newest time of all keys; rows as old as that are dropped too, so nothing is sent twice. The times of
+    a key in one batch meet in one task: for few keys with many rows take ``high_water_rows``. Rows
+    without key or time are dropped."""
+    kind = src.schema[key].dataType.simpleString()
+    cut = _each(f"{key} {kind}, id long, ts double", lambda p: p.groupby([key, "ts"], as_index=False)["id"].min()[[key, "id", "ts"]])
+    rows = cut(src.filter(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(key, F.col("id").cast("long").alias("id"), F.col("ts").cast("double").alias("ts")))
+    timed = rows.withColumn("at", F.timestamp_micros((F.col("ts") * 1000000).cast("long"))).withWatermark("at", ttl)
+    return timed.groupBy(key).transformWithStateInPandas(HighWater(key, "object" if kind == "string" else "Int64"), f"{key} {kind}, id long, ts double", "Append", "EventTime")
 
 
 def _held(spark: SparkSession, path: str, i: int, schema: str) -> DataFrame:
@@ -99,12 +162,16 @@ def _held(spark: SparkSession, path: str, i: int, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/batch={i - 1}") if i else spark.createDataFrame([], schema)
 
 
-def high_water_rows(src: DataFrame, key: str) -> DataFrame:
+def high_water_rows(src: DataFrame, key: str, folder: str | None = None, expire: float | None = None) -> DataFrame:
     """Rows (key, id, ts) that are newer than all that their key has sent in earlier batches: late rows
     are dropped, and of rows that tie in time that with the smallest id is sent. State: one number a
     key, in a written table; a batch that is run again reads the same marks and replaces its own rows.
-    Returns the rows sent. Rows without key share a mark; rows without time are dropped."""
-    spark, path, marks = src.sparkSession, shared_path(src.sparkSession, "high-water"), shared_path(src.sparkSession, "high-water-marks")
+    Returns the rows sent. Rows without key share a mark; rows without time are dropped. ``folder``
+    holds rows, marks and checkpoint (none: a new one): run again on it, the stream goes on. Marks
+    that lie more than ``expire`` seconds before the newest one are forgotten."""
+    spark = src.sparkSession
+    folder = folder or shared_path(spark, "high-water")
+    path, marks = f"{folder}/rows", f"{folder}/marks"
     state = f"k {src.schema[key].dataType.simpleString()}, mark double"
 
     def each(df: DataFrame, i: int) -> None:
@@ -113,9 +180,12 @@ def high_water_rows(src: DataFrame, key: str) -> DataFrame:
         newer = rows.join(held, F.col(key).eqNullSafe(F.col("k")), "left").filter("mark is null or ts > mark").select(key, "id", "ts")
         newer.write.mode("overwrite").parquet(f"{path}/batch={i}")
         sent = spark.read.schema(newer.schema).parquet(f"{path}/batch={i}").select(F.col(key).alias("k"), F.col("ts").alias("mark"))
-        held.unionByName(sent).groupBy("k").agg(F.max("mark").alias("mark")).write.mode("overwrite").parquet(f"{marks}/batch={i}")
+        now = held.unionByName(sent).groupBy("k").agg(F.max("mark").alias("mark"))
+        if expire is not None:
+            now = now.crossJoin(F.broadcast(now.agg(F.max("mark").alias("newest")))).filter(F.col("mark") >= F.col("newest") - float(expire)).drop("newest")
+        now.write.mode("overwrite").parquet(f"{marks}/batch={i}")
 
-    run_batches(src, "high-water", each)
+    run_batches(src, "high-water", each, folder)
     return spark.read.parquet(path).drop("batch")
 
 
@@ -124,19 +194,52 @@ def stream_content_dedupe(src: DataFrame, watermark: str = "1 day") -> DataFrame
     return src.withColumn("hash", F.md5(F.coalesce("content", F.lit("")))).withWatermark("at", watermark).dropDuplicatesWithinWatermark(["hash"])
 
 
-def stream_live_turns(src: DataFrame, n: int = 10) -> DataFrame:
-    """``session_id, turns``: the last n turns of each session (role:pos, comma separated) after each
-    batch that touched it. State: n turns a session."""
+class LiveTurns(StatefulProcessor):
+    """The last turns of a session, and a timer for when it has been idle long enough."""
+
+    def __init__(self, n: int, idle: str) -> None:
+        self.n, self.idle = n, _millis(idle)
 
-    def last(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else []
-        new = pd.concat(list(pdfs))
-        held += [[float(t), int(p), r] for t, p, r in zip(new["ts"], new["pos"], new["role"], strict=True)]
-        held = sorted(held)[-n:]
-        state.update((json.dumps(held),))
-        yield pd.DataFrame({"session_id": [k[0]], "turns": [",".join(f"{r}:{p}" for _, p, r in held)]})
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.turns = handle.getListState("turns", "ts double, pos long, role string")
+        self.due = handle.getValueState("due", "at long")
 
-    return src.groupBy("session_id").applyInPandasWithState(last, "session_id long, turns string", "turns string", "update", GroupStateTimeout.NoTimeout)
+    def _row(self, session, turns: list, live: bool) -> pd.DataFrame:
+        return pd.DataFrame({"session_id": [session], "turns": [",".join(f"{r}:{p}" for _, p, r in turns)], "live": [live]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = [tuple(t) for t in self.turns.get()] if self.turns.exists() else []
+        for part in rows:
+            held += [(float(t), int(p), r or "") for t, p, r in zip(part["ts"], part["pos"], part["role"], strict=True)]
+            held = sorted(held)[-self.n :]
+        self.turns.put(held)
+        if self.due.exists():
+            self.handle.deleteTimer(self.due.get()[0])
+        due = math.ceil(held[-1][0] * 1000) + self.idle
+        self.due.update((due,))
+        self.handle.registerTimer(due)
+        yield self._row(key[0], held, True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = [tuple(t) for t in self.turns.get()]
+        self.turns.clear()
+        self.due.clear()
+        yield self._row(key[0], held, False)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_live_turns(src: DataFrame, n: int = 10, idle: str = "30 minutes", watermark: str = "0 minutes") -> DataFrame:
+    """``session_id, turns, live``: the last n turns of each session (role:pos, comma separated) after
+    each batch that touched it; once more, not live, when the watermark of ``ts`` has passed its last
+    turn by ``idle``. Its state, n turns and a timer, goes then. Turns behind the watermark are
+    dropped, as are those without session or time."""
+    turns = src.filter("session_id is not null and ts is not null").select(F.col("session_id").cast("long").alias("session_id"), F.col("pos").cast("long").alias("pos"), "role", F.col("ts").cast("double").alias("ts"))
+    cut = _each("session_id long, pos long, role string, ts double", lambda p: p.sort_values(["ts", "pos", "role"]).groupby("session_id").tail(n))
+    timed = cut(turns).withColumn("at", F.timestamp_micros((F.col("ts") * 1000000).cast("long"))).withWatermark("at", watermark)
+    return timed.groupBy("session_id").transformWithStateInPandas(LiveTurns(n, idle), "session_id long, turns string, live boolean", "Update", "EventTime")
 
 
 def stream_cross_channel(src: DataFrame) -> DataFrame:
@@ -144,24 +247,63 @@ def stream_cross_channel(src: DataFrame) -> DataFrame:
     return src.groupBy("session_id").agg(F.max_by("channel", "ts").alias("channel"), F.max("ts").alias("last_ts"), F.substring(F.max_by("content", "ts"), 1, 100).alias("content"))
 
 
+class TopicHeat(StatefulProcessor):
+    """Count, last mention and heat of a topic, and the sessions that mentioned it last."""
+
+    def __init__(self, life: float, keep: int) -> None:
+        self.life, self.keep = life, keep
+
+    def init(self, handle) -> None:
+        self.sums = handle.getValueState("sums", "n long, last double, heat double")
+        self.sessions = handle.getListState("sessions", "ts double, session long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n, last, heat = self.sums.get() if self.sums.exists() else (0, -math.inf, 0.0)
+        met = {s: t for t, s in self.sessions.get()} if self.sessions.exists() else {}
+        for part in rows:
+            for m, at, h, recent in zip(part["n"], part["last"], part["heat"], part["sessions"], strict=True):
+                end = max(last, at)
+                heat = heat * 0.5 ** ((end - last) / self.life) + h * 0.5 ** ((end - at) / self.life) if n else float(h)
+                n, last = n + int(m), float(end)
+                for x in recent:
+                    met[x["session"]] = max(x["ts"], met.get(x["session"], -math.inf))
+            met = dict(sorted(met.items(), key=lambda x: (x[1], x[0]))[-self.keep :])
+        recent = sorted((float(t), int(s)) for s, t in met.items())
+        self.sums.update((n, last, heat))
+        if recent:
+            self.sessions.put(recent)
+        yield pd.DataFrame({"topic": [key[0]], "n": [n], "last": [last], "heat": [heat], "session_ids": [[s for _, s in recent]]})
+
+    def close(self) -> None:
+        pass
+
+
 def stream_topic_heat(src: DataFrame, half_life_h: float = 12, boost: float = 20, keep: int = 20) -> DataFrame:
-    """``topic, n, last, heat``: each mention adds ``boost`` to what has halved since the one before.
-    State: three numbers a topic. A topic's mentions of a batch meet in one
-    task: for hot topics take ``topic_heat_table``."""
+    """``topic, n, last, heat, session_ids`` after each batch that touched the topic (topic, ts,
+    session_id): each mention adds ``boost``, halved every half-life up to the last mention, in
+    whatever order mentions come; and the ``keep`` sessions that mentioned it last, the newest at the
+    end (ties: the greater id). State: three numbers and ``keep`` sessions a topic.
+
+    Mentions are summed in each Arrow batch first, so a hot topic sends a row a batch. Mentions without
+    topic or time are dropped; those without session count for the heat."""
+    life = 3600.0 * half_life_h
+    own = src.filter("topic is not null and ts is not null").select("topic", F.col("ts").cast("double").alias("ts"), F.col("session_id").cast("long").alias("session"))
 
-    def heat(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last, h = state.get if state.exists else (0, 0.0, 0.0)
-        for ts in sorted(pd.concat(list(pdfs))["ts"]):
-            h = h * 0.5 ** (max(0.0, ts - last) / (3600 * half_life_h)) + boost if n else boost
-            n, last = n + 1, max(last, ts)
-        state.update((n, float(last), float(h)))
-        yield pd.DataFrame({"topic": [k[0]], "n": [n], "last": [float(last)], "heat": [float(h)]})
+    def summed(p: pd.DataFrame) -> pd.DataFrame:
+        last = p.groupby("topic")["ts"].transform("max")
+        p = p.assign(last=last, heat=boost * 0.5 ** ((last - p["ts"]) / life))
+        sums = p.groupby("topic", as_index=False).agg(n=("ts", "size"), last=("last", "first"), heat=("heat", "sum"))
+        recent = p.dropna(subset=["session"]).groupby(["topic", "session"], as_index=False)["ts"].max().sort_values(["ts", "session"]).groupby("topic").tail(keep)
+        lists = {t: [{"ts": x, "session": int(y)} for x, y in zip(g["ts"].tolist(), g["session"].tolist(), strict=True)] for t, g in recent.groupby("topic")}
+        return sums.assign(sessions=[lists.get(t, []) for t in sums["topic"]])
 
-    return src.groupBy("topic").applyInPandasWithState(heat, "topic string, n long, last double, heat double", "n long, last double, heat double", "update", GroupStateTimeout.NoTimeout)
+    parts = _each("topic string, n long, last double, heat double, sessions array<struct<ts: double, session: long>>", summed)(own)
+    schema = "topic string, n long, last double, heat double, session_ids array<long>"
+    return parts.groupBy("topic").transformWithStateInPandas(TopicHeat(life, keep), schema, "Update", "None")
 
 
 def topic_heat_table(src: DataFrame, half_life_h: float = 12, boost: float = 20) -> DataFrame:
-    """``topic, n, last, heat``: each mention adds ``boost`` to what has halved since the one before; a
+    """``topic, n, last, heat``, with built-in aggregates only: each mention adds ``boost`` to what has halved since the one before; a
     mention older than what its topic had before the batch adds ``boost`` as it is. State: three
     numbers a topic, in a written table. Returns the state after the last batch.
 

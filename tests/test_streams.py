@@ -43,3 +43,76 @@ def test_short_queries_are_found(spark):
     qs = spark.createDataFrame([(1, "OX"), (2, "x"), (3, "cat"), (4, ""), (5, None), (6, "a c")], "query_id long, q string")
     got = sorted((r["query_id"], r["id"]) for r in J.fulltext_join(msg, qs).collect())
     assert got == [(1, 1), (2, 1), (2, 4), (3, 2), (6, 2)]
+
+
+def more(spark, tmp_path, rows, schema):
+    """One more file for a stream that ``batches`` began."""
+    import time
+
+    time.sleep(1.1)
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+
+def latest(df, *columns):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r["batch"], not r["live"] if "live" in r else True)):
+        out[r[columns[0]]] = tuple(r[c] for c in columns[1:])
+    return out
+
+
+def test_live_turns_expire_and_survive_a_restart(spark, tmp_path):
+    schema, folder = "session_id long, pos long, role string, ts double", str(tmp_path / "state")
+    parts = [[(1, i, "user", 60.0 * i) for i in range(15)] + [(2, 0, "user", 100.0), (None, 0, "user", 1.0), (3, 1, None, None)], [(1, 15, "assistant", 960.0), (4, 0, "user", 2000.0)]]
+    src = batches(spark, tmp_path, parts, schema)
+    got = latest(S.drain(S.stream_live_turns(src), "turns", "update", folder), "session_id", "turns", "live")
+    ten = ",".join(f"user:{i}" for i in range(6, 15)) + ",assistant:15"
+    assert got == {1: (ten, True), 2: ("user:0", False), 4: ("user:0", True)}
+    # started again: session 1 goes on with its turns, then goes when it is idle for 30 minutes
+    more(spark, tmp_path, [(1, 16, "user", 2500.0)], schema)
+    got = latest(S.drain(S.stream_live_turns(src), "turns", "update", folder), "session_id", "turns", "live")
+    assert got[1] == (",".join(f"user:{i}" for i in range(7, 15)) + ",assistant:15,user:16", True)
+    more(spark, tmp_path, [(5, 0, "user", 2500.0 + 1800)], schema)
+    got = latest(S.drain(S.stream_live_turns(src), "turns", "update", folder), "session_id", "turns", "live")
+    assert not got[1][1] and not got[4][1] and got[5] == ("user:0", True)
+    more(spark, tmp_path, [(1, 17, "user", 5000.0)], schema)
+    got = latest(S.drain(S.stream_live_turns(src), "turns", "update", folder), "session_id", "turns", "live")
+    assert got[1] == ("user:17", True)  # its state had gone
+
+
+def test_topic_heat_keeps_sessions_and_survives_a_restart(spark, tmp_path):
+    schema, folder = "topic string, session_id long, ts double", str(tmp_path / "state")
+    first = [("a", i % 9, 1e6 + 5000.0 * i) for i in range(40)] + [("b", None, 5.0), (None, 1, 5.0), ("b", 1, None)]
+    second = [("a", 3, 1.1e6), ("a", 77, 1.5e6), ("c", 1, 7.0), ("a", 5, 1e6 + 1.0)]
+    src = batches(spark, tmp_path, [first], schema)
+    S.drain(S.stream_topic_heat(src, keep=4), "heat", "update", folder)
+    more(spark, tmp_path, second, schema)
+    got = latest(S.drain(S.stream_topic_heat(src, keep=4), "heat", "update", folder), "topic", "n", "last", "heat", "session_ids")
+    rows = [r for r in first + second if r[0] and r[2] is not None]
+    for topic in "abc":
+        own = [r for r in rows if r[0] == topic]
+        last = max(r[2] for r in own)
+        n, at, heat, sessions = got[topic]
+        assert (n, at) == (len(own), last) and abs(heat - sum(20 * 0.5 ** ((last - r[2]) / 43200) for r in own)) < 1e-9
+        met = {}
+        for _, s, ts in own:
+            if s is not None:
+                met[s] = max(ts, met.get(s, 0))
+        assert sessions == sorted(met, key=lambda s: (met[s], s))[-4:]
+
+
+def test_high_water_marks_survive_a_restart_and_expire(spark, tmp_path):
+    schema = "channel string, id long, ts double"
+    src = batches(spark, tmp_path, [[("a", 3, 1.0), ("a", 2, 1.0), ("b", 1, 5.0), ("a", 9, None)], [("a", 4, 0.5), ("a", 5, 2.0), ("c", 6, 5.0)]], schema)
+    run = {
+        "keyed": lambda: S.drain(S.stream_high_water(src, "channel"), "marks", "append", str(tmp_path / "keyed")),
+        "table": lambda: S.high_water_rows(src, "channel", str(tmp_path / "table"), expire=50.0),
+        "short": lambda: S.drain(S.stream_high_water(src, "channel", ttl="50 seconds"), "marks", "append", str(tmp_path / "short")),
+    }
+    for f in run.values():
+        assert sorted(r["id"] for r in f().collect()) == [1, 2, 5, 6]
+    more(spark, tmp_path, [("a", 7, 1.5), ("a", 8, 3.0), ("b", 10, 100.0)], schema)
+    for f in run.values():
+        assert sorted(r["id"] for r in f().collect()) == [1, 2, 5, 6, 8, 10]
+    more(spark, tmp_path, [("a", 11, 2.5), ("c", 12, 1.0), ("a", 13, 60.0), ("b", 14, 90.0)], schema)
+    for name, also in (("keyed", [13]), ("table", [11, 12, 13]), ("short", [13])):  # the marks of a and c lay 97 and 95 behind
+        assert sorted(r["id"] for r in run[name]().collect()) == sorted([1, 2, 5, 6, 8, 10, *also])
