@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .containment import matches
+
 # Sources and types that retention keeps, and columns that only records of the graph fill.
 GRAPH_COLUMNS = ("rel_type", "entity_a", "entity_b")
 PROTECTED_SOURCES = ("conclusion", "explicit", "manual_index", "project_archive")
@@ -144,11 +146,11 @@ def message_predicate(msg: DataFrame, ses: DataFrame, asof: float, horizon_s: fl
     return near.join(ses.filter(F.col("message_count") >= min_messages).select("session_id"), "session_id", "left_semi")
 
 
-def substring_match(df: DataFrame, queries: DataFrame, text: str = "content", ci: bool = False) -> DataFrame:
-    """Rows of df with each query (query_id, q) that their text contains. The queries are few and
-    given; they are broadcast."""
-    a, b = (F.lower(F.col(text)), F.lower(F.col("q"))) if ci else (F.col(text), F.col("q"))
-    return df.join(F.broadcast(queries), a.contains(b))
+def substring_match(df: DataFrame, queries: DataFrame, text: str = "content", ci: bool = False, id_col: str = "id") -> DataFrame:
+    """Rows of df with each query (query_id, q) that their text contains. Queries may be many; empty and
+    null ones are not found."""
+    hits = matches(df, queries, text, ci, id_col).withColumnRenamed("id", "_id")
+    return df.join(hits, F.col(id_col) == F.col("_id")).drop("_id").join(queries, "query_id")
 
 
 def strip_channel_prefix(log: DataFrame) -> DataFrame:

@@ -11,48 +11,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import LATIN_WORD, dot, tokenize
-
-#: Characters of the blocks on which probes meet texts, the longest first, and of a piece of a text.
-BLOCKS, PIECE = (12, 4, 1), 512
+from .containment import containments, matches
 
 
 def message_session_join(msg: DataFrame, ses: DataFrame) -> DataFrame:
     return msg.join(ses.select("session_id", "title", "source"), "session_id")
 
 
-def containments(texts: DataFrame, probes: DataFrame) -> DataFrame:
-    """``id, probe``: each text (id, text) with every probe that it contains, case as given, once.
-
-    A probe stands under the hash of its first characters, the longest of ``BLOCKS`` that fits it;
-    texts are posted under the hashes of all their places, piece by piece, for the lengths that
-    some probe stands under (asked first, at most three rows). Ids and hashes are shuffled; texts follow for pairs that met. Empty and null probes are in no text; null texts
-    hold none; rows without id give nothing.
-    """
-    p = probes.filter(F.length("probe") > 0).select("probe").distinct()
-    size = F.lit(BLOCKS[-1])
-    for k in reversed(BLOCKS):
-        size = F.when(F.length("probe") >= k, k).otherwise(size)
-    sized = p.withColumn("size", size)
-    asked = [r["size"] for r in sized.select("size").distinct().collect()] or [max(BLOCKS)]
-    keyed = sized.select("probe", F.xxhash64(F.substring(F.col("probe"), F.lit(1), F.col("size")), "size").alias("block"))
-    starts = F.sequence(F.lit(1), F.length("text"), F.lit(PIECE))
-    pieces = texts.filter(F.length("text") > 0).select("id", F.explode(F.transform(starts, lambda s: F.substring(F.col("text"), s, F.lit(PIECE + max(BLOCKS) - 1)))).alias("piece"))
-
-    def hashes(k: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("piece") - k + 1))
-        return F.transform(places, lambda i: F.xxhash64(F.substring(F.col("piece"), i, F.lit(k)), F.lit(k)))
-
-    posted = pieces.select("id", F.explode(F.array_distinct(F.concat(*[hashes(k) for k in asked]))).alias("block"))
-    met = posted.join(keyed, "block").select("id", "probe").distinct()
-    held = texts.select(F.col("id").alias("text_id"), "text")
-    return met.join(held, (F.col("id") == F.col("text_id")) & F.col("text").contains(F.col("probe")), "left_semi")
-
-
 def fulltext_join(msg: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_id, id``: messages that contain a query (query_id, q), whatever the case. Empty and
     null queries are not found."""
-    q = queries.select("query_id", F.lower("q").alias("probe"))
-    return containments(msg.select("id", F.lower("content").alias("text")), q).join(q, "probe").select("query_id", "id")
+    return matches(msg, queries, "content", ci=True)
 
 
 def orphan_metadata(meta: DataFrame, emb: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any
+from .containment import matches
 
 
 def deprecate(mem: DataFrame, changes: DataFrame, asof: float) -> DataFrame:
@@ -114,8 +115,7 @@ def rebuild_store(eav: DataFrame, content: DataFrame, keys: list[str]) -> DataFr
 def store_conversation(turns: DataFrame, topics: DataFrame, trivial, min_chars: int = 4) -> DataFrame:
     """``id, topic``: of each turn (id, content): the first topic (name, heat) whose name it contains;
     else, if it says nothing, the hottest; else its own first 30 characters, if long enough."""
-    low = F.lower("content")
-    hit = turns.select("id", low.alias("t")).crossJoin(F.broadcast(topics.select("name", "heat"))).filter(F.col("t").contains(F.lower("name"))).groupBy("id").agg(F.min("name").alias("hit"))
+    hit = matches(turns, topics.select(F.col("name").alias("query_id"), F.col("name").alias("q")), "content", ci=True).groupBy("id").agg(F.min("query_id").alias("hit"))
     top = topics.agg(F.max_by("name", F.struct("heat", "name")).alias("top"))
     j = turns.join(hit, "id", "left").crossJoin(F.broadcast(top))
     own = F.when(F.length("content") >= min_chars, F.substring("content", 1, 30))

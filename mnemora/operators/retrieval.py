@@ -2,8 +2,7 @@
 
 Queries are tables, so one job serves many: ``query_id`` with ``qv`` (a vector) or ``q`` (text).
 Results have ``query_id, rank, id, content, score, source``. Query vectors may be as many as the
-data: blocks of them meet blocks of the data. Other query tables are stated lists and travel to the
-data. Per query only k rows leave a task before the last shuffle (in vector search, k each time
+data: blocks of them meet blocks of the data. Texts to find are looked for by ``containment``. Per query only k rows leave a task before the last shuffle (in vector search, k each time
 ``MAX_HELD`` rows are held).
 """
 
@@ -18,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from .containment import containments, matches
 from .filters import latest_only, where_column
 from .windows import best_score_per_content, keep_first
 
@@ -133,10 +133,16 @@ def keyword_search(mem: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 def entity_search(edges: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """``query_id, name``: nodes that contain the query or are contained in it, whatever the case, by
     name; an empty query gives the first k."""
-    nodes = edges.select(F.explode(F.array("from_id", "to_id")).alias("name")).distinct()
-    q, n = F.lower("q"), F.lower("name")
-    met = nodes.crossJoin(F.broadcast(queries.select("query_id", "q"))).filter(n.contains(q) | q.contains(n))
-    return keep_first(met, ["query_id"], ["name"], k).select("query_id", "name")
+    nodes = edges.select(F.explode(F.array("from_id", "to_id")).alias("name")).distinct().select("name", F.lower("name").alias("n"))
+    asked = queries.select("query_id", F.lower("q").alias("q"))
+    low = nodes.select("n").distinct()
+    # each side is the text once and the probe once; an empty query is in every name
+    holds = containments(low.select(F.col("n").alias("id"), F.col("n").alias("text")), asked.select(F.col("q").alias("probe"))).select(F.col("id").alias("n"), F.col("probe").alias("q"))
+    held = containments(asked.select(F.col("q").alias("id"), F.col("q").alias("text")), low.select(F.col("n").alias("probe"))).select(F.col("probe").alias("n"), F.col("id").alias("q"))
+    met = asked.join(holds.unionByName(held).distinct(), "q").join(nodes, "n").select("query_id", "name")
+    first = nodes.select("name").orderBy("name").limit(k)
+    every = asked.filter("q = ''").select("query_id").crossJoin(F.broadcast(first))  # k rows
+    return keep_first(met.unionByName(every), ["query_id"], ["name"], k).select("query_id", "name")
 
 
 def graph_search(edges: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
@@ -152,7 +158,7 @@ def fulltext_sessions(msg: DataFrame, ses: DataFrame, queries: DataFrame, k: int
     """``query_id, session_id, source, title, snippet, ts``: the newest message of each session that
     contains the query, the newest sessions first."""
     near = msg.filter(F.col("role").isin("user", "assistant") & (F.col("ts") >= asof - horizon_s))
-    hits = near.join(F.broadcast(queries), F.lower("content").contains(F.lower("q")))
+    hits = near.join(matches(near, queries, "content", ci=True), "id")
     one = keep_first(hits, ["query_id", "session_id"], [F.col("ts").desc(), F.col("id").desc()])
     top = keep_first(one, ["query_id"], [F.col("ts").desc(), F.col("id").desc()], k)
     return top.join(ses.select("session_id", "source", "title"), "session_id").select("query_id", "session_id", "source", "title", F.substring("content", 1, width).alias("snippet"), "ts")
@@ -196,14 +202,15 @@ def cold_search(cold: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 def cold_excavate(msg: DataFrame, ses: DataFrame, queries: DataFrame, limit: int = 200) -> DataFrame:
     """``query_id, session_id, messages``: messages that contain the query, of the sessions that started
     last, nested in order; at most ``limit`` messages a query."""
-    hits = msg.join(F.broadcast(queries), F.col("content").contains(F.col("q"))).join(ses.select("session_id", "started_at"), "session_id")
+    hits = msg.join(matches(msg, queries, "content"), "id").join(ses.select("session_id", "started_at"), "session_id")
     top = keep_first(hits, ["query_id"], [F.col("started_at").desc(), "session_id", "pos"], limit)
     return top.groupBy("query_id", "session_id").agg(F.array_sort(F.collect_list(F.struct("pos", "role", "content"))).alias("messages"))
 
 
 def multi_source_search(sources: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Rows of any source (source, id, text, ts) that contain the query, the newest first."""
-    hits = sources.join(F.broadcast(queries), F.lower("text").contains(F.lower("q")))
+    named = sources.withColumn("_key", F.concat_ws("|", "source", "id"))
+    hits = named.join(matches(named, queries, "text", ci=True, id_col="_key").withColumnRenamed("id", "_key"), "_key").drop("_key")
     return keep_first(hits, ["query_id"], [F.col("ts").desc(), "source", "id"], limit)
 
 

@@ -43,10 +43,10 @@ def _(v):
     return J.content_by_rowid(v.v_eav.filter("key = 'topic'"), v.v_memories.filter("id % 5 <> 0"))
 
 
-@query("repair_by_lookup", """WITH p AS (SELECT id, substr(content, 1, 14) AS probe FROM v_memories), h AS (SELECT p.id, arg_min(m.session_id, m.id) AS session_id FROM p JOIN v_messages m ON contains(m.content, p.probe) AND (m.content LIKE p.probe || '%' OR regexp_matches(m.content, '\\s') AND (contains(m.content, ' ' || p.probe) OR contains(m.content, chr(10) || p.probe))) WHERE length(p.probe) >= 12 GROUP BY p.id)
-    SELECT m.id, h.session_id, coalesce(s.source, 'unknown') AS source, CASE WHEN h.session_id IS NOT NULL THEN 'conversation' ELSE 'text' END AS type FROM v_memories m LEFT JOIN h ON h.id = m.id LEFT JOIN v_sessions s ON s.session_id = h.session_id""".replace("\\\\", "\\"))
+@query("repair_by_lookup", """WITH p AS (SELECT id, substr(content, 1, 40) AS probe FROM v_memories), h AS (SELECT p.id, arg_min(m.session_id, m.id) AS session_id FROM p JOIN v_messages m ON contains(m.content, p.probe) WHERE p.probe <> '' GROUP BY p.id)
+    SELECT m.id, h.session_id, coalesce(s.source, 'unknown') AS source, CASE WHEN h.session_id IS NOT NULL THEN 'conversation' ELSE 'text' END AS type FROM v_memories m LEFT JOIN h ON h.id = m.id LEFT JOIN v_sessions s ON s.session_id = h.session_id""")
 def _(v):
-    return J.repair_by_lookup(v.v_memories, v.v_messages, v.v_sessions, probe=14)
+    return J.repair_by_lookup(v.v_memories, v.v_messages, v.v_sessions)
 
 
 @query("unprocessed_rows", "SELECT id, channel FROM v_channel_log WHERE id > 20000 AND id % 3 <> 0")

@@ -59,3 +59,36 @@ def test_chain_in_both_directions_and_round_a_cycle(spark):
     assert both == {(2, 0, 2), (2, 1, 1), (2, -1, 3)}
     ring = {tuple(r) for r in G.version_chain(v).filter("start_id >= 7").collect()}
     assert ring == {(7, 0, 7), (8, 0, 8), (9, 0, 9), (7, 1, 8), (8, 1, 7)}
+
+
+def test_shards_and_blocks_give_the_same_rows(spark):
+    from mnemora.operators import containment as C
+
+    r = random.Random(3)
+    word = lambda a, b: "".join(r.choice("ab 中é\n") for _ in range(r.randint(a, b)))
+    texts = [(i // 2, word(0, 90)) for i in range(80)] + [(70, "z" * 3000 + word(40, 40)), (71, None), (None, "ab")]
+    probes = list({word(1, n) for n in (1, 2, 4, 9, 14) for _ in range(12)}) + ["zz", "z" * 50, texts[80][1][-15:]]
+    t = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    p = spark.createDataFrame([(x,) for x in probes + [None, ""]], "probe string")
+    want = {(i, x) for i, text in texts for x in probes if i is not None and text is not None and x in text}
+    for chars, most in ((1 << 18, 16), (60, 1000), (60, 1)):
+        got = C.containments(t, p, chars, most).collect()
+        assert len(got) == len(want) and {tuple(x) for x in got} == want
+    assert C.containments(t, p.limit(0)).count() == 0 and C.containments(t.limit(0), p).count() == 0
+
+
+def test_a_scan_shuffles_hits_and_not_places(spark):
+    from mnemora.operators import containment as C
+
+    t = spark.range(50).selectExpr("id", "concat('the quick brown fox ', id, ' ', repeat('jumps over the lazy dog ', 400)) as text")
+    plan = C.containments(t, spark.createDataFrame([("fox 7 ",), ("no such text",)], "probe string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan
+
+
+def test_entities_by_parts_of_names(spark):
+    from mnemora.operators import retrieval as R
+
+    edges = spark.createDataFrame([("PCG", "pcg tools"), ("UE5", "x")], "from_id string, to_id string")
+    q = spark.createDataFrame([(1, "pcg"), (2, "the UE5 engine"), (3, ""), (4, "none")], "query_id long, q string")
+    got = sorted(map(tuple, R.entity_search(edges, q, 3).collect()))
+    assert got == [(1, "PCG"), (1, "pcg tools"), (2, "UE5"), (3, "PCG"), (3, "UE5"), (3, "pcg tools")]
