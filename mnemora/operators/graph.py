@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_any
 from ..sources.paths import written
+from .containment import containments
 from .joins import cooccurrence_pairs, dictionary_match
 
 # Kinds of edges.
@@ -130,15 +131,19 @@ def auto_link(docs: DataFrame, terms: DataFrame, cues: list[tuple[str, list[str]
     return new.join(edges.select("from_id", "to_id", "rel_type"), ["from_id", "to_id", "rel_type"], "left_anti")
 
 
-def alias_merge(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (name, mention_count) whose name is one token of a longer name merge into the longest such
-    name (the smallest of several), counts adding up; edges (from_id, to_id) follow."""
-    t = nodes.select(F.col("name").alias("long"), F.explode(F.split(F.lower("name"), " ")).alias("t"))
-    m = nodes.select("name", F.lower("name").alias("t")).join(t, "t").filter(F.length("long") > F.length("name"))
+def alias_merge(nodes: DataFrame, edges: DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Nodes (name, mention_count) whose name of at least ``least`` characters begins or is part of a
+    longer name, whatever the case, merge into the longest such name (the smallest of several), counts
+    adding up; edges (from_id, to_id) follow, and each stands once. A longest name has no longer one, so
+    one step is enough."""
+    names = nodes.select("name").distinct()
+    low = names.filter(F.length("name") >= least).select("name", F.lower("name").alias("probe"))
+    inside = containments(names.select(F.col("name").alias("id"), F.lower("name").alias("text")), low).withColumnRenamed("id", "long")
+    m = low.join(inside, "probe").filter(F.length("long") > F.length("name"))
     best = m.groupBy("name").agg(F.min(F.struct(F.negate(F.length("long")).alias("l"), F.col("long"))).alias("b")).select("name", F.col("b.long").alias("to"))
     n = nodes.join(best, "name", "left").groupBy(F.coalesce("to", "name").alias("name")).agg(F.sum("mention_count").alias("mention_count"))
     e = edges.join(best.select(F.col("name").alias("from_id"), F.col("to").alias("f")), "from_id", "left").join(best.select(F.col("name").alias("to_id"), F.col("to").alias("t")), "to_id", "left")
-    return n, e.select(F.coalesce("f", "from_id").alias("from_id"), F.coalesce("t", "to_id").alias("to_id")).distinct()
+    return n, e.select(F.coalesce("f", "from_id").alias("from_id"), F.coalesce("t", "to_id").alias("to_id"), *[c for c in edges.columns if c not in ("from_id", "to_id")]).distinct()
 
 
 def node_listing(edges: DataFrame, n: int = 10) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import LATIN_WORD, dot, tokenize
+from ..functions.text import LATIN_WORD, tokenize
 from .containment import containments, matches
+from .neighbours import near_pairs
 
 
 def message_session_join(msg: DataFrame, ses: DataFrame) -> DataFrame:
@@ -83,31 +84,6 @@ def changed_items(cur: DataFrame, cached: DataFrame, listed: DataFrame) -> DataF
     return j.select("item", F.when(hit, "changed").otherwise("skipped").alias("status"))
 
 
-def near_pairs(vec: DataFrame, threshold: float, pivots: int = 16, key: str | None = None) -> DataFrame:
-    """``a, b, distance`` (a < b) of unit vectors (id, v, and key if given) with a cosine distance
-    below the threshold, exactly.
-
-    Rows are dealt to the nearest of some pivot rows; a row is also sent to each pivot that, by
-    the triangle inequality, may be the home of a partner. Rows therefore meet by pivot (and
-    key). The pivots are a fixed number of rows, those with the smallest hashes.
-    """
-    k = [key] if key else []
-    unit = vec.select("id", *k, F.transform("v", lambda x: x.cast("double")).alias("v"))
-    piv = unit.select(F.col("v").alias("pv"), F.xxhash64("id").alias("p"), "id").orderBy("p", "id").limit(pivots).agg(F.collect_list(F.struct("p", "pv")).alias("ps"))
-    t = (2 * threshold) ** 0.5
-    far = F.transform("ps", lambda q: F.struct(F.sqrt(F.greatest(F.lit(0.0), F.lit(2.0) - F.lit(2.0) * dot(F.col("v"), q["pv"]))).alias("e"), q["p"].alias("p")))
-    placed = unit.crossJoin(F.broadcast(piv)).withColumn("far", far).withColumn("home", F.array_min("far")).drop("ps")
-    homes = placed.select(*[F.col(c).alias(f"{c}_a") for c in ["id", "v", *k]], F.col("home.p").alias("p"))
-    reach = F.filter("far", lambda q: q["e"] <= F.col("home.e") + 2 * t + 1e-9)
-    copies = placed.select(*[F.col(c).alias(f"{c}_b") for c in ["id", "v", *k]], F.explode(reach).alias("q")).withColumn("p", F.col("q.p")).drop("q")
-    on = [homes["p"] == copies["p"], *[homes[f"{c}_a"] == copies[f"{c}_b"] for c in k]]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    met = homes.join(copies, cond).filter("id_a <> id_b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), (F.lit(1.0) - dot(F.col("v_a"), F.col("v_b"))).alias("distance"))
-    return met.filter(F.col("distance") < threshold).groupBy("a", "b").agg(F.min("distance").alias("distance"))
-
-
 def near_duplicate_pairs(vec: DataFrame, meta: DataFrame, threshold: float = 0.08) -> DataFrame:
     """``winner_id, loser_id, distance``: the newer row of a near pair wins, the smaller id at a tie."""
     m = meta.select("id", "created_at")

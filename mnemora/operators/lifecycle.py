@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any
+from ..functions.text import contains_any, tokenize
 from .containment import matches
+from .neighbours import connected, nearest_set
 
 
 def deprecate(mem: DataFrame, changes: DataFrame, asof: float) -> DataFrame:
@@ -52,6 +53,17 @@ def resolve_conflicts(mem: DataFrame, pairs: DataFrame, asof: float) -> DataFram
     return deprecate(mem, pairs.select(F.col("loser_id").alias("id"), F.col("winner_id").alias("successor")), asof)
 
 
+def merge_duplicates(mem: DataFrame, pairs: DataFrame, asof: float, dry_run: bool = False) -> DataFrame:
+    """Near pairs (winner_id, loser_id) as sets, over any number of pairs: of each set the newest row
+    (created_at; ties: the smallest id) stays, and all others are superseded by it. Dry run: ``winner_id,
+    loser_id``. Pairs with ids that aren't in mem link their sets and are else left out."""
+    sets = connected(pairs.select(F.col("winner_id").alias("a"), F.col("loser_id").alias("b")))
+    member = sets.join(mem.select("id", "created_at"), "id")
+    best = member.groupBy("root").agg(F.max(F.struct("created_at", F.negate("id").alias("less"))).alias("best"))
+    lost = member.join(best, "root").select(F.negate("best.less").alias("winner_id"), F.col("id").alias("loser_id")).filter("winner_id <> loser_id")
+    return lost if dry_run else resolve_conflicts(mem, lost, asof)
+
+
 def topic_heat_tiers(mentions: DataFrame, asof: float, boost: float = 20, half_life_h: float = 12, hot: float = 10, idle_days: float = 7) -> DataFrame:
     """``topic, n, last, heat, tier``: boost for each mention, halved with the time since the last."""
     g = mentions.filter(F.col("ts") <= asof).groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
@@ -68,18 +80,25 @@ def archive_topics(topics: DataFrame, asof: float) -> tuple[DataFrame, DataFrame
     return live, cold
 
 
-def profile_upsert(mem: DataFrame, facts: DataFrame, distance, asof: float, near: float = 0.4, cut: int = 300) -> DataFrame:
-    """``fact_id, kind, heat, content, action, target``: facts (fact_id, user_id, fact_type, content)
-    are static or dynamic with heat 30, 25 or 15; one that is nearer than ``near`` to a memory of its
-    user and kind updates the nearest, others are inserted. distance: Column over content and
-    ``old``. Facts under five characters are dropped."""
-    kind = F.when(F.col("fact_type").isin("preference", "identity"), "static").otherwise("dynamic")
-    heat = F.when(F.col("fact_type") == "identity", 30.0).when(F.col("fact_type") == "preference", 25.0).otherwise(15.0)
-    f = facts.filter(F.length("content") >= 5).select("fact_id", "user_id", kind.alias("kind"), heat.alias("heat"), F.substring("content", 1, cut).alias("content"))
-    old = mem.select("user_id", "kind", F.col("id").alias("target"), F.col("content").alias("old"))
-    best = f.join(old, ["user_id", "kind"]).withColumn("d", distance).filter(F.col("d") <= near).groupBy("fact_id").agg(F.min(F.struct("d", "target")).alias("m"))
-    out = f.join(best, "fact_id", "left")
-    return out.select("fact_id", "kind", "heat", "content", F.when(F.col("m").isNotNull(), "update").otherwise("insert").alias("action"), F.col("m.target").alias("target"))
+# Kinds of facts, with their part of the profile and their heat.
+STATIC_FACTS, DYNAMIC_FACTS = ("preference", "fact"), ("task_status", "decision", "tech_find")
+
+
+def profile_upsert(mem: DataFrame, facts: DataFrame, asof: float, near: float = 0.4, cut: int = 300) -> DataFrame:
+    """``fact_id, kind, heat, category, content, action, target``: facts (fact_id, user_id, fact_type,
+    content) of a preference or fact are static with heat 30; those of a task, decision or finding are
+    dynamic with 25; others dynamic with 15 and of unknown category. A fact within a Jaccard distance of
+    ``near`` (under 1) of a memory (id, user_id, kind, content) of its user and kind updates the
+    nearest, ties to the smaller id; others are inserted. Facts under five characters are dropped."""
+    static, dynamic = F.col("fact_type").isin(list(STATIC_FACTS)), F.col("fact_type").isin(list(DYNAMIC_FACTS))
+    kind = F.when(static, "static").otherwise("dynamic")
+    heat = F.when(static, 30.0).when(dynamic, 25.0).otherwise(15.0)
+    category = F.when(static | dynamic, F.col("fact_type")).otherwise("unknown")
+    f = facts.filter(F.length("content") >= 5).select("fact_id", "user_id", kind.alias("kind"), heat.alias("heat"), category.alias("category"), F.substring("content", 1, cut).alias("content"))
+    own = f.select(F.col("fact_id").alias("id"), "user_id", "kind", tokenize(F.col("content")).alias("tokens"))
+    best = nearest_set(own, mem.select("id", "user_id", "kind", tokenize(F.col("content")).alias("tokens")), 1 - near, ["user_id", "kind"])
+    out = f.join(best.select(F.col("id").alias("fact_id"), "target"), "fact_id", "left")
+    return out.select("fact_id", "kind", "heat", "category", "content", F.when(F.col("target").isNotNull(), "update").otherwise("insert").alias("action"), "target")
 
 
 def profile_view(mem: DataFrame, n_static: int = 15, n_dynamic: int = 10) -> DataFrame:

@@ -249,14 +249,16 @@ def _(v):
     return L.resolve_conflicts(v.v_memories, pairs, ASOF).select("id", "is_latest", "superseded_by")
 
 
-@query("merge_duplicates", """WITH p AS (SELECT CASE WHEN a.created_at >= b.created_at THEN a.id ELSE b.id END AS w, CASE WHEN a.created_at >= b.created_at THEN b.id ELSE a.id END AS l FROM v_memories a JOIN v_memories b ON a.id < b.id JOIN embeddings x ON x.vec_id = a.id JOIN embeddings y ON y.vec_id = b.id
-      WHERE 1 - list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) < 0.62)
-    SELECT id, is_latest AND id NOT IN (SELECT l FROM p) AS is_latest, (SELECT min(w) FROM p WHERE l = id) AS superseded_by FROM v_memories""")
+@query("merge_duplicates", """WITH RECURSIVE p AS (SELECT a.id AS x, b.id AS y FROM v_memories a JOIN v_memories b ON a.id <> b.id JOIN embeddings x ON x.vec_id = a.id JOIN embeddings y ON y.vec_id = b.id
+      WHERE 1 - list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) < 0.62),
+    r AS (SELECT x, x AS y FROM p UNION SELECT r.x, p.y FROM r JOIN p ON p.x = r.y),
+    w AS (SELECT r.x AS id, arg_max(m.id, m.created_at * 1000000 - m.id) AS winner FROM r JOIN v_memories m ON m.id = r.y GROUP BY r.x)
+    SELECT m.id, is_latest AND coalesce(w.winner = m.id, true) AS is_latest, CASE WHEN w.winner <> m.id THEN w.winner END AS superseded_by FROM v_memories m LEFT JOIN w ON w.id = m.id""")
 def _(v):
     from ..operators.joins import near_duplicate_pairs
 
     pairs = near_duplicate_pairs(_vectors(v).join(v.v_memories.select("id"), "id"), v.v_memories, 0.62)
-    return L.resolve_conflicts(v.v_memories, pairs, ASOF).select("id", "is_latest", "superseded_by")
+    return L.merge_duplicates(v.v_memories, pairs, ASOF).select("id", "is_latest", "superseded_by")
 
 
 HEAT_SQL = f"""SELECT topic, n, last, round(h, 4) AS heat, CASE WHEN h >= 10 THEN 'hot' WHEN {ASOF_EVT} - last > 604800 THEN 'cold' ELSE 'warm' END AS tier FROM
@@ -275,16 +277,19 @@ def _(v):
     return live.select("name", "id", "tier", F.lit("live").alias("what")).unionByName(cold.select("name", F.col("type").alias("what")), allowMissingColumns=True)
 
 
-@query("profile_upsert", f"""WITH m AS (SELECT id, user_id, CASE WHEN type = 'decision' THEN 'static' ELSE 'dynamic' END AS kind, {TOKENS.format('content')} AS t FROM v_memories WHERE id % 2 = 0),
-    f AS (SELECT id AS fact_id, user_id, CASE WHEN type = 'decision' THEN 'static' ELSE 'dynamic' END AS kind, {TOKENS.format('substr(content, 1, 300)')} AS t, CASE WHEN type = 'decision' THEN 25.0 ELSE 15.0 END::DOUBLE AS heat FROM v_memories WHERE id % 2 = 1 AND length(content) >= 5),
-    d AS (SELECT fact_id, id, 1 - CASE WHEN len(list_distinct(f.t || m.t)) > 0 THEN len(list_intersect(f.t, m.t)) / len(list_distinct(f.t || m.t)) ELSE 0 END AS d FROM f JOIN m USING (user_id, kind)),
-    b AS (SELECT fact_id, id FROM d WHERE d <= 0.9 QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY d, id) = 1)
-    SELECT f.fact_id, f.kind, f.heat, CASE WHEN b.id IS NOT NULL THEN 'update' ELSE 'insert' END AS action, b.id AS target FROM f LEFT JOIN b ON b.fact_id = f.fact_id""")
+FACT_TYPE = "CASE id % 5 WHEN 0 THEN 'preference' WHEN 1 THEN 'fact' WHEN 2 THEN 'decision' WHEN 3 THEN 'task_status' ELSE 'event' END"
+
+
+@query("profile_upsert", f"""WITH m AS (SELECT id, user_id, CASE WHEN id % 3 = 0 THEN 'static' ELSE 'dynamic' END AS kind, {TOKENS.format('content')} AS t FROM v_memories WHERE id % 2 = 0),
+    f AS (SELECT fact_id, user_id, CASE WHEN ty IN ('preference', 'fact') THEN 'static' ELSE 'dynamic' END AS kind, t, CASE WHEN ty IN ('preference', 'fact') THEN 30.0 WHEN ty IN ('decision', 'task_status') THEN 25.0 ELSE 15.0 END::DOUBLE AS heat, CASE WHEN ty = 'event' THEN 'unknown' ELSE ty END AS category
+      FROM (SELECT id AS fact_id, user_id - user_id % 2 AS user_id, {FACT_TYPE} AS ty, {TOKENS.format('substr(content, 1, 300)')} AS t FROM v_memories WHERE id % 2 = 1 AND length(content) >= 5) x),
+    d AS (SELECT fact_id, id, len(list_intersect(f.t, m.t)) / len(list_distinct(f.t || m.t)) AS s FROM f JOIN m USING (user_id, kind) WHERE len(f.t) > 0 AND len(m.t) > 0),
+    b AS (SELECT fact_id, id FROM d WHERE s >= 0.1 - 1e-12 QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY s DESC, id) = 1)
+    SELECT f.fact_id, f.kind, f.heat, f.category, CASE WHEN b.id IS NOT NULL THEN 'update' ELSE 'insert' END AS action, b.id AS target FROM f LEFT JOIN b ON b.fact_id = f.fact_id""")
 def _(v):
-    kind = F.when(F.col("type") == "decision", "static").otherwise("dynamic").alias("kind")
-    mem = v.v_memories.filter("id % 2 = 0").select("id", "user_id", kind, "content")
-    facts = v.v_memories.filter("id % 2 = 1").select(F.col("id").alias("fact_id"), "user_id", F.when(F.col("type") == "decision", "preference").otherwise("event").alias("fact_type"), "content")
-    return L.profile_upsert(mem, facts, 1 - T.jaccard(T.tokenize(F.col("content")), T.tokenize(F.col("old"))), ASOF, near=0.9).drop("content")
+    mem = v.v_memories.filter("id % 2 = 0").select("id", "user_id", F.when(F.col("id") % 3 == 0, "static").otherwise("dynamic").alias("kind"), "content")
+    facts = v.v_memories.filter("id % 2 = 1").select(F.col("id").alias("fact_id"), (F.col("user_id") - F.col("user_id") % 2).alias("user_id"), F.expr(FACT_TYPE).alias("fact_type"), "content")
+    return L.profile_upsert(mem, facts, ASOF, near=0.9).drop("content")
 
 
 @query("profile_view", """SELECT user_id, kind, rank, id, heat FROM (SELECT user_id, CASE WHEN type = 'decision' THEN 'static' ELSE 'dynamic' END AS kind, id, heat, row_number() OVER (PARTITION BY user_id, type = 'decision' ORDER BY heat DESC, id) AS rank FROM v_memories) x WHERE rank <= CASE WHEN kind = 'static' THEN 15 ELSE 10 END""")
@@ -421,7 +426,7 @@ def _(v):
 
 
 @query("alias_merge", """WITH n AS (SELECT p_name AS name, count(*) AS c FROM part GROUP BY p_name UNION ALL SELECT w, count(*) FROM (SELECT split_part(p_name, ' ', 1) AS w FROM part) x WHERE w NOT IN (SELECT p_name FROM part) GROUP BY w),
-    b AS (SELECT s.name, l.name AS long FROM n s JOIN n l ON length(l.name) > length(s.name) AND list_contains(string_split(lower(l.name), ' '), lower(s.name)) QUALIFY row_number() OVER (PARTITION BY s.name ORDER BY length(l.name) DESC, l.name) = 1)
+    b AS (SELECT s.name, l.name AS long FROM n s JOIN n l ON length(l.name) > length(s.name) AND contains(lower(l.name), lower(s.name)) QUALIFY row_number() OVER (PARTITION BY s.name ORDER BY length(l.name) DESC, l.name) = 1)
     SELECT coalesce(b.long, n.name) AS name, sum(n.c)::BIGINT AS mention_count FROM n LEFT JOIN b ON b.name = n.name GROUP BY 1""")
 def _(v):
     full = v.part.groupBy(F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("mention_count"))
