@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any
+from .filters import is_trivial_exact
 
 
 def dimension_counts(df: DataFrame, dims: list[str]) -> DataFrame:
@@ -90,26 +91,31 @@ def session_value_score(msg: DataFrame, substantive, important: list[str], least
     return s.withColumn("score", F.round(F.col("meaningful") / F.col("total"), 4)).withColumn("keep", F.col("meaningful") / F.col("total") >= least)
 
 
-def valuable_sessions(ses: DataFrame, msg: DataFrame, user_cut: int = 300, assistant_cut: int = 500, cut: int = 2000, least: int = 20) -> DataFrame:
+def valuable_sessions(
+    ses: DataFrame, msg: DataFrame, phrases: list[str] = (), important: list[str] = (), user_cut: int = 300, assistant_cut: int = 500, cut: int = 2000, least: int = 10
+) -> DataFrame:
     """``session_id, title, user_text, assistant_text, user_count, assistant_count, skip_reason``: what
-    each side said, in order, cut; and why a session isn't worth keeping, if so. Sessions are
-    outer joined, so empty ones show."""
+    each side said, in order, cut, and why a session isn't worth keeping, if so: of the source cron;
+    empty, without messages; trivial, where neither side said anything; too short, where the user said
+    nothing or under ``least`` characters. User messages count that aren't trivial (under four characters,
+    or exactly a phrase), of the assistant those of 15 characters or more."""
+    text = F.trim(F.coalesce("content", F.lit("")))
+    user = (F.col("role") == "user") & ~is_trivial_exact(F.col("content"), list(phrases), list(important))
+    other = (F.col("role") == "assistant") & (F.length(text) >= 15)
+
+    def said(which, width: int):
+        part = F.when(which, F.struct("pos", F.substring(text, 1, width).alias("t")))
+        return F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n")
 
-    def said(role: str, width: int, long_enough):
-        part = F.when((F.col("role") == role) & long_enough, F.struct("pos", F.substring("content", 1, width).alias("t")))
-        return F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n"), 1, cut)
-
-    size = F.length(F.trim(F.coalesce("content", F.lit(""))))
     g = msg.groupBy("session_id").agg(
-        said("user", user_cut, size > 3).alias("user_text"), said("assistant", assistant_cut, size >= 15).alias("assistant_text"),
-        F.count_if((F.col("role") == "user") & (size > 3)).alias("user_count"), F.count_if((F.col("role") == "assistant") & (size >= 15)).alias("assistant_count"),
+        said(user, user_cut).alias("u"), said(other, assistant_cut).alias("a"), F.count_if(user).alias("user_count"), F.count_if(other).alias("assistant_count"),
     )
     j = ses.select("session_id", "title", "source").join(g, "session_id", "left")
     reason = (
-        F.when(F.col("source") == "cron", "cron").when(F.col("user_count").isNull(), "empty").when(F.col("user_count") == 0, "trivial")
-        .when(F.length("user_text") + F.length("assistant_text") < least, "too_short")
+        F.when(F.col("source") == "cron", "cron").when(F.col("user_count").isNull(), "empty")
+        .when((F.col("u") == "") & (F.col("a") == ""), "trivial").when(F.length("u") < least, "too_short")
     )
-    return j.withColumn("skip_reason", reason).drop("source")
+    return j.select("session_id", "title", F.substring("u", 1, cut).alias("user_text"), F.substring("a", 1, cut).alias("assistant_text"), "user_count", "assistant_count", reason.alias("skip_reason"))
 
 
 def skip_reason_counts(valuable: DataFrame) -> DataFrame:

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from .containment import matches
 
-# Sources and types that retention keeps, and columns that only records of the graph fill.
+# Types that retention keeps, and columns that only records of the graph fill.
 GRAPH_COLUMNS = ("rel_type", "entity_a", "entity_b")
-PROTECTED_SOURCES = ("conclusion", "explicit", "manual_index", "project_archive")
 PROTECTED_TYPES = ("decision", "preference", "project_log", "work_log", "resource_locator", "doc_index", "profile_static", "profile_dynamic", "arch_doc")
 # Openings of messages that say nothing.
 TRIVIAL_OPENINGS = ("测试", "test", "收到", "不回", "hello", "hi", "在吗", "嗯", "哦", "好", "ok", "好的", "是的", "不", "没", "试试", "再试", "啊", "呀", "哈")
@@ -114,8 +113,8 @@ def has_substance(content: Column, role: Column, phrases: list[str], important:
     return (text != "") & ~((role == "user") & is_trivial_exact(text, phrases, important)) & ~((role == "assistant") & short)
 
 
-def retention_decisions(mem: DataFrame, asof: float, max_days: int = 30, max_days_no_ts: int = 7, sources=PROTECTED_SOURCES, types=PROTECTED_TYPES) -> DataFrame:
-    """``id, decision, reason`` by the first rule that holds: protected source, protected type,
+def retention_decisions(mem: DataFrame, asof: float, max_days: int = 30, max_days_no_ts: int = 7, sources: tuple[str, ...] | list[str] = (), types=PROTECTED_TYPES) -> DataFrame:
+    """``id, decision, reason`` by the first rule that holds: protected source (those given), protected type,
     record of the graph (any of ``GRAPH_COLUMNS`` filled, of those that mem has), hot or warm with
     content, last mention, creation, else forget."""
     mention, created = F.coalesce("last_mentioned", F.lit(0.0)), F.coalesce("created_at", F.lit(0.0))

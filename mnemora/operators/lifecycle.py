@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any, tokenize
+from ..functions.text import tokenize
 from .containment import matches
+from .filters import important_sentences, topic_classify
 from .neighbours import connected, nearest_set
 
 
@@ -141,15 +142,32 @@ def store_conversation(turns: DataFrame, topics: DataFrame, trivial, min_chars:
     return j.select("id", F.coalesce(F.col("hit"), F.when(trivial, F.col("top")), own).alias("topic"))
 
 
-def capture_facts(turns: DataFrame, verbs: list[str], last: int = 6, cut: int = 300, least: int = 20) -> DataFrame:
-    """``session_id, fact``: of the last turns of a session, as one text of cut turns, the sentences
-    that hold a verb of decision."""
+def labelled_turns(turns: DataFrame, last: int = 6, cut: int = 300, least: int = 20) -> DataFrame:
+    """``session_id, text``: the last turns of a session that say something, in order, as lines ``role:
+    content``, cut; sessions with fewer than ``least`` characters in all are left out."""
     r = F.row_number().over(W.partitionBy("session_id").orderBy(F.col("pos").desc(), F.col("id").desc()))
-    near = turns.withColumn("r", r).filter(F.col("r") <= last)
-    text = near.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.substring("content", 1, cut).alias("c")))), lambda x: x["c"]), "\n").alias("text"))
-    s = text.filter(F.length("text") >= least).select("session_id", F.explode(F.split("text", "[。！？\n.!?]")).alias("raw"))
-    s = s.select("session_id", F.trim("raw").alias("fact")).filter((F.length("fact") >= 8) & (F.length("fact") <= 300))
-    return s.filter(contains_any(F.col("fact"), verbs)).distinct()
+    near = turns.filter(F.coalesce("content", F.lit("")) != "").withColumn("r", r).filter(F.col("r") <= last)
+    line = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.substring("content", 1, cut))
+    text = near.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id", line.alias("c")))), lambda x: x["c"]), "\n").alias("text"))
+    return text.filter(F.length(F.trim("text")) >= least)
+
+
+def capture_facts(turns: DataFrame, verbs: list[str], tech: list[str], rules: list[tuple[list[str], str]], last: int = 6, cut: int = 300, least: int = 20, most: int = 5) -> DataFrame:
+    """``session_id, kind, fact, topic``: of the last turns of a session, as labelled lines, the sentences
+    with a verb of decision, then those with a technical term (``important_sentences``), at most ``most``;
+    each with the topic of the first rule that it fits."""
+    text = labelled_turns(turns, last, cut, least)
+    facts = important_sentences(text, verbs, tech, most, "session_id", "text")
+    return facts.select(F.col("doc_id").alias("session_id"), "kind", F.col("sentence").alias("fact"), topic_classify(F.col("sentence"), rules).alias("topic"))
+
+
+def capture_counts(turns: DataFrame, facts: DataFrame, entities: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """``session_id, captured, entities, relations``: how many facts (session_id), entities and relations
+    (session_id, one row each) of each session that has turns were captured."""
+    count = lambda df, name: df.groupBy("session_id").agg(F.count(F.lit(1)).alias(name))
+    out = turns.select("session_id").distinct().join(count(facts, "captured"), "session_id", "left").join(count(entities, "entities"), "session_id", "left")
+    out = out.join(count(relations, "relations"), "session_id", "left") if relations is not None else out.withColumn("relations", F.lit(0).cast("long"))
+    return out.na.fill(0, ["captured", "entities", "relations"])
 
 
 def correction_fix(log: DataFrame, keyword: str, note: str) -> DataFrame:

@@ -130,14 +130,14 @@ def _(v):
 
 
 @query("page_body_extract", r"""WITH b AS (SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title,
-      trim(regexp_replace(replace(regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '\s+', ' ', 'g')) AS body FROM pages)
+      trim(regexp_replace(replace(regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '\s+', ' ', 'g')) AS body FROM pages)
     SELECT page_id, title, body, length(body) AS n_chars FROM b WHERE length(body) > 100""")
 def _(v):
     return S.page_body_extract(v.pages)
 
 
 @query("page_markdown", r"""WITH b AS (SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title,
-      trim(regexp_replace(replace(regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '\s+', ' ', 'g')) AS body FROM pages)
+      trim(regexp_replace(replace(regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '\s+', ' ', 'g')) AS body FROM pages)
     SELECT page_id, '# ' || title || chr(10) || chr(10) || body AS markdown FROM b WHERE length(body) > 200""")
 def _(v):
     return S.page_markdown(S.page_body_extract(v.pages, min_chars=200))
@@ -157,8 +157,11 @@ def _(v):
     return S.append_corrections(v.v_corrections.select("topic", "detail", "ts", "fixed"), new, ASOF)
 
 
-@query("snapshot_manifest", """SELECT source AS item, sum(('0x' || substr(md5(concat_ws('|', CAST(doc_id AS STRING), coalesce(lang, '~'), source)), 1, 8))::BIGINT)::BIGINT AS checksum, count(*) AS n_rows,
-    CASE source WHEN 'src0' THEN 'critical' ELSE 'info' END AS severity FROM documents GROUP BY source""")
+MANIFEST_SQL = ", '-', ".join(f"lower(to_base(sum(('0x' || d[{1 + 8 * i}:{8 + 8 * i}])::BIGINT)::BIGINT, 16))" for i in range(4))
+
+
+@query("snapshot_manifest", f"""SELECT source AS item, concat({MANIFEST_SQL}) AS checksum, count(*) AS n_rows, CASE source WHEN 'src0' THEN 'critical' ELSE 'info' END AS severity FROM
+    (SELECT source, md5(coalesce(length(CAST(doc_id AS STRING)) || ':' || CAST(doc_id AS STRING), '~') || coalesce(length(lang) || ':' || lang, '~') || coalesce(length(source) || ':' || source, '~')) AS d FROM documents) x GROUP BY source""")
 def _(v):
     return S.snapshot_manifest(v.documents.select("doc_id", "lang", "source"), "source", {"src0": "critical"})
 

@@ -9,6 +9,7 @@ from ..operators import filters as P
 from ..operators import graph as G
 from ..operators import lifecycle as L
 from ..operators import retrieval as R
+from .ingest import SENTENCES_SQL
 from .registry import query
 from .relational import TERMS_SQL, TOKENS, VALUABLE_SQL, _terms, _valuable
 from .views import ASOF, ASOF_EVT, ASOF_MSG
@@ -321,10 +322,16 @@ def _(v):
     return L.store_conversation(v.v_messages, topics, P.is_trivial(F.col("content"), ["the"]))
 
 
-@query("capture_facts", r"""WITH n AS (SELECT session_id, string_agg(substr(content, 1, 300), chr(10) ORDER BY pos) AS t FROM (SELECT * FROM v_messages QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pos DESC, id DESC) <= 6) x GROUP BY session_id)
-    SELECT DISTINCT session_id, trim(s) AS fact FROM (SELECT session_id, unnest(regexp_split_to_array(t, '[。！？\n.!?]')) AS s FROM n WHERE length(t) >= 20) y WHERE length(trim(s)) BETWEEN 8 AND 300 AND contains(lower(s), 'ing')""")
+CAPTURE_SQL = """WITH n AS (SELECT session_id AS doc_id, string_agg(role || ': ' || substr(content, 1, 300), chr(10) ORDER BY pos, id) AS text FROM
+      (SELECT * FROM v_messages WHERE content <> '' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pos DESC, id DESC) <= 6) x GROUP BY session_id HAVING length(trim(string_agg(role || ': ' || substr(content, 1, 300), chr(10)))) >= 20), """ + SENTENCES_SQL[len("WITH ") :].replace("FROM documents", "FROM n").replace(
+    "SELECT doc_id, CASE WHEN k = 0 THEN 'decision' ELSE 'tech' END AS kind, sentence FROM f",
+    "SELECT doc_id AS session_id, CASE WHEN k = 0 THEN 'decision' ELSE 'tech' END AS kind, sentence AS fact, CASE WHEN contains(sentence, 'ein') THEN 'A' WHEN contains(sentence, 'the') OR contains(sentence, 'los') THEN 'B' ELSE 'general' END AS topic FROM f",
+)
+
+
+@query("capture_facts", CAPTURE_SQL)
 def _(v):
-    return L.capture_facts(v.v_messages, ["ing"])
+    return L.capture_facts(v.v_messages, ["ing"], ["tion"], [(["ein"], "A"), (["the", "los"], "B")])
 
 
 @query("correction_fix", "SELECT id, fixed OR contains(topic, '2') AS fixed, CASE WHEN NOT fixed AND contains(topic, '2') THEN 'done' END AS note FROM v_corrections")

@@ -219,17 +219,19 @@ def _(v):
     return A.session_value_score(v.v_messages, P.has_substance(F.col("content"), F.col("role"), ["ok"], IMPORTANT), IMPORTANT)
 
 
-VALUABLE_SQL = """SELECT s.session_id, s.title, g.user_text, g.assistant_text, g.user_count, g.assistant_count,
-    CASE WHEN g.user_count IS NULL THEN 'empty' WHEN g.user_count = 0 THEN 'trivial' WHEN length(g.user_text) + length(g.assistant_text) < 20 THEN 'too_short' END AS skip_reason
+# the list is a fixed value; in the SQL it is spelt out, with a full stop or not
+SAID = "role = 'user' AND NOT (length(trim(coalesce(content, ''))) < 4 OR lower(trim(content)) IN ('thanks', 'thanks.', 'thanks。', 'okay then', 'okay then.', 'okay then。') AND NOT contains(lower(content), 'license'))"
+VALUABLE_SQL = f"""SELECT s.session_id, s.title, substr(g.u, 1, 2000) AS user_text, substr(g.a, 1, 2000) AS assistant_text, g.user_count, g.assistant_count,
+    CASE WHEN s.source = 'cron' THEN 'cron' WHEN g.user_count IS NULL THEN 'empty' WHEN g.u = '' AND g.a = '' THEN 'trivial' WHEN length(g.u) < 10 THEN 'too_short' END AS skip_reason
     FROM v_sessions s LEFT JOIN (SELECT session_id,
-      substr(coalesce(string_agg(substr(content, 1, 300), chr(10) ORDER BY pos) FILTER (role = 'user' AND length(trim(content)) > 3), ''), 1, 2000) AS user_text,
-      substr(coalesce(string_agg(substr(content, 1, 500), chr(10) ORDER BY pos) FILTER (role = 'assistant' AND length(trim(content)) >= 15), ''), 1, 2000) AS assistant_text,
-      count(*) FILTER (role = 'user' AND length(trim(content)) > 3) AS user_count, count(*) FILTER (role = 'assistant' AND length(trim(content)) >= 15) AS assistant_count
+      coalesce(string_agg(substr(trim(content), 1, 300), chr(10) ORDER BY pos) FILTER ({SAID}), '') AS u,
+      coalesce(string_agg(substr(trim(content), 1, 500), chr(10) ORDER BY pos) FILTER (role = 'assistant' AND length(trim(content)) >= 15), '') AS a,
+      count(*) FILTER ({SAID}) AS user_count, count(*) FILTER (role = 'assistant' AND length(trim(content)) >= 15) AS assistant_count
       FROM v_messages GROUP BY session_id) g ON s.session_id = g.session_id"""
 
 
 def _valuable(v):
-    return A.valuable_sessions(v.v_sessions, v.v_messages)
+    return A.valuable_sessions(v.v_sessions, v.v_messages, ["thanks", "okay then"], ["license"])
 
 
 @query("valuable_sessions", VALUABLE_SQL)

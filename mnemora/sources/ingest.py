@@ -135,7 +135,7 @@ def page_body_extract(pages: DataFrame, patterns=BODY_PATTERNS, min_chars: int =
 
     def long_enough(pattern: str) -> Column:
         inner = F.regexp_replace(F.regexp_extract("html", pattern, 1), r"(?is)<(script|style)[^>]*>.*?</\1>", "")
-        plain = F.regexp_replace(F.regexp_replace(inner, r"<[^>]+>", " "), "&nbsp;", " ")
+        plain = F.regexp_replace(F.regexp_replace(inner, r"<[^>]+>", ""), "&nbsp;", " ")
         # one element, so that the text is made once for its test and its value
         return F.try_element_at(F.filter(F.array(F.trim(F.regexp_replace(plain, r"\s+", " "))), lambda t: F.length(t) > min_chars), F.lit(1))
 
@@ -167,12 +167,34 @@ def append_corrections(log: DataFrame, new: DataFrame, asof: float) -> DataFrame
 
 
 def snapshot_manifest(df: DataFrame, key: str, severity: dict[str, str] | None = None) -> DataFrame:
-    """``item, checksum, n_rows, severity`` for each value of a key: the checksum doesn't depend on the
-    order of rows."""
+    """``item, checksum, n_rows, severity`` for each value of a key: the checksum is the sum of the rows'
+    128-bit digests (32 hex digits or more, since sums carry), which doesn't depend on their order and
+    tells repeated rows from missing ones. In a digest a null differs from any text, and values can't
+    run into each other."""
     cols = sorted(df.columns)
-    row = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols])), 1, 8), 16, 10).cast("long")
+    part = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("~"))
+    digest = F.md5(F.concat(*[part(c) for c in cols]))
+    words = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(4)]
     sev = F.lit("info")
     for k, v in (severity or {}).items():
         sev = F.when(F.col("item") == k, v).otherwise(sev)
-    out = df.withColumn("_row", row).groupBy(F.col(key).alias("item")).agg(F.sum("_row").alias("checksum"), F.count(F.lit(1)).alias("n_rows"))
-    return out.withColumn("severity", sev)
+    sums = [F.sum(w).alias(f"_w{i}") for i, w in enumerate(words)]  # of 32-bit words: exact in a long up to 2^31 rows
+    out = df.groupBy(F.col(key).alias("item")).agg(*sums, F.count(F.lit(1)).alias("n_rows"))
+    hexed = F.concat_ws("-", *[F.lower(F.hex(f"_w{i}")) for i in range(4)])
+    return out.select("item", hexed.alias("checksum"), "n_rows", sev.alias("severity"))
+
+
+def file_manifest(spark, folder: str, listed: DataFrame | None = None, pattern: str = "*") -> DataFrame:
+    """``item, exists, size, mtime, checksum``: the files below a folder, by their path in it, with the
+    SHA-256 of their bytes, read by Spark where they lie (any file system it knows); items of ``listed``
+    (item) that aren't there have exists = false and nulls. Spark's reader leaves out empty files: they
+    count as not there. Two manifests are compared by ``snapshot_diff``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
+    item = F.expr(f"substring(path, instr(path, '{whole}/') + {len(whole) + 1})")
+    found = files.select(item.alias("item"), F.lit(True).alias("exists"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("checksum"))
+    if listed is None:
+        return found
+    gone = listed.select("item").distinct().join(found.select("item"), "item", "left_anti").withColumn("exists", F.lit(False))
+    return found.unionByName(gone, allowMissingColumns=True)
