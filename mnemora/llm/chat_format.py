@@ -118,14 +118,15 @@ def conversation_events(conversations: DataFrame, piece: int = 512) -> DataFrame
     rows = conversations.select("conv_id", "turn", "role", text.alias("text"), F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", text)).otherwise(0).cast("long").alias("conv_part"))
     order = W.partitionBy("conv_id", "conv_part").orderBy("turn", F.coalesce("role", F.lit("")), "text")
     rows = rows.withColumn("at", F.row_number().over(order).cast("long"))
-    n = F.greatest(F.lit(1), F.ceil(F.length("text") / F.lit(piece))).cast("int")
     event = lambda i, kind, body, later=0: f"named_struct('i', {i}, 'later', {later}, 'kind', {kind}, 'text', {body})"
     draft = "reverse(substring(text, 1, 24))"
     start = f"""if(role <=> 'assistant',
         array({event(0, "'open'", "''")}, {event(1, "'delta'", draft)}, {event(2, "'open'", "'and then?'", 1)}, {event(3, "'regenerate'", "''")}, {event(4, "'delta'", "_first")}),
         array({event(0, "'open'", "_first")}, {event(1, "'delta'", draft)}, {event(2, "'delta'", "'...'")}, {event(3, "'edit'", "''")}, {event(4, "'edit'", "_first")}))"""
-    rest = f"if(_n > 1, transform(sequence(2, _n), k -> {event('k + 3', "'delta'", f'substring(text, (k - 1) * {piece} + 1, {piece})')}), slice(_start, 1, 0))"
-    parts = rows.withColumn("_n", n).withColumn("_first", F.substring("text", 1, piece)).withColumn("_start", F.expr(start)).withColumn("_all", F.concat("_start", F.expr(rest)))
+    rest = f"transform(slice(_pieces, 2, greatest(size(_pieces), 1)), (p, k) -> {event('k + 5', "'delta'", 'p')})"
+    # cut in one pass: a substring by place walks from the start of the text
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
+    parts = rows.withColumn("_pieces", pieces).withColumn("_first", F.substring("text", 1, piece)).withColumn("_start", F.expr(start)).withColumn("_all", F.concat("_start", F.expr(rest)))
     parts = parts.select("conv_id", "conv_part", "at", "role", F.explode(F.concat("_all", F.slice("_all", -1, 1))).alias("e"))
     opened = F.when(F.col("e.kind") == "open", F.when(F.col("e.later") == 1, F.lit("user")).otherwise(F.col("role")))
     return parts.select("conv_id", "conv_part", (F.col("at") * F.lit(1 << 32) + F.col("e.i")).alias("seq"), F.col("e.kind").alias("kind"), (F.col("at") * 2 + F.col("e.later")).alias("pos"), opened.alias("role"), F.col("e.text").alias("text"))
