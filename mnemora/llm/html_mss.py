@@ -34,7 +34,7 @@ SAMPLE_PAGES, KIND_PAGES = 2000, 2
 WORD, FURNITURE, TAG = 0.5, -2.0, -0.4
 
 # Fixed values of HTML.
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "object", "textarea", "title", "math", "canvas"}
+RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 ENDS_P = BLOCK - {"body", "caption", "head", "html", "legend", "option", "summary", "tbody", "td", "tfoot", "th", "thead", "tr"}
@@ -45,6 +45,8 @@ FURNITURE_TAGS = {"nav", "aside", "footer", "form", "button", "select", "menu",
 FURNITURE_ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alert", "alertdialog", "menu", "form"}
 FURNITURE_WORDS = set("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments cookie cookies consent disclaimer disqus footer footnav gdpr header login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promoted promotion related recommended recommendations reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar widget".split())
 
+#: Of these, what names a part of an article, inside it.
+ARTICLE_WORDS = {"byline", "tags"}
 #: What class names of furniture hold besides such words: "related-posts", "ad-slot".
 FURNITURE_PARTS = set("area article articles bar block body box btn button buttons container content form group icon icons inline inner item items label link links list module outer panel post posts section slot text title unit wrap wrapper".split())
 
@@ -83,7 +85,7 @@ def _opened(tag: str, attrs: str, parent: _Open) -> _Open:
     out = parent.out or tag in FURNITURE_TAGS or tag == "header" and not content or role in FURNITURE_ROLES
     if not out and tag not in ("html", "body", "article", "main", "h1"):
         if parent.content:  # an id, or a word of a longer name, may be what the text is about
-            out = tag not in HEADINGS and any(w & FURNITURE_WORDS and w <= FURNITURE_WORDS | FURNITURE_PARTS for w, by_id in zip(words, ids, strict=True) if not by_id)
+            out = tag not in HEADINGS and any(w & (FURNITURE_WORDS - ARTICLE_WORDS) and w <= FURNITURE_WORDS | FURNITURE_PARTS for w, by_id in zip(words, ids, strict=True) if not by_id)
         else:
             out = any(w & FURNITURE_WORDS for w in words)
     kind = tag + ("." + names[0].lower() if names else "")
@@ -95,6 +97,14 @@ def tokens(page: str) -> Iterator[tuple[str, str | None, int, bool]]:
     """``kind, text, furniture, block``: for a tag, its kind with text None; for a run of text,
     the kind of the element it is in. furniture: as in ``_Open``. block: a tag that ends a block of text."""
     stack = [_Open("", "", 0, False)]
+    held: dict[str, int] = {}  # open elements by tag
+
+    def close(i: int) -> None:
+        """Close the elements from place i of the stack."""
+        for o in stack[i:]:
+            held[o.tag] -= 1
+        del stack[i:]
+
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
@@ -110,35 +120,34 @@ def tokens(page: str) -> Iterator[tuple[str, str | None, int, bool]]:
         if m[1] or m[4]:
             if tag == "p" and not any(o.tag == "p" for o in stack[-8:]):
                 yield "/p", None, stack[-1].out, True
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    kind, out = stack[i].kind, stack[i].out
-                    del stack[i:]
-                    yield "/" + kind, None, out, block
-                    break
+            elif held.get(tag):
+                i = len(stack) - 1  # what is passed on the way is closed too, so each element is passed once
+                while stack[i].tag != tag:
+                    i -= 1
+                kind, out = stack[i].kind, stack[i].out
+                close(i)
+                yield "/" + kind, None, out, block
             else:
                 yield "/" + tag + "?", None, stack[-1].out, block
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = close.end() if close else n
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = end.end() if end else n
             continue
         if tag in VOID:
             yield tag, " " if tag == "br" else None, stack[-1].out, tag == "hr"
             continue
         if tag in ENDS_P and stack[-1].tag in ("p", "a") and any(o.tag == "p" for o in stack[-4:]):
-            while stack[-1].tag != "p":
-                stack.pop()
-            stack.pop()
+            close(max(i for i in range(max(0, len(stack) - 4), len(stack)) if stack[i].tag == "p"))
         elif tag in SIBLINGS:
             while stack[-1].tag in SIBLINGS[tag] or (stack[-1].tag in ("p", "a") and len(stack) > 2 and stack[-2].tag in SIBLINGS[tag]):
-                stack.pop()
-        if not block and tag != "a":  # inline elements don't count as places
+                close(len(stack) - 1)
+        new = _opened(tag, m[3] or m[6] or "", stack[-1])
+        if not block and tag != "a" and (stack[-1].out or not new.out):  # inline elements don't count as places, but where furniture begins
             yield "<" + tag, None, stack[-1].out, False
             continue
-        new = _opened(tag, m[3] or m[6] or "", stack[-1])
         stack.append(new)
+        held[tag] = held.get(tag, 0) + 1
         yield "<" + new.kind, None, new.out, block
 
 
