@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import streams as S
+from .recall import CAPTURE_SQL
 from .registry import query
 from .views import EPOCH
 
@@ -18,7 +19,7 @@ def _messages(v):
 
 @query("stream_route", "SELECT id, channel, CASE WHEN channel IN ('chat', 'web') THEN channel ELSE 'rest' END AS sink FROM v_channel_log WHERE id > 10000")
 def _(v):
-    out = S.stream_route(_messages(v).select("id", "channel"), ["chat", "web"], 10000)
+    out = S.stream_route(_messages(v).select("id", "channel", "at"), ["chat", "web"], 10000)
     parts = [df.withColumn("sink", F.lit(k)) for k, df in out.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("id", "channel", "sink")
 
@@ -74,3 +75,14 @@ def _(v):
 def _(v):
     out = S.drain(S.stream_session_end(_messages(v).select("session_id", "at")), "sessions")
     return out.select("session_id", F.unix_timestamp("started").cast("double").alias("started"), F.unix_timestamp("ended").cast("double").alias("ended"), "turns")
+
+
+FACTS_SQL = CAPTURE_SQL.strip()
+
+
+@query("stream_session_summaries", f"""WITH e AS (SELECT session_id, min(ts) AS started, max(ts) + 1800 AS ended, count(*) AS turns FROM v_messages GROUP BY session_id),
+    k AS (SELECT * FROM e WHERE ended <= (SELECT max(ts) FROM v_messages) - 3600 ORDER BY ended DESC, session_id DESC LIMIT 100), f AS (SELECT session_id, count(*) AS facts FROM ({FACTS_SQL}) c GROUP BY session_id)
+    SELECT k.session_id, started, ended, turns, coalesce(facts, 0) AS facts FROM k LEFT JOIN f ON f.session_id = k.session_id""")
+def _(v):
+    _, out = S.end_sessions(_messages(v).select("session_id", "pos", "role", "content", "ts", "at"), ["ing"], ["tion"], [])
+    return out.select("session_id", F.unix_timestamp("started").cast("double").alias("started"), F.unix_timestamp("ended").cast("double").alias("ended"), "turns", "facts")

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..operators.filters import is_trivial
+from ..operators.filters import important_sentences, is_trivial, topic_classify
 from ..sources.paths import shared_path
 
 
@@ -69,36 +69,58 @@ def route(log: DataFrame, sinks: dict[str, str], default: str) -> Callable[[Data
         df = df.persist()
         for channel, path in sinks.items():
             df.filter(F.col("channel") == channel).write.mode("overwrite").parquet(f"{path}/batch={i}")
-        df.filter(~F.col("channel").isin(list(sinks))).write.mode("overwrite").parquet(f"{default}/batch={i}")
+        df.filter(~F.coalesce(F.col("channel").isin(list(sinks)), F.lit(False))).write.mode("overwrite").parquet(f"{default}/batch={i}")
         df.unpersist()
 
     return each
 
 
-def stream_route(log: DataFrame, channels: list[str], last_id: int = 0) -> dict[str, DataFrame]:
-    """Rows above ``last_id``, each id once, dealt to a table a channel, and one for the rest."""
+def stream_route(log: DataFrame, channels: list[str], last_id: int = 0, at: str | None = "at", watermark: str = "1 day") -> dict[str, DataFrame]:
+    """Rows above ``last_id``, each id once, dealt to a table a channel, and one for the rest. Ids are
+    remembered for ``watermark`` of the time column ``at`` (without one, for ever); rows without
+    channel go to the rest."""
     spark = log.sparkSession
     paths = {c: shared_path(spark, f"route-{c}") for c in channels}
     rest = shared_path(spark, "route-rest")
-    run_batches(log.filter(F.col("id") > last_id).dropDuplicates(["id"]), "route", route(log, paths, rest))
+    own = log.filter(F.col("id") > last_id)
+    once = own.withWatermark(at, watermark).dropDuplicatesWithinWatermark(["id"]) if at else own.dropDuplicates(["id"])
+    run_batches(once, "route", route(log, paths, rest))
     return {c: spark.read.parquet(p).drop("batch") for c, p in [*paths.items(), ("rest", rest)]}
 
 
-def stream_incremental_sync(src: DataFrame, target: DataFrame, last_id: int = 0) -> DataFrame:
+def _there(spark: SparkSession, paths: list[str]) -> list[str]:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    return [p for p in paths if jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(p))]
+
+
+def stream_incremental_sync(src: DataFrame, target: DataFrame, last_id: int = 0, folder: str | None = None, buckets: int = 64) -> DataFrame:
     """What is new in the source: user and assistant messages above ``last_id`` with content that the
-    target, and earlier batches, don't hold. Returns the added rows."""
+    target, and earlier batches, don't hold. Returns the added rows.
+
+    The keys of earlier batches are a table in ``buckets`` parts by hash: a batch reads the parts that
+    its own keys fall in. A batch that is run again replaces what it wrote. ``folder`` holds rows, keys
+    and checkpoint (none: a new one); a stream that is run again on it goes on."""
     spark, keys = src.sparkSession, ["channel", "role", "content"]
-    path = shared_path(spark, "sync")
+    folder = folder or shared_path(spark, "sync")
+    rows, past = f"{folder}/rows", f"{folder}/keys"
+    digest = F.sha2(F.concat_ws("|", *[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in keys]), 256)
 
     def each(df: DataFrame, i: int) -> None:
         new = df.filter(F.trim(F.coalesce("content", F.lit(""))) != "").groupBy(*keys).agg(F.min("id").alias("id"))
-        new = new.join(target.select(*keys), keys, "left_anti")
-        if i > 0:
-            new = new.join(spark.read.parquet(path).filter(F.col("batch") < i).select(*keys), keys, "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={i}")
-
-    run_batches(src.filter((F.col("id") > last_id) & F.col("role").isin("user", "assistant")), "sync", each)
-    return spark.read.parquet(path).drop("batch")
+        new = new.join(target.select(*keys), keys, "left_anti").withColumn("key", digest).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+        new = new.persist()
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+        held = _there(spark, [f"{past}/bucket={b}" for b in touched])
+        if held:
+            known = spark.read.schema("key string, bucket int, batch long").option("basePath", past).parquet(*held).filter(F.col("batch") < i)
+            new = new.join(known.select("key"), "key", "left_anti")
+        new.drop("key", "bucket").write.mode("overwrite").parquet(f"{rows}/batch={i}")
+        mine = new.select("key", "bucket", F.lit(i).cast("long").alias("batch")).repartition("bucket")
+        mine.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(past)
+        new.unpersist()
+
+    run_batches(src.filter((F.col("id") > last_id) & F.col("role").isin("user", "assistant")), "sync", each, folder)
+    return spark.read.parquet(rows).drop("batch")
 
 
 def _each(schema: str, cut: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[DataFrame], DataFrame]:
@@ -332,10 +354,12 @@ def topic_heat_table(src: DataFrame, half_life_h: float = 12, boost: float = 20)
     return _held(spark, path, last_batch[0] + 1, state)
 
 
-def stream_capture(src: DataFrame, phrases: list[str], max_chars: int = 500) -> DataFrame:
-    """Turns that say something, cut and tagged; nothing is kept between rows."""
-    said = src.filter(F.col("role").isin("user", "assistant") & ~is_trivial(F.col("content"), phrases))
-    return said.select("id", "session_id", "role", F.substring("content", 1, max_chars).alias("content"), F.lit("capture").alias("type"))
+def stream_capture(src: DataFrame, phrases: list[str], max_chars: int = 500, flush: bool = False) -> DataFrame:
+    """Turns that say something, cut and tagged; nothing is kept between rows. With ``flush``, as before
+    a conversation is compressed, those of the user only, tagged so."""
+    roles = ("user",) if flush else ("user", "assistant")
+    said = src.filter(F.col("role").isin(*roles) & ~is_trivial(F.col("content"), phrases))
+    return said.select("id", "session_id", "role", F.substring("content", 1, max_chars).alias("content"), F.lit("flush" if flush else "capture").alias("type"))
 
 
 def stream_session_end(src: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:
@@ -345,6 +369,53 @@ def stream_session_end(src: DataFrame, gap: str = "30 minutes", watermark: str =
     return w.agg(F.count(F.lit(1)).alias("turns")).select("session_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "turns")
 
 
+def session_texts(src: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour", last: int = 6, cut: int = 300) -> DataFrame:
+    """``session_id, started, ended, turns, text`` as ``stream_session_end``, with the last turns that say
+    something as lines ``role: content``, cut."""
+    line = F.when(F.coalesce("content", F.lit("")) != "", F.struct("ts", "pos", F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.substring("content", 1, cut)).alias("line")))
+    w = src.withWatermark("at", watermark).groupBy("session_id", F.session_window("at", gap).alias("w")).agg(F.count(F.lit(1)).alias("turns"), F.array_sort(F.collect_list(line)).alias("l"))
+    lines = F.when(F.size("l") > last, F.slice("l", -last, last)).otherwise(F.col("l"))
+    return w.select("session_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "turns", F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
+
+
+def end_sessions(src: DataFrame, verbs: list[str], tech: list[str], rules: list[tuple[list[str], str]], folder: str | None = None, keep: int = 100, least: int = 20, gap: str = "30 minutes", watermark: str = "1 hour") -> tuple[DataFrame, DataFrame]:
+    """What is left of sessions when they end: facts (session_id, ended, kind, fact, topic), and a summary
+    each (session_id, started, ended, turns, facts), of which the ``keep`` that ended last stay. Both are
+    written by batch, and a batch that is run again replaces its own; ``folder`` as in ``drain``."""
+    spark = src.sparkSession
+    folder = folder or shared_path(spark, "session-end")
+    facts_at, summaries_at, done = f"{folder}/facts", f"{folder}/summaries", [-1]
+    kinds = "session_id long, started timestamp, ended timestamp, turns long, facts long"
+
+    def each(df: DataFrame, i: int) -> None:
+        df = df.persist()
+        own = df.select(F.struct("session_id", "ended").alias("s"), "text").filter(F.length(F.trim("text")) >= least)
+        found = important_sentences(own, verbs, tech, 5, "s", "text").select("doc_id.session_id", "doc_id.ended", "kind", F.col("sentence").alias("fact"), topic_classify(F.col("sentence"), rules).alias("topic"))
+        found.write.mode("overwrite").parquet(f"{facts_at}/batch={i}")
+        n = spark.read.schema(found.schema).parquet(f"{facts_at}/batch={i}").groupBy("session_id", "ended").agg(F.count(F.lit(1)).alias("facts"))
+        new = df.select("session_id", "started", "ended", "turns").join(n, ["session_id", "ended"], "left").select("session_id", "started", "ended", "turns", F.coalesce("facts", F.lit(0)).cast("long").alias("facts"))
+        before = _there(spark, [f"{summaries_at}/batch={i - 1}"])
+        held = spark.read.schema(kinds).parquet(*before) if before else spark.createDataFrame([], kinds)
+        held.unionByName(new).orderBy(F.col("ended").desc(), F.col("session_id").desc()).limit(keep).write.mode("overwrite").parquet(f"{summaries_at}/batch={i}")
+        done[0] = i
+        df.unpersist()
+
+    run_batches(session_texts(src, gap, watermark), "session-end", each, folder)
+    last = done[0] if done[0] >= 0 else max((int(p.rsplit("=", 1)[1]) for p in _listed(spark, summaries_at)), default=-1)
+    summaries = spark.read.schema(kinds).parquet(f"{summaries_at}/batch={last}") if last >= 0 else spark.createDataFrame([], kinds)
+    facts = spark.read.schema("session_id long, ended timestamp, kind string, fact string, topic string").parquet(facts_at) if last >= 0 else spark.createDataFrame([], "session_id long, ended timestamp, kind string, fact string, topic string")
+    return facts, summaries
+
+
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """The folders in a folder; none where it isn't there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    if not _there(spark, [path]):
+        return []
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return [x.getPath().toString() for x in p.getFileSystem(conf).listStatus(p) if x.isDirectory()]
+
+
 def stream_table(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A folder or file of Parquet as a stream, with the schema that it has now. The path is read as
     a pattern, since streams take no plain file."""

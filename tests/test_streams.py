@@ -116,3 +116,48 @@ def test_high_water_marks_survive_a_restart_and_expire(spark, tmp_path):
     more(spark, tmp_path, [("a", 11, 2.5), ("c", 12, 1.0), ("a", 13, 60.0), ("b", 14, 90.0)], schema)
     for name, also in (("keyed", [13]), ("table", [11, 12, 13]), ("short", [13])):  # the marks of a and c lay 97 and 95 behind
         assert sorted(r["id"] for r in run[name]().collect()) == sorted([1, 2, 5, 6, 8, 10, *also])
+
+
+def test_sync_reads_the_key_parts_that_it_touches(spark, tmp_path):
+    schema, folder = "id long, channel string, role string, content string", str(tmp_path / "sync")
+    rows = lambda *xs: [(i, "c", "user", t) for i, t in xs]
+    src = batches(spark, tmp_path, [rows((1, "a"), (2, "b"), (3, "a"), (4, " ")) + [(9, None, "user", "n")], rows((5, "b"), (6, "d"), (7, "t")) + [(8, "c", "tool", "x")]], schema)
+    target = spark.createDataFrame(rows((0, "t")), schema)
+    run = lambda: sorted(r["id"] for r in S.stream_incremental_sync(src, target, 0, folder, buckets=4).collect())
+    assert run() == [1, 2, 6, 9]
+    more(spark, tmp_path, rows((10, "a"), (11, "e"), (12, "d")), schema)
+    assert run() == [1, 2, 6, 9, 11]
+    parts = spark.read.parquet(f"{folder}/keys")
+    assert {"bucket", "batch"} <= set(parts.columns) and parts.count() == 5 and parts.select("key").distinct().count() == 5
+
+
+def test_a_sync_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    """The last batch is made uncommitted, as by a crash behind its writes, and is run again."""
+    schema, folder = "id long, channel string, role string, content string", tmp_path / "sync"
+    src = batches(spark, tmp_path, [[(1, "c", "user", "a")], [(2, "c", "user", "b"), (3, "c", "user", "a")]], schema)
+    run = lambda: sorted(r["id"] for r in S.stream_incremental_sync(src, spark.createDataFrame([], schema), 0, str(folder)).collect())
+    assert run() == [1, 2]
+    for f in (folder / "checkpoint/commits").iterdir():
+        if f.name.strip(".").startswith("1"):
+            f.unlink()
+    assert run() == [1, 2] and spark.read.parquet(f"{folder}/keys").count() == 2
+
+
+def test_sessions_leave_facts_and_the_last_summaries(spark, tmp_path):
+    schema, folder = "session_id long, pos long, role string, content string, ts double", str(tmp_path / "end")
+    first = [(s, p, "user" if p % 2 else "assistant", "we decided to keep number %d of it" % s if p == 1 else "small talk, nothing more", 10_000.0 * s + p) for s in range(1, 6) for p in range(3)] + [(2, 9, "user", None, 20_005.0)]
+    src = batches(spark, tmp_path, [first], schema).selectExpr("*", "timestamp_seconds(ts) as at")
+    run = lambda: S.end_sessions(src, ["decided"], [], [(["keep"], "kept")], folder, keep=3)
+    facts, summaries = run()
+    assert {(r["session_id"], r["kind"], r["fact"], r["topic"]) for r in facts.collect()} == {(s, "decision", f"we decided to keep number {s} of it", "kept") for s in range(1, 5)}
+    assert {(r["session_id"], r["turns"], r["facts"]) for r in summaries.collect()} == {(2, 4, 1), (3, 3, 1), (4, 3, 1)}
+    more(spark, tmp_path, [(7, 0, "user", "hi", 90_000.0)], schema)
+    facts, summaries = run()
+    assert facts.count() == 5 and {r["session_id"] for r in summaries.collect()} == {3, 4, 5}
+
+
+def test_routes_take_an_id_once(spark, tmp_path):
+    schema = "id long, channel string, ts double"
+    src = batches(spark, tmp_path, [[(1, "chat", 1.0), (2, None, 2.0)], [(1, "chat", 1.0), (3, "x", 3.0), (4, "chat", 4.0)]], schema).selectExpr("*", "timestamp_seconds(ts) as at")
+    out = {k: sorted(r["id"] for r in df.collect()) for k, df in S.stream_route(src, ["chat"]).items()}
+    assert out == {"chat": [1, 4], "rest": [2, 3]}
