@@ -176,15 +176,23 @@ def scalar_rows(spark, counts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def store_health(eav: DataFrame, emb: DataFrame) -> DataFrame:
-    """``check, value, status``: rows, orphans, and keys whose values are of mixed kinds."""
-    total = eav.agg(F.count(F.lit(1)).alias("value")).select(F.lit("metadata").alias("check"), "value")
-    embs = emb.agg(F.count(F.lit(1)).alias("value")).select(F.lit("embeddings").alias("check"), "value")
-    orphans = eav.select("id").distinct().join(emb.select("id"), "id", "left_anti").agg(F.count(F.lit(1)).alias("value")).select(F.lit("orphans").alias("check"), "value")
-    mixed = metadata_type_profile(eav).filter("class = 'mixed'").agg(F.count(F.lit(1)).alias("value")).select(F.lit("mixed_keys").alias("check"), "value")
-    rows = total.unionByName(embs).unionByName(orphans).unionByName(mixed)
-    bad = F.col("check").isin("orphans", "mixed_keys")
-    return rows.withColumn("status", F.when(bad & (F.col("value") > 10), "fail").when(bad & (F.col("value") > 0), "warn").otherwise("ok"))
+# Keys that hold times.
+TIME_KEYS = ("created_at", "last_mentioned", "collected_at", "updated_at", "last_decay")
+
+
+def store_health(eav: DataFrame, emb: DataFrame, queue: DataFrame | None = None, time_keys: tuple[str, ...] | list[str] = TIME_KEYS) -> DataFrame:
+    """``check, value, status``: rows, orphans, keys whose values are of mixed kinds, times that are stored
+    as text (any fails), and, where a queue is given, its depth (50 warns, 500 fails)."""
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("check"), "value")
+    rows = count(eav, "metadata").unionByName(count(emb, "embeddings"))
+    rows = rows.unionByName(count(eav.select("id").distinct().join(emb.select("id"), "id", "left_anti"), "orphans"))
+    rows = rows.unionByName(count(metadata_type_profile(eav).filter("class = 'mixed'"), "mixed_keys"))
+    rows = rows.unionByName(count(eav.filter(F.col("key").isin(list(time_keys)) & F.col("string_value").isNotNull()), "text_times"))
+    rows = rows.unionByName(count(queue, "queue")) if queue is not None else rows
+    bad, n = F.col("check").isin("orphans", "mixed_keys"), F.col("value")
+    deep = F.col("check") == "queue"
+    fail = bad & (n > 10) | (F.col("check") == "text_times") & (n > 0) | deep & (n >= 500)
+    return rows.withColumn("status", F.when(fail, "fail").when(bad & (n > 0) | deep & (n >= 50), "warn").otherwise("ok"))
 
 
 def node_mentions(mentions: DataFrame) -> DataFrame:

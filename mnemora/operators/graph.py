@@ -89,8 +89,24 @@ def derived_facts(facts: DataFrame, min_conf: float = 0.6) -> tuple[DataFrame, D
     return own.select("id", "content", F.lit("derived").alias("type")), own.select(F.col("id").alias("from_id"), F.explode("sources").alias("to_id")).withColumn("rel_type", F.lit("derives"))
 
 
-def graph_context(edges: DataFrame, ids: DataFrame, most: int = 10) -> DataFrame:
-    """``node, line_no, text``: up to ten relations of each id, as lines."""
+def chain_lines(versions: DataFrame, ids: DataFrame, max_depth: int = 5, width: int = 80) -> DataFrame:
+    """``node, line_no, text``: the version chain of each id (versions: id, parent_id, content), where it has
+    more than one version: ancestors from the oldest, itself, descendants, as ``[direction] content``."""
+    chain = version_chain(versions, max_depth, "both").join(ids.select(F.col("id").alias("start_id")).distinct(), "start_id", "left_semi")
+    named = chain.withColumnRenamed("id", "vid").join(versions.select(F.col("id").alias("vid"), "content"), "vid")
+    longer = F.count(F.lit(1)).over(W.partitionBy("start_id"))
+    no = F.row_number().over(W.partitionBy("start_id").orderBy(F.col("depth").desc(), "vid")).cast("long")
+    way = F.when(F.col("depth") == 0, "current").when(F.col("depth") > 0, "ancestor").otherwise("descendant")
+    text = F.concat(F.lit("["), way, F.lit("] "), F.substring(F.coalesce("content", F.lit("")), 1, width))
+    return named.select(F.col("start_id").alias("node"), no.alias("line_no"), text.alias("text"), longer.alias("n")).filter("n > 1").drop("n")
+
+
+def graph_context(edges: DataFrame, ids: DataFrame, most: int = 10, versions: DataFrame | None = None) -> DataFrame:
+    """``node, line_no, text``: up to ten relations of each id, as lines; before them (numbers from -1000
+    up) the lines of its version chain, where versions are given (ids of both kinds alike)."""
+    if versions is not None:
+        chain = chain_lines(versions, ids).withColumn("line_no", F.col("line_no") - 1000)
+        return chain.unionByName(graph_context(edges, ids, most))
     a = edges.join(ids.select(F.col("id").alias("from_id")), "from_id").withColumn("node", F.col("from_id"))
     b = edges.join(ids.select(F.col("id").alias("to_id")), "to_id").withColumn("node", F.col("to_id"))
     text = F.concat("from_id", F.lit(" -"), "rel_type", F.lit("-> "), "to_id")
@@ -99,12 +115,29 @@ def graph_context(edges: DataFrame, ids: DataFrame, most: int = 10) -> DataFrame
     return t.withColumn("line_no", no.cast("long")).filter(F.col("line_no") <= most)
 
 
-def learn_entities(docs: DataFrame, known: DataFrame, stop: list[str], keep: list[str], least: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``name, n_docs``: capitalised words and titles in 《》 that aren't known: not common words, not
-    short, no acronyms but those to keep; in at least some documents."""
+# Endings of CJK names, and words that no name of several words has inside it.
+NAME_ENDINGS = "系统|模型|引擎|工具|库|站|平台|框架|项目|技能|插件"
+INNER_WORDS = "was|is|are|the|of|in|on|to|for|and|with|a|an"
+
+
+def learn_entities(
+    docs: DataFrame, known: DataFrame, stop: list[str], keep: list[str], least: int = 2, id_col: str = "doc_id", text: str = "text", more_words: int = 2, endings: str = NAME_ENDINGS
+) -> DataFrame:
+    """``name, n_docs``: capitalised words, with up to ``more_words`` words behind them, titles in 《》, and
+    CJK runs with an ending of names, that aren't known: not common words, not short, no acronyms but
+    those to keep, no runs with function words inside; CJK runs and names of several words that hold a
+    known name aren't new. In at least some documents."""
     t = F.coalesce(F.col(text), F.lit(""))
-    names = F.concat(F.regexp_extract_all(t, F.lit(r"(?<![A-Za-z0-9])[A-Z][A-Za-z0-9_.\-]{2,}(?![A-Za-z0-9])"), F.lit(0)), F.regexp_extract_all(t, F.lit("《([^》]{2,20})》"), F.lit(1)))
+    further = rf"(?:\s+[A-Za-z0-9_.\-]{{2,}}){{0,{more_words}}}" if more_words else ""
+    names = F.concat(F.regexp_extract_all(t, F.lit(rf"(?<![A-Za-z0-9])[A-Z][A-Za-z0-9_.\-]{{2,}}{further}(?![A-Za-z0-9])"), F.lit(0)), F.regexp_extract_all(t, F.lit("《([^》]{2,20})》"), F.lit(1)))
+    if endings:
+        names = F.concat(names, F.regexp_extract_all(t, F.lit(f"[\\u4e00-\\u9fa5]{{2,6}}(?:{endings})"), F.lit(0)))
     n = docs.select(F.col(id_col).alias("d"), F.explode(F.array_distinct(names)).alias("name"))
+    n = n.filter(~F.col("name").rlike(rf"(?i)\s+({INNER_WORDS})\s+"))
+    if more_words or endings:
+        found = n.select("name").distinct()
+        holds = containments(found.select(F.col("name").alias("id"), F.col("name").alias("text")), known.select(F.col("name").alias("probe"))).filter("id <> probe")
+        n = n.join(holds.select(F.col("id").alias("name")).distinct(), "name", "left_anti")
     n = n.filter(~F.lower("name").isin([s.lower() for s in stop]) & ~F.col("name").rlike(r"^[A-Z][a-z]{1,3}$") & (~F.col("name").rlike(r"^[A-Z]{2,6}$") | F.col("name").isin(keep)))
     return n.groupBy("name").agg(F.count_distinct("d").alias("n_docs")).filter(F.col("n_docs") >= least).join(known.select("name"), "name", "left_anti")
 
@@ -146,8 +179,15 @@ def alias_merge(nodes: DataFrame, edges: DataFrame, least: int = 2) -> tuple[Dat
     return n, e.select(F.coalesce("f", "from_id").alias("from_id"), F.coalesce("t", "to_id").alias("to_id"), *[c for c in edges.columns if c not in ("from_id", "to_id")]).distinct()
 
 
-def node_listing(edges: DataFrame, n: int = 10) -> DataFrame:
-    """``line_no, text`` of the first nodes by name, with the number of their edges."""
+def node_listing(edges: DataFrame, n: int = 10, nodes: DataFrame | None = None) -> DataFrame:
+    """``line_no, text`` of the first nodes by name, with the number of their edges; where nodes (name, type,
+    attr) are given, with these: ``name [type] n attr``."""
+    if nodes is not None:
+        d = edges.select(F.explode(F.array("from_id", "to_id")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+        first = nodes.groupBy("name").agg(F.min("type").alias("type"), F.min("attr").alias("attr")).join(d, "name", "full_outer").orderBy("name").limit(n)
+        part = lambda c, a, b: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(a), c, F.lit(b)))
+        text = F.concat_ws(" ", "name", part("type", "[", "]"), F.coalesce("n", F.lit(0)).cast("string"), part("attr", "", ""))
+        return first.select(F.row_number().over(W.partitionBy(F.lit(0)).orderBy("name")).cast("long").alias("line_no"), text.alias("text"))
     d = edges.select(F.explode(F.array("from_id", "to_id")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")).orderBy("node").limit(n)
     return d.select(F.row_number().over(W.partitionBy(F.lit(0)).orderBy("node")).cast("long").alias("line_no"), F.concat_ws(" ", "node", F.col("n").cast("string")).alias("text"))
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from .containment import matches
-from .filters import important_sentences, topic_classify
+from .filters import important_sentences, is_trivial, topic_classify
+from .joins import similar_topic
 from .neighbours import connected, nearest_set
 
 
@@ -109,6 +110,16 @@ def profile_view(mem: DataFrame, n_static: int = 15, n_dynamic: int = 10) -> Dat
     return mem.withColumn("rank", r).filter(F.col("rank") <= most).select("user_id", "kind", F.col("rank").cast("long").alias("rank"), "id", "heat")
 
 
+def profile_text(view: DataFrame, mem: DataFrame, width: int = 80) -> DataFrame:
+    """``user_id, profile, text``: each user's ``profile_view`` nested (kind, items of id, heat, content, the
+    hottest first), and as lines."""
+    rows = view.join(mem.select("id", F.substring(F.coalesce("content", F.lit("")), 1, width).alias("content")), "id")
+    kinds = rows.groupBy("user_id", "kind").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "heat", "content"))).alias("items"))
+    nested = kinds.groupBy("user_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("kind", "items")))).alias("profile"))  # static first
+    line = lambda k: F.concat(k["kind"], F.lit(":\n"), F.array_join(F.transform(k["items"], lambda x: F.concat(F.lit("- "), x["content"])), "\n"))
+    return nested.select("user_id", "profile", F.array_join(F.transform("profile", line), "\n").alias("text"))
+
+
 def profile_decay(mem: DataFrame, asof: float, days: float = 7, least: float = 10, factor: float = 0.85) -> DataFrame:
     """``id, action, heat``: old cool rows are dropped, others get a new version with less heat, not
     under 1."""
@@ -132,14 +143,40 @@ def rebuild_store(eav: DataFrame, content: DataFrame, keys: list[str]) -> DataFr
     return j.select(F.substring(F.sha2(F.concat_ws("|", F.col("id").cast("string"), F.coalesce("content", F.lit(""))), 256), 1, 16).alias("id"), *keys, "content")
 
 
-def store_conversation(turns: DataFrame, topics: DataFrame, trivial, min_chars: int = 4) -> DataFrame:
-    """``id, topic``: of each turn (id, content): the first topic (name, heat) whose name it contains;
-    else, if it says nothing, the hottest; else its own first 30 characters, if long enough."""
-    hit = matches(turns, topics.select(F.col("name").alias("query_id"), F.col("name").alias("q")), "content", ci=True).groupBy("id").agg(F.min("query_id").alias("hit"))
-    top = topics.agg(F.max_by("name", F.struct("heat", "name")).alias("top"))
-    j = turns.join(hit, "id", "left").crossJoin(F.broadcast(top))
-    own = F.when(F.length("content") >= min_chars, F.substring("content", 1, 30))
-    return j.select("id", F.coalesce(F.col("hit"), F.when(trivial, F.col("top")), own).alias("topic"))
+def rebuild_written(eav: DataFrame, content: DataFrame, keys: list[str], path: str) -> tuple[DataFrame, DataFrame]:
+    """``rebuild_store`` written to a new folder, and its verdict, read back from there: ``expected,
+    written, distinct_ids, ok``. The old store is not touched."""
+    rebuild_store(eav, content, keys).write.mode("errorifexists").parquet(path)
+    fresh = content.sparkSession.read.parquet(path)
+    n = content.agg(F.count(F.lit(1)).alias("expected")).crossJoin(fresh.agg(F.count(F.lit(1)).alias("written"), F.count_distinct("id").alias("distinct_ids")))  # a row each
+    return fresh, n.withColumn("ok", (F.col("expected") == F.col("written")) & (F.col("written") == F.col("distinct_ids")))
+
+
+def store_conversation(turns: DataFrame, topics: DataFrame, openings: list[str], asof: float, source: str = "conversation", label: str = "assistant: ", least_heat: float = 10, min_chars: int = 4) -> tuple[DataFrame, DataFrame]:
+    """What turns (id, session_id, user_text, assistant_text) leave in the store, over topics (name, heat,
+    status): memories (id, role, topic, content, source, tier, created_at) and mentions (topic,
+    session_id, ts, summary).
+
+    A turn's topic is the first by name that the user names; else, if the user says nothing (openings),
+    one that the beginning of the reply is like (``similar_topic``), or the hottest active one of at
+    least ``least_heat``; else the user's own first 30 characters, if they are enough. User texts of over
+    two characters that aren't commands are stored, cut at 500, and replies of over five, cut at 200."""
+    user, reply = F.trim(F.coalesce("user_text", F.lit(""))), F.trim(F.coalesce("assistant_text", F.lit("")))
+    t = turns.select("id", "session_id", user.alias("u"), reply.alias("a"))
+    hit = matches(t, topics.select(F.col("name").alias("query_id"), F.col("name").alias("q")), "u", ci=True).groupBy("id").agg(F.min("query_id").alias("hit"))
+    like = similar_topic(t.select("id", F.substring("a", 1, 100).alias("content")), topics).withColumnRenamed("topic", "like")
+    top = topics.filter((F.col("heat") >= least_heat) & (F.col("status") == "active")).agg(F.max_by("name", F.struct("heat", "name")).alias("top"))
+    own = F.substring("u", 1, 30)
+    trivial = is_trivial(F.col("u"), openings)
+    topic = F.coalesce("hit", F.when(trivial, F.coalesce("like", "top")), F.when(~trivial & (F.length(own) >= min_chars), own))
+    j = t.join(hit, "id", "left").join(like, "id", "left").crossJoin(F.broadcast(top)).withColumn("topic", topic)  # one row
+    mentions = j.filter(F.col("topic").isNotNull()).select("topic", "session_id", F.lit(float(asof)).alias("ts"), F.concat(F.substring("u", 1, 50), F.lit(" -> "), F.substring("a", 1, 100)).alias("summary"))
+    sides = F.array(
+        F.when((F.length("u") > 2) & ~F.col("u").startswith("/"), F.struct(F.lit("user").alias("role"), F.substring("u", 1, 500).alias("content"))),
+        F.when(F.length("a") > 5, F.struct(F.lit("assistant").alias("role"), F.concat(F.lit(label), F.substring("a", 1, 200)).alias("content"))),
+    )
+    rows = j.select("id", "topic", F.explode(F.array_compact(sides)).alias("s"))
+    return rows.select("id", "s.role", "topic", "s.content", F.lit(source).alias("source"), F.lit("warm").alias("tier"), F.lit(float(asof)).alias("created_at")), mentions
 
 
 def labelled_turns(turns: DataFrame, last: int = 6, cut: int = 300, least: int = 20) -> DataFrame:
@@ -176,6 +213,11 @@ def correction_fix(log: DataFrame, keyword: str, note: str) -> DataFrame:
     return log.withColumn("note", F.when(hit, note)).withColumn("fixed", F.when(hit, F.lit(True)).otherwise(F.col("fixed")))
 
 
+def fixed_count(log: DataFrame, keyword: str) -> DataFrame:
+    """``fixed``: how many open entries ``correction_fix`` would close."""
+    return log.agg(F.count_if(~F.col("fixed") & F.coalesce(F.col("topic").contains(keyword), F.lit(False))).alias("fixed"))
+
+
 def content_history(versions: DataFrame, key: list[str]) -> DataFrame:
     """``key, n, history``: the contents of each chain of versions, oldest first, as text."""
     h = F.array_sort(F.collect_list(F.struct("created_at", "id", "content")))

@@ -164,6 +164,14 @@ def fulltext_sessions(msg: DataFrame, ses: DataFrame, queries: DataFrame, k: int
     return top.join(ses.select("session_id", "source", "title"), "session_id").select("query_id", "session_id", "source", "title", F.substring("content", 1, width).alias("snippet"), "ts")
 
 
+def smoke_stats(hits: DataFrame, mem: DataFrame, keys: list[str]) -> DataFrame:
+    """``query_id, hits, best, with_metadata``: how many hits each query has, the best score, and how many hits
+    have more than one of the metadata columns ``keys`` filled."""
+    filled = sum((F.when(F.col(k).isNotNull() & (F.col(k).cast("string") != ""), 1).otherwise(0) for k in keys), F.lit(0))
+    j = hits.join(mem.select("id", filled.alias("filled")), "id", "left")
+    return j.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("best"), F.count_if(F.col("filled") > 1).alias("with_metadata"))
+
+
 def fuse(legs: list[DataFrame], k: int = 5, key_len: int = 50) -> DataFrame:
     """Legs as one list: of results that begin alike the best stays, then the k best of a query."""
     cols = ["query_id", "id", "content", "score", "source"]
@@ -207,6 +215,14 @@ def cold_excavate(msg: DataFrame, ses: DataFrame, queries: DataFrame, limit: int
     return top.groupBy("query_id", "session_id").agg(F.array_sort(F.collect_list(F.struct("pos", "role", "content"))).alias("messages"))
 
 
+def excavate_sessions(msg: DataFrame, ses: DataFrame, ids: DataFrame, limit: int = 500) -> DataFrame:
+    """``session_id, title, messages``: the messages of given sessions (session_id), nested in order; of all
+    together the first ``limit`` by id."""
+    own = msg.join(ids.select("session_id").distinct(), "session_id", "left_semi").orderBy("id").limit(limit)
+    nested = own.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("pos", "role", "content"))).alias("messages"))
+    return nested.join(ses.select("session_id", "title"), "session_id").select("session_id", "title", "messages")
+
+
 def multi_source_search(sources: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Rows of any source (source, id, text, ts) that contain the query, the newest first."""
     named = sources.withColumn("_key", F.concat_ws("|", "source", "id"))

@@ -41,6 +41,16 @@ def first_messages(msg: DataFrame, n: int) -> DataFrame:
     return keep_first(msg, ["session_id"], ["pos", "id"], n)
 
 
+def first_messages_or_recent(msg: DataFrame, ses: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """``asked_id`` with the first n messages of each asked session (session_id); where that has none, those of
+    the session that started last among those with messages (ties: the greater id)."""
+    has = msg.select("session_id").distinct()
+    latest = ses.join(has, "session_id", "left_semi").agg(F.max_by("session_id", F.struct("started_at", "session_id")).alias("latest"))
+    own = ids.select(F.col("session_id").alias("asked_id")).distinct().join(has.select(F.col("session_id").alias("own")), F.col("asked_id") == F.col("own"), "left")
+    chosen = own.crossJoin(F.broadcast(latest)).select("asked_id", F.coalesce("own", "latest").alias("session_id"))  # one row
+    return chosen.join(first_messages(msg, n), "session_id")
+
+
 def metric_regression(hist: DataFrame, thresholds: dict[str, float], ts: str = "day") -> DataFrame:
     """``day, metric, prev, cur, delta, verdict`` of each run against the one before it."""
     long = hist.select(F.col(ts).alias("day"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("cur"), F.lit(float(t)).alias("t")) for m, t in thresholds.items()])).alias("x")).select("day", "x.*")

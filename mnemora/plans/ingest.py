@@ -107,7 +107,8 @@ def _(v):
 @query("registry_fanout", """WITH p AS (SELECT CAST(s_suppkey AS STRING) AS project, s_name AS title FROM supplier),
     r AS (SELECT 'reg:' || project AS id, title AS content, 'registry' AS type, project FROM p
       UNION ALL SELECT 'doc:' || project || ':' || i, title || ' doc ' || i, 'doc_index', project FROM p, range(2) t(i)
-      UNION ALL SELECT 'log:' || project || ':0', title || ' log', 'work_log', project FROM p)
+      UNION ALL SELECT 'log:' || project || ':0', title || ' log', 'work_log', project FROM p
+      UNION ALL SELECT 'reg:', count(*) || ' projects, ' || 2 * count(*) || ' documents, ' || count(*) || ' logs', 'registry', NULL FROM p)
     SELECT id, content, type, project FROM r WHERE id NOT IN (SELECT 'reg:' || CAST(s_suppkey AS STRING) FROM supplier WHERE s_suppkey % 3 = 0)
     UNION ALL SELECT id, 'reg:' || project, 'edge', 'related' FROM r WHERE type = 'work_log'""")
 def _(v):

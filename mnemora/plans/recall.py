@@ -159,6 +159,13 @@ def _(v):
     return out.select("query_id", "session_id", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], m["pos"].cast("string"))), ",").alias("messages"))
 
 
+@query("excavate_sessions", """WITH m AS (SELECT * FROM v_messages WHERE session_id % 20 = 0 ORDER BY id LIMIT 500)
+    SELECT session_id, 'session ' || session_id AS title, string_agg(role || CAST(pos AS STRING), ',' ORDER BY pos) AS messages FROM m GROUP BY session_id""")
+def _(v):
+    out = R.excavate_sessions(v.v_messages, v.v_sessions, v.v_sessions.filter("session_id % 20 = 0"))
+    return out.select("session_id", "title", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], m["pos"].cast("string"))), ",").alias("messages"))
+
+
 @query("multi_source_search", f"""WITH s AS (SELECT source, CAST(id AS STRING) AS id, lower(content) AS text, created_at AS ts FROM v_memories UNION ALL SELECT 'log', CAST(id AS STRING), lower(content), ts FROM v_channel_log)
     SELECT q.n_nationkey AS query_id, s.source, s.id FROM s JOIN nation q ON contains(s.text, lower(substr(q.n_name, 1, 3))) QUALIFY row_number() OVER (PARTITION BY q.n_nationkey ORDER BY s.ts DESC, s.source, s.id) <= 20""")
 def _(v):
@@ -315,11 +322,32 @@ def _(v):
     return L.rebuild_store(v.v_eav, v.v_memories, ["type", "source"])
 
 
-@query("store_conversation", """WITH t AS (SELECT n_name AS name, n_nationkey AS heat FROM nation), h AS (SELECT m.id, min(t.name) AS hit FROM v_messages m JOIN t ON contains(lower(m.content), lower(t.name)) GROUP BY m.id)
-    SELECT m.id, coalesce(h.hit, CASE WHEN length(trim(m.content)) <= 3 OR lower(m.content) LIKE 'the%' THEN (SELECT arg_max(name, heat) FROM t) END, CASE WHEN length(m.content) >= 4 THEN substr(m.content, 1, 30) END) AS topic FROM v_messages m LEFT JOIN h ON h.id = m.id""")
+TURNS_SQL = "SELECT u.id, u.session_id, trim(coalesce(u.content, '')) AS u, trim(coalesce(a.content, '')) AS a FROM v_messages u LEFT JOIN v_messages a ON a.session_id = u.session_id AND a.pos = u.pos + 1 AND a.role = 'assistant' WHERE u.role = 'user'"
+STORED_SQL = rf"""WITH n AS (SELECT n_name AS name, n_nationkey AS heat, CASE WHEN n_nationkey % 4 = 0 THEN 'done' ELSE 'active' END AS status FROM nation), t AS ({TURNS_SQL}),
+    h AS (SELECT t.id, min(n.name) AS hit FROM t JOIN n ON contains(lower(t.u), lower(n.name)) GROUP BY t.id),
+    k AS (SELECT name, row_number() OVER (ORDER BY heat DESC, name) AS r FROM n QUALIFY r <= 5),
+    w AS (SELECT id, lower(substr(a, 1, 100)) AS c, list_filter(regexp_split_to_array(lower(substr(a, 1, 100)), '\s+'), lambda x: length(x) >= 2) AS w FROM t),
+    l AS (SELECT w.id, arg_min(k.name, k.r) AS sim FROM w, k WHERE contains(w.c, lower(k.name)) OR len(list_filter(w.w, lambda x: contains(lower(k.name), x))) > 0 GROUP BY w.id),
+    s AS (SELECT t.*, length(t.u) <= 3 OR lower(t.u) LIKE 'the%' OR lower(t.u) LIKE 'so%' AS trivial, h.hit, l.sim FROM t LEFT JOIN h ON h.id = t.id LEFT JOIN l ON l.id = t.id),
+    z AS (SELECT *, coalesce(hit, CASE WHEN trivial THEN coalesce(sim, (SELECT arg_max(name, heat) FROM n WHERE heat >= 10 AND status = 'active')) WHEN length(substr(u, 1, 30)) >= 4 THEN substr(u, 1, 30) END) AS topic FROM s)"""
+
+
+def _stored(v):
+    u, a = v.v_messages.filter("role = 'user'"), v.v_messages.filter("role = 'assistant'")
+    reply = a.select("session_id", (F.col("pos") - 1).alias("pos"), F.col("content").alias("assistant_text"))
+    turns = u.join(reply, ["session_id", "pos"], "left").select("id", "session_id", F.col("content").alias("user_text"), "assistant_text")
+    topics = v.nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("heat"), F.when(F.col("n_nationkey") % 4 == 0, "done").otherwise("active").alias("status"))
+    return L.store_conversation(turns, topics, ["the", "so"], ASOF)
+
+
+@query("store_conversation", STORED_SQL + " SELECT id, 'user' AS role, topic, substr(u, 1, 500) AS content FROM z WHERE length(u) > 2 AND u NOT LIKE '/%' UNION ALL SELECT id, 'assistant', topic, 'assistant: ' || substr(a, 1, 200) FROM z WHERE length(a) > 5")
 def _(v):
-    topics = v.nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("heat"))
-    return L.store_conversation(v.v_messages, topics, P.is_trivial(F.col("content"), ["the"]))
+    return _stored(v)[0].select("id", "role", "topic", "content")
+
+
+@query("conversation_mentions", STORED_SQL + " SELECT topic, session_id, substr(u, 1, 50) || ' -> ' || substr(a, 1, 100) AS summary FROM z WHERE topic IS NOT NULL")
+def _(v):
+    return _stored(v)[1].drop("ts")
 
 
 CAPTURE_SQL = """WITH n AS (SELECT session_id AS doc_id, string_agg(role || ': ' || substr(content, 1, 300), chr(10) ORDER BY pos, id) AS text FROM
@@ -412,7 +440,7 @@ def _(v):
 def _(v):
     # names that end in a mark count without it, as in SQL, which has no look-ahead
     docs = v.documents.select("doc_id", F.regexp_replace("text", r"[_.\-]+(?![A-Za-z0-9_.\-])", " ").alias("text"))
-    return G.learn_entities(docs, v.nation.select(F.col("n_name").alias("name")), ["the", "and"], [])
+    return G.learn_entities(docs, v.nation.select(F.col("n_name").alias("name")), ["the", "and"], [], more_words=0, endings="")
 
 
 @query("rule_entities", r"""WITH r AS (SELECT doc_id, 0 AS k, d.n AS name, d.t AS type FROM documents, (VALUES ('ing the', 'tool'), ('ungkeit', 'framework')) d(n, t) WHERE contains(lower(coalesce(text, '')), d.n)
@@ -451,8 +479,16 @@ def _(v):
     return G.assemble_layers(v.v_edges, F.substring("node", 1, 1))
 
 
-@query("query_smoke_stats", f"SELECT query_id, count(*) AS hits, max(score) AS best FROM (SELECT * FROM ({KEYWORD_SQL}) x {RANKED.format(5)}) y GROUP BY query_id")
+@query("query_smoke_stats", f"""SELECT query_id, count(*) AS hits, max(y.score) AS best, count(*) FILTER (CASE WHEN coalesce(m.topic, '') <> '' THEN 1 ELSE 0 END + CASE WHEN coalesce(m.source, '') <> '' THEN 1 ELSE 0 END > 1) AS with_metadata
+    FROM (SELECT * FROM ({KEYWORD_SQL}) x {RANKED.format(5)}) y JOIN v_memories m ON m.id = y.id GROUP BY query_id""")
 def _(v):
-    return R.keyword_search(v.v_memories, _texts(v), 5).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("best"))
+    return R.smoke_stats(R.keyword_search(v.v_memories, _texts(v), 5), v.v_memories, ["topic", "source"])
 
 
+@query("chain_lines", """WITH RECURSIVE u AS (SELECT id AS s, 0 AS d, id FROM v_versions WHERE id % 20 = 0 UNION ALL SELECT u.s, u.d + 1, v.parent_id FROM u JOIN v_versions v ON v.id = u.id WHERE v.parent_id IS NOT NULL AND u.d < 5),
+    w AS (SELECT id AS s, 0 AS d, id FROM v_versions WHERE id % 20 = 0 UNION ALL SELECT w.s, w.d + 1, v.id FROM w JOIN v_versions v ON v.parent_id = w.id WHERE w.d < 5),
+    c AS (SELECT s, d, id FROM u UNION SELECT s, -d, id FROM w)
+    SELECT c.s AS node, row_number() OVER (PARTITION BY c.s ORDER BY c.d DESC, c.id) AS line_no, '[' || CASE WHEN c.d = 0 THEN 'current' WHEN c.d > 0 THEN 'ancestor' ELSE 'descendant' END || '] ' || v.event_type AS text
+    FROM c JOIN v_versions v ON v.id = c.id QUALIFY count(*) OVER (PARTITION BY c.s) > 1""")
+def _(v):
+    return G.chain_lines(v.v_versions.select("id", "parent_id", F.col("event_type").alias("content")), v.v_versions.filter("id % 20 = 0"))

@@ -261,9 +261,9 @@ def _(v):
     return A.quality_metrics(v.v_findings)
 
 
-@query("distinct_topics", "SELECT DISTINCT topic FROM v_memories")
+@query("distinct_topics", "SELECT DISTINCT 'topic' AS dim, topic AS value FROM v_memories UNION ALL SELECT DISTINCT 'tier', tier FROM v_memories UNION ALL SELECT DISTINCT 'source', source FROM v_memories")
 def _(v):
-    return v.v_memories.select("topic").distinct().orderBy("topic")
+    return A.dimension_counts(v.v_memories, ["topic", "tier", "source"]).select("dim", "value")
 
 
 @query("session_messages_nested", "SELECT session_id, title, string_agg(role || ':' || length(content), ',' ORDER BY pos) AS messages FROM (SELECT m.*, s.title FROM v_messages m JOIN v_sessions s ON m.session_id = s.session_id WHERE contains(m.content, 'the')) x GROUP BY session_id, title")
@@ -290,15 +290,17 @@ def _(v):
     return v.v_memories.groupBy(F.col("tier").alias("name")).agg(F.count(F.lit(1)).alias("n")).unionByName(A.scalar_rows(v.spark, {"memories": v.v_memories}))
 
 
-@query("status_overview", "SELECT 'memories' AS name, count(*) AS n FROM v_memories UNION ALL SELECT 'edges', count(*) FROM v_edges UNION ALL SELECT 'messages', count(*) FROM v_messages")
+@query("status_overview", "SELECT 'memories' AS name, count(*) AS n FROM v_memories UNION ALL SELECT 'edges', count(*) FROM v_edges UNION ALL SELECT 'messages', count(*) FROM v_messages UNION ALL SELECT 'nodes', count(*) FROM (SELECT from_id FROM v_edges UNION SELECT to_id FROM v_edges) n")
 def _(v):
-    return A.scalar_rows(v.spark, {"memories": v.v_memories, "edges": v.v_edges, "messages": v.v_messages})
+    nodes = v.v_edges.select(F.explode(F.array("from_id", "to_id")).alias("node")).distinct()
+    return A.scalar_rows(v.spark, {"memories": v.v_memories, "nodes": nodes, "edges": v.v_edges, "messages": v.v_messages})
 
 
-@query("store_health", """WITH r AS (SELECT 'metadata' AS "check", count(*) AS value FROM v_eav UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'orphans', count(DISTINCT id) FROM v_eav WHERE id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT 'mixed_keys', 1)
-    SELECT *, CASE WHEN "check" IN ('orphans', 'mixed_keys') AND value > 10 THEN 'fail' WHEN "check" IN ('orphans', 'mixed_keys') AND value > 0 THEN 'warn' ELSE 'ok' END AS status FROM r""")
+@query("store_health", """WITH r AS (SELECT 'metadata' AS "check", count(*) AS value FROM v_eav UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'orphans', count(DISTINCT id) FROM v_eav WHERE id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT 'mixed_keys', 1
+      UNION ALL SELECT 'text_times', count(*) FILTER (key IN ('created_at', 'source') AND string_value IS NOT NULL) FROM v_eav UNION ALL SELECT 'queue', count(*) FILTER (NOT fixed) FROM v_corrections)
+    SELECT *, CASE WHEN "check" IN ('orphans', 'mixed_keys') AND value > 10 OR "check" = 'text_times' AND value > 0 OR "check" = 'queue' AND value >= 500 THEN 'fail' WHEN "check" = 'queue' AND value >= 50 THEN 'warn' WHEN "check" IN ('orphans', 'mixed_keys') AND value > 0 THEN 'warn' ELSE 'ok' END AS status FROM r""")
 def _(v):
-    return A.store_health(v.v_eav, v.embeddings.select(F.col("vec_id").alias("id")))
+    return A.store_health(v.v_eav, v.embeddings.select(F.col("vec_id").alias("id")), v.v_corrections.filter("not fixed"), ["created_at", "source"])
 
 
 @query("node_mentions", "SELECT topic AS name, arg_min(CAST(session_id AS STRING), id) AS type, arg_min(CAST(id AS STRING), id) FILTER (id % 4 = 0) AS attr, min(id) AS first_seen, max(id) AS last_seen, count(*) AS mention_count FROM v_mentions GROUP BY topic")
@@ -351,6 +353,14 @@ def _(v):
     return X.first_messages(v.v_messages, 2).select("id", "session_id")
 
 
+@query("first_messages_or_recent", """WITH a AS (SELECT DISTINCT doc_id AS asked_id FROM documents WHERE doc_id % 20 = 0), h AS (SELECT DISTINCT session_id FROM v_messages),
+    c AS (SELECT asked_id, coalesce(h.session_id, (SELECT arg_max(session_id, started_at) FROM v_sessions)) AS session_id FROM a LEFT JOIN h ON h.session_id = asked_id)
+    SELECT asked_id, m.id, m.session_id FROM c JOIN (SELECT * FROM v_messages QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pos, id) <= 2) m ON m.session_id = c.session_id""")
+def _(v):
+    ids = v.documents.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("session_id"))
+    return X.first_messages_or_recent(v.v_messages, v.v_sessions, ids, 2).select("asked_id", "id", "session_id")
+
+
 @query("snapshot_retention", "SELECT day AS snap, CASE WHEN row_number() OVER (ORDER BY day DESC) <= 7 THEN 'keep' ELSE 'expire' END AS action FROM v_metrics")
 def _(v):
     return X.snapshot_retention(v.v_metrics.select(F.col("day").alias("snap")))

@@ -101,11 +101,14 @@ def zones_to_records(zones: DataFrame) -> DataFrame:
 
 def registry_fanout(projects: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records and edges of projects (project, title, docs array, logs array): a registry row, one a
-    document, one a log, and edges from logs to their project. Ids that exist are skipped."""
+    document, one a log, one that sums up (id ``reg:``), and edges from logs to their project. Ids that exist are skipped."""
     reg = projects.select(F.concat(F.lit("reg:"), "project").alias("id"), F.col("title").alias("content"), F.lit("registry").alias("type"), "project")
     docs = projects.select("project", F.posexplode("docs").alias("i", "d")).select(F.concat(F.lit("doc:"), "project", F.lit(":"), "i").alias("id"), F.col("d").alias("content"), F.lit("doc_index").alias("type"), "project")
     logs = projects.select("project", F.posexplode("logs").alias("i", "l")).select(F.concat(F.lit("log:"), "project", F.lit(":"), "i").alias("id"), F.col("l").alias("content"), F.lit("work_log").alias("type"), "project")
-    new = reg.unionByName(docs).unionByName(logs).join(existing.select("id"), "id", "left_anti")
+    n = projects.agg(F.count(F.lit(1)).alias("p"), F.coalesce(F.sum(F.greatest(F.size("docs"), F.lit(0))), F.lit(0)).alias("d"), F.coalesce(F.sum(F.greatest(F.size("logs"), F.lit(0))), F.lit(0)).alias("l"))
+    text = F.concat(F.col("p").cast("string"), F.lit(" projects, "), F.col("d").cast("string"), F.lit(" documents, "), F.col("l").cast("string"), F.lit(" logs"))
+    summary = n.select(F.lit("reg:").alias("id"), text.alias("content"), F.lit("registry").alias("type"), F.lit(None).cast("string").alias("project"))
+    new = reg.unionByName(docs).unionByName(logs).unionByName(summary).join(existing.select("id"), "id", "left_anti")
     edges = new.filter("type = 'work_log'").select(F.col("id").alias("from_id"), F.concat(F.lit("reg:"), "project").alias("to_id"), F.lit("related").alias("rel_type"))
     return new, edges
 
@@ -160,9 +163,13 @@ def assign_batches(files: DataFrame, size: int = 1, suffix: str = ".py", path: s
     return placed.select(F.expr(f"(before + r - 1) div {size}").alias("batch"), "path")
 
 
-def append_corrections(log: DataFrame, new: DataFrame, asof: float) -> DataFrame:
-    """The log with new entries (topic, detail), dated and not fixed."""
-    rows = new.select("topic", "detail", F.lit(float(asof)).alias("ts"), F.lit(False).alias("fixed"), F.concat(F.lit("["), "topic", F.lit("] "), "detail").alias("note"))
+def append_corrections(log: DataFrame, new: DataFrame, asof: float, kind: str = "correction") -> DataFrame:
+    """The log with new entries (topic, detail), dated: corrections are open until they are fixed; entries of
+    the kinds ``success`` and ``rule`` (a rule that changed) say so in their note and need no fixing."""
+    if kind not in ("correction", "success", "rule"):
+        raise ValueError(f"no kind {kind!r}")
+    head = "" if kind == "correction" else f"{kind}: "
+    rows = new.select("topic", "detail", F.lit(float(asof)).alias("ts"), F.lit(kind != "correction").alias("fixed"), F.concat(F.lit(f"{head}["), "topic", F.lit("] "), "detail").alias("note"))
     return log.unionByName(rows, allowMissingColumns=True)
 
 
