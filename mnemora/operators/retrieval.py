@@ -199,12 +199,13 @@ def multi_search(mem: DataFrame, vec: DataFrame, edges: DataFrame, vectors: Data
 
 def cold_search(cold: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """``query_id, id, score``: 0.8 for the name, 0.5 for each tag and 0.3 for the summary that contains
-    the query (id, name, tags array, summary)."""
-    q = F.lower("q")
-    has = lambda c: F.when(F.lower(F.coalesce(c, F.lit(""))).contains(q), 1.0).otherwise(0.0)
-    tags = F.size(F.filter("tags", lambda t: F.lower(t).contains(q)))
-    met = cold.crossJoin(F.broadcast(queries)).withColumn("score", F.round(has(F.col("name")) * 0.8 + tags * 0.5 + has(F.col("summary")) * 0.3, 4))
-    return ranked(met.filter(F.col("score") > 0).select("query_id", "id", "score"), k)
+    the query (id, name, tags array, summary). Each is looked through once for all queries."""
+    part = lambda weight, text: F.struct(F.lit(weight).alias("weight"), text.alias("text"))
+    each = F.concat(F.array(part(0.8, F.col("name")), part(0.3, F.col("summary"))), F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: part(0.5, t)))
+    parts = cold.select("id", F.posexplode(each).alias("n", "p")).select("id", F.concat_ws("|", F.col("id").cast("string"), "n").alias("key"), "p.weight", "p.text")
+    hits = matches(parts, queries, "text", ci=True, id_col="key").withColumnRenamed("id", "key")
+    scored = hits.join(parts.select("key", "id", "weight"), "key").groupBy("query_id", "id").agg(F.round(F.sum("weight"), 4).alias("score"))
+    return ranked(scored, k)
 
 
 def cold_excavate(msg: DataFrame, ses: DataFrame, queries: DataFrame, limit: int = 200) -> DataFrame:
@@ -242,11 +243,13 @@ def prefetch_context(hits: DataFrame, width: int = 120) -> DataFrame:
     return lines(hits, "query_id", ["rank"], line)
 
 
-def session_brief(hottest: DataFrame, hits: DataFrame, mem: DataFrame) -> DataFrame:
-    """``line_no, text``: the hottest topic, related memories, how many there are."""
-    a = hottest.select(F.lit(0).cast("long").alias("line_no"), F.concat(F.lit("topic: "), "name").alias("text"))
-    b = hits.select(F.col("rank").cast("long").alias("line_no"), F.substring("content", 1, 80).alias("text"))
-    c = mem.agg(F.count(F.lit(1)).alias("n")).select(F.lit(99).cast("long").alias("line_no"), F.concat(F.lit("memories: "), F.col("n").cast("string")).alias("text"))
+def session_brief(hottest: DataFrame, hits: DataFrame, mem: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, line_no, text``: for each query (query_id), the hottest topic, related memories, and how many
+    there are in all."""
+    q = queries.select("query_id").distinct()
+    a = q.crossJoin(F.broadcast(hottest.limit(1))).select("query_id", F.lit(0).cast("long").alias("line_no"), F.concat(F.lit("topic: "), "name").alias("text"))
+    b = hits.select("query_id", F.col("rank").cast("long").alias("line_no"), F.substring("content", 1, 80).alias("text"))
+    c = q.crossJoin(F.broadcast(mem.agg(F.count(F.lit(1)).alias("n")))).select("query_id", F.lit(99).cast("long").alias("line_no"), F.concat(F.lit("memories: "), F.col("n").cast("string")).alias("text"))
     return a.unionByName(b).unionByName(c)
 
 

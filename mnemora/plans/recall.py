@@ -36,8 +36,8 @@ def _texts(v):
 
 
 def _names(v):
-    """Names of graph nodes as queries."""
-    return v.nation.filter("n_nationkey < 5").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("s"), (F.col("n_nationkey") + 1).cast("string")).alias("q"))
+    """Names of every part whose id is divisible by 20 as queries."""
+    return v.part.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("q"))
 
 
 @query("vector_search", f"SELECT query_id, id, score FROM ({VECTOR_SQL} WHERE m.is_latest AND m.topic = 'en') x {RANKED.format(5)}")
@@ -81,7 +81,7 @@ def _(v):
     return a.unionByName(b)
 
 
-ENTITY_SQL = """SELECT query_id, name FROM (SELECT DISTINCT from_id AS name FROM v_edges UNION SELECT to_id FROM v_edges) n, (SELECT n_nationkey AS query_id, 's' || CAST(n_nationkey + 1 AS STRING) AS q FROM nation WHERE n_nationkey < 5) q
+ENTITY_SQL = """SELECT query_id, name FROM (SELECT DISTINCT from_id AS name FROM v_edges UNION SELECT to_id FROM v_edges) n, (SELECT p_partkey AS query_id, 'p' || CAST(p_partkey AS STRING) AS q FROM part WHERE p_partkey % 20 = 0) q
     WHERE contains(lower(name), q) OR contains(q, lower(name)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY name) <= {}"""
 BOTH_SQL = "(SELECT from_id AS a, to_id AS b FROM v_edges UNION ALL SELECT to_id, from_id FROM v_edges)"
 GRAPH_SQL = f"""WITH e AS ({ENTITY_SQL.format(3)}), h AS (SELECT query_id, name AS id, 0.7 AS score FROM e UNION ALL SELECT e.query_id, x.b, 0.5 FROM e JOIN {BOTH_SQL} x ON x.a = e.name),
@@ -143,11 +143,11 @@ def _(v):
     return R.multi_search(v.v_memories, _vectors(v), v.v_edges, _probes(v), _names(v)).select("query_id", "id", "score", "source")
 
 
-@query("cold_search", f"""WITH c AS (SELECT p_partkey AS id, lower(p_name) AS name, list_distinct([lower(p_brand), lower(p_type)]) AS tags, lower(p_type || ' ' || p_name) AS summary FROM part), q AS (SELECT s_suppkey AS query_id, lower(split_part(p_name, ' ', 1)) AS q FROM supplier JOIN part ON p_partkey = s_suppkey WHERE s_suppkey <= 5)
+@query("cold_search", f"""WITH c AS (SELECT p_partkey AS id, lower(p_name) AS name, list_distinct([lower(p_brand), lower(p_type)]) AS tags, lower(p_type || ' ' || p_name) AS summary FROM part), q AS (SELECT p_partkey AS query_id, lower(split_part(p_name, ' ', 1)) AS q FROM part WHERE p_partkey % 20 = 0)
     SELECT query_id, id, score FROM (SELECT query_id, id, round(CASE WHEN contains(name, q) THEN 0.8 ELSE 0 END + 0.5 * len(list_filter(tags, lambda t: contains(t, q))) + CASE WHEN contains(summary, q) THEN 0.3 ELSE 0 END, 4)::DOUBLE AS score FROM c, q) x WHERE score > 0 {RANKED.format(5)}""")
 def _(v):
     cold = v.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.array_distinct(F.array("p_brand", "p_type")).alias("tags"), F.concat("p_type", F.lit(" "), "p_name").alias("summary"))
-    q = v.supplier.filter("s_suppkey <= 5").join(v.part, F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("query_id"), F.substring_index("p_name", " ", 1).alias("q"))
+    q = v.part.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.substring_index("p_name", " ", 1).alias("q"))
     return R.cold_search(cold, q).select("query_id", "id", "score")
 
 
@@ -180,13 +180,13 @@ def _(v):
     return R.prefetch_context(R.keyword_search(v.v_memories, _texts(v), 5))
 
 
-@query("session_brief", f"""WITH k AS (SELECT x.id, m.content, row_number() OVER (ORDER BY x.score DESC, x.id) AS r FROM ({KEYWORD_SQL}) x JOIN v_memories m ON m.id = x.id WHERE query_id = 0 QUALIFY r <= 3)
-    SELECT 0::BIGINT AS line_no, 'topic: ' || topic AS text FROM (SELECT topic FROM v_mentions GROUP BY topic ORDER BY count(*) DESC, topic LIMIT 1) t UNION ALL SELECT r, substr(content, 1, 80) FROM k UNION ALL SELECT 99, 'memories: ' || count(*) FROM v_memories""")
+@query("session_brief", f"""WITH k AS (SELECT x.query_id, x.id, m.content, row_number() OVER (PARTITION BY x.query_id ORDER BY x.score DESC, x.id) AS r FROM ({KEYWORD_SQL}) x JOIN v_memories m ON m.id = x.id QUALIFY r <= 3), q AS (SELECT item_id AS query_id FROM benchmark WHERE item_id % 20 = 0)
+    SELECT q.query_id, 0::BIGINT AS line_no, 'topic: ' || topic AS text FROM q, (SELECT topic FROM v_mentions GROUP BY topic ORDER BY count(*) DESC, topic LIMIT 1) t UNION ALL SELECT query_id, r, substr(content, 1, 80) FROM k UNION ALL SELECT q.query_id, 99, 'memories: ' || n FROM q, (SELECT count(*) AS n FROM v_memories) c""")
 def _(v):
     from ..operators.windows import hottest_topic
 
     hot = hottest_topic(v.v_mentions.groupBy(F.col("topic").alias("name")).agg(F.count(F.lit(1)).alias("heat")))
-    return R.session_brief(hot, R.keyword_search(v.v_memories, _texts(v).filter("query_id = 0"), 3), v.v_memories)
+    return R.session_brief(hot, R.keyword_search(v.v_memories, _texts(v), 3), v.v_memories, _texts(v))
 
 
 @query("context_injection", f"""WITH k AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM ({GRAPH_SQL.replace('<= 6', '<= 3')}) y) x),
@@ -383,9 +383,9 @@ def _(v):
     return G.add_relations(stored, new)
 
 
-@query("relations_of", "SELECT 's' || s_suppkey AS id, src, dst, type, active FROM supplier JOIN v_relations ON src = 's' || s_suppkey WHERE active AND s_suppkey <= 20 UNION ALL SELECT 'p' || s_suppkey, src, dst, type, active FROM supplier JOIN v_relations ON dst = 'p' || s_suppkey WHERE active AND s_suppkey <= 20")
+@query("relations_of", "SELECT 's' || s_suppkey AS id, src, dst, type, active FROM supplier JOIN v_relations ON src = 's' || s_suppkey WHERE active UNION ALL SELECT 'p' || s_suppkey, src, dst, type, active FROM supplier JOIN v_relations ON dst = 'p' || s_suppkey WHERE active")
 def _(v):
-    n = v.supplier.filter("s_suppkey <= 20").select(F.explode(F.array(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), F.concat(F.lit("p"), F.col("s_suppkey").cast("string")))).alias("id"))
+    n = v.supplier.select(F.explode(F.array(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), F.concat(F.lit("p"), F.col("s_suppkey").cast("string")))).alias("id"))
     return G.relations_of(v.v_relations, n)
 
 
@@ -399,12 +399,12 @@ def _(v):
     return G.version_chain(v.v_versions).withColumn("depth", F.col("depth").cast("long"))
 
 
-SEEDS_SQL = "SELECT 's' || s_suppkey AS seed, 's' || s_suppkey AS node FROM supplier WHERE s_suppkey <= 5"
+SEEDS_SQL = "SELECT 'p' || p_partkey AS seed, 'p' || p_partkey AS node FROM part WHERE p_partkey % 20 = 0"
 
 
 def _seeds(v):
-    s = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
-    return v.supplier.filter("s_suppkey <= 5").select(s.alias("seed"), s.alias("node"))
+    s = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    return v.part.filter("p_partkey % 20 = 0").select(s.alias("seed"), s.alias("node"))
 
 
 @query("bfs_subgraph", f"WITH {BFS_SQL.format(seeds=SEEDS_SQL)} SELECT seed, node, min(d)::BIGINT AS depth FROM w GROUP BY ALL")

@@ -98,9 +98,9 @@ def _(v):
 
 
 @query("topic_detect", f"""WITH k AS (SELECT item_id AS topic, unnest({TOKENS.format('text')}) AS term FROM benchmark), d AS (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents)
-    SELECT DISTINCT d.doc_id, CAST(k.topic AS STRING) AS topic FROM d JOIN k USING (term) WHERE length(term) >= 8""")
+    SELECT DISTINCT d.doc_id, CAST(k.topic AS STRING) AS topic FROM d JOIN k USING (term)""")
 def _(v):
-    topics = v.benchmark.select(F.col("item_id").cast("string").alias("topic"), F.filter(T.tokenize(F.col("text")), lambda t: F.length(t) >= 8).alias("terms"))
+    topics = v.benchmark.select(F.col("item_id").cast("string").alias("topic"), T.tokenize(F.col("text")).alias("terms"))
     return J.topic_detect(v.documents, topics)
 
 

@@ -41,7 +41,7 @@ VIEWS = {
         lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS parent_id,
         lead(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) IS NULL AS is_latest FROM events""",
     "v_edges": """SELECT a AS from_id, b AS to_id, CASE k WHEN 0 THEN 'updates' WHEN 1 THEN 'extends' WHEN 2 THEN 'derives' ELSE 'related' END AS rel_type FROM
-        (SELECT DISTINCT concat('s', CAST(l_suppkey AS STRING)) AS a, concat('p', CAST(l_partkey AS STRING)) AS b, l_partkey % 4 AS k FROM lineitem WHERE l_quantity = 50) e""",
+        (SELECT DISTINCT concat('s', CAST(l_suppkey AS STRING)) AS a, concat('p', CAST(l_partkey AS STRING)) AS b, l_partkey % 4 AS k FROM lineitem) e""",
     "v_relations": """SELECT from_id AS src, to_id AS dst, rel_type AS type, concat(from_id, ' ', rel_type, ' ', to_id) AS label,
         length(to_id) % 3 <> 0 AS active, CAST(substr(from_id, 2) AS BIGINT) * 1000000 + CAST(substr(to_id, 2) AS BIGINT) AS created_at FROM v_edges""",
     "v_eav": """SELECT id, 'type' AS key, CASE WHEN id % 9 = 0 THEN NULL ELSE type END AS string_value, CASE WHEN id % 9 = 0 THEN 1.5 END AS float_value, CAST(NULL AS BIGINT) AS int_value FROM v_memories
