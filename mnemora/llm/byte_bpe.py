@@ -7,7 +7,7 @@ merge costs the same however long the pre-token is. Entries whose pair has chang
 stale and skipped. Within a bucket the leftmost position goes first.
 
 Rows are encoded where they are read: no shuffle. Memory in a task is one Arrow batch plus a
-word cache of at most ``CACHE_WORDS`` short words, which ends with the task.
+word cache of at most ``CACHE_WORDS`` short words, which a Python worker keeps from task to task.
 
 Null texts and null ids are as empty ones; an empty table gives an empty table; repeated rows
 give equal rows; texts of any length are encoded whole; other columns pass through, and a column
@@ -17,8 +17,13 @@ of an added name is replaced.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
+import struct
+import sys
+import types
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +33,9 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, give_back
 
-#: Entries of a task's word cache; it is emptied when full. Longer pre-tokens than ``CACHE_BYTES``
-#: aren't kept.
-CACHE_WORDS, CACHE_BYTES = 250_000, 64
+#: Entries of a worker's word cache (some 200 bytes each); the older half goes when it is full. Longer
+#: pre-tokens than ``CACHE_BYTES`` aren't kept.
+CACHE_WORDS, CACHE_BYTES = 800_000, 64
 #: Ranks in a word of the lower bitmap.
 WORD = 256
 
@@ -118,7 +123,9 @@ class Encoder:
 
         self.ranks = parse_ranks(raw_ranks)
         self.split = regex.compile(pattern).findall
-        self.cache: dict[str, bytes] = {}
+        # words outlast a task: a worker that serves several tasks has one cache for a vocabulary
+        kept = sys.modules.setdefault("_mnemora_words", types.ModuleType("_mnemora_words")).__dict__
+        self.cache: dict[str, bytes] = kept.setdefault(hashlib.sha256(raw_ranks + pattern.encode()).hexdigest(), {})
 
     def packed(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -127,10 +134,12 @@ class Encoder:
             ids = cache.get(word)
             if ids is None:
                 raw = word.encode()
-                ids = np.array(merge(raw, self.ranks), dtype="<u4").tobytes()
+                found = merge(raw, self.ranks)
+                ids = struct.pack(f"<{len(found)}I", *found)
                 if len(raw) <= CACHE_BYTES:
                     if len(cache) >= CACHE_WORDS:
-                        cache.clear()
+                        for old in list(islice(cache, CACHE_WORDS // 2)):
+                            del cache[old]
                     cache[word] = ids
             out.append(ids)
         return b"".join(out)
