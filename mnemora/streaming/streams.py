@@ -166,17 +166,18 @@ class HighWater(StatefulProcessor):
         pass
 
 
-def stream_high_water(src: DataFrame, key: str, ttl: str = "7 days") -> DataFrame:
+def stream_high_water(src: DataFrame, key: str, fields: str | None = None, ttl: str = "7 days") -> DataFrame:
     """Rows (key, id, ts) that are newer than all that their key has sent; late rows are dropped, and of
     ties the smallest id is sent. State: one number a key, which goes when it lies ``ttl`` behind the
     newest time of all keys; rows as old as that are dropped too, so nothing is sent twice. The times of
     a key in one batch meet in one task: for few keys with many rows take ``high_water_rows``. Rows
-    without key or time are dropped."""
+    without key or time are dropped. fields: the types of the result (none: those of the source, id long,
+    ts double)."""
     kind = src.schema[key].dataType.simpleString()
     cut = _each(f"{key} {kind}, id long, ts double", lambda p: p.groupby([key, "ts"], as_index=False)["id"].min()[[key, "id", "ts"]])
     rows = cut(src.filter(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(key, F.col("id").cast("long").alias("id"), F.col("ts").cast("double").alias("ts")))
     timed = rows.withColumn("at", F.timestamp_micros((F.col("ts") * 1000000).cast("long"))).withWatermark("at", ttl)
-    return timed.groupBy(key).transformWithStateInPandas(HighWater(key, "object" if kind == "string" else "Int64"), f"{key} {kind}, id long, ts double", "Append", "EventTime")
+    return timed.groupBy(key).transformWithStateInPandas(HighWater(key, "object" if kind == "string" else "Int64"), fields or f"{key} {kind}, id long, ts double", "Append", "EventTime")
 
 
 def _held(spark: SparkSession, path: str, i: int, schema: str) -> DataFrame:
@@ -307,9 +308,10 @@ def stream_topic_heat(src: DataFrame, half_life_h: float = 12, boost: float = 20
     end (ties: the greater id). State: three numbers and ``keep`` sessions a topic.
 
     Mentions are summed in each Arrow batch first, so a hot topic sends a row a batch. Mentions without
-    topic or time are dropped; those without session count for the heat."""
+    topic or time are dropped; those without session, or without that column, count for the heat."""
     life = 3600.0 * half_life_h
-    own = src.filter("topic is not null and ts is not null").select("topic", F.col("ts").cast("double").alias("ts"), F.col("session_id").cast("long").alias("session"))
+    session = F.col("session_id") if "session_id" in src.columns else F.lit(None)
+    own = src.filter("topic is not null and ts is not null").select("topic", F.col("ts").cast("double").alias("ts"), session.cast("long").alias("session"))
 
     def summed(p: pd.DataFrame) -> pd.DataFrame:
         last = p.groupby("topic")["ts"].transform("max")
