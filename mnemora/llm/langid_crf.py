@@ -6,10 +6,11 @@ transitions tie neighbours, and forward-backward gives each word a distribution
 so text that switches between languages is labelled word by word. A document's language is the
 one with the greatest mean probability over its words, and its score is that mean.
 
-Training takes a bounded sample: ``TRAIN_DOCS`` labelled rows, as many of each language as there
+``train_whole`` learns from every word of every labelled text, with a pass over the text that counts
+words and further ones over the words found. ``train`` takes a bounded sample: ``TRAIN_DOCS`` labelled rows, as many of each language as there
 are, chosen by hashes, and of each a window of ``TRAIN_WORDS`` consecutive words (of at most
 ``TRAIN_CHARS`` code points), cut before it reaches the driver. This bounds the lexicon too.
-Windows of two documents are spliced into one sequence, so that switches are seen. Every document
+Windows of two documents are spliced into one sequence, so that switches are seen. With either, every document
 is labelled whole, where it is read: no shuffle. Long texts are labelled in chains of ``CHAIN``
 words.
 """
@@ -17,6 +18,7 @@ words.
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,12 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, give_back
+from .common import bounded_batches, discard, give_back, stash
 
 #: Bound of the training sample: documents, and words and code points of each.
 TRAIN_DOCS, TRAIN_WORDS, TRAIN_CHARS = 4000, 40, 4000
 #: Steps and rate of training, and its pull towards 0.
 EPOCHS, RATE, DECAY = 40, 0.15, 1e-6
+#: Steps and rate of training on whole texts (further steps change few words), the pull towards 0, and
+#: the uses up to which a feature learns slowly: both the same for tables of any size.
+WHOLE_EPOCHS, WHOLE_RATE, WHOLE_DECAY, FEW_USES = 12, 0.3, 0.16, 16
 HASH_BITS = 16
 #: Uses in the sample that make a word an entry of the lexicon.
 LEXICON_USES = 3
@@ -39,6 +44,9 @@ LEXICON_USES = 3
 LANES = 64
 #: Words that are labelled in one block; messages are carried from block to block of a text.
 CHAIN = 128
+#: Code points of text after which a task hands on its counts of words; words whose gradient is made
+#: at once; pieces in which gradients are summed; and the grain of gradients, so that sums are exact.
+COUNT_CHARS, GRADIENT_WORDS, PIECES, GRAIN = 1 << 22, 8192, 16, 2.0**20
 #: Code points of new words whose features are made at once.
 FEATURE_CHARS = 1 << 16
 #: Words whose emissions a task remembers; longer ones than ``MEMO_CHARS`` aren't kept from one
@@ -80,12 +88,17 @@ def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return gram, np.searchsorted(owner[order], np.arange(len(words))), whole
 
 
+def _bucket(whole: np.ndarray) -> np.ndarray:
+    """Places of words, given by their hashes, in a table of 2^HASH_BITS entries."""
+    return ((whole ^ (whole >> np.uint32(16))) & np.uint32((1 << HASH_BITS) - 1)).astype(np.int64)
+
+
 @dataclass
 class Model:
     langs: list[str]
     grams: np.ndarray  # 2^HASH_BITS x L
-    lexicon: np.ndarray  # sorted hashes of words
-    lexical: np.ndarray  # lexicon x L
+    lexicon: np.ndarray | None  # sorted hashes of words; None: every word has an entry, by its bucket
+    lexical: np.ndarray  # lexicon x L, or 2^HASH_BITS x L
     trans: np.ndarray  # L x L
     start: np.ndarray  # L
 
@@ -93,17 +106,25 @@ class Model:
         """Scores of words for each language; words have letters."""
         gram, starts, whole = _features(words)
         out = np.add.reduceat(self.grams[gram], starts, axis=0)
+        if self.lexicon is None:
+            return out + self.lexical[_bucket(whole)]
         at = np.minimum(np.searchsorted(self.lexicon, whole), len(self.lexicon) - 1)
         known = self.lexicon[at] == whole if len(self.lexicon) else np.zeros(len(words), bool)
         out[known] += self.lexical[at[known]]
         return out
 
 
+#: ASCII characters that aren't letters, to be deleted.
+_OTHERS = {i: None for i in range(128) if not chr(i).isalpha()}
+
+
 def letters(word: str) -> str:
     """The letters of a word, in lower case, with their marks; nothing where it has no letter
     (numerals such as ½ aren't letters)."""
     if word.isalpha():
         return word.lower()
+    if word.isascii():
+        return word.lower().translate(_OTHERS)
     if not any(map(str.isalpha, word)):
         return ""
     return "".join(c for c in word.lower() if c.isalpha() or unicodedata.category(c)[0] == "M")
@@ -258,11 +279,139 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return fit([t for _, _, t in rows], [lang for _, lang, _ in rows])
 
 
-def least_certain(labelled: DataFrame, model: Model, sample: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float | None:
-    """The smallest score of a labelled text that the model labels rightly, among at most
-    ``sample`` whole texts (``draw``); None if there is none."""
-    found = predict(draw(labelled, sample, id_col, text_col, lang_col), model)
-    return found.filter(F.col("lang_found.lang") == F.col("lang")).agg(F.min("lang_found.score")).first()[0]
+def count_words(labelled: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """``form, lang, n``: how often each word (its letters) occurs in the whole texts of each language,
+    in parts that are to be summed. Texts are read where they lie; counts leave a task every
+    ``COUNT_CHARS`` code points."""
+    bounded_batches(labelled.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = {}
+        read = 0
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            while counts:
+                lang, words = counts.popitem()
+                forms: dict[str, int] = {}
+                for w, n in words.items():
+                    if f := letters(w):
+                        forms[f] = forms.get(f, 0) + n
+                columns = [pa.array(list(forms), pa.string()), pa.array([lang] * len(forms), pa.string()), pa.array(list(forms.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["form", "lang", "n"])
+
+        for b in batches:
+            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                counts.setdefault(lang, Counter()).update(text.split())
+                read += len(text)
+                if read > COUNT_CHARS:
+                    yield from summed()
+                    read = 0
+        yield from summed()
+        give_back()
+
+    return labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna().mapInArrow(run, "form string, lang string, n long")
+
+
+def vocabulary(counts: DataFrame, langs: list[str]) -> DataFrame:
+    """A row a word: its n-grams (little-endian unsigned 32-bit integers), its bucket, and its uses in
+    each of the languages (``n0``, ``n1``, ...)."""
+    uses = [f"n{j}" for j in range(len(langs))]
+    words = counts.groupBy("form").agg(*[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(u) for u, x in zip(uses, langs, strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            forms = b.column(0).to_pylist()
+            begin = chars = 0
+            for i, f in enumerate(forms):
+                chars += len(f)
+                if chars > FEATURE_CHARS or i == len(forms) - 1:
+                    gram, starts, whole = _features(forms[begin : i + 1])
+                    cuts = np.append(starts, len(gram)) * 4
+                    raw = gram.astype("<u4").tobytes()
+                    grams = pa.array([raw[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
+                    part = b.slice(begin, i + 1 - begin)
+                    yield pa.RecordBatch.from_arrays([grams, pa.array(_bucket(whole), pa.int64()), *part.columns[1:]], ["grams", "bucket", *uses])
+                    begin, chars = i + 1, 0
+        give_back()
+
+    return words.mapInArrow(run, ", ".join(["grams binary", "bucket long", *[f"{u} long" for u in uses]]))
+
+
+def gradient(words: DataFrame, theta: np.ndarray) -> np.ndarray:
+    """Expected less true uses of each feature over a ``vocabulary``, with weights ``theta`` (n-grams,
+    then buckets). Tasks sum what they read; pieces of these sums meet by number; the driver gets one
+    array of the size of the weights. Words' shares are rounded to ``1 / GRAIN``, so no order of summing
+    changes the result."""
+    spark, k = words.sparkSession, theta.shape[1]
+    held = spark.sparkContext.broadcast(np.ascontiguousarray(theta.T, np.float32))
+    half = 1 << HASH_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, out = held.value, np.zeros((2 * half, k))
+        for whole in batches:
+            for b in (whole.slice(i, GRADIENT_WORDS) for i in range(0, whole.num_rows, GRADIENT_WORDS)):
+                raw = b.column(0).to_pylist()
+                gram = np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
+                sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+                bucket = b.column(1).to_numpy() + half
+                uses = np.stack([c.to_numpy() for c in b.columns[2:]], 1).astype(np.float64)
+                starts = np.cumsum(sizes) - sizes
+                scores = np.stack([np.add.reduceat(w[gram], starts) + w[bucket] for w in weights], 1).astype(np.float64)
+                p = np.exp(scores - scores.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                miss = np.rint((p * uses.sum(1, keepdims=True) - uses) * GRAIN)
+                for j in range(k):
+                    out[:half, j] += np.bincount(gram, np.repeat(miss[:, j], sizes), half)
+                    out[half:, j] += np.bincount(bucket - half, miss[:, j], half)
+        pieces = out.reshape(PIECES, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([x.tobytes() for x in pieces], pa.binary())], ["piece", "sums"])
+        give_back()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for piece, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums[piece] = sums.get(piece, 0) + np.frombuffer(x)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["piece", "sums"])
+        give_back()
+
+    shape = "piece int, sums binary"
+    rows = words.mapInArrow(run, shape).repartition("piece").mapInArrow(add, shape).collect()
+    held.destroy()
+    return np.concatenate([np.frombuffer(bytes(r["sums"])) for r in sorted(rows)] or [np.zeros(theta.size)]).reshape(theta.shape) / GRAIN
+
+
+def train_whole(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", epochs: int = WHOLE_EPOCHS) -> Model | None:
+    """Train on every word of every row that has text and language; None where there are none.
+
+    The field is trained by pieces: the weights of words to fit the languages of all uses of all words
+    (a logistic regression, whose gradient needs the vocabulary with its counts, not the text), the
+    transitions and starts by counting, as if the texts stood one after another in random order, two to a sequence. A transition
+    is weighed against the share of its language among words, which the weights of words hold already. Rows
+    count as often as they stand in the table; their order and partitions don't matter."""
+    text, lang = F.col(text_col), F.col(lang_col).cast("string")
+    lettered = labelled.filter(text.isNotNull() & lang.isNotNull() & text.rlike(r"\p{L}"))
+    docs = dict(lettered.groupBy(lang.alias("lang")).count().collect())
+    if not docs:
+        return None
+    langs, written = sorted(docs), []
+    k = len(langs)
+    words = stash(vocabulary(count_words(lettered, text_col, lang_col), langs), "vocabulary", written)
+    uses = np.array(words.agg(*[F.coalesce(F.sum(f"n{j}"), F.lit(0)) for j in range(k)]).first(), np.float64)
+    theta = np.zeros((2 << HASH_BITS, k))
+    sums = np.full_like(theta, FEW_USES**2)
+    for _ in range(epochs if k > 1 else 0):  # AdaGrad
+        step = gradient(words, theta) + WHOLE_DECAY * theta
+        sums += step * step
+        theta -= WHOLE_RATE * step / np.sqrt(sums)
+    discard(labelled.sparkSession, written)
+    texts = np.array([docs[x] for x in langs], np.float64)
+    pairs = np.diag(np.maximum(uses - texts, 0)) + np.outer(texts, texts) / (2 * texts.sum()) + 1 / k
+    share = (uses + 1 / k) / (uses.sum() + 1)
+    trans = np.log(pairs / pairs.sum(1, keepdims=True)) - np.log(share)
+    start = np.log((texts + 1 / k) / (texts.sum() + 1)) - np.log(share)
+    grams, lexical = theta.astype(np.float32).reshape(2, 1 << HASH_BITS, k)
+    return Model(langs, grams, None, lexical, trans, start)
 
 
 class Tagger:

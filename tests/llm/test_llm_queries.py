@@ -1,6 +1,8 @@
 """The registered queries: their SQL twins, and the pipeline against plain Python."""
 
 import hashlib
+import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from mnemora.llm import queries
+from mnemora.llm import langid_crf, queries
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
 
@@ -75,6 +77,49 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_language_threshold_comes_from_all_rows(spark):
+    """The least certain text that is rightly labelled sets the threshold, whatever its id; another like it stays."""
+    en, de = "the cat and the dog ran with this".split(), "der hund und die katze nicht mit das".split()
+    rows = [(i, " ".join((en, de)[i % 2][i % 3 :]), ("en", "de")[i % 2], "s", 1) for i in range(240)]
+    mixed = [(1000 + i, " ".join(en + de[:6]), "en", "s", 1) for i in range(2)] + [(2000, " ".join(en[::-1] + de[5::-1]), None, "s", 1)]
+    docs = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()} == {r[0] for r in rows + mixed}
+
+
+def test_language_model_learns_every_word(spark):
+    """All words of all labelled rows are counted, however long texts are, and in any layout the model is the same."""
+    rng = random.Random(5)
+    stems = {"en": "the cat and dog ran with this".split(), "de": "der hund und die katze nicht".split()}
+    rows = [(i, " ".join(rng.choices(stems[x], k=rng.choice([1, 50, 900]))) + f" only{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} 12 d'é-1", x) for i in range(300) for x in (("en", "de")[i % 2],)]
+    rows += [(None, "ohne", "de"), (900, None, "de"), (901, "12", "fr"), (902, "unlabelled", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = {(r["form"], r["lang"]): r["n"] for r in langid_crf.count_words(docs, "text", "lang").groupBy("form", "lang").agg(F.sum("n").alias("n")).collect()}
+    assert counts == Counter((f, x) for _, t, x in rows if t and x for f in map(langid_crf.letters, t.split()) if f)
+    a, b = langid_crf.train_whole(docs.repartition(1), epochs=3), langid_crf.train_whole(docs.orderBy(F.desc("text")).repartition(5), epochs=3)
+    assert a.langs == b.langs == ["de", "en"] and np.array_equal(a.grams, b.grams) and np.array_equal(a.lexical, b.lexical) and np.array_equal(a.trans, b.trans)
+    # words that one text has, at its end, are known by their languages
+    seen = langid_crf.predict(docs.filter("doc_id < 300").withColumn("text", F.regexp_extract("text", "only[a-z]+", 0)), langid_crf.train_whole(docs)).collect()
+    assert sum(r["lang_found"]["lang"] == r["lang"] for r in seen) == 300
+    assert langid_crf.train_whole(docs.filter("lang is null")) is None
+
+
+def test_gradient_of_whole_training(spark):
+    """Against a plain logistic regression."""
+    forms = {("cat", "en"): 5, ("cat", "de"): 1, ("hund", "de"): 3, ("a", "en"): 2}
+    counts = spark.createDataFrame([(f, x, n) for (f, x), n in forms.items()] + [("cat", "en", 2)], "form string, lang string, n long")
+    words = langid_crf.vocabulary(counts, ["de", "en"]).cache()
+    theta = np.random.default_rng(3).normal(size=(2 << langid_crf.HASH_BITS, 2)).astype(np.float32).astype(np.float64)
+    got = langid_crf.gradient(words, theta)
+    want = np.zeros_like(theta)
+    for f, uses in (("cat", [1, 7]), ("hund", [3, 0]), ("a", [0, 2])):
+        gram, _, whole = langid_crf._features([f])
+        at = [*gram.tolist(), (1 << langid_crf.HASH_BITS) + int(langid_crf._bucket(whole)[0])]
+        p = np.exp(theta[at].sum(0))
+        for i in at:
+            want[i] += p / p.sum() * sum(uses) - uses
+    assert np.abs(want).max() > 0.1 and np.allclose(got, want, atol=1e-4)
+
+
 def test_op2_matches_the_library(spark, sf_dir):
     import public_tokenizers
     import tiktoken
