@@ -81,7 +81,7 @@ def test_language_threshold_comes_from_all_rows(spark):
     """The least certain text that is rightly labelled sets the threshold, whatever its id; another like it stays."""
     en, de = "the cat and the dog ran with this".split(), "der hund und die katze nicht mit das".split()
     rows = [(i, " ".join((en, de)[i % 2][i % 3 :]), ("en", "de")[i % 2], "s", 1) for i in range(240)]
-    mixed = [(1000 + i, " ".join(en + de[:6]), "en", "s", 1) for i in range(2)] + [(2000, " ".join(en[::-1] + de[5::-1]), None, "s", 1)]
+    mixed = [(1001 + i, " ".join(en + de[:6]), "en", "s", 1) for i in range(2)] + [(2000, " ".join(en[::-1] + de[5::-1]), None, "s", 1)]
     docs = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()} == {r[0] for r in rows + mixed}
 
