@@ -23,7 +23,6 @@ import struct
 import sys
 import types
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +32,9 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, give_back
 
-#: Entries of a worker's word cache (some 200 bytes each); the older half goes when it is full. Longer
-#: pre-tokens than ``CACHE_BYTES`` aren't kept.
+#: Entries of a worker's word cache (some 150 bytes each), in two halves: when the new half is full, it
+#: becomes the old one, of which words that occur again move on. Longer pre-tokens than ``CACHE_BYTES``
+#: aren't kept.
 CACHE_WORDS, CACHE_BYTES = 800_000, 64
 #: Ranks in a word of the lower bitmap.
 WORD = 256
@@ -118,29 +118,35 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
 
 
 class Encoder:
-    def __init__(self, raw_ranks: bytes, pattern: str) -> None:
+    def __init__(self, raw_ranks: bytes, pattern: str, cache_words: int = CACHE_WORDS) -> None:
         import regex
 
         self.ranks = parse_ranks(raw_ranks)
         self.split = regex.compile(pattern).findall
+        self.half = max(1, cache_words // 2)
         # words outlast a task: a worker that serves several tasks has one cache for a vocabulary
         kept = sys.modules.setdefault("_mnemora_words", types.ModuleType("_mnemora_words")).__dict__
-        self.cache: dict[str, bytes] = kept.setdefault(hashlib.sha256(raw_ranks + pattern.encode()).hexdigest(), {})
+        #: the new half of the cache and the old one
+        self.halves: list[dict[str, bytes]] = kept.setdefault(hashlib.sha256(raw_ranks + pattern.encode()).hexdigest(), [{}, {}])
 
     def packed(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        cache, out = self.cache, []
+        (new, old), out = self.halves, []
         for word in self.split(text):
-            ids = cache.get(word)
+            ids = new.get(word)
             if ids is None:
-                raw = word.encode()
-                found = merge(raw, self.ranks)
-                ids = struct.pack(f"<{len(found)}I", *found)
-                if len(raw) <= CACHE_BYTES:
-                    if len(cache) >= CACHE_WORDS:
-                        for old in list(islice(cache, CACHE_WORDS // 2)):
-                            del cache[old]
-                    cache[word] = ids
+                ids = old.pop(word, None)
+                if ids is None:
+                    raw = word.encode()
+                    found = merge(raw, self.ranks)
+                    ids = struct.pack(f"<{len(found)}I", *found)
+                    kept = len(raw) <= CACHE_BYTES
+                else:
+                    kept = True
+                if kept:
+                    if len(new) >= self.half:
+                        self.halves[:] = new, old = {}, new
+                    new[word] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -209,12 +215,12 @@ def decode(tokens: DataFrame, ranks, ids_col: str = "ids", out_col: str = "decod
     return _added(tokens, [out_col], run)
 
 
-def round_trip(docs: DataFrame, ranks, pattern: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+def round_trip(docs: DataFrame, ranks, pattern: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded", cache_words: int = CACHE_WORDS) -> DataFrame:
     """``encode`` and ``decode`` of what it gave, in one pass of one Python worker a task. The text
-    isn't passed on."""
+    isn't passed on. ``cache_words`` bounds a worker's word cache; no result depends on it."""
 
     def run():
-        encoder = Encoder(ranks.value, pattern)
+        encoder = Encoder(ranks.value, pattern, cache_words)
         unpacked = Decoder(encoder.ranks).unpacked
 
         def work(part: pa.RecordBatch) -> list[list[bytes | None]]:

@@ -28,8 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of an Arrow batch, where the session has Spark's own default of 64 MB: a Python worker
-#: holds little text at once, however long the texts are.
-BATCH_BYTES = 4 << 20
+#: holds little text at once, however long the texts are, and an executor's buffers fit the chunks
+#: that its allocator keeps and uses again.
+BATCH_BYTES = 1 << 20
+#: Rows of a batch of short rows that a worker makes.
+BATCH_ROWS = 8192
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -21,6 +21,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, give_back, stash
+from .common import BATCH_ROWS, bounded_batches, discard, give_back, stash
 
 #: Bound of the training sample: documents, and words and code points of each.
 TRAIN_DOCS, TRAIN_WORDS, TRAIN_CHARS = 4000, 40, 4000
@@ -296,8 +297,11 @@ def count_words(labelled: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 for w, n in words.items():
                     if f := letters(w):
                         forms[f] = forms.get(f, 0) + n
-                columns = [pa.array(list(forms), pa.string()), pa.array([lang] * len(forms), pa.string()), pa.array(list(forms.values()), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["form", "lang", "n"])
+                del words
+                pairs = iter(forms.items())
+                while part := list(islice(pairs, BATCH_ROWS)):
+                    columns = [pa.array([f for f, _ in part], pa.string()), pa.array([lang] * len(part), pa.string()), pa.array([n for _, n in part], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["form", "lang", "n"])
 
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -363,8 +367,9 @@ def gradient(words: DataFrame, theta: np.ndarray) -> np.ndarray:
                 for j in range(k):
                     out[:half, j] += np.bincount(gram, np.repeat(miss[:, j], sizes), half)
                     out[half:, j] += np.bincount(bucket - half, miss[:, j], half)
-        pieces = out.reshape(PIECES, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([x.tobytes() for x in pieces], pa.binary())], ["piece", "sums"])
+        for i, x in enumerate(out.reshape(PIECES, -1)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["piece", "sums"])
+        del weights, out, x
         give_back()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,7 +377,8 @@ def gradient(words: DataFrame, theta: np.ndarray) -> np.ndarray:
         for b in batches:
             for piece, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 sums[piece] = sums.get(piece, 0) + np.frombuffer(x)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["piece", "sums"])
+        for piece, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["piece", "sums"])
         give_back()
 
     shape = "piece int, sums binary"

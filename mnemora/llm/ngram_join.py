@@ -119,8 +119,11 @@ def frequency_levels(docs: DataFrame, text_col: str, q: int) -> np.ndarray:
                     np.add.at(total, (s >> shift).astype(np.int64), 1)
                     seen = True
         if seen:
-            parts = total.reshape(SKETCH_PARTS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([np.minimum(p, 65535).astype("<u2").tobytes() for p in parts], pa.binary())], ["part", "counts"])
+            for i, p in enumerate(total.reshape(SKETCH_PARTS, -1)):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.minimum(p, 65535).astype("<u2").tobytes()], pa.binary())], ["part", "counts"])
+        memo.clear()
+        total = p = None
+        give_back()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -316,8 +319,9 @@ class Join:
     def classes_of(self) -> DataFrame:
         """``v, comp`` of the sets that have links; comp is the least of the class."""
         spark = self.docs.sparkSession
-        comps = spark.createDataFrame([], "v long, comp long")
-        tried = spark.createDataFrame([], "a long, b long")
+        # not from a local list, for which Python workers of another kind would start and stay
+        comps = spark.range(0).select(F.col("id").alias("v"), F.col("id").alias("comp"))
+        tried = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
         central = F.max(F.struct("cap", "v", "n", "comp"))
         first = F.min(F.struct("v", "n", "cap", "comp"))
         for leader in (central, first, None):

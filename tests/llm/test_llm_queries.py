@@ -135,3 +135,37 @@ def test_op2_matches_the_library(spark, sf_dir):
         ids = tk.encode_ordinary(texts[r["doc_id"]])
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_counts_leave_a_worker_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from mnemora.llm import common
+
+    docs = spark.createDataFrame([("a", "en")], "text string, lang string")
+    held = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: held.append(run))
+    langid_crf.count_words(docs, "text", "lang")
+    names = ["w" + "".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(20_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(names), names[7], names[7]]), pa.array(["en", "en", "de"])], ["text", "lang"])
+    out = list(held[0](iter([batch])))
+    assert max(b.num_rows for b in out) <= common.BATCH_ROWS
+    rows = [(r["form"], r["lang"], r["n"]) for b in out for r in b.to_pylist()]
+    assert sorted(rows) == sorted([*((w, "en", 1 + (w == names[7])) for w in names), (names[7], "de", 1)])
+    other = spark.newSession()
+    common.bounded_batches(other)
+    assert int(other.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 1 << 20
+
+
+def test_word_cache_is_bounded_and_keeps_frequent_words():
+    import base64
+
+    from mnemora.llm import byte_bpe
+
+    raw = b"".join(base64.b64encode(bytes([i])) + b" %d\n" % i for i in range(256))
+    small = byte_bpe.Encoder(raw, r"\w+|\W", cache_words=40)
+    for i in range(1000):
+        text = f"often w{i} often"
+        assert np.frombuffer(small.packed(text), "<u4").tolist() == list(text.encode())
+        new, old = small.halves
+        assert len(new) + len(old) <= 40 and "often" in new | old
