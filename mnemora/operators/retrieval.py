@@ -198,14 +198,19 @@ def multi_search(mem: DataFrame, vec: DataFrame, edges: DataFrame, vectors: Data
 
 
 def cold_search(cold: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """``query_id, id, score``: 0.8 for the name, 0.5 for each tag and 0.3 for the summary that contains
-    the query (id, name, tags array, summary). Each is looked through once for all queries."""
-    part = lambda weight, text: F.struct(F.lit(weight).alias("weight"), text.alias("text"))
-    each = F.concat(F.array(part(0.8, F.col("name")), part(0.3, F.col("summary"))), F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: part(0.5, t)))
-    parts = cold.select("id", F.posexplode(each).alias("n", "p")).select("id", F.concat_ws("|", F.col("id").cast("string"), "n").alias("key"), "p.weight", "p.text")
-    hits = matches(parts, queries, "text", ci=True, id_col="key").withColumnRenamed("id", "key")
-    scored = hits.join(parts.select("key", "id", "weight"), "key").groupBy("query_id", "id").agg(F.round(F.sum("weight"), 4).alias("score"))
-    return ranked(scored, k)
+    """``query_id, id, score, rank``: 0.8 for the name, 0.5 for each tag and 0.3 for the summary that contains
+    the query (id, name, tags array, summary). Each is looked through once for all queries; queries with
+    one text (in lower case) are scored and ranked once, so hits grow with the texts to find and not with
+    the queries. A hit carries its part and id in one key, so nothing is joined to learn its weight. Rows without id are left out."""
+    part = lambda n, text: F.struct(F.lit(n).alias("n"), text.alias("text"))
+    each = F.concat(F.array(part("n", F.col("name")), part("s", F.col("summary"))), F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t, i: F.struct(F.concat(F.lit("t"), i.cast("string")).alias("n"), t.alias("text"))))
+    parts = cold.select("id", F.explode(each).alias("p")).select(F.concat("p.n", F.lit("|"), F.col("id").cast("string")).alias("id"), F.lower("p.text").alias("text"))
+    asked = queries.select("query_id", F.lower("q").alias("probe"))
+    weight = F.when(F.col("id").startswith("n"), 0.8).when(F.col("id").startswith("s"), 0.3).otherwise(0.5)
+    own = F.expr("substring(id, locate('|', id) + 1)").cast(cold.schema["id"].dataType)
+    hits = containments(parts, asked.select("probe")).select(F.col("probe").alias("query_id"), own.alias("id"), weight.alias("weight"))
+    best = ranked(hits.groupBy("query_id", "id").agg(F.round(F.sum("weight"), 4).alias("score")), k).withColumnRenamed("query_id", "probe")
+    return asked.join(best, "probe").select("query_id", "id", "score", "rank")
 
 
 def cold_excavate(msg: DataFrame, ses: DataFrame, queries: DataFrame, limit: int = 200) -> DataFrame:
