@@ -414,7 +414,7 @@ def _(v):
 
 @query("induced_edges", f"WITH {BFS_SQL.format(seeds=SEEDS_SQL)}, r AS (SELECT DISTINCT seed, node FROM w) SELECT a.seed, e.from_id, e.to_id, e.rel_type FROM v_edges e JOIN r a ON a.node = e.from_id JOIN r b ON b.seed = a.seed AND b.node = e.to_id")
 def _(v):
-    return G.induced_edges(v.v_edges, G.bfs_subgraph(v.v_edges, _seeds(v)))
+    return G.walked_edges(v.v_edges, _seeds(v))
 
 
 @query("extensions_of", "SELECT src, dst FROM v_relations WHERE active AND type = 'extends'")
