@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..sources.paths import written
 from .containment import containments, matches
 from .filters import latest_only, where_column
 from .windows import best_score_per_content, keep_first
@@ -133,7 +134,8 @@ def keyword_search(mem: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 def entity_search(edges: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """``query_id, name``: nodes that contain the query or are contained in it, whatever the case, by
     name; an empty query gives the first k."""
-    nodes = edges.select(F.explode(F.array("from_id", "to_id")).alias("name")).distinct().select("name", F.lower("name").alias("n"))
+    # written, since every shard of probes below would read the edges again
+    nodes = written(edges.select(F.explode(F.array("from_id", "to_id")).alias("name")).distinct(), "nodes").select("name", F.lower("name").alias("n"))
     asked = queries.select("query_id", F.lower("q").alias("q"))
     low = nodes.select("n").distinct()
     # each side is the text once and the probe once; an empty query is in every name
@@ -147,11 +149,7 @@ def entity_search(edges: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
 
 def graph_search(edges: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     """Matching entities with score 0.7 and their neighbours with 0.5."""
-    hit = entity_search(edges, queries, k)
-    both = edges.select(F.col("from_id").alias("name"), F.col("to_id").alias("other")).unionByName(edges.select(F.col("to_id").alias("name"), F.col("from_id").alias("other")))
-    near = hit.join(both, "name").select("query_id", F.col("other").alias("id"), F.lit(0.5).alias("score"))
-    all_ = hit.select("query_id", F.col("name").alias("id"), F.lit(0.7).alias("score")).unionByName(near).groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    return ranked(all_.withColumn("content", F.col("id")).withColumn("source", F.lit("graph")), k)
+    return ranked(walk_search(edges, queries, k, 1, None), k)
 
 
 def fulltext_sessions(msg: DataFrame, ses: DataFrame, queries: DataFrame, k: int = 5, asof: float = 0.0, horizon_s: float = 2592000, width: int = 200) -> DataFrame:
@@ -188,13 +186,31 @@ def source_counts(hits: DataFrame) -> DataFrame:
 
 def multi_search(mem: DataFrame, vec: DataFrame, edges: DataFrame, vectors: DataFrame, texts: DataFrame, k: int = 5, depth: int = 2) -> DataFrame:
     """Vector hits (2k), entities of the text with 0.7 and all within ``depth`` steps with 0.5, fused."""
+    return fuse([vector_search(mem, vec, vectors, 2 * k), walk_search(edges, texts, k, depth)], k)
+
+
+def walk_search(edges: DataFrame, queries: DataFrame, k: int = 5, depth: int = 2, key_len: int | None = 50) -> DataFrame:
+    """Hits for ``fuse``: up to k entities of each query with 0.7, and nodes within ``depth`` steps of them with
+    0.5; of these at least all that can be among the k best of a fusion by the first ``key_len`` characters
+    (None: of whole names), whatever the other legs hold.
+
+    All nodes of one score are ordered by name, so of the neighbours that a node has in the last step only
+    the first 2k with different beginnings count: k may be entities, which score higher."""
+    from .adjacency import either_way
     from .graph import bfs_subgraph
 
-    hit = entity_search(edges, texts, k)
-    seeds = hit.select(F.concat(F.col("query_id").cast("string"), F.lit("|"), "name").alias("seed"), F.col("name").alias("node"))
-    reach = bfs_subgraph(edges, seeds, depth).select(F.substring_index("seed", "|", 1).cast("long").alias("query_id"), F.col("node").alias("id"), F.when(F.col("depth") == 0, 0.7).otherwise(0.5).alias("score"))
-    leg = reach.groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("content", F.col("id")).withColumn("source", F.lit("graph"))
-    return fuse([vector_search(mem, vec, vectors, 2 * k), leg], k)
+    hit = written(entity_search(edges, queries, k), "entities")
+    seeds = hit.select(F.col("query_id").cast("string").alias("seed"), F.col("name").alias("node"))
+    found = hit.select("query_id", F.col("name").alias("id"), F.lit(0.7).alias("score"))
+    if depth:
+        before = written(bfs_subgraph(edges, seeds, depth - 1).select(F.col("seed").cast(hit.schema["query_id"].dataType).alias("query_id"), "node").distinct(), "passed")
+        begins = F.substring("next", 1, key_len) if key_len else F.col("next")
+        far = either_way(edges.select("from_id", "to_id")).select("node", "next").join(before.select("node").distinct(), "node", "left_semi")
+        far = far.withColumn("begins", begins).withColumn("r", F.dense_rank().over(W.partitionBy("node").orderBy("begins"))).filter(F.col("r") <= 2 * k)
+        first = far.groupBy("node", "begins").agg(F.min("next").alias("id")).select("node", "id")
+        near = before.select("query_id", F.col("node").alias("id")).unionByName(before.join(first, "node").select("query_id", "id"))
+        found = found.unionByName(near.withColumn("score", F.lit(0.5)))
+    return found.groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("content", F.col("id")).withColumn("source", F.lit("graph"))
 
 
 def cold_search(cold: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
