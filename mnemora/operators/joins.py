@@ -87,14 +87,17 @@ def changed_items(cur: DataFrame, cached: DataFrame, listed: DataFrame) -> DataF
 def near_duplicate_pairs(vec: DataFrame, meta: DataFrame, threshold: float = 0.08) -> DataFrame:
     """``winner_id, loser_id, distance``: the newer row of a near pair wins, the smaller id at a tie."""
     m = meta.select("id", "created_at")
-    p = near_pairs(vec, threshold).join(m.select(F.col("id").alias("a"), F.col("created_at").alias("ca")), "a").join(m.select(F.col("id").alias("b"), F.col("created_at").alias("cb")), "b")
+    if m.filter("created_at is null").isEmpty() and m.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty():
+        p = near_pairs(vec.select("id", "v").join(m, "id"), threshold).withColumnsRenamed({"created_at_a": "ca", "created_at_b": "cb"})  # pairs aren't joined
+    else:
+        p = near_pairs(vec.select("id", "v"), threshold).join(m.select(F.col("id").alias("a"), F.col("created_at").alias("ca")), "a").join(m.select(F.col("id").alias("b"), F.col("created_at").alias("cb")), "b")
     first = F.col("ca") >= F.col("cb")
     return p.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("winner_id"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("loser_id"), "distance")
 
 
 def conflict_pairs(vec: DataFrame, threshold: float = 0.15, k: int | None = None) -> DataFrame:
     """``a, b, distance`` of rows of one type (vec: id, v, type), the nearest first."""
-    p = near_pairs(vec, threshold, key="type").orderBy("distance", "a", "b")
+    p = near_pairs(vec.select("id", "v", "type"), threshold, key="type").orderBy("distance", "a", "b")
     return p.limit(k) if k else p
 
 

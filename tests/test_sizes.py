@@ -3,11 +3,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mnemora.operators import adjacency as A
 from mnemora.operators import graph as G
+from mnemora.operators import neighbours as N
 from mnemora.operators import retrieval as R
 from mnemora.plans import catalog
 
@@ -109,3 +111,43 @@ def test_graph_search_ranks_names_and_not_all_neighbours(spark, monkeypatch):
 def test_fusions_cut_texts_where_they_are_read(spark, sf_dir, key):
     """Joins of the vector leg get the first 50 characters of a text, not all of it."""
     assert re.search(r"substring\(text#\d+, 1, 50\)", catalog.QUERIES[key](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString())
+
+
+def far_vectors(spark, n=300, copies=60):
+    """Vectors far apart in 24 dimensions, of which some have near ones: no cut saves pairs."""
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(n, 24))
+    m[-copies:] = m[rng.integers(0, n - copies, copies)] + 0.3 * rng.normal(size=(copies, 24))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, [float(x) for x in v], i * 37 % 11) for i, v in enumerate(m)], "id long, v array<double>, created_at long").repartition(4)
+    far = 1 - m @ m.T
+    return rows, {(a, b) for a in range(n) for b in range(a + 1, n) if far[a, b] < 0.5}
+
+
+def test_pairs_of_far_vectors_meet_in_written_blocks(spark, monkeypatch):
+    """Blocks are written once and not copied for each block that they meet; pairs and winners are those of all pairs."""
+    sizes, written = [], N.written
+    monkeypatch.setattr(N, "written", lambda df, name: sizes.append((name, (out := written(df, name)).count())) or out)
+    monkeypatch.setattr(N, "BLOCK", 32)
+    monkeypatch.setattr(N, "MEETINGS", 3)
+    vec, want = far_vectors(spark)
+    got = N.near_pairs(vec.select("id", "v"), 0.5, leaf=40, pivots=4).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == sorted(want)
+    assert [n for name, n in sizes if name == "blocks"] and all(n <= 300 // 32 + 8 for name, n in sizes if name == "blocks")
+    carried = N.near_pairs(vec, 0.5, leaf=40, pivots=4).collect()
+    assert {(r["a"], r["b"]) for r in carried} == want and all((r["created_at_a"], r["created_at_b"]) == (r["a"] * 37 % 11, r["b"] * 37 % 11) for r in carried)
+    twice = N.near_pairs(vec.select("id", "v").union(vec.select("id", "v").filter("id < 5")), 0.5, leaf=40, pivots=4).collect()
+    assert sorted((r["a"], r["b"]) for r in twice) == sorted(want)
+
+
+def test_links_join_the_same_sets_as_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 32)
+    monkeypatch.setattr(N, "MEETINGS", 2)
+    rows, _ = far_vectors(spark, 200, 150)
+    near = rows.withColumn("v", F.transform("v", lambda x: x + 1.0))  # towards one side: many pairs
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    near = near.withColumn("v", F.transform("v", lambda x: x / norm)).persist()
+    pairs, links = (f(near.select("id", "v"), 0.15, leaf=40, pivots=4).select("a", "b").persist() for f in (N.near_pairs, N.near_links))
+    sets = [sorted(map(tuple, N.connected(x).collect())) for x in (pairs, links)]
+    assert sets[0] == sets[1] and {tuple(r) for r in links.collect()} <= {tuple(r) for r in pairs.collect()}
+    assert links.count() <= 4 * 200 < pairs.count()
