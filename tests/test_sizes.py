@@ -151,3 +151,22 @@ def test_links_join_the_same_sets_as_all_pairs(spark, monkeypatch):
     sets = [sorted(map(tuple, N.connected(x).collect())) for x in (pairs, links)]
     assert sets[0] == sets[1] and {tuple(r) for r in links.collect()} <= {tuple(r) for r in pairs.collect()}
     assert links.count() <= 4 * 200 < pairs.count()
+
+
+def test_nearest_sets_meet_in_blocks(spark, monkeypatch):
+    """Blocks of few tokens on both sides: as all pairs; and no row for each token or pair is made between tables."""
+    monkeypatch.setattr(N, "SET_TOKENS", 40)
+    sizes, written = [], N.written
+    monkeypatch.setattr(N, "written", lambda df, name: sizes.append((out := written(df, name)).count()) or out)
+    rng = random.Random(3)
+    row = lambda i: (i, rng.choice("ab"), [f"w{int(rng.random() ** 2 * 60)}" for _ in range(rng.randint(0, 9))])
+    x, y = [row(i) for i in range(80)] + [(99, None, ["w1"])], [row(i) for i in range(110)] + [(500, "a", [f"v{i}" for i in range(900)]), (501, None, ["w1"])]
+    schema = "id long, u string, tokens array<string>"
+    got = {r["id"]: (r["target"], round(r["similarity"], 9)) for r in N.nearest_set(spark.createDataFrame(x, schema), spark.createDataFrame(y, schema), 0.2, ["u"]).collect()}
+    want = {}
+    for i, u, t in x:
+        best = [(-len(set(t) & set(o)) / len(set(t) | set(o)), j) for j, k, o in y if k == u and u and t and o]
+        if best and -min(best)[0] >= 0.2 - 1e-12:
+            want[i] = (min(best)[1], round(-min(best)[0], 9))
+    assert got == want and want
+    assert max(sizes) <= 110
