@@ -170,3 +170,18 @@ def test_nearest_sets_meet_in_blocks(spark, monkeypatch):
             want[i] = (min(best)[1], round(-min(best)[0], 9))
     assert got == want and want
     assert max(sizes) <= 110
+
+
+def test_the_language_that_is_found_leaves_its_stage(spark, tmp_path):
+    """Rows without a language get the one that was found for them, and the pipeline's result tells it."""
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    words = {"en": "the cat and dog ran with this over that".split(), "de": "der hund und die katze nicht mit das aber".split()}
+    rows = [(i, " ".join(rng.choices(words[x], k=12 + i % 9)), x if i % 5 else None, "s", 1) for i in range(120) for x in (("en", "de")[i % 2],)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i: ("en", "de")[i % 2] for i in range(120)}
+    assert {r["doc_id"]: r["lang"] for r in corpus_pipeline.language(spark, docs, "").collect()} == want
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got and all(want[i] == x for i, x in got.items())
